@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnLike = Column | str | float | int
@@ -60,4 +60,38 @@ def defined_level(value: ColumnLike) -> Column:
 
 
 def half_even(value: ColumnLike, digits: int) -> Column:
-    return F.bround(col(value), digits)
+    """Round to `digits` decimals on the exact binary value, exact halves to the even side.
+
+    `bround` decides on the shortest decimal text, so it takes 0.35 (a little below the half in
+    binary) for an exact half. Here the scaled value is corrected by its own rounding error.
+    The value appears several times, so give it a plain column: see `settle`.
+    """
+    x = col(value).cast("double")
+    if digits == 0:
+        return F.rint(x) + 0.0
+    scale = float(10 ** digits)
+    scaled = x * scale
+    if digits == 1:
+        # 8x and 2x are exact, so this is the exact error of their rounded sum.
+        error = x * 2.0 - (scaled - x * 8.0)
+    else:
+        # Two parts of at most 27 bits make both products with the small scale exact.
+        wide = x * 134217729.0
+        high = wide - (wide - x)
+        error = (high * scale - scaled) + (x - high) * scale
+    side = F.signum(error)
+    nearest = F.rint(scaled)
+    # An apparent half that truly lies on the far side of it moves one step.
+    moved = F.when(scaled - nearest == side * 0.5, nearest + side).otherwise(nearest)
+    return moved / scale + 0.0
+
+
+def settle(df: DataFrame, digits: int, exprs: dict[str, Column]) -> DataFrame:
+    """Add rounded columns: the values in one projection, the rounding in the next, so that no
+    value is computed more than once."""
+    return df.withColumns(exprs).withColumns({name: half_even(name, digits) for name in exprs})
+
+
+def once(value: Column, fn) -> Column:
+    """`fn` of a costly array expression, which is evaluated a single time."""
+    return F.transform(F.array(value), fn).getItem(0)

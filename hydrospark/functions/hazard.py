@@ -1,4 +1,7 @@
-"""Weather, fire, slide, sea, soil and air rules."""
+"""Weather, fire, slide, sea, soil and air rules.
+
+Scores come unrounded; `base.settle` rounds them to the published one decimal.
+"""
 
 from __future__ import annotations
 
@@ -52,7 +55,7 @@ def wet_bulb_f(temp_f: ColumnLike, rh: ColumnLike) -> Column:
     t = (col(temp_f) - 32.0) * 5.0 / 9.0
     tw = (t * F.atan(0.151977 * F.sqrt(rh + 8.313659)) + F.atan(t + rh) - F.atan(rh - 1.676331)
           + 0.00391838 * F.pow(rh, F.lit(1.5)) * F.atan(0.023101 * rh) - 4.686035)
-    return half_even(tw * 9.0 / 5.0 + 32.0, 1)
+    return tw * 9.0 / 5.0 + 32.0
 
 
 def heat_index_f(temp_f: ColumnLike, rh: ColumnLike) -> Column:
@@ -76,7 +79,7 @@ def heat_index_f(temp_f: ColumnLike, rh: ColumnLike) -> Column:
     humid = (rh - 85.0) / 10.0 * (87.0 - t) / 5.0
     hot = (F.when((rh < 13.0) & t.between(80.0, 112.0), hot - dry)
            .when((rh > 85.0) & t.between(80.0, 87.0), hot + humid).otherwise(hot))
-    return half_even(F.when(t < 80.0, mild).otherwise(hot), 1)
+    return F.when(t < 80.0, mild).otherwise(hot)
 
 
 def heat_category(hi: ColumnLike) -> Column:
@@ -106,7 +109,7 @@ def fire_index(temp_f: ColumnLike, rh: ColumnLike, wind_mph: ColumnLike) -> Colu
     x = fuel_moisture_pct(temp_f, rh) / 30.0
     damping = clamp(1.0 - 2.0 * x + 1.5 * x * x - 0.5 * x * x * x, 0.0, 1.0)
     wind = col(wind_mph).cast("double")
-    score = half_even(clamp(damping * F.sqrt(1.0 + wind * wind) / 0.3002, 0.0, 100.0), 1)
+    score = clamp(damping * F.sqrt(1.0 + wind * wind) / 0.3002, 0.0, 100.0)
     missing = col(temp_f).isNull() | col(rh).isNull() | wind.isNull()
     return F.when(~missing, score)
 
@@ -131,7 +134,7 @@ def fire_score(fwi: ColumnLike, region: ColumnLike, red_flag: ColumnLike,
     capped = F.when((col(region) == "coastal") & ~col(any_alert),
                     F.least(raw, F.lit(65.0))).otherwise(raw)
     floor = F.when(col(red_flag), 70.0).when(col(any_alert), 45.0).otherwise(0.0)
-    return half_even(F.greatest(capped, floor), 1)
+    return F.greatest(capped, floor)
 
 
 def fire_label(score: ColumnLike) -> Column:
@@ -154,7 +157,7 @@ def slide_score(region: ColumnLike, soil: ColumnLike, saturated: ColumnLike, pas
               + first_step(past, SLIDE_PAST, 0.0) + first_step(ahead, SLIDE_AHEAD, 0.0))
     compound = saturated & (ahead >= 3.0) & (col(region) == "mountain")
     points = points * F.when(compound, 1.15).otherwise(1.0)
-    return half_even(clamp(points, 0.0, by_terrain(1)), 1)
+    return clamp(points, 0.0, by_terrain(1))
 
 
 def slide_label(score: ColumnLike) -> Column:
@@ -201,7 +204,7 @@ def freshness(as_of_epoch: ColumnLike, now_epoch: ColumnLike) -> tuple[Column, C
     known = F.coalesce(col(as_of_epoch) > 0, F.lit(False))
     age = F.greatest(F.lit(0.0), (col(now_epoch) - col(as_of_epoch)) / 60.0)
     band = F.when(known, below_step(age, FRESHNESS, "frozen")).otherwise("frozen")
-    return F.when(known, half_even(age, 1)), band
+    return F.when(known, age), band
 
 
 def probability_severity(pct: ColumnLike) -> Column:

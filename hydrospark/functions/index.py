@@ -1,4 +1,7 @@
-"""The 0..100 flood index: six components, an amplifier, a label and ten triggers."""
+"""The 0..100 flood index: six components, an amplifier, a label and ten triggers.
+
+Components and total come unrounded; `flood_index.score` rounds each in its own projection.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hydrospark.dims import INDEX_STAGES
-from hydrospark.functions.base import ColumnLike, clamp, col, first_step, half_even
+from hydrospark.functions.base import ColumnLike, clamp, col, first_step
 from hydrospark.functions.hazard import soil_amplifier
 
 COMPONENTS = ["stage", "qpf", "storm", "rise", "alert", "soil"]
@@ -26,7 +29,7 @@ def components(stage_ft: ColumnLike, qpf_in: ColumnLike, storm_mi: ColumnLike, r
                alert: ColumnLike, soil: ColumnLike, past_7d_in: ColumnLike,
                major_ft: ColumnLike = INDEX_STAGES["major"]) -> dict[str, Column]:
     dry_to_wet = F.coalesce(clamp((col(soil) - 0.15) / 0.30 * 5.0, 0.0, 5.0), F.lit(0.0))
-    parts = {
+    return {
         "stage": clamp(_zero(stage_ft) / col(major_ft) * 35.0, 0.0, 35.0),
         "qpf": F.least(F.lit(20.0), _zero(qpf_in) / 5.0 * 20.0),
         "storm": F.coalesce(clamp(20.0 * (1500.0 - col(storm_mi)) / 1300.0, 0.0, 20.0),
@@ -35,7 +38,6 @@ def components(stage_ft: ColumnLike, qpf_in: ColumnLike, storm_mi: ColumnLike, r
         "alert": F.when(F.coalesce(col(alert), F.lit(False)), 10.0).otherwise(0.0),
         "soil": F.greatest(dry_to_wet, F.least(F.lit(5.0), _zero(past_7d_in) / 4.0 * 5.0)),
     }
-    return {name: half_even(part, 1) for name, part in parts.items()}
 
 
 def triggers(stage_ft: ColumnLike, qpf_in: ColumnLike, storm_mi: ColumnLike, rate: ColumnLike,
@@ -58,12 +60,9 @@ def triggers(stage_ft: ColumnLike, qpf_in: ColumnLike, storm_mi: ColumnLike, rat
 
 
 def total(parts: dict[str, Column], soil: ColumnLike, saturated: ColumnLike) -> Column:
-    """Whole-number score of already rounded components."""
+    """Amplified sum of already rounded components, at most 100."""
     raw = sum((parts[name] for name in COMPONENTS[1:]), parts[COMPONENTS[0]])
-    # One decimal times the amplifier has at most three decimals; cutting binary noise first keeps
-    # exact halves on the even side.
-    exact = F.round(raw * soil_amplifier(soil, saturated), 6)
-    return half_even(F.least(F.lit(100.0), exact), 0).cast("int")
+    return F.least(F.lit(100.0), raw * soil_amplifier(soil, saturated))
 
 
 def label(score: ColumnLike) -> Column:

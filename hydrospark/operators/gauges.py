@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrospark.functions import stage
-from hydrospark.functions.base import defined_level
+from hydrospark.functions.base import defined_level, half_even
 from hydrospark.functions.geo import haversine_mi
 from hydrospark.operators.timeseries import best_source, recent_rate
 from hydrospark.plans.pick import best_row, top_rows
@@ -131,7 +131,7 @@ def month_percentile(history: DataFrame, current: DataFrame, keys=("entity_id",)
               .groupBy(*keys, "month", "current_ft")
               .agg(F.count("*").alias("n"),
                    F.count_if(F.col("value") <= F.col("current_ft")).alias("below")))
-    share = F.bround(F.col("below") / F.col("n") * 100.0, 1)
+    share = half_even(F.col("below") / F.col("n") * 100.0, 1)
     return counts.select(
         *keys, "current_ft", "month", F.when(F.col("n") >= min_rows, share).alias("percentile"))
 

@@ -135,7 +135,7 @@ def network_counts(spark, sf_dir):
 @query("month_percentile", f"""WITH {R_SQL},
 cur AS (SELECT entity_id, arg_max(value, (epoch_us(ts), seq)) AS current_ft, CAST(month(max(ts)) AS INTEGER) AS month FROM r GROUP BY 1)
 SELECT r.entity_id, current_ft, month, CASE WHEN count(*) >= 30 THEN
-    round_even(count(*) FILTER (value <= current_ft) / count(*) * 100, 1) END AS percentile
+    (printf('%.1f', (count(*) FILTER (value <= current_ft) / count(*) * 100)::DOUBLE)::DOUBLE + 0.0::DOUBLE) END AS percentile
 FROM r JOIN cur ON r.entity_id = cur.entity_id AND month(ts) = month GROUP BY 1, 2, 3""")
 def month_percentile(spark, sf_dir):
     rows = readings(spark, sf_dir)
@@ -154,7 +154,7 @@ cr AS (SELECT entity_id, max(ft) AS peak_ft, max(ft) FILTER (day BETWEEN DATE '2
        FROM d GROUP BY 1),
 tot AS (SELECT entity_id, count(*) AS n_observations, CAST(min(ts) AS DATE) AS first_day, CAST(max(ts) AS DATE) AS last_day,
           arg_max(value, epoch_us(ts)) AS current_ft, month(max(ts)) AS mon FROM b GROUP BY 1),
-pc AS (SELECT b.entity_id, CASE WHEN count(*) >= 30 THEN round_even(count(*) FILTER (value <= current_ft) / count(*) * 100, 1) END AS percentile
+pc AS (SELECT b.entity_id, CASE WHEN count(*) >= 30 THEN (printf('%.1f', (count(*) FILTER (value <= current_ft) / count(*) * 100)::DOUBLE)::DOUBLE + 0.0::DOUBLE) END AS percentile
        FROM b JOIN tot ON b.entity_id = tot.entity_id AND month(ts) = mon GROUP BY 1)
 SELECT tot.entity_id, n_observations, first_day, last_day, peak_ft, event_ft, event_day, current_ft, record AS record_ft,
   CAST(mon AS INTEGER) AS month, percentile, round(greatest(peak_ft, coalesce(record, 0), current_ft) * 1.05, 6) AS axis_max,
