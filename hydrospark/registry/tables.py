@@ -152,3 +152,8 @@ def values_sql(name: str, columns: str, rows) -> str:
         return f"{v!r}::DOUBLE" if isinstance(v, float) else repr(v)
     body = ", ".join("(" + ", ".join(lit(v) for v in row) + ")" for row in rows)
     return f"{name}({columns}) AS (VALUES {body})"
+
+
+def half_even_sql(expr: str, digits: int) -> str:
+    """Rounding on the exact binary value, as `functions.base.half_even` does."""
+    return f"(printf('%.{digits}f', ({expr})::DOUBLE)::DOUBLE + 0.0::DOUBLE)"
