@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 def best_row(df: DataFrame, keys: Sequence[str], *order: Column | str, last: bool = False
              ) -> DataFrame:
     """First (or last) row per key in `order`, as a min-by aggregate with a map-side part."""
-    rest = [c for c in df.columns if c not in keys]
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in keys]
     rank = F.struct(*order)
     pick = (F.max_by if last else F.min_by)(F.struct(*rest), rank)
     return (df.groupBy(*keys).agg(pick.alias("_row"))
-            .select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns]))
+            .select(*[c if c in keys else F.col("_row").getField(c).alias(c) for c in df.columns]))
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], k: int, *order: Column | str,

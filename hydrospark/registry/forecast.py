@@ -1 +1,288 @@
-"""Queries."""
+"""Training frames, folds, metrics and gates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hydrospark.functions import hazard, stage as stage_rules
+from hydrospark.operators import evaluation as ev, features
+from hydrospark.registry import query
+from hydrospark.session import run_dir
+from hydrospark.registry.tables import (
+    G_SQL, GAUGE_KEY, plain_times, rounded, stage, table,
+)
+
+TYPES = ["click", "error", "purchase", "signup", "view"]
+EDGES = [("view", "click", "a"), ("view", "error", "b"), ("purchase", "click", "a"),
+         ("purchase", "signup", "b"), ("click", "error", "a")]
+CFG = features.FrameConfig(
+    upstream=["a", "b"], lags=(1, 3, 24), rolls=(3, 24), upstream_rolls=(6, 24),
+    precip_rolls=(6, 24), soil_rolls=(24,), api_window=48, horizons=(6, 24), thresholds=(100.0,),
+    chunk_rows=240)
+
+
+def frame_inputs(spark, sf_dir):
+    """Every event type is a gauge and, scaled, the rain and soil record of the next type."""
+    g = stage(spark, sf_dir)
+    series = g.select("entity_id", "ts", F.explode(F.array(
+        F.struct(F.lit("stage").alias("metric"), F.col("value")),
+        F.struct(F.lit("precip").alias("metric"), (F.col("value") / 100).alias("value")),
+        F.struct(F.lit("soil_top").alias("metric"), (F.col("value") / 1000).alias("value")),
+        F.struct(F.lit("soil_deep").alias("metric"), (F.col("value") / 2000).alias("value")))
+    ).alias("c")).select(F.lit("gauge").alias("entity_type"), "entity_id", "ts", "c.*")
+    targets = spark.createDataFrame(list(zip(TYPES, TYPES[1:] + TYPES[:1])),
+                                    "target_id string, weather_entity string")
+    edges = spark.createDataFrame(EDGES, "target_id string, upstream_id string, slot string")
+    return series, targets, edges
+
+
+def frame(spark, sf_dir, cfg=CFG):
+    return features.training_frame(*frame_inputs(spark, sf_dir), cfg)
+
+
+def _w(n):
+    return f"ROWS {n - 1} PRECEDING"
+
+
+def _frame_sql() -> str:
+    r = lambda x: f"round({x} + 1e-9, 6)"
+    w = "OVER (PARTITION BY entity_id ORDER BY ts {})"
+    rolls = {"mean": "avg", "max": "max", "min": "min", "std": "stddev_samp"}
+    cols = [f"lag(value, {k}) {w.format('')} AS lag{k}" for k in CFG.lags]
+    cols += [f"value - lag(value, {k}) {w.format('')} AS delta{k}" for k in CFG.lags]
+    cols += [f"{fn}(value) {w.format(_w(n))} AS roll{n}_{a}" for n in (3, 6, 24) for a, fn in rolls.items()]
+    cols += [f"sum(value / 100) {w.format(_w(n))} AS psum{n}" for n in (6, 24)]
+    feats = f"ft AS (SELECT *, row_number() {w.format('')} AS i, {', '.join(cols)} FROM g)"
+    api = ("api AS (SELECT a.entity_id, a.ts, sum(pow(0.99, a.i - b.i) * b.value / 100) AS api FROM ft a JOIN ft b"
+           " ON a.entity_id = b.entity_id AND b.i BETWEEN a.i - 47 AND a.i GROUP BY 1, 2)")
+    tg = "tg(target_id, wx) AS (VALUES " + ", ".join(
+        f"('{a}', '{b}')" for a, b in zip(TYPES, TYPES[1:] + TYPES[:1])) + ")"
+    ed = "ed(target_id, up, slot) AS (VALUES " + ", ".join(str(e) for e in EDGES) + ")"
+    spine = ("hrs AS (SELECT target_id, ts FROM tg JOIN ft ON entity_id = target_id UNION SELECT target_id, ts FROM ed JOIN ft ON entity_id = up"
+             " UNION SELECT target_id, ts FROM tg JOIN ft ON entity_id = wx)")
+    out = ["h.target_id", "h.ts", "s.value AS self__stage_ft"]
+    out += [f"s.lag{k} AS self__stage_ft__lag{k}" for k in CFG.lags]
+    out += [f"{r(f's.roll{n}_{a}')} AS self__stage_ft__roll{n}_{a}" for n in CFG.rolls for a in rolls]
+    out += [f"{r(f's.delta{k}')} AS self__stage_ft__delta{k}" for k in CFG.lags]
+    for u in ("a", "b"):
+        out += [f"{u}.lag{k} AS up_{u}__stage_ft__lag{k}" for k in CFG.lags]
+        out += [f"{r(f'{u}.roll{n}_{a}')} AS up_{u}__stage_ft__roll{n}_{a}" for n in (6, 24) for a in rolls]
+    for n in (6, 24):
+        out += [f"{r(f'x.psum{n}')} AS precip__roll{n}_sum", f"{r(f'x.roll{n}_max / 100')} AS precip__roll{n}_max"]
+    out += [f"{r('api.api')} AS precip__api48_d99", f"{r('x.value / 1000')} AS soil_top",
+            f"{r('x.roll24_mean / 1000')} AS soil_top__roll24_mean", f"{r('x.roll24_max / 1000')} AS soil_top__roll24_max",
+            f"{r('x.value / 2000')} AS soil_deep"]
+    tw = "OVER (PARTITION BY h.target_id ORDER BY h.ts {})"
+    lab = []
+    for n in (6, 24):
+        peak = (f"CASE WHEN lead(1, {n - 1}) {tw.format('')} IS NOT NULL THEN max(s.value) "
+                + tw.format(f"ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING") + " END")
+        lab += [f"{peak} AS y_future_max_{n}h", f"{r(f'{peak} - s.value')} AS y_future_rise_{n}h",
+                f"lead(s.value, {n}) {tw.format('')} AS y_future_val_{n}h",
+                f'CAST({peak} >= 100 AS INTEGER) AS "y_peak_above_100.0_{n}h"']
+    return f"""{feats}, {api}, {tg}, {ed}, {spine},
+fr AS (SELECT {', '.join(out + lab)}
+FROM hrs h JOIN tg ON tg.target_id = h.target_id LEFT JOIN ft s ON s.entity_id = h.target_id AND s.ts = h.ts
+LEFT JOIN ed ea ON ea.target_id = h.target_id AND ea.slot = 'a' LEFT JOIN ft a ON a.entity_id = ea.up AND a.ts = h.ts
+LEFT JOIN ed eb ON eb.target_id = h.target_id AND eb.slot = 'b' LEFT JOIN ft b ON b.entity_id = eb.up AND b.ts = h.ts
+LEFT JOIN ft x ON x.entity_id = tg.wx AND x.ts = h.ts LEFT JOIN api ON api.entity_id = tg.wx AND api.ts = h.ts)"""
+
+
+@query("training_frame", f"WITH {G_SQL}, {_frame_sql()} SELECT * FROM fr")
+def training_frame(spark, sf_dir):
+    return rounded(frame(spark, sf_dir), nudge=1e-9)
+
+
+# ---- folds and metrics: the stage six hours ago as a forecast of the present -----------------
+
+FOLD_SQL = f"""{G_SQL},
+pr AS (SELECT entity_id AS target_id, ts, value AS actual, lag(value, 6) OVER w AS pred, lag(value, 1) OVER w AS current
+       FROM g WINDOW w AS (PARTITION BY entity_id ORDER BY ts)),
+nn AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY ts) - 1 AS position, count(*) OVER (PARTITION BY target_id) AS n FROM pr),
+ws AS (SELECT *, greatest(10, n // 5) AS warm_up, greatest(1, (n - greatest(10, n // 5)) // 5) AS fold_size FROM nn),
+fo AS (SELECT *, CASE WHEN n > warm_up + 5 AND position >= warm_up THEN CAST(least((position - warm_up) // fold_size, 4) AS INTEGER) END AS fold FROM ws)"""
+
+
+def forecasts(spark, sf_dir):
+    from hydrospark.operators import timeseries as ts
+
+    w = ts.chunk_window(GAUGE_KEY, "ts")
+    cut = ts.with_halo(stage(spark, sf_dir), ts.step_of("ts", ts.HOUR_S), 240, 6, 0)
+    out = ts.own_rows(cut.withColumns({"pred": F.lag("value", 6).over(w),
+                                       "current": F.lag("value", 1).over(w)}))
+    return ev.fold_ids(out.withColumnsRenamed({"entity_id": "target_id", "value": "actual"}),
+                       span_s=5 * 86400)
+
+
+@query("fold_ids", f"""WITH {FOLD_SQL}
+SELECT target_id, ts, actual, pred, current, position, n, warm_up, fold_size, fold, warm_up + fold * fold_size AS train_end FROM fo""")
+def fold_ids(spark, sf_dir):
+    return plain_times(forecasts(spark, sf_dir))
+
+
+@query("regression_metrics", f"""WITH {FOLD_SQL}
+SELECT target_id, fold, count(pred) AS n, round(avg(abs(actual - pred)), 6) AS mae, round(sqrt(avg(pow(actual - pred, 2))), 6) AS rmse,
+  round(1 - sum(pow(actual - pred, 2)) / (var_pop(actual) FILTER (pred IS NOT NULL) * count(pred)), 6) AS r2
+FROM fo WHERE fold IS NOT NULL GROUP BY 1, 2""")
+def regression_metrics(spark, sf_dir):
+    rows = forecasts(spark, sf_dir).filter(F.col("fold").isNotNull())
+    return rounded(ev.regression_metrics(rows, ["target_id", "fold"]))
+
+
+@query("rising_regime", f"""WITH {FOLD_SQL},
+m AS (SELECT target_id, avg(mae) AS overall_mae, avg(naive) AS baseline_mae, count(*) AS n_folds FROM (
+        SELECT target_id, fold, avg(abs(actual - pred)) AS mae, avg(abs(actual - current)) AS naive FROM fo WHERE fold IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+e AS (SELECT target_id, count(*) AS n_total, count(*) FILTER (actual - current >= 0.5) AS n_rising,
+        CASE WHEN count(*) >= 100 AND count(*) FILTER (actual - current >= 0.5) >= 10 THEN avg(abs(actual - pred)) FILTER (actual - current >= 0.5) END AS event_mae,
+        CASE WHEN count(*) >= 100 AND count(*) FILTER (actual - current >= 0.5) >= 10 THEN avg(abs(actual - current)) FILTER (actual - current >= 0.5) END AS event_baseline_mae
+      FROM fo WHERE fold IS NOT NULL GROUP BY 1)
+SELECT target_id, round(overall_mae, 6) AS overall_mae, n_folds, round(baseline_mae, 6) AS baseline_mae, n_folds AS baseline_folds, 'persistence' AS baseline_kind,
+  n_total, n_rising, round(event_mae, 6) AS event_mae, round(event_baseline_mae, 6) AS event_baseline_mae,
+  overall_mae < baseline_mae AS beats_baseline_overall, coalesce(event_mae < event_baseline_mae, overall_mae < baseline_mae) AS beats_baseline
+FROM m JOIN e USING (target_id)""")
+def rising_regime(spark, sf_dir):
+    """The regression gate: fold means, the naive rule on the same folds, and the rising rows."""
+    rows = forecasts(spark, sf_dir).filter(F.col("fold").isNotNull())
+    by = ["target_id"]
+    overall = ev.fold_mean(ev.regression_metrics(rows, ["target_id", "fold"]), by, "mae")
+    naive = ev.naive_regression(rows, by, current="current")
+    event = ev.rising_regime(rows, by, current="current")
+    return rounded(ev.regression_gate(overall.join(naive, by).join(event, by)))
+
+
+@query("naive_classifier", f"""WITH {FOLD_SQL},
+y AS (SELECT target_id, fold, actual >= 100 AS y, coalesce(current >= 100, false) AS yes FROM fo WHERE fold IS NOT NULL),
+a AS (SELECT target_id, fold, CASE WHEN count(*) FILTER (y) > 0 AND count(*) FILTER (NOT y) > 0 THEN
+        (count(*) FILTER (y AND yes) / count(*) FILTER (y) + count(*) FILTER (NOT y AND NOT yes) / count(*) FILTER (NOT y)) / 2 END AS auc FROM y GROUP BY 1, 2)
+SELECT target_id, round(avg(auc), 6) AS baseline_auc, count(auc) AS baseline_folds, 'persistence' AS baseline_kind FROM a GROUP BY 1""")
+def naive_classifier(spark, sf_dir):
+    rows = forecasts(spark, sf_dir).withColumn("actual", (F.col("actual") >= 100).cast("int"))
+    return rounded(ev.naive_classification(rows, ["target_id"], 100.0))
+
+
+# ---- ranking: document length as a score for the quality label -------------------------------
+
+RANK_SQL = """d AS (SELECT lang, quality, n_chars::DOUBLE AS score FROM labels JOIN documents USING (doc_id)),
+b AS (SELECT lang, score, sum(quality) AS pos, count(*) AS n FROM d GROUP BY 1, 2),
+c AS (SELECT *, sum(n) OVER u - sum(pos) OVER u - (n - pos) AS neg_below, sum(pos) OVER v AS top_pos, sum(n) OVER v AS top_n,
+        sum(pos) OVER (PARTITION BY lang) AS p, sum(n) OVER (PARTITION BY lang) AS tot
+      FROM b WINDOW u AS (PARTITION BY lang ORDER BY score), v AS (PARTITION BY lang ORDER BY score DESC))"""
+
+
+def labelled(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return table(spark, sf_dir, "labels").join(docs, "doc_id").select(
+        "lang", F.col("quality").alias("actual"), F.col("n_chars").cast("double").alias("pred"))
+
+
+@query("roc_auc", f"""WITH {RANK_SQL}
+SELECT lang, CAST(max(tot) AS BIGINT) AS n, round(sum(pos * (neg_below + (n - pos) / 2)) / (max(p) * (max(tot) - max(p))), 6) AS auc,
+  round(max(p) / max(tot), 6) AS positive_rate FROM c GROUP BY 1""")
+def roc_auc(spark, sf_dir):
+    return rounded(ev.ranking_metrics(labelled(spark, sf_dir), ["lang"], chunks=8).drop("ap"))
+
+
+@query("average_precision", f"""WITH {RANK_SQL}
+SELECT lang, round(sum(pos * top_pos / top_n) / max(p), 6) AS ap FROM c GROUP BY 1""")
+def average_precision(spark, sf_dir):
+    return rounded(ev.ranking_metrics(labelled(spark, sf_dir), ["lang"]).select("lang", "ap"))
+
+
+@query("calibration_bins", """
+WITH d AS (SELECT lang, quality, least(1.0::DOUBLE, n_chars / 8000) AS p FROM labels JOIN documents USING (doc_id))
+SELECT lang, CAST(greatest(0, least(floor(p * 10), 9)) AS INTEGER) AS bin, round(avg(p), 6) AS mean_pred, round(avg(quality), 6) AS observed, count(*) AS n
+FROM d GROUP BY 1, 2""")
+def calibration_bins(spark, sf_dir):
+    rows = labelled(spark, sf_dir).withColumn("pred", F.least(F.lit(1.0), F.col("pred") / 8000))
+    return rounded(ev.calibration(rows, ["lang"]))
+
+
+# ---- trust: one model record per order -------------------------------------------------------
+
+@query("model_trust", """
+WITH k AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'regression' ELSE 'classification' END AS kind,
+  CAST([6, 24, 72][1 + o_custkey % 3] AS INTEGER) AS horizon_h, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderstatus = 'O' END AS beats,
+  CASE WHEN o_orderkey % 2 = 0 AND o_custkey % 4 > 0 THEN o_totalprice / 1000000 END AS mae,
+  CASE WHEN o_orderkey % 2 = 1 THEN CASE o_custkey % 5 WHEN 0 THEN 0.5 WHEN 1 THEN NULL ELSE 0.8 END END::DOUBLE AS auc,
+  o_custkey % 4 AS e1, (o_custkey // 4) % 4 AS e2 FROM orders),
+t AS (SELECT *, kind = 'classification' AS c, CAST(CASE WHEN kind = 'classification' THEN (e1 > 0)::INT + (e2 > 0)::INT END AS INTEGER) AS folds_with_events FROM k),
+u AS (SELECT *, CASE WHEN c THEN coalesce(abs(auc - 0.5) > 1e-9, false) AND folds_with_events >= 2 AND coalesce(beats, true)
+                ELSE coalesce(beats, mae IS NOT NULL) END AS trustworthy FROM t)
+SELECT CAST(o_orderkey AS VARCHAR) AS target_id, kind, horizon_h, mae, CASE WHEN abs(auc - 0.5) > 1e-9 THEN auc END AS auc, beats AS beats_baseline,
+  CASE WHEN c THEN e1 + e2 END AS positive_events, folds_with_events, trustworthy, trustworthy AND coalesce(beats, true) AS published FROM u""")
+def model_trust(spark, sf_dir):
+    o, key, cust = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    is_class = key % 2 == 1
+    auc = F.when(cust % 5 == 0, 0.5).when(cust % 5 > 1, 0.8)
+
+    def fold(events, i):
+        return F.struct(F.lit(1000).alias("n"), (events / 1000).alias("positive_rate"),
+                        F.lit(i).alias("fold"))
+
+    metrics = F.struct(
+        F.array(fold(cust % 4, 0), fold(F.floor(cust / 4) % 4, 1)).alias("per_fold"),
+        F.when(~is_class & (cust % 4 > 0), F.col("o_totalprice") / 1000000).alias("overall_mae"),
+        F.when(is_class, auc).alias("overall_auc"), F.lit(2).alias("n_folds"),
+        F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus") == "O").alias("beats_baseline"))
+    document = F.struct(
+        key.cast("string").alias("target_id"),
+        F.when(is_class, "classification").otherwise("regression").alias("kind"),
+        F.element_at(F.array(F.lit(6), F.lit(24), F.lit(72)), (cust % 3 + 1).cast("int")).alias("horizon_h"),
+        metrics.alias("metrics"))
+    sidecars = o.select(F.from_json(F.to_json(document), ev.SIDECAR).alias("d")).select("d.*")
+    return ev.trust(sidecars).select(
+        "target_id", "kind", "horizon_h", "mae", "auc", "beats_baseline", "positive_events",
+        "folds_with_events", "trustworthy", "published")
+
+
+@query("forecast_card", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(greatest(0, least(1, l_discount * 10)) * 100) AS INTEGER) AS pct,
+  CASE WHEN floor(greatest(0, least(1, l_discount * 10)) * 100) >= 50 THEN 'high' WHEN floor(greatest(0, least(1, l_discount * 10)) * 100) >= 25 THEN 'med' ELSE 'low' END AS severity,
+  round(greatest(0, l_tax * 10 - 0.3::DOUBLE) + l_quantity, 6) AS predicted_ft,
+  CASE WHEN greatest(0, l_tax * 10 - 0.3::DOUBLE) + l_quantity - l_quantity > 0.05 THEN 'up' ELSE 'flat' END AS direction
+FROM lineitem""")
+def forecast_card(spark, sf_dir):
+    level = stage_rules.level_from_rise(F.col("l_tax") * 10 - 0.3, "l_quantity")
+    out = table(spark, sf_dir, "lineitem").withColumn("p", F.col("l_discount") * 10)
+    return out.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", ev.percent("p").alias("pct"),
+        hazard.probability_severity(ev.percent("p")).alias("severity"),
+        F.round(level, 6).alias("predicted_ft"),
+        hazard.direction(level - F.col("l_quantity")).alias("direction"))
+
+
+# ---- boosted trees: all gauges and hours, no SQL twin ----------------------------------------
+
+def _specs():
+    from hydrospark.operators.forecast import ModelSpec
+
+    small = {"folds": 3, "rounds": 4, "depth": 3, "bins": 32}
+    return (ModelSpec(6, **small), ModelSpec(6, "classification", 100.0, **small))
+
+
+def _learning_frame(spark, sf_dir):
+    cfg = features.FrameConfig(
+        upstream=["a", "b"], lags=(1, 3), rolls=(3, 24), upstream_rolls=(6,), precip_rolls=(6, 24),
+        soil_rolls=(24,), api_window=48, horizons=(6,), thresholds=(100.0,))
+    path = run_dir(spark, "frame")
+    features.write_frame(frame(spark, sf_dir, cfg), path)
+    return spark.read.parquet(path).withColumn("target_id", F.col("target_id").cast("string"))
+
+
+@query("gbt_backtest")
+def gbt_backtest(spark, sf_dir):
+    from hydrospark.operators import forecast
+
+    learn = _learning_frame(spark, sf_dir)
+    regression, _ = _specs()
+    _, scored = forecast.backtest(learn, regression)
+    return rounded(scored)
+
+
+@query("gbt_forecast")
+def gbt_forecast(spark, sf_dir):
+    from hydrospark.operators import forecast
+
+    learn = _learning_frame(spark, sf_dir)
+    models = [(spec, forecast.train(learn, spec)) for spec in _specs()]
+    return rounded(forecast.forecast(learn, models))

@@ -162,25 +162,25 @@ def index_replay(spark, sf_dir):
 
 
 @query("replay_validation", f"""WITH {REPLAY_SQL},
-ev AS (SELECT site_id, DATE '2024-01-18' AS event_day FROM sites),
+ev AS (SELECT site_id, DATE '2024-01-24' AS event_day FROM sites),
 br AS (SELECT site_id, min(day) AS first_day, max(day) AS last_day, count(*) AS total_days, count(*) FILTER (score >= 40) AS alert_days,
          count(*) FILTER (score >= 40 AND storm_name IS NOT NULL) AS with_named_storm, count(*) FILTER (label = 'EMERGENCY') AS emergency,
          count(*) FILTER (label = 'WARNING') AS warning, count(*) FILTER (label = 'ALERT') AS alert, count(*) FILTER (label = 'ELEVATED') AS elevated,
          count(*) FILTER (label = 'CALM') AS calm, {he('count(*) FILTER (score >= 40) / count(*) * 100', 2)} AS alert_pct FROM rp GROUP BY 1),
 brk AS (SELECT ev.site_id, max(x.day) AS last_break FROM ev JOIN (
-          SELECT g.site_id, g.day, score FROM (SELECT site_id, CAST(unnest(generate_series(DATE '2023-12-01', DATE '2024-01-17', INTERVAL 1 DAY)) AS DATE) AS day FROM sites) g
+          SELECT g.site_id, g.day, score FROM (SELECT site_id, CAST(unnest(generate_series(DATE '2023-12-01', DATE '2024-01-23', INTERVAL 1 DAY)) AS DATE) AS day FROM sites) g
           LEFT JOIN rp ON rp.site_id = g.site_id AND rp.day = g.day) x ON x.site_id = ev.site_id
         WHERE coalesce(x.score, -1) < 40 GROUP BY 1),
-pk AS (SELECT rp.* FROM rp WHERE day BETWEEN DATE '2024-01-16' AND DATE '2024-01-20'
+pk AS (SELECT rp.* FROM rp WHERE day BETWEEN DATE '2024-01-22' AND DATE '2024-01-26'
        QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY score DESC, day) = 1)
-SELECT ev.site_id, ev.event_day, CAST(date_diff('day', last_break, DATE '2024-01-17') AS INTEGER) AS lead_days, pk.day AS peak_day, pk.score AS peak_score,
+SELECT ev.site_id, ev.event_day, CAST(date_diff('day', last_break, DATE '2024-01-23') AS INTEGER) AS lead_days, pk.day AS peak_day, pk.score AS peak_score,
   pk.label AS peak_label, pk.stage_ft AS peak_stage_ft, {", ".join(f"pk.index_{n}" for n in rules.COMPONENTS)},
   br.* EXCLUDE (site_id)
 FROM ev JOIN br USING (site_id) JOIN brk USING (site_id) JOIN pk USING (site_id)""")
 def replay_validation(spark, sf_dir):
     scored = scored_days(spark, sf_dir)
     events = spark.createDataFrame([(t,) for t in TYPES], "site_id string").withColumn(
-        "event_day", F.lit("2024-01-18").cast("date"))
+        "event_day", F.lit("2024-01-24").cast("date"))
     return replay.validate(scored, events)
 
 
