@@ -121,8 +121,7 @@ cells AS (
 """
 
 
-def _documents(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
+def documents_of(li):
 
     def text(c):
         return c.cast("string")
@@ -162,7 +161,7 @@ def _documents(spark, sf_dir):
 SELECT make_timestamp(sec * 1000000) AS ts, 'snapshot' AS source, entity_type, entity_id, metric, round(value, 6) AS value
 FROM cells""")
 def snapshot_flatten(spark, sf_dir):
-    return rounded(snapshots.flatten(snapshots.parse(_documents(spark, sf_dir))))
+    return rounded(snapshots.flatten(snapshots.parse(documents_of(table(spark, sf_dir, "lineitem")))))
 
 
 @query("json_props", """

@@ -1 +1,112 @@
-"""Queries."""
+"""Streaming queries: the event table read as a stream and run to its end."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hydrospark.operators import store
+from hydrospark.registry import query
+from hydrospark.registry.gauges import RATE_SQL
+from hydrospark.registry.history import SNAP_SQL, documents_of
+from hydrospark.registry.index import (
+    LABEL, PARTS, TOTAL, parts_sql,
+)
+from hydrospark.registry.tables import H_SQL, plain_times, rounded
+from hydrospark.schema import HISTORY_COLS
+from hydrospark.session import configure, run_dir
+from hydrospark.sources import snapshots
+from hydrospark.streaming import live
+
+COLS = ", ".join(HISTORY_COLS)
+
+
+def stream(spark, sf_dir, name="events"):
+    configure(spark)
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    rows = (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+            .parquet(sf_dir))
+    times = [f.name for f in schema.fields if f.dataType.simpleString() == "timestamp_ntz"]
+    return rows.withColumns({c: F.col(c).cast("timestamp") for c in times})
+
+
+def history_rows(events):
+    source = (F.when(F.col("event_id") % 3 == 0, "usgs_iv").when(F.col("event_id") % 3 == 1, "snapshot")
+              .otherwise("usgs_dv"))
+    return events.select("ts", source.alias("source"), F.lit("user").alias("entity_type"),
+                         F.col("user_id").cast("string").alias("entity_id"),
+                         F.col("event_type").alias("metric"), "value")
+
+
+@query("stream_hourly_max", f"""WITH {H_SQL}
+SELECT date_trunc('hour', ts) AS ts, source, entity_type, entity_id, metric, max(value) AS value FROM h GROUP BY ALL""")
+def stream_hourly_max(spark, sf_dir):
+    path = run_dir(spark, "stream")
+    rolled = live.hourly_maxima(history_rows(stream(spark, sf_dir)))
+    live.keep_rolled_up(rolled, f"{path}/store", f"{path}/checkpoint").awaitTermination()
+    return plain_times(store.load(spark, f"{path}/store"))
+
+
+@query("stream_dedupe", f"WITH {H_SQL} SELECT {COLS} FROM h")
+def stream_dedupe(spark, sf_dir):
+    """Every event is sent twice; each key arrives once."""
+    path = run_dir(spark, "stream")
+    twice = history_rows(stream(spark, sf_dir)).withColumn(
+        "_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
+    live.write_rows(live.deduplicated(twice), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return plain_times(spark.read.parquet(f"{path}/rows").select(*HISTORY_COLS))
+
+
+@query("stream_rate_of_rise", f"""WITH {RATE_SQL}
+SELECT entity_id, first_value, last_value, first_ts, last_ts, n, round(rate, 6) AS rate_ft_per_hr FROM ra""")
+def stream_rate_of_rise(spark, sf_dir):
+    path = run_dir(spark, "stream")
+    readings = stream(spark, sf_dir).select(F.col("event_type").alias("entity_id"), "ts", "value")
+    live.track_rates(readings, f"{path}/state", f"{path}/rates", f"{path}/checkpoint").awaitTermination()
+    return rounded(live.current_rates(spark, f"{path}/rates"))
+
+
+@query("stream_snapshots", SNAP_SQL + f""",
+rows AS (SELECT make_timestamp(sec * 1000000) AS ts, 'snapshot' AS source, entity_type, entity_id, metric, round(value, 6) AS value FROM cells)
+SELECT ts, source, entity_type, entity_id, metric, max(value) AS value FROM rows GROUP BY ALL""")
+def stream_snapshots(spark, sf_dir):
+    """Snapshot documents flattened into the store as they arrive; of documents with the same time
+    and key the store keeps the largest value, the last by its tie rule."""
+    path = run_dir(spark, "stream")
+    docs = snapshots.parse(documents_of(stream(spark, sf_dir, "lineitem")))
+    live.ingest_snapshots(docs, f"{path}/store", f"{path}/checkpoint").awaitTermination()
+    return rounded(store.load(spark, f"{path}/store"))
+
+
+@query("stream_feed_watch", """
+SELECT event_type AS feed, make_timestamp(CAST(floor(epoch_ms(max(ts))) AS BIGINT) * 1000) AS last_ts, false AS silent FROM events GROUP BY 1""")
+def stream_feed_watch(spark, sf_dir):
+    path = run_dir(spark, "stream")
+    rows = stream(spark, sf_dir).select(F.col("event_type").alias("feed"), "ts")
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{path}/alarms/batch={batch_id}")
+
+    (live.watch_feeds(rows).writeStream.outputMode("update").foreachBatch(keep)
+     .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+     .awaitTermination())
+    return plain_times(spark.read.parquet(f"{path}/alarms").drop("batch"))
+
+
+@query("stream_live_index", f"""WITH i AS (
+  SELECT CAST(user_id AS VARCHAR) AS site_id, arg_max(value, ts) / 20 AS stage_ft, arg_max(value, ts) / 60 AS qpf_in, arg_max(value, ts) * 5 AS storm_mi,
+    arg_max(value, ts) / 500 AS rate, false AS alert, arg_max(value, ts) / 300 AS soil, arg_max(value, ts) / 300 >= 0.4::DOUBLE AS saturated,
+    arg_max(value, ts) / 50 AS past FROM events GROUP BY 1),
+c AS (SELECT *, {parts_sql('stage_ft', 'qpf_in', 'storm_mi', 'rate', 'alert', 'soil', 'past')} FROM i),
+s AS (SELECT *, {TOTAL} AS score FROM c)
+SELECT site_id, {PARTS}, score, {LABEL} AS label FROM s""")
+def stream_live_index(spark, sf_dir):
+    path = run_dir(spark, "stream")
+    v = F.col("value")
+    inputs = stream(spark, sf_dir).select(
+        F.col("user_id").cast("string").alias("site_id"), "ts", (v / 20).alias("stage_ft"),
+        (v / 60).alias("qpf_in"), (v * 5).alias("storm_mi"), (v / 500).alias("rate_ft_per_hr"),
+        F.lit(False).alias("alert"), (v / 300).alias("soil"), (v / 300 >= 0.4).alias("saturated"),
+        (v / 50).alias("past_7d_in"))
+    live.score_live(inputs, f"{path}/scores", f"{path}/checkpoint").awaitTermination()
+    return live.current_scores(spark, f"{path}/scores").select(
+        "site_id", *[c.strip() for c in PARTS.split(",")], "score", "label")

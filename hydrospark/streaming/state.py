@@ -1,0 +1,43 @@
+"""A small keyed table carried from one micro-batch to the next.
+
+Each batch writes a new numbered version and reads the newest one below its own number, so a batch
+that is run again after a failure reads the same state and writes the same version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+KEEP = 3
+
+
+class StateTable:
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.empty = spark.createDataFrame([], schema)
+
+    def _fs(self):
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return root, root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        root, fs = self._fs()
+        if not fs.exists(root):
+            return []
+        names = [s.getPath() for s in fs.listStatus(root)]
+        done = [p for p in names if fs.exists(
+            self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(p.getName()[1:]) for p in done)
+
+    def read(self, before: int | None = None) -> DataFrame:
+        found = [v for v in self.versions() if before is None or v < before]
+        if not found:
+            return self.empty
+        return self.spark.read.schema(self.empty.schema).parquet(f"{self.path}/v{found[-1]}")
+
+    def write(self, df: DataFrame, version: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        root, fs = self._fs()
+        for old in [v for v in self.versions() if v <= version][:-KEEP]:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(root, f"v{old}"), True)
