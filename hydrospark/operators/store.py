@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.storagelevel import StorageLevel
 
 from hydrospark.plans.pick import best_row
 from hydrospark.schema import HISTORY, HISTORY_COLS, HISTORY_KEY
@@ -109,8 +110,16 @@ def append(df: DataFrame, path: str, seq: str | None = None) -> list[str]:
     `seq` wins inside the batch. Only months present in the batch are rewritten."""
     spark = df.sparkSession
     order = F.col(seq).cast("bigint") if seq else F.lit(0).cast("bigint")
+    # The batch is read three times (months, range bounds, rows); keep it rather than parse it anew.
     batch = normalise(df.withColumn(SEQ, order)).select(*HISTORY_COLS, SEQ).withColumn(
-        MONTH, month_of())
+        MONTH, month_of()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _merge(spark, batch, path)
+    finally:
+        batch.unpersist()
+
+
+def _merge(spark: SparkSession, batch: DataFrame, path: str) -> list[str]:
     months = _touched(batch)
     if not months:
         return []

@@ -77,19 +77,14 @@ def stream_snapshots(spark, sf_dir):
     return rounded(store.load(spark, f"{path}/store"))
 
 
-@query("stream_feed_watch", """
-SELECT event_type AS feed, make_timestamp(CAST(floor(epoch_ms(max(ts))) AS BIGINT) * 1000) AS last_ts, false AS silent FROM events GROUP BY 1""")
-def stream_feed_watch(spark, sf_dir):
+@query("stream_last_seen", """
+SELECT event_type AS feed, max(ts) AS last_ts FROM events GROUP BY 1""")
+def stream_last_seen(spark, sf_dir):
+    """Newest time per feed, kept up to date batch by batch."""
     path = run_dir(spark, "stream")
     rows = stream(spark, sf_dir).select(F.col("event_type").alias("feed"), "ts")
-
-    def keep(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{path}/alarms/batch={batch_id}")
-
-    (live.watch_feeds(rows).writeStream.outputMode("update").foreachBatch(keep)
-     .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-     .awaitTermination())
-    return plain_times(spark.read.parquet(f"{path}/alarms").drop("batch"))
+    live.keep_last_seen(rows, f"{path}/feeds", f"{path}/checkpoint").awaitTermination()
+    return plain_times(live.current_feeds(spark, f"{path}/feeds"))
 
 
 @query("stream_live_index", f"""WITH i AS (

@@ -126,7 +126,10 @@ def _watch(limit_ms: int):
 
 
 def watch_feeds(rows: DataFrame, limit_minutes: int = 75) -> DataFrame:
-    """A row per feed whenever it reports, and one marked silent once nothing came for the limit."""
+    """A row per feed whenever it reports, and one marked silent once nothing came for the limit.
+
+    Runs on a clock, so use it with a processing-time trigger: a run-to-the-end trigger never ends.
+    """
     feeds = rows.select("feed", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     return feeds.groupBy("feed").applyInPandasWithState(
         _watch(limit_minutes * 60_000), ALARM, "seen bigint", "update",
@@ -138,6 +141,19 @@ def last_seen(rows: DataFrame) -> DataFrame:
     return rows.groupBy("feed").agg(F.max(F.col("ts").cast("timestamp")).alias("last_ts"))
 
 
+def keep_last_seen(rows: DataFrame, out_path: str, checkpoint: str, once: bool = True
+                   ) -> StreamingQuery:
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+
+    return _start(last_seen(rows).writeStream.outputMode("update").foreachBatch(keep), checkpoint,
+                  once)
+
+
+def current_feeds(spark: SparkSession, out_path: str) -> DataFrame:
+    return best_row(spark.read.parquet(out_path), ["feed"], "batch", last=True).drop("batch")
+
+
 # ---- live index ------------------------------------------------------------------------------
 
 def score_live(inputs: DataFrame, out_path: str, checkpoint: str, once: bool = True
