@@ -101,17 +101,17 @@ def fuel_moisture_pct(temp_f: ColumnLike, rh: ColumnLike) -> Column:
     dry = 0.03229 + 0.281073 * h - 0.000578 * h * t
     mid = 2.22749 + 0.160107 * h - 0.014784 * t
     damp = 21.0606 + 0.005565 * h * h - 0.00035 * h * t - 0.483199 * h
-    return clamp(F.when(h < 10.0, dry).when(h < 50.0, mid).otherwise(damp), 1.0, 40.0)
+    bounded = clamp(F.when(h < 10.0, dry).when(h < 50.0, mid).otherwise(damp), 1.0, 40.0)
+    return F.when(t.isNotNull() & col(rh).isNotNull(), bounded)
 
 
-def fire_index(temp_f: ColumnLike, rh: ColumnLike, wind_mph: ColumnLike) -> Column:
-    """0..100 from fuel moisture and wind; null when an input is missing."""
-    x = fuel_moisture_pct(temp_f, rh) / 30.0
+def fire_index(fuel_pct: ColumnLike, wind_mph: ColumnLike) -> Column:
+    """0..100 from fuel moisture and wind; null when an input is missing. Fuel moisture appears
+    several times, so it should be a column of its own."""
+    x, wind = col(fuel_pct) / 30.0, col(wind_mph).cast("double")
     damping = clamp(1.0 - 2.0 * x + 1.5 * x * x - 0.5 * x * x * x, 0.0, 1.0)
-    wind = col(wind_mph).cast("double")
     score = clamp(damping * F.sqrt(1.0 + wind * wind) / 0.3002, 0.0, 100.0)
-    missing = col(temp_f).isNull() | col(rh).isNull() | wind.isNull()
-    return F.when(~missing, score)
+    return F.when(x.isNotNull() & wind.isNotNull(), score)
 
 
 def is_red_flag(event: ColumnLike) -> Column:

@@ -80,81 +80,76 @@ def hourly_series(history: DataFrame, cfg: FrameConfig, prefer=SOURCE_PREFERENCE
     return ts.regular(named, cfg.step_s, prefer, tie=tie)
 
 
-def _framed(series: DataFrame, alias: str, cfg: FrameConfig, back: int) -> DataFrame:
-    rows = series.filter(F.col("metric") == alias).select("entity_id", "ts", "value")
-    return with_halo(rows, ts.step_of("ts", cfg.step_s), max(cfg.chunk_rows, back), back, 0)
-
-
-def _stage_block(series: DataFrame, cfg: FrameConfig) -> DataFrame:
-    w = chunk_window(["entity_id"], "ts")
-    rolls = sorted({*cfg.rolls, *(cfg.upstream_rolls if cfg.upstream else ())})
-    cut = _framed(series, "stage", cfg, max(max(cfg.lags), max(rolls) - 1))
-    return own_rows(cut.withColumns(
-        ts.lag_columns(w, "value", cfg.lags, "x")
-        | ts.rolling_columns(w, "value", rolls, AGGS, "x")
-        | ts.delta_columns(w, "value", cfg.lags, "x")))
-
-
-def _precip_block(series: DataFrame, cfg: FrameConfig) -> DataFrame:
-    """Rolling totals and the antecedent index. A daily total filled over 24 hours is summed as it
-    stands; `spread_daily` divides it by 24 first."""
-    back = max(cfg.api_window, max(cfg.precip_rolls)) - 1
-    size = ts.antecedent_chunk_rows(cfg.api_decay, back + 1, cfg.chunk_rows)
-    rows = series.filter(F.col("metric") == "precip").select("entity_id", "ts", "value")
-    if cfg.spread_daily:
-        rows = rows.withColumn("value", F.col("value") / 24.0)
+def _series_features(series: DataFrame, cfg: FrameConfig) -> DataFrame:
+    """Lags, rolling frames and the antecedent index of every series in one window stage.
+
+    Stage, rain and soil share most frames, so all series take one pass and one shuffle; which
+    columns a series contributes is decided afterwards.
+    """
+    pairs = {(w, a) for w in cfg.rolls for a in AGGS}
+    if cfg.upstream:
+        pairs |= {(w, a) for w in cfg.upstream_rolls for a in AGGS}
+    back = max(max(cfg.lags), max(w for w, _ in pairs) - 1)
+    size = cfg.chunk_rows
+    if cfg.weather:
+        pairs |= {(w, a) for w in cfg.precip_rolls for a in ("sum", "max")}
+        pairs |= {(w, a) for w in cfg.soil_rolls for a in ("mean", "max")}
+        back = max(back, cfg.api_window - 1, max(w for w, _ in pairs) - 1)
+        size = ts.antecedent_chunk_rows(cfg.api_decay, back + 1, size)
+    size = max(size, back)
     step = ts.step_of("ts", cfg.step_s)
-    cut = with_halo(rows, step, size, back, 0)
-    w = chunk_window(["entity_id"], "ts")
+    cut = with_halo(series, step, size, back, 0)
+    w = chunk_window(["entity_id", "metric"], "ts")
+    columns = ts.lag_columns(w, "value", cfg.lags, "x") | ts.delta_columns(w, "value", cfg.lags, "x")
+    for width, agg in sorted(pairs):
+        columns |= ts.rolling_columns(w, "value", [width], [agg], "x")
+    if not cfg.weather:
+        return own_rows(cut.withColumns(columns))
     local = (step - F.col(CHUNK) * size + back + 1).cast("double")
     running, index = ts.antecedent_columns(w, local, F.col("value"), cfg.api_decay, cfg.api_window)
-    name = _block_names(cfg)["precip"][-1]
-    return own_rows(cut.withColumns(
-        ts.rolling_columns(w, "value", cfg.precip_rolls, ("sum", "max"), "precip")
-        | {"_running": running}).withColumn(name, index).drop("_running"))
-
-
-def _soil_block(series: DataFrame, cfg: FrameConfig) -> DataFrame:
-    w = chunk_window(["entity_id"], "ts")
-    cut = _framed(series, "soil_top", cfg, max(cfg.soil_rolls) - 1)
-    return own_rows(cut.withColumns(
-        ts.rolling_columns(w, "value", cfg.soil_rolls, ("mean", "max"), "soil_top")))
-
-
-def _blocks(series: DataFrame, targets: DataFrame, edges: DataFrame | None, cfg: FrameConfig
-            ) -> list[DataFrame]:
-    names = _block_names(cfg)
-    stage = _stage_block(series, cfg)
-
-    def renamed(base: str, wanted: list[str], value: str | None) -> list:
-        out = []
-        for c in wanted:
-            source = "value" if c == value else "x" + c[len(base):]
-            out.append(F.col(source).alias(c))
-        return out
-
-    at = targets.select("target_id", F.col("target_id").alias("entity_id"))
-    blocks = [stage.join(at, "entity_id").select(
-        "target_id", "ts", *renamed(STAGE, names["self"], STAGE))]
+    return own_rows(cut.withColumns(columns | {"_running": running})
+                    .withColumn("x__api", index).drop("_running"))
+
+
+def _uses(targets: DataFrame, edges: DataFrame | None, cfg: FrameConfig) -> DataFrame:
+    """Which series feeds which target, and in what role: entity, metric, target, slot."""
+    def use(entity: str, metric: str, slot: str) -> DataFrame:
+        return targets.select(F.col(entity).alias("entity_id"), F.lit(metric).alias("metric"),
+                              "target_id", F.lit(slot).alias("slot"))
+
+    out = use("target_id", "stage", "self")
     if cfg.upstream and edges is not None:
-        linked = stage.join(edges.select("target_id", F.col("upstream_id").alias("entity_id"),
-                                         "slot"), "entity_id")
-        columns = []
-        for up in cfg.upstream:
-            base = f"up_{up}__stage_ft"
-            for c in names[up]:
-                columns.append(F.when(F.col("slot") == up, F.col("x" + c[len(base):])).alias(c))
-        blocks.append(linked.select("target_id", "ts", *columns))
+        out = out.unionByName(edges.select(
+            F.col("upstream_id").alias("entity_id"), F.lit("stage").alias("metric"), "target_id",
+            F.concat(F.lit("up_"), "slot").alias("slot")))
     if cfg.weather:
-        sky = targets.select("target_id", F.col("weather_entity").alias("entity_id"))
-        blocks.append(_precip_block(series, cfg).join(sky, "entity_id").select(
-            "target_id", "ts", *names["precip"]))
-        blocks.append(_soil_block(series, cfg).withColumnRenamed("value", "soil_top")
-                      .join(sky, "entity_id").select("target_id", "ts", *names["soil_top"]))
-        deep = series.filter(F.col("metric") == "soil_deep").select(
-            "entity_id", "ts", F.col("value").alias("soil_deep"))
-        blocks.append(deep.join(sky, "entity_id").select("target_id", "ts", "soil_deep"))
-    return blocks
+        for metric in ("precip", "soil_top", "soil_deep"):
+            out = out.unionByName(use("weather_entity", metric, metric))
+    return out
+
+
+def _source(column: str) -> str:
+    """The series column a feature column is taken from."""
+    if column in (STAGE, "soil_top", "soil_deep"):
+        return "value"
+    tail = column.rsplit("__", 1)[1]
+    return "x__api" if tail.startswith("api") else f"x__{tail}"
+
+
+def _in_roles(series: DataFrame, uses: DataFrame, cfg: FrameConfig) -> DataFrame:
+    """One row per target, hour and feeding series, with that series' feature columns filled."""
+    needed = uses.select("entity_id", "metric").distinct()
+    rows = series.select("entity_id", "metric", "ts", "value").join(
+        needed, ["entity_id", "metric"], "left_semi")
+    if cfg.weather and cfg.spread_daily:
+        rows = rows.withColumn("value", F.when(
+            F.col("metric") == "precip", F.col("value") / 24.0).otherwise(F.col("value")))
+    slots = {"self": "self", "precip": "precip", "soil_top": "soil_top", "soil_deep": "soil_deep",
+             **{up: f"up_{up}" for up in cfg.upstream}}
+    joined = _series_features(rows, cfg).join(uses, ["entity_id", "metric"])
+    return joined.select("target_id", "ts", *[
+        F.when(F.col("slot") == slots[block], F.col(_source(c))).alias(c)
+        for block, columns in _block_names(cfg).items() for c in columns])
 
 
 def training_frame(series: DataFrame, targets: DataFrame, edges: DataFrame | None = None,
@@ -163,15 +158,13 @@ def training_frame(series: DataFrame, targets: DataFrame, edges: DataFrame | Non
     """Features and labels, one row per target and hour in which any of its series has data.
 
     `targets` holds `target_id` and, with weather, `weather_entity`; `edges` holds `target_id`,
-    `upstream_id` and `slot`. All blocks are stacked and meet in a single shuffle on (target, chunk):
-    the same partitioning serves the full outer alignment on time and the label windows after it.
+    `upstream_id` and `slot`. The series are read once. The rows of all roles meet in a single
+    shuffle on (target, chunk): the same partitioning serves the full outer alignment on time and
+    the label windows after it.
     """
     columns = feature_columns(cfg)
     ahead = max(cfg.horizons) if labels else 0
-    stacked = None
-    for block in _blocks(series, targets, edges, cfg):
-        stacked = block if stacked is None else stacked.unionByName(block,
-                                                                    allowMissingColumns=True)
+    stacked = _in_roles(series, _uses(targets, edges, cfg), cfg)
     cut = with_halo(stacked, ts.step_of("ts", cfg.step_s), max(cfg.chunk_rows, ahead), 0, ahead)
     wide = (cut.repartition("target_id", CHUNK).groupBy("target_id", CHUNK, HOME, "ts")
             .agg(*[F.max(c).alias(c) for c in columns]))

@@ -75,7 +75,8 @@ def alert_flags(alerts: DataFrame, keys: Sequence[str] = tuple(AREA)) -> DataFra
 def fire_weather(df: DataFrame) -> DataFrame:
     """Fire index, score and label from weather columns and alert flags."""
     false = F.lit(False)
-    indexed = settle(df, 1, {"fwi": hazard.fire_index("temp_f", "humidity_pct", "wind_mph")})
+    fuel = df.withColumn("fuel_moisture_pct", hazard.fuel_moisture_pct("temp_f", "humidity_pct"))
+    indexed = settle(fuel, 1, {"fwi": hazard.fire_index("fuel_moisture_pct", "wind_mph")})
     scored = settle(indexed, 1, {"fire_score": hazard.fire_score(
         "fwi", "region", F.coalesce("red_flag", false), F.coalesce("fire_alert", false))})
     return scored.withColumn("fire_label", hazard.fire_label("fire_score"))

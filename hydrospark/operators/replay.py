@@ -11,6 +11,7 @@ from hydrospark.functions.geo import haversine_mi
 from hydrospark.functions.base import settle
 from hydrospark.operators import flood_index
 from hydrospark.operators.timeseries import forward_sum, hourly_rate, past_sum
+from hydrospark.session import run_dir
 
 STAGE, PRECIP, SOIL = "stage_ft", "wx_precip_in_24h", "soil_era5_0_7cm"
 ALERT_SCORE = 40
@@ -165,6 +166,14 @@ def base_rate(scored: DataFrame, threshold: int = ALERT_SCORE) -> DataFrame:
     return settle(counted, 2, {"alert_pct": F.col("alert_days") / F.col("total_days") * 100.0})
 
 
+def stored(scored: DataFrame) -> DataFrame:
+    """The replay as a written table in the shared folder, so that several reports read it without
+    replaying again. It holds one row per site and day."""
+    path = run_dir(scored.sparkSession, "replay")
+    scored.write.parquet(path)
+    return scored.sparkSession.read.schema(scored.schema).parquet(path)
+
+
 def validate(scored: DataFrame, events: DataFrame, threshold: int = ALERT_SCORE,
              days_each_side: int = 2) -> DataFrame:
     """One row per event: its peak, the warning before it, and how often the index fires."""

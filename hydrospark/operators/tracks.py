@@ -130,14 +130,16 @@ def terrain_score(tracks: DataFrame, gradients: DataFrame | None = None, *,
         .join(selected, ["site_id", "storm_id"], "left_semi")
         .select("site_id", "storm_id", "_first.*", "_at.*", "peak_wind_kt", "watershed_track_frac")
         .withColumnsRenamed({"lat": "closest_lat", "lon": "closest_lon"})
-        .withColumn("month", F.month(order[0]))
-        .withColumn("decayed_wind_kt", storm.decayed_wind_kt("min_dist_mi", "peak_wind_kt"))
-        .withColumn("orographic_factor", storm.orographic_factor(
-            "closest_lon", "closest_lat", "motion_deg", "site_lon"))
-        .withColumn("moisture_factor", storm.moisture_factor(
-            "closest_lat", F.coalesce("peak_wind_kt", F.lit(25.0)), "month", "site_lat"))
-        .withColumn("watershed_proximity", ring_proximity(
-            ring_distance_mi("closest_lat", "closest_lon", ring)))
+        .withColumns({
+            "month": F.month(order[0]),
+            "decayed_wind_kt": storm.decayed_wind_kt("min_dist_mi", "peak_wind_kt"),
+            "orographic_factor": storm.orographic_factor("closest_lon", "closest_lat", "motion_deg",
+                                                         "site_lon"),
+            "moisture_factor": storm.moisture_factor(
+                "closest_lat", F.coalesce("peak_wind_kt", F.lit(25.0)), F.month(order[0]),
+                "site_lat"),
+            "watershed_proximity": ring_proximity(
+                ring_distance_mi("closest_lat", "closest_lon", ring))})
     )
     if gradients is None:
         lifted = scored.withColumn("upslope_w_ms", F.lit(0.0))

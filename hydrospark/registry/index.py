@@ -178,7 +178,7 @@ SELECT ev.site_id, ev.event_day, CAST(date_diff('day', last_break, DATE '2024-01
   br.* EXCLUDE (site_id)
 FROM ev JOIN br USING (site_id) JOIN brk USING (site_id) JOIN pk USING (site_id)""")
 def replay_validation(spark, sf_dir):
-    scored = scored_days(spark, sf_dir)
+    scored = replay.stored(scored_days(spark, sf_dir))
     events = spark.createDataFrame([(t,) for t in TYPES], "site_id string").withColumn(
         "event_day", F.lit("2024-01-24").cast("date"))
     return replay.validate(scored, events)
