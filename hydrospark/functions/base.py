@@ -17,6 +17,7 @@ def col(value: ColumnLike) -> Column:
 
 
 def clamp(value: ColumnLike, low: float, high: ColumnLike) -> Column:
+    """Cut to a range. A missing value becomes `low`, because greatest and least skip nulls."""
     return F.least(F.lit(high) if isinstance(high, (int, float)) else high,
                    F.greatest(F.lit(low), col(value)))
 

@@ -22,7 +22,9 @@ def haversine_mi(lat1: ColumnLike, lon1: ColumnLike, lat2: ColumnLike, lon2: Col
         + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2))
         * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
     )
-    return F.lit(2 * EARTH_RADIUS_MI) * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
+    # Opposite points can round to just above 1, where the arc sine is undefined. Unlike `least`,
+    # this keeps a missing coordinate a missing distance.
+    return F.lit(2 * EARTH_RADIUS_MI) * F.nanvl(F.asin(F.sqrt(chord)), F.lit(math.pi / 2))
 
 
 def bearing_deg(lat1: ColumnLike, lon1: ColumnLike, lat2: ColumnLike, lon2: ColumnLike) -> Column:
@@ -61,7 +63,8 @@ def ring_distance_mi(lat: ColumnLike, lon: ColumnLike, ring: Ring) -> Column:
 
 
 def ring_proximity(distance_mi: ColumnLike) -> Column:
-    return F.exp(-F.greatest(F.lit(0.0), col(distance_mi)) / 100.0)
+    miles = col(distance_mi)
+    return F.when(miles.isNotNull(), F.exp(-F.greatest(F.lit(0.0), miles) / 100.0))
 
 
 def miles_to_degrees(miles: float, max_abs_lat: float) -> tuple[float, float]:

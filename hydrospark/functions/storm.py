@@ -20,8 +20,10 @@ def orographic_factor(lon: ColumnLike, lat: ColumnLike, motion_deg: ColumnLike,
     """1..3: how far terrain lifts the rain of a storm west of the site that moves north."""
     miles_west = (col(site_lon) - col(lon)) * 69.0 * F.cos(F.radians(col(lat)))
     side = 0.2 + 0.8 / (1.0 + F.exp(-miles_west / 25.0))
-    northward = F.greatest(F.lit(0.0), F.cos(F.radians(col(motion_deg))))
-    return 1.0 + 2.0 * side * F.coalesce(northward, F.lit(0.5))
+    motion = col(motion_deg)
+    northward = F.when(motion.isNull(), 0.5).otherwise(
+        F.greatest(F.lit(0.0), F.cos(F.radians(motion))))
+    return 1.0 + 2.0 * side * northward
 
 
 def decayed_wind_kt(miles_inland: ColumnLike, peak_kt: ColumnLike) -> Column:

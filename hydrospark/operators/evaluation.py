@@ -218,5 +218,6 @@ def trust(sidecars: DataFrame) -> DataFrame:
 
 def percent(probability: Column | str) -> Column:
     p = F.col(probability) if isinstance(probability, str) else probability
-    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)) * 100).cast("int")
+    whole = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)) * 100).cast("int")
+    return F.when(p.isNotNull(), whole)
 

@@ -191,7 +191,7 @@ a AS (SELECT mo.*, peak, coalesce(f, 0)::DOUBLE AS frac, CAST(month(datetime) AS
 e AS (SELECT *, CASE WHEN coalesce(peak, 0) <= 26 THEN coalesce(peak, 0)
                      ELSE 26 + (peak - 26) * exp(-0.18 * d / 12) END AS dec,
   1 + 2 * (0.2 + 0.8 / (1 + exp(-(({HOME[1]}) - lon) * 69 * cos(radians(lat)) / 25)))
-    * coalesce(greatest(0, cos(radians(motion))), 0.5) AS oro,
+    * CASE WHEN motion IS NULL THEN 0.5 ELSE greatest(0, cos(radians(motion))) END AS oro,
   0.3 + 1.2 * least(65, ([{PWAT}])[mon] + 18 * (1 - exp(-greatest(0, {HOME[0]} - lat) / 3))
     * least(1, greatest(0, (coalesce(peak, 25) - 25) / 75))) / 65 AS moist,
   exp(-(CASE WHEN {inside_sql('lat', 'lon')} THEN 0 ELSE least({VERTICES}) END) / 100) AS prox FROM a),
