@@ -115,8 +115,10 @@ def _watch(limit_ms: int):
         seen = state.get[0] if state.exists else None
         silent = state.hasTimedOut
         for batch in batches:
-            newest = int(batch["ms"].max())
-            seen = newest if seen is None else max(seen, newest)
+            known = batch["ms"].dropna()  # a timeout comes with an empty batch
+            if len(known):
+                newest = int(known.max())
+                seen = newest if seen is None else max(seen, newest)
         state.update((seen,))
         state.setTimeoutDuration(limit_ms)
         yield pd.DataFrame({"feed": [key[0]], "last_ts": [pd.Timestamp(seen, unit="ms", tz="UTC")],
@@ -125,14 +127,14 @@ def _watch(limit_ms: int):
     return step
 
 
-def watch_feeds(rows: DataFrame, limit_minutes: int = 75) -> DataFrame:
+def watch_feeds(rows: DataFrame, limit_minutes: float = 75) -> DataFrame:
     """A row per feed whenever it reports, and one marked silent once nothing came for the limit.
 
     Runs on a clock, so use it with a processing-time trigger: a run-to-the-end trigger never ends.
     """
     feeds = rows.select("feed", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     return feeds.groupBy("feed").applyInPandasWithState(
-        _watch(limit_minutes * 60_000), ALARM, "seen bigint", "update",
+        _watch(int(limit_minutes * 60_000)), ALARM, "seen bigint", "update",
         GroupStateTimeout.ProcessingTimeTimeout)
 
 
