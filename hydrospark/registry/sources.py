@@ -22,7 +22,16 @@ def doc(*fields):
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
-ID, VALUE, USER = F.col("event_id"), F.col("value"), F.col("user_id")
+def eid():
+    return F.col("event_id")
+
+
+def val():
+    return F.col("value")
+
+
+def uid():
+    return F.col("user_id")
 
 
 # ---- best tracks -----------------------------------------------------------------------------
@@ -36,14 +45,14 @@ SELECT 'AL' || lpad(CAST(user_id % 100 AS VARCHAR), 2, '0') || '2024' AS storm_i
   CASE WHEN event_id % 6 > 0 THEN CAST(900 + event_id % 120 AS INTEGER) END AS pres_mb
 FROM events""")
 def best_track_parse(spark, sf_dir):
-    lat = F.concat(text((ID % 400) / 10), F.when(ID % 7 == 0, "S").otherwise("N"))
-    lon = F.concat(text((ID % 1500) / 10), F.when(ID % 11 == 0, "E").otherwise("W"))
+    lat = F.concat(text((eid() % 400) / 10), F.when(eid() % 7 == 0, "S").otherwise("N"))
+    lon = F.concat(text((eid() % 1500) / 10), F.when(eid() % 11 == 0, "E").otherwise("W"))
     line = F.concat_ws(
         ", ", F.date_format("ts", "yyyyMMdd"), F.date_format("ts", "HHmm"),
-        F.when(ID % 4 == 0, "L").otherwise(" "), F.lit("TS"), lat, lon,
-        F.when(ID % 5 == 0, "-99").otherwise(text(ID % 150)),
-        F.when(ID % 6 == 0, "-999").otherwise(text(900 + ID % 120)), F.lit("-999,"))
-    header = F.concat_ws(", ", F.concat(F.lit("AL"), F.lpad(text(USER % 100), 2, "0"), F.lit("2024")),
+        F.when(eid() % 4 == 0, "L").otherwise(" "), F.lit("TS"), lat, lon,
+        F.when(eid() % 5 == 0, "-99").otherwise(text(eid() % 150)),
+        F.when(eid() % 6 == 0, "-999").otherwise(text(900 + eid() % 120)), F.lit("-999,"))
+    header = F.concat_ws(", ", F.concat(F.lit("AL"), F.lpad(text(uid() % 100), 2, "0"), F.lit("2024")),
                          F.upper("event_type"), F.lit("     2,"))
     block = F.concat_ws("\n", header, line, F.lit("20249999, bad line"),
                         F.lit("20240101, 9900,  , TS, x.0N, 85.5W, 30, 1000,"))
@@ -59,11 +68,11 @@ SELECT event_id, 'AL' || CAST(user_id AS VARCHAR) AS id, CASE WHEN event_id % 3
   round({miles_sql(*HOME, '(20 + event_id % 30)', '(-90 + event_id % 40)')}, 6) AS distance_mi
 FROM events WHERE event_type <> 'view'""")
 def active_storms_parse(spark, sf_dir):
-    lat, lon = (20 + ID % 30).cast("double"), (-90 + ID % 40).cast("double")
+    lat, lon = (20 + eid() % 30).cast("double"), (-90 + eid() % 40).cast("double")
     storm = F.struct(
         F.concat(F.lit("AL"), text("user_id")).alias("id"), F.upper("event_type").alias("name"),
         F.when(F.col("event_type") == "view", "EP1").otherwise("AT1").alias("binNumber"),
-        F.when(ID % 3 == 0, "n/a").otherwise(text("value")).alias("intensity"),
+        F.when(eid() % 3 == 0, "n/a").otherwise(text("value")).alias("intensity"),
         lat.alias("latitudeNumeric"), lon.alias("longitudeNumeric"))
     rows = events(spark, sf_dir).select("event_id", doc(F.array(storm).alias("activeStorms")).alias("value"))
     return rounded(tracks.active_storms(rows).select(
@@ -85,13 +94,13 @@ FROM events""")
 def kml_parse(spark, sf_dir):
     """Two lines (the longer is the forecast) and, for two events in three, a cone."""
     e = events(spark, sf_dir).withColumn("id", F.concat(F.lit("AL"), text("event_id")))
-    n = (USER % 60 + 3).cast("int")
+    n = (uid() % 60 + 3).cast("int")
     track = F.concat(F.lit("<kml>"), _kml("LineString", F.lit(2), 9), _kml("LineString", n, 0),
                      _kml("Point", F.lit(1), 0), F.lit("</kml>"))
-    cone = F.concat(F.lit("<kml>"), _kml("Polygon", (ID % 200 + 5).cast("int"), 0), F.lit("</kml>"))
+    cone = F.concat(F.lit("<kml>"), _kml("Polygon", (eid() % 200 + 5).cast("int"), 0), F.lit("</kml>"))
     docs = e.select(F.col("id").alias("storm_id"), F.explode(F.array(
         F.struct(F.lit("TRACK").alias("product"), track.alias("value")),
-        F.struct(F.lit("CONE").alias("product"), F.when(ID % 3 != 0, cone).alias("value")))
+        F.struct(F.lit("CONE").alias("product"), F.when(eid() % 3 != 0, cone).alias("value")))
     ).alias("d")).select("storm_id", "d.*")
     out = tracks.attach_forecasts(e.select("event_id", "id"), tracks.graphics(docs))
     line = F.col("forecast_track")
@@ -128,10 +137,10 @@ def _point(value, minutes):
 def river_documents(spark, sf_dir):
     """Per event a document with two stage readings, one of them a sentinel now and then, one flow
     and one unknown code."""
-    second = F.when(ID % 5 == 0, F.lit("-999999")).otherwise(text(VALUE + 1))
+    second = F.when(eid() % 5 == 0, F.lit("-999999")).otherwise(text(val() + 1))
     series = F.array(
         _series("00065", F.array(_point(text("value"), 0), _point(second, 15))),
-        _series("00060", F.array(_point(text(VALUE * 10), 0))),
+        _series("00060", F.array(_point(text(val() * 10), 0))),
         _series("00010", F.array(_point(F.lit("5"), 0))))
     e = events(spark, sf_dir)
     return e.select("event_id", text("user_id").alias("site_id"),
@@ -153,7 +162,7 @@ WITH r AS (SELECT ts, user_id, value FROM events
 SELECT date_trunc('hour', ts) AS ts, 'usgs_iv' AS source, 'gauge' AS entity_type, CAST(user_id AS VARCHAR) AS entity_id,
   'stage_ft' AS metric, round(max(value), 6) AS value FROM r GROUP BY 1, user_id""")
 def instant_values_parse(spark, sf_dir):
-    second = F.when(ID % 5 == 0, F.lit("-999999")).otherwise(text(VALUE + 1))
+    second = F.when(eid() % 5 == 0, F.lit("-999999")).otherwise(text(val() + 1))
     series = F.array(_series("00065", F.array(_point(text("value"), 0), _point(second, 15))))
     docs = events(spark, sf_dir).select(
         text("user_id").alias("site_id"), doc(F.struct(series.alias("timeSeries")).alias("value")).alias("value"))
@@ -181,8 +190,8 @@ p AS (SELECT *, list_transform(range(n), lambda i: (i * 7 + k) % 40 / 4) AS ft F
 SELECT event_id, 'now' AS issued, CAST(least(120, n) AS INTEGER) AS shown, list_max(ft) AS peak_ft,
   't' || CAST(list_position(ft, list_max(ft)) - 1 AS VARCHAR) AS peak_t FROM p""")
 def forecast_trace_parse(spark, sf_dir):
-    k = ID % 13
-    points = F.transform(F.sequence(F.lit(0).cast("bigint"), ID % 150), lambda i: F.struct(
+    k = eid() % 13
+    points = F.transform(F.sequence(F.lit(0).cast("bigint"), eid() % 150), lambda i: F.struct(
         F.when(i % 2 == 0, (i * 7 + k) % 40 / 4).alias("primary"), ((i * 7 + k) % 40 / 4).alias("stage"),
         F.concat(F.lit("t"), text(i)).alias("validTime")))
     docs = events(spark, sf_dir).select(
@@ -233,11 +242,11 @@ def buoy_parse(spark, sf_dir):
     """Two observation rows; the newest is all missing for one event in four, both for one in ten."""
     gone = F.lit("MM MM MM MM MM MM MM MM MM MM MM")
     row = F.concat_ws(
-        "  ", text(ID % 360), text((ID % 40) / 2), F.lit("MM"),
-        F.when(ID % 3 > 0, text((USER % 30) / 4)).otherwise("MM"), F.lit("10.0 6.2 110"),
-        text(1000 + ID % 40), F.lit("22.0"), text(ID % 30), F.lit("20.0"))
-    first = F.when((ID % 4 == 0) | (ID % 10 == 0), gone).otherwise(row)
-    second = F.when(ID % 10 == 0, gone).otherwise(row)
+        "  ", text(eid() % 360), text((eid() % 40) / 2), F.lit("MM"),
+        F.when(eid() % 3 > 0, text((uid() % 30) / 4)).otherwise("MM"), F.lit("10.0 6.2 110"),
+        text(1000 + eid() % 40), F.lit("22.0"), text(eid() % 30), F.lit("20.0"))
+    first = F.when((eid() % 4 == 0) | (eid() % 10 == 0), gone).otherwise(row)
+    second = F.when(eid() % 10 == 0, gone).otherwise(row)
     page = F.concat_ws(
         "\n", F.lit("#YY  MM DD hh mm WDIR WSPD GST  WVHT   DPD   APD MWD   PRES  ATMP  WTMP  DEWP"),
         F.lit("#yr  mo dy hr mn degT m/s  m/s     m   sec   sec degT   hPa  degC  degC  degC"),
@@ -256,11 +265,11 @@ def tide_parse(spark, sf_dir):
     station = text("event_id").alias("station_id")
     level = doc(F.array(F.struct(F.lit("a").alias("t"), F.lit("9").alias("v")),
                         F.struct(F.lit("b").alias("t"), text("value").alias("v"))).alias("data"))
-    pressure = doc(F.array(F.struct(F.lit("p").alias("t"), F.when(ID % 3 > 0, text(VALUE + 1000))
+    pressure = doc(F.array(F.struct(F.lit("p").alias("t"), F.when(eid() % 3 > 0, text(val() + 1000))
                                     .otherwise("").alias("v"))).alias("data"))
     wind = doc(F.array(F.struct(
-        F.lit("w").alias("t"), text(USER % 50).alias("s"),
-        F.when(ID % 2 == 0, text(USER % 50 + 5)).otherwise("").alias("g"), F.lit("180").alias("d"))).alias("data"))
+        F.lit("w").alias("t"), text(uid() % 50).alias("s"),
+        F.when(eid() % 2 == 0, text(uid() % 50 + 5)).otherwise("").alias("g"), F.lit("180").alias("d"))).alias("data"))
     docs = events(spark, sf_dir).select(station, F.explode(F.create_map(
         F.lit("water_level"), level, F.lit("air_pressure"), pressure, F.lit("wind"), wind)).alias("product", "value"))
     out = water.tides(docs)
@@ -280,9 +289,9 @@ def archive_parse(spark, sf_dir):
     days = F.array(*[F.lit(f"2020-01-0{i + 1}") for i in range(3)])
     daily = F.struct(
         days.alias("time"),
-        F.array(VALUE, F.lit(None).cast("double"), VALUE + 2).alias("precipitation_sum"),
-        F.array(VALUE, VALUE, VALUE).alias("temperature_2m_max"),
-        F.array(VALUE, VALUE, VALUE).alias("wind_speed_10m_max"))
+        F.array(val(), F.lit(None).cast("double"), val() + 2).alias("precipitation_sum"),
+        F.array(val(), val(), val()).alias("temperature_2m_max"),
+        F.array(val(), val(), val()).alias("wind_speed_10m_max"))
     docs = events(spark, sf_dir).select(F.lit("point").alias("entity_type"), text("event_id").alias("entity_id"),
                                         doc(daily.alias("daily")).alias("value"))
     return rounded(weather.archive_daily(docs), nudge=1e-9)
@@ -293,7 +302,7 @@ SELECT TIMESTAMP '2024-09-27' + INTERVAL 1 DAY * d AS ts, 'open_meteo_archive' A
   'soil_era5_0_7cm' AS metric, round(avg(value / 1000 + h / 100), 6) AS value
 FROM events, (VALUES (0, 0), (0, 2), (1, 3)) t(d, h) GROUP BY 1, user_id""")
 def soil_daily_parse(spark, sf_dir):
-    base = VALUE / 1000
+    base = val() / 1000
     hourly = F.struct(
         F.array(*[F.lit(t) for t in ("2024-09-27T00:00", "2024-09-27T06:00", "2024-09-27T12:00",
                                      "2024-09-28T00:00")]).alias("time"),
@@ -316,10 +325,10 @@ SELECT event_id, value AS temp_f, (event_id % 100)::DOUBLE AS humidity_pct, {he(
   CAST(24 AS INTEGER) AS n_times FROM a""")
 def weather_parse(spark, sf_dir):
     hours = F.sequence(F.lit(0), F.lit(95))
-    rain = F.transform(hours, lambda i: (ID * 7 + i * 13) % 50 / 100)
+    rain = F.transform(hours, lambda i: (eid() * 7 + i * 13) % 50 / 100)
     docs = events(spark, sf_dir).select("event_id", doc(
-        F.struct(F.lit("t0").alias("time"), VALUE.alias("temperature_2m"),
-                 (ID % 100).alias("relative_humidity_2m")).alias("current"),
+        F.struct(F.lit("t0").alias("time"), val().alias("temperature_2m"),
+                 (eid() % 100).alias("relative_humidity_2m")).alias("current"),
         F.struct(F.transform(hours, lambda i: F.concat(F.lit("h"), text(i))).alias("time"),
                  rain.alias("precipitation")).alias("hourly")).alias("value"))
     return weather.current_weather(docs).select(
@@ -339,14 +348,14 @@ SELECT event_id, {he('top', 3)} AS soil_moisture_top, {he('shallow', 3)} AS soil
        WHEN aqi >= 50 THEN 'MODERATE' ELSE 'GOOD' END AS label
 FROM s""")
 def soil_air_parse(spark, sf_dir):
-    rain = F.transform(F.sequence(F.lit(0), F.lit(191)), lambda i: (ID + i) % 9 / 100)
+    rain = F.transform(F.sequence(F.lit(0), F.lit(191)), lambda i: (eid() + i) % 9 / 100)
     e = events(spark, sf_dir)
     soil = weather.current_soil(e.select("event_id", doc(
-        F.struct(F.when(ID % 4 > 0, (ID % 60) / 100).alias("soil_moisture_0_to_1cm"),
-                 ((USER % 50) / 100).alias("soil_moisture_1_to_3cm")).alias("current"),
+        F.struct(F.when(eid() % 4 > 0, (eid() % 60) / 100).alias("soil_moisture_0_to_1cm"),
+                 ((uid() % 50) / 100).alias("soil_moisture_1_to_3cm")).alias("current"),
         F.struct(rain.alias("precipitation")).alias("hourly")).alias("value")))
     air = weather.current_air(e.select("event_id", doc(
-        F.struct((ID % 350).alias("us_aqi")).alias("current")).alias("value")))
+        F.struct((eid() % 350).alias("us_aqi")).alias("current")).alias("value")))
     return soil.join(air.select("event_id", "label"), "event_id").select(
         "event_id", "soil_moisture_top", "soil_moisture_shallow", "past_7d_precip_in", "saturated",
         "very_dry", "condition", "label")
@@ -363,7 +372,7 @@ def alerts_parse(spark, sf_dir):
     none = F.lit(None).cast("string")
     one = feature(F.col("event_type"), F.lit("Severe"), none)
     two = feature(F.lit("Flood Watch"), none, F.concat(F.lit("h"), text("user_id")))
-    listed = F.when(ID % 3 == 0, F.array(one, two)).otherwise(F.array(one))
+    listed = F.when(eid() % 3 == 0, F.array(one, two)).otherwise(F.array(one))
     docs = events(spark, sf_dir).select("event_id", doc(listed.alias("features")).alias("value"))
     return weather.alerts(docs).select("event_id", "event", "severity", "headline")
 
@@ -373,12 +382,12 @@ SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'Unnamed' ELSE event_type END A
   CASE WHEN event_id % 2 = 0 THEN (user_id % 100)::DOUBLE END AS contained_pct, 35.0::DOUBLE + event_id % 3 AS lat, -82.0::DOUBLE AS lon,
   CASE WHEN event_id % 3 > 0 THEN CAST(2000 + user_id % 25 AS INTEGER) END AS year FROM events WHERE event_id % 7 > 0""")
 def incident_parse(spark, sf_dir):
-    where = F.struct(F.when(ID % 7 > 0, F.lit(-82.0)).alias("x"), (ID % 3 + 35.0).alias("y"))
+    where = F.struct(F.when(eid() % 7 > 0, F.lit(-82.0)).alias("x"), (eid() % 3 + 35.0).alias("y"))
     fire = F.struct(
-        F.struct(F.when(ID % 5 > 0, F.col("event_type")).alias("IncidentName"), VALUE.alias("DailyAcres"),
-                 F.when(ID % 2 == 0, USER % 100).alias("PercentContained")).alias("attributes"),
+        F.struct(F.when(eid() % 5 > 0, F.col("event_type")).alias("IncidentName"), val().alias("DailyAcres"),
+                 F.when(eid() % 2 == 0, uid() % 100).alias("PercentContained")).alias("attributes"),
         where.alias("geometry"))
-    slide = F.struct(F.struct(F.when(ID % 3 > 0, 2000 + USER % 25).alias("Year")).alias("attributes"),
+    slide = F.struct(F.struct(F.when(eid() % 3 > 0, 2000 + uid() % 25).alias("Year")).alias("attributes"),
                      where.alias("geometry"))
     e = events(spark, sf_dir)
     fires = weather.fires(e.select("event_id", doc(F.array(fire).alias("features")).alias("value")))
