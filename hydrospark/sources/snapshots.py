@@ -30,7 +30,7 @@ def _cells(entity_type: str, entity_id: Column, block: Column, fields: Sequence[
            prefix: str = "") -> list[Column]:
     return [
         F.struct(F.lit(entity_type).alias("entity_type"), entity_id.alias("entity_id"),
-                 F.lit(prefix + f).alias("metric"), number(block[f]).alias("value"))
+                 F.lit(prefix + f).alias("metric"), block[f].alias("text"))
         for f in fields
     ]
 
@@ -41,7 +41,7 @@ def _intact(block: Column, cells: list[Column]) -> Column:
     return F.when(~failed, F.array(*cells)).otherwise(F.array().cast(_CELLS))
 
 
-_CELLS = ("array<struct<entity_type:string,entity_id:string,metric:string,value:double>>")
+_CELLS = ("array<struct<entity_type:string,entity_id:string,metric:string,text:string>>")
 
 
 def _place(entity_type: str, entity_id: Column, place: Column) -> Column:
@@ -76,18 +76,18 @@ def flatten(df: DataFrame, source: str = "snapshot", home: str = dims.HOME_POINT
     """Every usable number of every snapshot as a history row.
 
     All blocks become one array of cells and one explode: the documents are read once, not once per
-    block.
+    block. Cells stay text inside the array and turn into numbers after it, in generated code.
     """
     here = F.lit(home)
     index = F.col("index")
     scored = F.array(
         F.struct(F.lit("point").alias("entity_type"), here.alias("entity_id"),
-                 F.lit("flood_index_score").alias("metric"), number(index["score"]).alias("value")))
+                 F.lit("flood_index_score").alias("metric"), index["score"].alias("text")))
     parts = F.coalesce(
         F.transform(F.map_entries(index["components"]), lambda e: F.struct(
             F.lit("point").alias("entity_type"), here.alias("entity_id"),
             F.concat(F.lit("flood_index_"), e["key"]).alias("metric"),
-            number(e["value"]).alias("value"))),
+            e["value"].alias("text"))),
         F.array().cast(_CELLS))
     weather = _intact(F.col("weather"), _cells("point", here, F.col("weather"), WEATHER_FIELDS,
                                                "wx_"))
@@ -99,11 +99,12 @@ def flatten(df: DataFrame, source: str = "snapshot", home: str = dims.HOME_POINT
         _stations("buoys", "buoy", "station_id", BUOY_FIELDS).cast(_CELLS),
         _each(F.col("forests"), _forest_cells).cast(_CELLS),
     )
-    usable = F.filter(cells, lambda c: c["value"].isNotNull() & (F.length(c["entity_id"]) > 0))
+    given = F.filter(cells, lambda c: c["text"].isNotNull() & (F.length(c["entity_id"]) > 0))
     epoch = F.when(F.col("as_of_epoch") > 0, F.col("as_of_epoch"))
     return (
         df.withColumn("ts", F.coalesce(F.timestamp_seconds(epoch), F.current_timestamp()))
-        .withColumn("_cell", F.explode(usable))
-        .select("ts", F.lit(source).alias("source"), "_cell.*")
+        .select("ts", F.lit(source).alias("source"), F.explode(given).alias("_cell"))
+        .select("ts", "source", "_cell.*")
+        .withColumn("value", number("text")).filter(F.col("value").isNotNull())
         .select(*HISTORY_COLS)
     )
