@@ -192,6 +192,18 @@ def elevated_days(scored: DataFrame, threshold: int = ALERT_SCORE) -> DataFrame:
         "site_id", "day", "score", "label", "storm_name", "stage_ft")
 
 
+def write_validation(summary: DataFrame, path: str) -> None:
+    """The summary as JSON lines, one per event."""
+    summary.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_validation(spark, path: str) -> DataFrame | None:
+    """The stored summary, or nothing where none was written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.json(path) if found else None
+
+
 def home_site(spark) -> DataFrame:
     return spark.createDataFrame(
         [(dims.PRIMARY_SITE, dims.HOME_POINT, dims.HOME_LAT, dims.HOME_LON)],
