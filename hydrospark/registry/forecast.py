@@ -183,7 +183,7 @@ def roc_auc(spark, sf_dir):
 
 
 @query("average_precision", f"""WITH {RANK_SQL}
-SELECT lang, round(sum(pos * top_pos / top_n) / max(p), 6) AS ap FROM c GROUP BY 1""")
+SELECT lang, CASE WHEN max(p) > 0 AND max(p) < max(tot) THEN round(sum(pos * top_pos / top_n) / max(p), 6) END AS ap FROM c GROUP BY 1""")
 def average_precision(spark, sf_dir):
     return rounded(ev.ranking_metrics(labelled(spark, sf_dir), ["lang"]).select("lang", "ap"))
 
