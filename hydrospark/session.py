@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -37,12 +38,14 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a fresh temporary one only where none is set."""
+    """The shared folder named by the cluster; a temporary one only where all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="hydrospark-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
