@@ -33,17 +33,15 @@ CENSUS_LOG2 = 16
 #: Sync points or suffixes that a task holds before it passes them on.
 HELD = 2_000_000
 
-_SPANS = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("spans", pa.binary())])
-_SUFFIXES = pa.schema([("kind", pa.int32()), ("grp", pa.int32()), ("part", pa.int32()), ("path", pa.binary()),
-                       ("id", pa.int64()), ("text_hash", pa.int64()), ("ids", pa.binary()),
-                       ("hashes", pa.binary()), ("places", pa.binary())])
-_SUFFIXES_SPARK = ("kind int, grp int, part int, path binary, id long, text_hash long, ids binary, "
-                   "hashes binary, places binary")
+_PACKED = pa.schema([("kind", pa.int32()), ("grp", pa.int32()), ("path", pa.binary()), ("ids", pa.binary()),
+                     ("hashes", pa.binary()), ("places", pa.binary())])
+_PACKED_SPARK = "kind int, grp int, path binary, ids binary, hashes binary, places binary"
+_SPANS = pa.schema([("id", pa.int64()), ("text_hash", pa.int32()), ("spans", pa.binary())])
 
 
 def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
-                       F.xxhash64(text_col).alias("text_hash"))
+                       F.hash(text_col).alias("text_hash"))
 
 
 def _census(window: int, ranges_log2: int):
@@ -68,7 +66,7 @@ def _census(window: int, ranges_log2: int):
                 if s.start < s.stop:
                     several = times[s] > 1
                     rows.append((r, part, packed(np.diff(rest[s], prepend=np.uint32(0))), np.packbits(several).tobytes()))
-            yield from _rows(rows)
+            yield from _points(rows)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
@@ -90,9 +88,9 @@ def _census(window: int, ranges_log2: int):
                     held, n_held = [], 0
         if held:
             yield from flush()
-        yield from _rows([(-k, part, packed(c), None) for k, c in counts.items()])
+        yield from _points([(-k, part, packed(c), None) for k, c in counts.items()])
 
-    def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def _points(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if rows:
             name, part, values, several = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
@@ -134,22 +132,43 @@ def _settle(path: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return out
 
 
-def _marked(ids, hashes, places, keep_columns) -> list[tuple]:
-    """(id, text_hash, sorted start places) of marked suffixes, one row for each document."""
-    order = np.lexsort((places, hashes, ids))
-    i, h, p = ids[order], hashes[order], places[order]
-    cut = np.flatnonzero((np.diff(i) != 0) | (np.diff(h) != 0)) + 1
-    return [keep_columns(int(i[a]), int(h[a]), p[a:b].astype(np.int32).tobytes())
-            for a, b in zip([0, *cut], [*cut, len(i)], strict=True)] if len(i) else []
+def _dealt(kind: int, group: np.ndarray, path, ids, hashes, places) -> list[tuple]:
+    """One row for each group, its columns packed in the order of documents and places."""
+    order = np.lexsort((places, hashes, ids, group))
+    group = group[order]
+    cut = np.flatnonzero(np.diff(group)) + 1
+    rows = []
+    for a, b in zip([0, *cut], [*cut, len(group)], strict=True) if len(group) else ():
+        take = order[a:b]
+        rows.append((kind, int(group[a]), None if path is None else path[take].tobytes(),
+                     packed(np.diff(ids[take], prepend=0)), packed(hashes[take]),
+                     packed(np.diff(places[take].astype(np.int32), prepend=np.int32(0)))))
+    return rows
+
+
+def _undealt(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def joined(name: str, dtype, summed_: bool) -> np.ndarray:
+        parts = [unpacked(b, dtype) for b in table.column(name).to_pylist()]
+        return np.concatenate([np.cumsum(p, dtype=dtype) if summed_ else p for p in parts])
+
+    return joined("ids", np.int64, True), joined("hashes", np.int32, False), joined("places", np.int32, True)
+
+
+def _by_document(ids: np.ndarray, groups: int) -> np.ndarray:
+    return (mixed(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+
+
+def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows), 512):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, type=f.type) for c, f in zip(zip(*rows[at:at + 512]), _PACKED, strict=True)], schema=_PACKED)
 
 
 def _suffixes(window: int, groups: int, bitmap, census, limit: int):
     width = window - SYNC + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        known, points, part = WordHashes(), bitmap.value, TaskContext.get().partitionId()
+        known, points = WordHashes(), bitmap.value
         heavy = {k: c > limit for k, c in census.value.items()}
         shift = np.uint64(64 - (len(points).bit_length() + 2))
         top = np.uint64(64 - CENSUS_LOG2)
@@ -158,24 +177,14 @@ def _suffixes(window: int, groups: int, bitmap, census, limit: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             path, prefix, places = (np.concatenate([h[c] for h in held]) for c in range(3))
-            ids, hashes = (np.repeat([h[c] for h in held], [len(h[0]) for h in held]).astype(np.int64) for c in (3, 4))
+            sizes = [len(h[0]) for h in held]
+            ids = np.repeat(np.array([h[3] for h in held], np.int64), sizes)
+            hashes = np.repeat(np.array([h[4] for h in held], np.int32), sizes)
             late = _settle(path, ids)
-            rows = _marked(ids[late], hashes[late], places[late],
-                           lambda i, h, p: (0, None, None, None, i, h, None, None, p))
-            left = ~late
-            path, prefix, places, ids, hashes = (x[left] for x in (path, prefix, places, ids, hashes))
-            group = (mixed(prefix) % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            group = group[order]
-            cut = np.flatnonzero(np.diff(group)) + 1
-            for a, b in zip([0, *cut], [*cut, len(group)], strict=True) if len(group) else ():
-                take = order[a:b]
-                rows.append((1, int(group[a]), part, path[take].tobytes(), None, None, ids[take].tobytes(),
-                             hashes[take].tobytes(), places[take].astype(np.int32).tobytes()))
-            for at in range(0, len(rows), 2048):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=f.type) for c, f in zip(zip(*rows[at:at + 2048]), _SUFFIXES, strict=True)],
-                    schema=_SUFFIXES)
+            yield from _rows(_dealt(0, _by_document(ids[late], groups), None, ids[late], hashes[late], places[late]))
+            first = ~late
+            yield from _rows(_dealt(1, (mixed(prefix[first]) % np.uint64(groups)).astype(np.int64), path[first],
+                                    ids[first], hashes[first], places[first]))
 
         for batch in batches:
             for doc, text, text_hash in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)),
@@ -208,21 +217,31 @@ def _suffixes(window: int, groups: int, bitmap, census, limit: int):
     return run
 
 
-def _subtree(table: pa.Table) -> pa.Table:
-    def joined(name: str, dtype) -> np.ndarray:
-        return np.concatenate([np.frombuffer(b, dtype) for b in table.column(name).to_pylist()])
+def _subtree(groups: int):
+    def run(table: pa.Table) -> pa.Table:
+        ids, hashes, places = _undealt(table)
+        path = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("path").to_pylist()])
+        late = _settle(path, ids)
+        rows = _dealt(0, _by_document(ids[late], groups), None, ids[late], hashes[late], places[late])
+        return pa.Table.from_batches(_rows(rows), schema=_PACKED)
+
+    return run
 
-    ids = joined("ids", np.int64)
-    late = _settle(joined("path", np.uint64), ids)
-    rows = _marked(ids[late], joined("hashes", np.int64)[late], joined("places", np.int32)[late],
-                   lambda i, h, p: (i, h, p))
-    return pa.table([pa.array(c, type=f.type) for c, f in
-                     zip(zip(*rows) if rows else ([], [], []), _SPANS, strict=True)], schema=_SPANS)
+
+def _of_documents(table: pa.Table) -> pa.Table:
+    """A row for each document of a group, with the sorted starts of its repeats."""
+    ids, hashes, places = _undealt(table)
+    order = np.lexsort((places, hashes, ids))
+    i, h, p = ids[order], hashes[order], places[order]
+    cut = np.flatnonzero((np.diff(i) != 0) | (np.diff(h) != 0)) + 1
+    spans = [p[a:b].tobytes() for a, b in zip([0, *cut], [*cut, len(i)], strict=True)]
+    first = np.array([0, *cut])
+    return pa.table([pa.array(i[first]), pa.array(h[first]), pa.array(spans, pa.binary())], schema=_SPANS)
 
 
 def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, spans): starts, as packed 32-bit integers, of the `window`-word passages of a
-    document that also start in a document with a smaller id. A document may have several rows.
+    document that also start in a document with a smaller id. Documents without one have no row.
 
     Words are split at ASCII white space and compared as they stand (as 64-bit hashes of whole
     windows). Null ids have no order: such rows neither lose nor own a passage.
@@ -244,10 +263,10 @@ def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
     groups = 4 * parts
     limit = max(1000, int(counts[PREFIXES[0]].sum()) // (4 * groups)) if counts else 1000
     shared, tables = spark.sparkContext.broadcast(bitmap), spark.sparkContext.broadcast(counts)
-    suffixes = staged(read.mapInArrow(_suffixes(window, groups, shared, tables, limit), _SUFFIXES_SPARK), "suffixes")
-    deep = suffixes.where("kind = 1").groupBy("grp").applyInArrow(_subtree, "id long, text_hash long, spans binary")
-    return (suffixes.where("kind = 0").select("id", "text_hash", F.col("places").alias("spans"))
-            .unionByName(deep))
+    suffixes = staged(read.mapInArrow(_suffixes(window, groups, shared, tables, limit), _PACKED_SPARK), "suffixes")
+    deep = suffixes.where("kind = 1").groupBy("grp").applyInArrow(_subtree(groups), _PACKED_SPARK)
+    return (suffixes.where("kind = 0").unionByName(deep).groupBy("grp")
+            .applyInArrow(_of_documents, "id long, text_hash int, spans binary"))
 
 
 def _keep(window: int):
@@ -259,7 +278,7 @@ def _keep(window: int):
                 removed = 0
                 kept = words
                 if spans:
-                    starts = np.unique(np.concatenate([np.frombuffer(s, np.int32) for s in spans]))
+                    starts = np.unique(np.frombuffer(spans, np.int32))
                     kept, done = [], 0
                     for a, b in zip(*(x.tolist() for x in runs(starts, window)), strict=True):
                         kept += words[done:a]
@@ -285,9 +304,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     on the input. Null and empty texts have no words. Repeated rows of one id keep what each other
     has; rows with equal id and text are one document. Further columns are not read.
     """
-    spans = (repeats(docs, window, id_col, text_col).groupBy("id", "text_hash")
-             .agg(F.collect_list("spans").alias("spans"))
-             .withColumnsRenamed({"id": "span_id", "text_hash": "span_hash"}))
+    spans = repeats(docs, window, id_col, text_col).withColumnsRenamed({"id": "span_id", "text_hash": "span_hash"})
     read = _read(docs, id_col, text_col)
     found = read.join(spans, F.col("id").eqNullSafe(F.col("span_id"))
                       & (F.col("text_hash") == F.col("span_hash")), "left")
