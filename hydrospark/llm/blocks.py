@@ -27,8 +27,8 @@ def unpacked(blob: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(dtype)
 
 
-def summed(parts: DataFrame, label: str) -> dict[int, np.ndarray]:
-    """Sums of equally long int64 arrays by `name` from rows (name int, part int, counts binary).
+def summed(parts: DataFrame, label: str, dtype=np.int64) -> dict[int, np.ndarray]:
+    """Sums of equally long arrays by `name` from rows (name int, part int, counts binary).
 
     Arrays are added FAN_IN at a time in tasks until at most FAN_IN are left for each name; only
     those, of a size fixed by the operator, reach the driver.
@@ -37,7 +37,7 @@ def summed(parts: DataFrame, label: str) -> dict[int, np.ndarray]:
     schema = "name int, part int, counts binary"
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(unpacked(b, np.int64) for b in table.column("counts").to_pylist())
+        total = sum(unpacked(b, dtype) for b in table.column("counts").to_pylist())
         return pa.table({"name": table.column("name").slice(0, 1), "part": table.column("part").slice(0, 1),
                          "counts": pa.array([packed(total)], pa.binary())})
 
@@ -47,7 +47,7 @@ def summed(parts: DataFrame, label: str) -> dict[int, np.ndarray]:
                       .groupBy("name", "part").applyInArrow(add, schema), label)
     out: dict[int, np.ndarray] = {}
     for name, counts in rows.select("name", "counts").collect():
-        array = unpacked(bytes(counts), np.int64)
+        array = unpacked(bytes(counts), dtype)
         out[name] = out[name] + array if name in out else array
     return out
 

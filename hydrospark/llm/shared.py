@@ -6,7 +6,9 @@ Words are hashed once per distinct word and held in a bounded dictionary; everyt
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +99,17 @@ def _batch(schema: pa.Schema, held: list[tuple]) -> pa.RecordBatch:
         [pa.array(list(c), type=f.type) for c, f in zip(zip(*held), schema, strict=True)], schema=schema)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package where it is neither installed nor on their path.
+
+    A cluster gets the package with --py-files or installed; this serves runs from a checkout.
+    """
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in (env.get("PYTHONPATH", "") + os.pathsep + os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *[p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]])
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts the lineage."""
     from hydrospark.session import run_dir
