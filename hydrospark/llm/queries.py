@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrospark.llm import bpe, decontaminate, langid, ngram_join, outliers, quality, secrets, substrings, toxicity
+from hydrospark.llm import bpe, decontaminate, langid, ngram_join, outliers, pii, quality, secrets, substrings, toxicity
 from hydrospark.llm.shared import importable, staged
 from hydrospark.session import configure, run_dir
 
@@ -80,8 +80,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.listed(F.col("found")).alias("spans"))
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), secret="registered query")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_quality, op3_ngram_join, op4_outliers, op5_decontaminate, op6_language, op7_toxicity,
-    op8_substring_dedup, op9_secrets)}
+    op8_substring_dedup, op9_secrets, op10_surrogates)}
 
 ORACLE_SQL: dict[str, str] = {}
