@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrospark.operators import timeseries as ts
-from hydrospark.plans.chunks import CHUNK, HOME, chunk_window, own_rows, with_halo
+from hydrospark.plans.chunks import CHUNK, ROW, chunk_of, chunk_window, numbered, own_rows, with_halo
 from hydrospark.schema import PRECIP_METRICS, SOIL_DEEP_METRICS, SOIL_TOP_METRICS, SOURCE_PREFERENCE
 
 STAGE = "self__stage_ft"
@@ -35,6 +35,7 @@ class FrameConfig:
     compat_labels: bool = False
     step_s: int = ts.HOUR_S
     chunk_rows: int = ts.CHUNK_ROWS
+    dense: bool = False  # the caller's word that no series has a hole, as after hourly_series
     metrics: dict = field(default_factory=lambda: {
         "stage": ["stage_ft"], "precip": PRECIP_METRICS, "soil_top": SOIL_TOP_METRICS,
         "soil_deep": SOIL_DEEP_METRICS})
@@ -97,8 +98,11 @@ def _series_features(series: DataFrame, cfg: FrameConfig) -> DataFrame:
         back = max(back, cfg.api_window - 1, max(w for w, _ in pairs) - 1)
         size = ts.antecedent_chunk_rows(cfg.api_decay, back + 1, size)
     size = max(size, back)
-    step = ts.step_of("ts", cfg.step_s)
-    cut = with_halo(series, step, size, back, 0)
+    if cfg.dense:
+        step, rows = ts.step_of("ts", cfg.step_s), series
+    else:
+        step, rows = F.col(ROW), numbered(series, ["entity_id", "metric"], "ts", ts.NEIGHBOUR_SPAN_S)
+    cut = with_halo(rows, step, size, back, 0)
     w = chunk_window(["entity_id", "metric"], "ts")
     columns = ts.lag_columns(w, "value", cfg.lags, "x") | ts.delta_columns(w, "value", cfg.lags, "x")
     for width, agg in sorted(pairs):
@@ -158,22 +162,25 @@ def training_frame(series: DataFrame, targets: DataFrame, edges: DataFrame | Non
     """Features and labels, one row per target and hour in which any of its series has data.
 
     `targets` holds `target_id` and, with weather, `weather_entity`; `edges` holds `target_id`,
-    `upstream_id` and `slot`. The series are read once. The rows of all roles meet in a single
-    shuffle on (target, chunk): the same partitioning serves the full outer alignment on time and
-    the label windows after it.
+    `upstream_id` and `slot`. The series are read once. The rows of all roles meet in one shuffle on
+    (target, calendar chunk), which serves the full outer alignment on time and the numbering of the
+    hours; the label windows take a second one, by row number.
     """
     columns = feature_columns(cfg)
     ahead = max(cfg.horizons) if labels else 0
     stacked = _in_roles(series, _uses(targets, edges, cfg), cfg)
-    cut = with_halo(stacked, ts.step_of("ts", cfg.step_s), max(cfg.chunk_rows, ahead), 0, ahead)
-    wide = (cut.repartition("target_id", CHUNK).groupBy("target_id", CHUNK, HOME, "ts")
-            .agg(*[F.max(c).alias(c) for c in columns]))
-    if labels:
-        w = chunk_window(["target_id"], "ts")
-        wide = wide.withColumns(ts.future_columns(
-            w, STAGE, cfg.horizons, cfg.thresholds, cfg.compat_labels))
-    out = own_rows(wide).select("target_id", "ts", *columns,
-                                *([f"`{c}`" for c in label_columns(cfg)] if labels else []))
+    if not labels:
+        out = stacked.groupBy("target_id", "ts").agg(*[F.max(c).alias(c) for c in columns])
+        return out.dropna(subset=columns) if dropna_features else out
+    # The hours of a target are those of all its series together, so they have holes and are numbered.
+    span = chunk_of("ts", ts.NEIGHBOUR_SPAN_S)
+    wide = (stacked.withColumn(CHUNK, span).repartition("target_id", CHUNK)
+            .groupBy("target_id", CHUNK, "ts").agg(*[F.max(c).alias(c) for c in columns]))
+    rows = numbered(wide, ["target_id"], "ts", ts.NEIGHBOUR_SPAN_S)
+    cut = with_halo(rows, F.col(ROW), max(cfg.chunk_rows, ahead), 0, ahead)
+    framed = cut.withColumns(ts.future_columns(
+        chunk_window(["target_id"], "ts"), STAGE, cfg.horizons, cfg.thresholds, cfg.compat_labels))
+    out = own_rows(framed).select("target_id", "ts", *columns, *[f"`{c}`" for c in label_columns(cfg)])
     return out.dropna(subset=columns) if dropna_features else out
 
 

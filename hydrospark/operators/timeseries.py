@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrospark.plans.chunks import (
-    chunk_window, own_rows, running_totals, chunk_of, seconds, unborrowed, with_halo,
-    with_neighbours,
+    ROW, chunk_of, chunk_window, numbered, own_rows, running_totals, seconds, unborrowed,
+    with_halo, with_neighbours,
 )
 from hydrospark.plans.pick import preferred
 from hydrospark.schema import SERIES_KEY, SOURCE_PREFERENCE
@@ -125,30 +125,42 @@ def rolling_columns(window, value: str, windows: Sequence[int], aggs: Sequence[s
     }
 
 
-def _framed(df: DataFrame, keys, step_s: int, back: int, ahead: int, chunk_rows: int) -> DataFrame:
-    return with_halo(df, step_of("ts", step_s), max(chunk_rows, back, ahead, 1), back, ahead)
+def _placed(df: DataFrame, keys, step_s: int, dense: bool) -> tuple[DataFrame, Column]:
+    """The rows and their positions: steps of the grid where every step has a row, else row numbers.
+
+    `dense` is the caller's word that no step is missing, as after `fill_forward`; it saves a shuffle.
+    """
+    if dense:
+        return df, step_of("ts", step_s)
+    return numbered(df, list(keys), "ts", NEIGHBOUR_SPAN_S), F.col(ROW)
+
+
+def _framed(df: DataFrame, keys, step_s: int, back: int, ahead: int, chunk_rows: int, dense: bool
+            ) -> DataFrame:
+    rows, position = _placed(df, keys, step_s, dense)
+    return with_halo(rows, position, max(chunk_rows, back, ahead, 1), back, ahead)
 
 
 def lags(df: DataFrame, ks: Sequence[int], *, keys=SERIES_KEY, step_s: int = HOUR_S,
-         name: str = "x", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+         name: str = "x", chunk_rows: int = CHUNK_ROWS, dense: bool = False) -> DataFrame:
     w = chunk_window(keys, "ts")
-    cut = _framed(df, keys, step_s, max(ks), 0, chunk_rows)
+    cut = _framed(df, keys, step_s, max(ks), 0, chunk_rows, dense)
     return own_rows(cut.withColumns(lag_columns(w, "value", ks, name)))
 
 
 def deltas(df: DataFrame, ks: Sequence[int], *, keys=SERIES_KEY, step_s: int = HOUR_S,
-           name: str = "x", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+           name: str = "x", chunk_rows: int = CHUNK_ROWS, dense: bool = False) -> DataFrame:
     w = chunk_window(keys, "ts")
-    cut = _framed(df, keys, step_s, max(ks), 0, chunk_rows)
+    cut = _framed(df, keys, step_s, max(ks), 0, chunk_rows, dense)
     return own_rows(cut.withColumns(delta_columns(w, "value", ks, name)))
 
 
 def rolling(df: DataFrame, windows: Sequence[int], aggs: Sequence[str] = ("mean", "max", "min", "std"),
             *, keys=SERIES_KEY, step_s: int = HOUR_S, name: str = "x",
-            chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+            chunk_rows: int = CHUNK_ROWS, dense: bool = False) -> DataFrame:
     """Trailing frames that include the current row; a shorter frame at the head is used as is."""
     w = chunk_window(keys, "ts")
-    cut = _framed(df, keys, step_s, max(windows) - 1, 0, chunk_rows)
+    cut = _framed(df, keys, step_s, max(windows) - 1, 0, chunk_rows, dense)
     return own_rows(cut.withColumns(rolling_columns(w, "value", windows, aggs, name)))
 
 
@@ -171,12 +183,12 @@ def antecedent_columns(window_spec, position: Column, value: Column, decay: floa
 
 
 def antecedent(df: DataFrame, decay: float = 0.85, window: int = 14, *, keys=SERIES_KEY,
-               step_s: int = HOUR_S, name: str = "precip", chunk_rows: int = CHUNK_ROWS
-               ) -> DataFrame:
+               step_s: int = HOUR_S, name: str = "precip", chunk_rows: int = CHUNK_ROWS,
+               dense: bool = False) -> DataFrame:
     """Exponentially weighted antecedent sum over `window` steps; missing values count as 0."""
     size = antecedent_chunk_rows(decay, window, chunk_rows)
-    step = step_of("ts", step_s)
-    cut = with_halo(df, step, size, window - 1, 0)
+    rows, step = _placed(df, keys, step_s, dense)
+    cut = with_halo(rows, step, size, window - 1, 0)
     w = chunk_window(keys, "ts")
     # Position counted from one window before the chunk start keeps every exponent small.
     local = (step - F.col("_chunk") * size + window).cast("double")
@@ -207,9 +219,9 @@ def future_columns(window, value: str, horizons: Sequence[int], thresholds: Sequ
 
 def targets(df: DataFrame, horizons: Sequence[int], thresholds: Sequence[float] = (), *,
             value: str = "value", keys=SERIES_KEY, step_s: int = HOUR_S, compat: bool = False,
-            chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+            chunk_rows: int = CHUNK_ROWS, dense: bool = False) -> DataFrame:
     w = chunk_window(keys, "ts")
-    cut = _framed(df, keys, step_s, 0, max(horizons), chunk_rows)
+    cut = _framed(df, keys, step_s, 0, max(horizons), chunk_rows, dense)
     return own_rows(cut.withColumns(future_columns(w, value, horizons, thresholds, compat)))
 
 
@@ -228,11 +240,11 @@ def hourly_rate(value: str, window, hours: float = 24.0) -> Column:
 
 
 def largest_total(df: DataFrame, width: int, *, keys, step_s: int = HOUR_S,
-                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                  chunk_rows: int = CHUNK_ROWS, dense: bool = False) -> DataFrame:
     """Largest total over any `width` consecutive rows; the whole sum of a shorter series."""
     keys = list(keys)
     w = chunk_window(keys, "ts")
-    cut = with_halo(df, step_of("ts", step_s), max(chunk_rows, width), width - 1, 0)
+    cut = _framed(df, keys, step_s, width - 1, 0, max(chunk_rows, width), dense)
     frame = w.rowsBetween(-(width - 1), 0)
     framed = own_rows(cut.withColumns({"_total": F.sum("value").over(frame),
                                        "_rows": F.count(F.lit(1)).over(frame)}))

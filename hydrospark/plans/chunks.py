@@ -25,12 +25,24 @@ def chunk_of(ts: str, span_s: int) -> Column:
     return F.floor(seconds(ts) / F.lit(span_s))
 
 
+ROW = "_row"
+
+
+def numbered(df: DataFrame, keys: Sequence[str], ts: str, span_s: int) -> DataFrame:
+    """Adds `_row`, the place of a row in its series, counted by calendar chunks.
+
+    Frames count rows, so only this position is right for `with_halo` on a series with holes.
+    """
+    return running_totals(df, keys, [ts], chunk_of(ts, span_s), {ROW: F.lit(1)})
+
+
 def with_halo(df: DataFrame, position: Column, size: int, back: int = 0, ahead: int = 0
               ) -> DataFrame:
-    """Cut a regular series (one row per whole-number position) into chunks of `size` positions.
+    """Cut a series whose rows have consecutive whole-number positions into chunks of `size`.
 
     A row is also copied into every chunk whose rows reach it with a frame of `back` preceding and
-    `ahead` following positions. Compute over `chunk_window`, then keep the rows `own_rows` selects.
+    `ahead` following rows. Compute over `chunk_window`, then keep the rows `own_rows` selects.
+    Positions with holes between them would copy too few rows: number such a series first.
     """
     home = F.floor(position / F.lit(size))
     if not back and not ahead:
@@ -43,7 +55,7 @@ def with_halo(df: DataFrame, position: Column, size: int, back: int = 0, ahead:
 
 
 def own_rows(df: DataFrame) -> DataFrame:
-    return df.filter(HOME).drop(CHUNK, HOME)
+    return df.filter(HOME).drop(CHUNK, HOME, ROW)
 
 
 def chunk_window(keys: Sequence[str], *order: str | Column) -> WindowSpec:

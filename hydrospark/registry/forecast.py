@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from hydrospark.functions import hazard, stage as stage_rules
@@ -9,21 +11,19 @@ from hydrospark.operators import evaluation as ev, features
 from hydrospark.registry import query
 from hydrospark.session import run_dir
 from hydrospark.registry.tables import (
-    G_SQL, GAUGE_KEY, plain_times, rounded, stage, table,
+    G_SQL, GAUGE_KEY, R_SQL, plain_times, readings, rounded, stage, table,
 )
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
 EDGES = [("view", "click", "a"), ("view", "error", "b"), ("purchase", "click", "a"),
          ("purchase", "signup", "b"), ("click", "error", "a")]
-CFG = features.FrameConfig(
-    upstream=["a", "b"], lags=(1, 3, 24), rolls=(3, 24), upstream_rolls=(6, 24),
-    precip_rolls=(6, 24), soil_rolls=(24,), api_window=48, horizons=(6, 24), thresholds=(100.0,),
-    chunk_rows=240)
+#: The full configuration; chunks are short so that the test tables cross many cuts.
+CFG = features.FrameConfig(upstream=["a", "b"], thresholds=(100.0,), chunk_rows=400, dense=True)
 
 
-def frame_inputs(spark, sf_dir):
+def frame_inputs(spark, sf_dir, hourly=None):
     """Every event type is a gauge and, scaled, the rain and soil record of the next type."""
-    g = stage(spark, sf_dir)
+    g = stage(spark, sf_dir) if hourly is None else hourly
     series = g.select("entity_id", "ts", F.explode(F.array(
         F.struct(F.lit("stage").alias("metric"), F.col("value")),
         F.struct(F.lit("precip").alias("metric"), (F.col("value") / 100).alias("value")),
@@ -44,17 +44,17 @@ def _w(n):
     return f"ROWS {n - 1} PRECEDING"
 
 
-def _frame_sql() -> str:
+def _frame_sql(source: str = "g") -> str:
     r = lambda x: f"round({x} + 1e-9, 6)"
     w = "OVER (PARTITION BY entity_id ORDER BY ts {})"
     rolls = {"mean": "avg", "max": "max", "min": "min", "std": "stddev_samp"}
     cols = [f"lag(value, {k}) {w.format('')} AS lag{k}" for k in CFG.lags]
     cols += [f"value - lag(value, {k}) {w.format('')} AS delta{k}" for k in CFG.lags]
-    cols += [f"{fn}(value) {w.format(_w(n))} AS roll{n}_{a}" for n in (3, 6, 24) for a, fn in rolls.items()]
-    cols += [f"sum(value / 100) {w.format(_w(n))} AS psum{n}" for n in (6, 24)]
-    feats = f"ft AS (SELECT *, row_number() {w.format('')} AS i, {', '.join(cols)} FROM g)"
+    cols += [f"{fn}(value) {w.format(_w(n))} AS roll{n}_{a}" for n in CFG.rolls for a, fn in rolls.items()]
+    cols += [f"sum(value / 100) {w.format(_w(n))} AS psum{n}" for n in CFG.precip_rolls]
+    feats = f"ft AS (SELECT *, row_number() {w.format('')} AS i, {', '.join(cols)} FROM {source})"
     api = ("api AS (SELECT a.entity_id, a.ts, sum(pow(0.99, a.i - b.i) * b.value / 100) AS api FROM ft a JOIN ft b"
-           " ON a.entity_id = b.entity_id AND b.i BETWEEN a.i - 47 AND a.i GROUP BY 1, 2)")
+           f" ON a.entity_id = b.entity_id AND b.i BETWEEN a.i - {CFG.api_window - 1} AND a.i GROUP BY 1, 2)")
     tg = "tg(target_id, wx) AS (VALUES " + ", ".join(
         f"('{a}', '{b}')" for a, b in zip(TYPES, TYPES[1:] + TYPES[:1])) + ")"
     ed = "ed(target_id, up, slot) AS (VALUES " + ", ".join(str(e) for e in EDGES) + ")"
@@ -66,15 +66,16 @@ def _frame_sql() -> str:
     out += [f"{r(f's.delta{k}')} AS self__stage_ft__delta{k}" for k in CFG.lags]
     for u in ("a", "b"):
         out += [f"{u}.lag{k} AS up_{u}__stage_ft__lag{k}" for k in CFG.lags]
-        out += [f"{r(f'{u}.roll{n}_{a}')} AS up_{u}__stage_ft__roll{n}_{a}" for n in (6, 24) for a in rolls]
-    for n in (6, 24):
+        out += [f"{r(f'{u}.roll{n}_{a}')} AS up_{u}__stage_ft__roll{n}_{a}" for n in CFG.upstream_rolls for a in rolls]
+    for n in CFG.precip_rolls:
         out += [f"{r(f'x.psum{n}')} AS precip__roll{n}_sum", f"{r(f'x.roll{n}_max / 100')} AS precip__roll{n}_max"]
-    out += [f"{r('api.api')} AS precip__api48_d99", f"{r('x.value / 1000')} AS soil_top",
-            f"{r('x.roll24_mean / 1000')} AS soil_top__roll24_mean", f"{r('x.roll24_max / 1000')} AS soil_top__roll24_max",
+    out += [f"{r('api.api')} AS precip__api{CFG.api_window}_d99", f"{r('x.value / 1000')} AS soil_top",
             f"{r('x.value / 2000')} AS soil_deep"]
+    for n in CFG.soil_rolls:
+        out += [f"{r(f'x.roll{n}_{a} / 1000')} AS soil_top__roll{n}_{a}" for a in ("mean", "max")]
     tw = "OVER (PARTITION BY h.target_id ORDER BY h.ts {})"
     lab = []
-    for n in (6, 24):
+    for n in CFG.horizons:
         peak = (f"CASE WHEN lead(1, {n - 1}) {tw.format('')} IS NOT NULL THEN max(s.value) "
                 + tw.format(f"ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING") + " END")
         lab += [f"{peak} AS y_future_max_{n}h", f"{r(f'{peak} - s.value')} AS y_future_rise_{n}h",
@@ -93,6 +94,18 @@ def training_frame(spark, sf_dir):
     return rounded(frame(spark, sf_dir), nudge=1e-9)
 
 
+@query("gapped_training_frame", f"""WITH {R_SQL},
+q AS (SELECT entity_id, date_trunc('hour', ts) AS ts, max(value) AS value FROM r
+      WHERE value >= 20 GROUP BY 1, 2), {_frame_sql("q")} SELECT * FROM fr""")
+def gapped_training_frame(spark, sf_dir):
+    """Hours without a reading of 20 or more are missing, so that every series has holes."""
+    from hydrospark.operators import timeseries as ts
+
+    hourly = ts.bucket_max(readings(spark, sf_dir).where("value >= 20"), keys=GAUGE_KEY)
+    cfg = dataclasses.replace(CFG, dense=False)
+    return rounded(features.training_frame(*frame_inputs(spark, sf_dir, hourly), cfg), nudge=1e-9)
+
+
 # ---- folds and metrics: the stage six hours ago as a forecast of the present -----------------
 
 FOLD_SQL = f"""{G_SQL},
@@ -106,10 +119,8 @@ fo AS (SELECT *, CASE WHEN n > warm_up + 5 AND position >= warm_up THEN CAST(lea
 def forecasts(spark, sf_dir):
     from hydrospark.operators import timeseries as ts
 
-    w = ts.chunk_window(GAUGE_KEY, "ts")
-    cut = ts.with_halo(stage(spark, sf_dir), ts.step_of("ts", ts.HOUR_S), 240, 6, 0)
-    out = ts.own_rows(cut.withColumns({"pred": F.lag("value", 6).over(w),
-                                       "current": F.lag("value", 1).over(w)}))
+    lagged = ts.lags(stage(spark, sf_dir), [1, 6], keys=GAUGE_KEY, chunk_rows=240, dense=True)
+    out = lagged.withColumnsRenamed({"x__lag6": "pred", "x__lag1": "current"})
     return ev.fold_ids(out.withColumnsRenamed({"entity_id": "target_id", "value": "actual"}),
                        span_s=5 * 86400)
 

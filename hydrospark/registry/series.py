@@ -19,7 +19,7 @@ def rolling_max_of_hourly_max(spark, sf_dir):
     """Hourly maximum per gauge, gaps filled, then the trailing day's maximum."""
     hourly = ts.bucket_max(readings(spark, sf_dir), keys=GAUGE_KEY)
     filled = ts.fill_forward(hourly, keys=GAUGE_KEY)
-    return plain_times(ts.rolling(filled, [24], ["max"], keys=GAUGE_KEY, name="stage"))
+    return plain_times(ts.rolling(filled, [24], ["max"], keys=GAUGE_KEY, name="stage", dense=True))
 
 
 query("hourly_rolling_max", f"""
@@ -93,32 +93,49 @@ def first_metric(spark, sf_dir):
     return plain_times(ts.first_metric(history(spark, sf_dir), aliases))
 
 
+LAGS, ROLLS, HORIZONS = (1, 3, 6, 12, 24), (3, 6, 12, 24, 72), (6, 24, 72)
+
+_LAGS_SQL = ", ".join(f"lag(value, {k}) OVER w AS x__lag{k}, round(value - lag(value, {k}) OVER w, 6) AS x__delta{k}"
+                      for k in LAGS)
+
+
 @query("lag_delta", f"""WITH {G_SQL}
-SELECT entity_id, ts, value, lag(value, 1) OVER w AS x__lag1, lag(value, 3) OVER w AS x__lag3,
-       lag(value, 24) OVER w AS x__lag24, round(value - lag(value, 1) OVER w, 6) AS x__delta1,
-       round(value - lag(value, 6) OVER w, 6) AS x__delta6
+SELECT entity_id, ts, value, {_LAGS_SQL}
 FROM g WINDOW w AS (PARTITION BY entity_id ORDER BY ts)""")
 def lag_delta(spark, sf_dir):
-    w = ts.chunk_window(GAUGE_KEY, "ts")
-    cut = ts.with_halo(stage(spark, sf_dir), ts.step_of("ts", ts.HOUR_S), CHUNK, 24, 0)
-    return rounded(ts.own_rows(cut.withColumns(
-        ts.lag_columns(w, "value", [1, 3, 24], "x") | ts.delta_columns(w, "value", [1, 6], "x"))))
+    lagged = ts.lags(stage(spark, sf_dir), LAGS, keys=GAUGE_KEY, chunk_rows=CHUNK, dense=True)
+    return rounded(ts.deltas(lagged, LAGS, keys=GAUGE_KEY, chunk_rows=CHUNK, dense=True))
 
 
-@query("rolling_stats", f"""WITH {G_SQL}
-SELECT entity_id, ts, value,
-  round(avg(value) OVER w3 + 1e-9, 6) AS x__roll3_mean, max(value) OVER w3 AS x__roll3_max,
-  min(value) OVER w3 AS x__roll3_min, round(stddev_samp(value) OVER w3 + 1e-9, 6) AS x__roll3_std,
-  round(avg(value) OVER w24 + 1e-9, 6) AS x__roll24_mean, max(value) OVER w24 AS x__roll24_max,
-  min(value) OVER w24 AS x__roll24_min, round(stddev_samp(value) OVER w24 + 1e-9, 6) AS x__roll24_std,
-  round(avg(value) OVER w72 + 1e-9, 6) AS x__roll72_mean, max(value) OVER w72 AS x__roll72_max,
-  min(value) OVER w72 AS x__roll72_min, round(stddev_samp(value) OVER w72 + 1e-9, 6) AS x__roll72_std
-FROM g WINDOW w3 AS (PARTITION BY entity_id ORDER BY ts ROWS 2 PRECEDING),
-  w24 AS (PARTITION BY entity_id ORDER BY ts ROWS 23 PRECEDING),
-  w72 AS (PARTITION BY entity_id ORDER BY ts ROWS 71 PRECEDING)""")
+def _rolls_sql(source: str) -> str:
+    columns = ", ".join(
+        f"round(avg(value) OVER w{k} + 1e-9, 6) AS x__roll{k}_mean, max(value) OVER w{k} AS x__roll{k}_max, "
+        f"min(value) OVER w{k} AS x__roll{k}_min, round(stddev_samp(value) OVER w{k} + 1e-9, 6) AS x__roll{k}_std"
+        for k in ROLLS)
+    frames = ", ".join(f"w{k} AS (PARTITION BY entity_id ORDER BY ts ROWS {k - 1} PRECEDING)" for k in ROLLS)
+    return f"SELECT entity_id, ts, value, {columns} FROM {source} WINDOW {frames}"
+
+
+@query("rolling_stats", f"WITH {G_SQL} {_rolls_sql('g')}")
 def rolling_stats(spark, sf_dir):
-    return rounded(ts.rolling(stage(spark, sf_dir), [3, 24, 72], keys=GAUGE_KEY,
-                              chunk_rows=CHUNK), nudge=1e-9)
+    return rounded(ts.rolling(stage(spark, sf_dir), ROLLS, keys=GAUGE_KEY,
+                              chunk_rows=CHUNK, dense=True), nudge=1e-9)
+
+
+def _gapped(spark, sf_dir):
+    """Hourly maxima of every user's events: far fewer rows than hours, with holes of any length."""
+    events = history(spark, sf_dir).select("entity_id", "ts", "value")
+    return ts.bucket_max(events, keys=GAUGE_KEY)
+
+
+_GAPPED_SQL = f"""WITH {H_SQL},
+q AS (SELECT entity_id, date_trunc('hour', ts) AS ts, max(value) AS value FROM h GROUP BY 1, 2)"""
+
+
+@query("gapped_rolling", f"{_GAPPED_SQL} {_rolls_sql('q')}")
+def gapped_rolling(spark, sf_dir):
+    return rounded(ts.rolling(_gapped(spark, sf_dir), ROLLS, keys=GAUGE_KEY, chunk_rows=CHUNK),
+                   nudge=1e-9)
 
 
 @query("antecedent_index", f"""WITH {G_SQL},
@@ -129,29 +146,41 @@ SELECT a.entity_id, a.ts, a.value,
 FROM n a JOIN n b ON a.entity_id = b.entity_id AND b.i BETWEEN a.i - 335 AND a.i
 GROUP BY 1, 2, 3""")
 def antecedent_index(spark, sf_dir):
-    short = ts.antecedent(stage(spark, sf_dir), 0.85, 14, keys=GAUGE_KEY, chunk_rows=CHUNK)
-    return rounded(ts.antecedent(short, 0.99, 336, keys=GAUGE_KEY), nudge=1e-9)
-
-
-@query("future_targets", f"""WITH {G_SQL},
-f AS (SELECT *, CASE WHEN lead(1, 5) OVER w IS NOT NULL THEN max(value) OVER w6 END AS m6,
-             CASE WHEN lead(1, 23) OVER w IS NOT NULL THEN max(value) OVER w24 END AS m24,
-             lead(value, 6) OVER w AS v6, lead(value, 24) OVER w AS v24
-      FROM g WINDOW w AS (PARTITION BY entity_id ORDER BY ts),
-        w6 AS (PARTITION BY entity_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING),
-        w24 AS (PARTITION BY entity_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING))
-SELECT entity_id, ts, value, m6 AS y_future_max_6h, round(m6 - value, 6) AS y_future_rise_6h, v6 AS y_future_val_6h,
-       CAST(m6 >= 100 AS INTEGER) AS "y_peak_above_100.0_6h", m24 AS y_future_max_24h,
-       round(m24 - value, 6) AS y_future_rise_24h, v24 AS y_future_val_24h,
-       CAST(m24 >= 100 AS INTEGER) AS "y_peak_above_100.0_24h"
-FROM f""")
-def future_targets(spark, sf_dir):
-    out = ts.targets(stage(spark, sf_dir), [6, 24], [100.0], keys=GAUGE_KEY, chunk_rows=CHUNK)
-    for h in (6, 24):
+    short = ts.antecedent(stage(spark, sf_dir), 0.85, 14, keys=GAUGE_KEY, chunk_rows=CHUNK,
+                          dense=True)
+    return rounded(ts.antecedent(short, 0.99, 336, keys=GAUGE_KEY, dense=True), nudge=1e-9)
+
+
+def _targets_sql(source: str) -> str:
+    inner = ", ".join(
+        f"CASE WHEN lead(1, {h - 1}) OVER w IS NOT NULL THEN max(value) OVER w{h} END AS m{h}, "
+        f"lead(value, {h}) OVER w AS v{h}" for h in HORIZONS)
+    frames = ", ".join(f"w{h} AS (PARTITION BY entity_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)"
+                       for h in HORIZONS)
+    outer = ", ".join(
+        f"m{h} AS y_future_max_{h}h, round(m{h} - value, 6) AS y_future_rise_{h}h, v{h} AS y_future_val_{h}h, "
+        f'CAST(m{h} >= 100 AS INTEGER) AS "y_peak_above_100.0_{h}h"' for h in HORIZONS)
+    return (f"SELECT entity_id, ts, value, {outer} FROM (SELECT *, {inner} FROM {source} "
+            f"WINDOW w AS (PARTITION BY entity_id ORDER BY ts), {frames})")
+
+
+def _with_targets(df, dense):
+    out = ts.targets(df, HORIZONS, [100.0], keys=GAUGE_KEY, chunk_rows=CHUNK, dense=dense)
+    for h in HORIZONS:
         out = out.withColumn(f"y_future_rise_{h}h", F.round(f"y_future_rise_{h}h", 6) + 0.0)
     return plain_times(out)
 
 
+@query("future_targets", f"WITH {G_SQL} {_targets_sql('g')}")
+def future_targets(spark, sf_dir):
+    return _with_targets(stage(spark, sf_dir), True)
+
+
+@query("gapped_targets", f"{_GAPPED_SQL} {_targets_sql('q')}")
+def gapped_targets(spark, sf_dir):
+    return _with_targets(_gapped(spark, sf_dir), False)
+
+
 @query("forward_backward_sums", f"""WITH {R_SQL},
 d AS (SELECT entity_id, CAST(ts AS DATE) AS day, max(value) AS value FROM r GROUP BY 1, 2)
 SELECT entity_id, day, value,
@@ -176,7 +205,8 @@ SELECT entity_id, round(coalesce(max(t6) FILTER (n6 = 6), sum(value)), 4) AS max
        max(value) AS peak_value, CASE WHEN max(value) > 0 THEN arg_max(ts, (value, -epoch_us(ts))) END AS peak_ts
 FROM f GROUP BY entity_id""")
 def max_window_total(spark, sf_dir):
-    return rounded(ts.largest_total(stage(spark, sf_dir), 6, keys=GAUGE_KEY, chunk_rows=CHUNK), 4)
+    return rounded(ts.largest_total(stage(spark, sf_dir), 6, keys=GAUGE_KEY, chunk_rows=CHUNK,
+                                    dense=True), 4)
 
 
 @query("cumulative_share", f"""WITH {R_SQL}
