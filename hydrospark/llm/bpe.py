@@ -24,7 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces and chunks that a worker remembers before it starts afresh.
-HELD = 300_000
+HELD = 120_000
+
+
+def _lines(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
+@cache
+def tokens_at(path: str) -> dict[int, bytes]:
+    """Bytes of every id: all that decoding needs."""
+    return {rank: token for token, rank in _lines(path).items()}
 
 
 class Ranks:
@@ -48,8 +59,7 @@ class Ranks:
 
     @classmethod
     def read(cls, path: str) -> Ranks:
-        with open(path, "rb") as lines:
-            return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)})
+        return cls(_lines(path))
 
     def _parts(self, token: bytes, rank: int) -> tuple[int, int]:
         for i in range(len(token) - 1, 0, -1):
@@ -230,7 +240,7 @@ def _encode(path: str, pattern: str):
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = ranks_at(path).token.__getitem__
+        token = tokens_at(path).__getitem__
         for batch in batches:
             out = [b"".join(map(token, memoryview(ids).cast("I"))) if ids else b"" for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
