@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 
 from hydrospark.llm.blocks import bitmap_of, has_bits, packed, power_above, summed
 from hydrospark.llm.components import components
-from hydrospark.llm.shared import WordHashes, as_bytes, grams, mixed, staged
+from hydrospark.llm.shared import Words, as_bytes, grams, mixed, staged
 
 #: Counters of token frequencies; estimates are never too low.
 COUNTERS_LOG2 = 20
 #: Bits of the parity sketch that bounds the difference of two sets.
 SKETCH_BITS = 1024
-#: Bits of a class key that hold how common the document's tokens are.
-COMMON_BITS = 10
+#: Bits of a class key that hold how common the document's tokens are, and how many they are.
+COMMON_BITS, SIZE_BITS = 10, 9
+#: Ratio of the sizes that one size class spans.
+SIZE_STEP = 1.05
 
 
 def token_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -38,14 +40,21 @@ def token_set(words: np.ndarray, n: int) -> np.ndarray:
         return words
     if len(words) < n:
         return mixed(grams(words, len(words)) + np.uint64(len(words)))
-    return np.unique(grams(words, n))
+    return distinct(grams(words, n))
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    first = np.ones(len(values), dtype=bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    return values[first]
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int | None, np.ndarray]]:
-    known = WordHashes()
+    known = Words(bytes(range(256)).lower())
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-            yield doc, token_set(known.of(text.lower().split()), n) if text else np.empty(0, np.uint64)
+            yield doc, token_set(known.of(text), n)
 
 
 def _count(n: int):
@@ -124,10 +133,15 @@ def _parity(tokens: np.ndarray) -> bytes:
 
 
 def _class_key(tokens: np.ndarray, level: np.ndarray) -> int:
-    """An unsigned 63-bit key whose leading bits grow with how common the tokens are."""
+    """A 63-bit key: how common the tokens are, the size class, and a hash of the set."""
     common = min(2**COMMON_BITS - 1, int(level.mean() * 16)) if len(tokens) else 0
-    rest = xxhash.xxh3_64_intdigest(tokens.tobytes()) >> (COMMON_BITS + 1)
-    return common << (63 - COMMON_BITS) | rest
+    size = min(2**SIZE_BITS - 1, int(math.log(len(tokens)) / math.log(SIZE_STEP))) if len(tokens) else 0
+    rest = xxhash.xxh3_64_intdigest(tokens.tobytes()) >> (COMMON_BITS + SIZE_BITS + 1)
+    return (common << SIZE_BITS | size) << (63 - COMMON_BITS - SIZE_BITS) | rest
+
+
+def _size_class(key: str):
+    return F.shiftright(F.col(key), 63 - COMMON_BITS - SIZE_BITS).bitwiseAND(F.lit(2**SIZE_BITS - 1))
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
@@ -255,13 +269,14 @@ def groups(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), i
 
     Links are found in two rounds. First every set meets the most common set of each of its
     buckets, which joins large groups of near copies at their centre. Then every pair of a bucket
-    whose sets are not yet in one component is tested, so that no link between components is lost.
+    whose sizes are near and whose sets are not yet in one component is tested, so that no link between components is lost.
     """
     spark, t = docs.sparkSession, similarity
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sized = staged(read.mapInArrow(_count(n), "id long, n long, k1 long, k2 long, name int, part int, counts binary"),
                    "sets")
-    counts = summed(sized.where("counts is not null").select("name", "part", "counts"), "tokens")[0]
+    counts = summed(sized.where("counts is not null").select("name", "part", "counts"), "tokens").get(
+        0, np.zeros(1 << COUNTERS_LOG2, dtype=np.int64))
     members = sized.where("counts is null").select("id", "n", "k1", "k2")
     total = members.count()
     frequent = int(_levels(np.array([max(255, 4 * counts.mean(), total / 1024)]))[0])
@@ -272,9 +287,12 @@ def groups(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), i
     classes = staged(indexed.where("sig is null").select("key", "n", "k1", "k2", "sketch")
                      .dropDuplicates(["key", "k1", "k2"]).join(least, ["k1", "k2"]), "classes")
     rows = indexed.where("sig is not null").select("sig", "key")
-    heads = rows.groupBy("sig").agg(F.max("key").alias("head"), F.min("key").alias("tail")).where("head <> tail")
-    buckets = staged(rows.join(heads.select("sig", "head"), "sig").distinct()
+    several = rows.groupBy("sig").agg(F.max("key").alias("hi"), F.min("key").alias("lo")).where("lo <> hi").select("sig")
+    buckets = staged(rows.join(several, "sig").distinct().withColumn("size", _size_class("key"))
                      .join(classes.select("key", "rep"), "key"), "buckets")
+    heads = buckets.groupBy("sig", "size").agg(F.max("key").alias("head"))
+    # sets whose size classes are further apart cannot link
+    apart = math.floor(math.log(t[1] / t[0]) / math.log(SIZE_STEP)) + 1
 
     def near(pairs: DataFrame) -> DataFrame:
         a, b = (classes.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
@@ -282,6 +300,8 @@ def groups(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), i
         return pairs.distinct().join(a, "a").join(b, "b").mapInArrow(_near(t), "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        if pairs.isEmpty():
+            return pairs
         reps = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         wanted = staged(classes.join(reps, "rep", "left_semi").select("key", "k1", "k2", "rep"), "asked")
         size = power_above(16 * wanted.count(), 12, 27)
@@ -291,16 +311,18 @@ def groups(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), i
         a, b = (sets.withColumnsRenamed({"rep": k, "tokens": f"t{k}"}) for k in "ab")
         return staged(pairs.join(a, "a").join(b, "b").mapInArrow(_verify(t), "a long, b long"), "verified")
 
-    stars = (buckets.where("key <> head").select(F.col("rep").alias("a"), "head").distinct()
+    stars = (buckets.join(heads, ["sig", "size"]).where("key <> head").select(F.col("rep").alias("a"), "head").distinct()
              .join(classes.select(F.col("key").alias("head"), F.col("rep").alias("b")), "head").select("a", "b"))
     links = verified(staged(near(stars), "stars"))
     named = components(links)
     at = (buckets.join(named, buckets["rep"] == named["node"], "left")
-          .select("sig", "rep", F.coalesce("component", "rep").alias("of")))
+          .select("sig", "rep", "size", F.coalesce("component", "rep").alias("of")))
     split = at.groupBy("sig").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("sig")
     open_ = staged(at.join(split, "sig"), "open")
-    x, y = (open_.select("sig", F.col("rep").alias(k), F.col("of").alias(f"of_{k}")) for k in "ab")
-    pairs = x.join(y, "sig").where("a < b and of_a <> of_b").select("a", "b")
+    x, y = (open_.select("sig", F.col("rep").alias(k), F.col("of").alias(f"of_{k}"), F.col("size").alias(f"size_{k}"))
+            for k in "ab")
+    pairs = (x.join(y, "sig").where("a < b and of_a <> of_b")
+             .where(F.abs(F.col("size_a") - F.col("size_b")) <= apart).select("a", "b"))
     more = verified(staged(near(pairs), "pairs"))
     of = components(links.unionByName(more))
     known = classes.join(of, classes["rep"] == of["node"], "left")
