@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrospark.llm import bpe, decontaminate, ngram_join, secrets, toxicity
+from hydrospark.llm import bpe, decontaminate, ngram_join, secret_scan, toxicity
 from hydrospark.llm.shared import importable, staged
 from hydrospark.session import configure, run_dir
 
@@ -43,7 +43,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(configure(spark))
-    return secrets.without_secrets(docs, secrets.Ledger(spark, run_dir(spark, "ledger")))
+    return secret_scan.without_secrets(docs, secret_scan.Ledger(spark, run_dir(spark, "ledger")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrospark.llm.blocks import bitmap_of, has_bits, power_above
-from hydrospark.llm.shared import WordHashes, as_bytes, grams, mixed, staged, window_minima
+from hydrospark.llm.shared import Words, as_bytes, grams, mixed, staged, window_minima
 
 GRAM = 5
 
@@ -50,12 +50,12 @@ def _fingerprints(window: int, shorter: list[int], bitmap, item_side: bool):
     width = window - GRAM + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, filter_ = WordHashes(), None if bitmap is None else bitmap.value
+        known, filter_ = Words(LETTERS), None if bitmap is None else bitmap.value
         for batch in batches:
             ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             rows: list[tuple] = []
             for doc, text, text_hash in zip(ids, as_bytes(batch.column(1)), hashes, strict=True):
-                words = known.of(text.translate(LETTERS).split()) if text else np.empty(0, np.uint64)
+                words = known.of(text)
                 n = len(words)
                 rows.append((doc, text_hash, n, None, None, None, None, None))
                 found = []

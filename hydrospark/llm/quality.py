@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrospark.llm.blocks import packed, summed
-from hydrospark.llm.shared import WordHashes, as_bytes, staged
+from hydrospark.llm.shared import Words, as_bytes, staged
 
 #: Names of the statistics, all of them 0 for an empty text.
 STATISTICS = ("log_bytes", "log_words", "word_bytes", "word_spread", "upper", "digits", "beyond_ascii", "commas_stops",
@@ -40,10 +40,10 @@ class Spec:
     threshold: float = 0.7
 
 
-def statistics(known: WordHashes, text: bytes | None) -> list[float]:
+def statistics(known: Words, text: bytes | None) -> list[float]:
     if not text or not (parts := text.split()):
         return [0.0] * len(STATISTICS)
-    size, words = len(text), known.of(parts)
+    size, words = len(text), known.of(text)
     n = len(words)
     kinds = np.bincount(_CLASSES[np.frombuffer(text, np.uint8)], minlength=8)[1:] / size
     lengths = np.fromiter(map(len, parts), np.int64, n)
@@ -57,7 +57,7 @@ def statistics(known: WordHashes, text: bytes | None) -> list[float]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
+    known = Words()
     for batch in batches:
         rows = [statistics(known, text) for text in as_bytes(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))],

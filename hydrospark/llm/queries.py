@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrospark.llm import bpe, decontaminate, langid, ngram_join, outliers, pii, quality, secrets, substrings, toxicity
+from hydrospark.llm import bpe, decontaminate, langid, ngram_join, outliers, pii, quality, secret_scan, substrings, toxicity
+from hydrospark.llm.oracle import ORACLE_SQL  # noqa: F401 - read by the entry module
 from hydrospark.llm.shared import importable, staged
 from hydrospark.session import configure, run_dir
 
@@ -70,14 +71,14 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    found = secrets.Ledger(spark, run_dir(spark, "ledger")).scan(docs)
+    found = secret_scan.Ledger(spark, run_dir(spark, "ledger")).scan(docs)
     base = F.filter("found", lambda s: s["base"])
 
     def of_kind(kind: str):
         return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", of_kind("assign"), of_kind("access"), of_kind("hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"),
-                        secrets.listed(F.col("found")).alias("spans"))
+    return found.select("doc_id", of_kind("assign"), of_kind("access"), of_kind("hex"), F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+                        secret_scan.listed(F.col("found")).alias("spans"))
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +88,3 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_quality, op3_ngram_join, op4_outliers, op5_decontaminate, op6_language, op7_toxicity,
     op8_substring_dedup, op9_secrets, op10_surrogates)}
-
-ORACLE_SQL: dict[str, str] = {}

@@ -15,27 +15,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Distinct words a Python worker remembers before it starts afresh.
-WORDS_HELD = 300_000
+#: Bytes of a text that are hashed at a time, and the rest of the word that they end in.
+STRIDE = 1 << 20
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
+_INVERSE = pow(_MULTIPLIER, -1, 2**64)
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-class WordHashes(dict):
-    """Hash of a word (bytes) as an unsigned 64-bit integer, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= WORDS_HELD:
-            self.clear()
-        self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread every input bit over the word, so that minima and leading bits are even."""
     h = (h ^ (h >> np.uint64(30))) * _MIX_1
@@ -43,6 +30,59 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class Words:
+    """Hashes of the words of texts, an unsigned 64-bit integer each, by numpy alone.
+
+    A word's hash is a polynomial over random values of its bytes, taken from running sums over the
+    text: no word is ever an object of its own. `translation` maps bytes first; bytes that it
+    makes white space separate words, and others are white space as for bytes.split.
+    """
+
+    def __init__(self, translation: bytes | None = None):
+        mapped = np.frombuffer(translation or bytes(range(256)), np.uint8)
+        values = np.random.default_rng(0x5EED).integers(0, 2**64, 256, dtype=np.uint64)
+        self._value, self._solid = values[mapped], ~np.isin(mapped, [32, 9, 10, 11, 12, 13])
+        self._value[~self._solid] = 0
+        self._up, self._down = _powers(_MULTIPLIER, 1), _powers(_INVERSE, 1)
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, dtype=np.uint64)
+        if len(text) > STRIDE:
+            return np.concatenate([self._hashed(part) for part in self._strides(text)])
+        return self._hashed(text)
+
+    def _hashed(self, text: bytes) -> np.ndarray:
+        codes = np.frombuffer(text, np.uint8)
+        n = len(codes)
+        if n >= len(self._up):
+            size = 1 << int(n).bit_length()
+            self._up, self._down = _powers(_MULTIPLIER, size), _powers(_INVERSE, size)
+        solid = np.zeros(n + 2, dtype=bool)
+        solid[1:-1] = self._solid[codes]
+        edges = np.flatnonzero(solid[1:] != solid[:-1])
+        begin, end = edges[::2], edges[1::2]
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(self._value[codes] * self._up[:n], out=sums[1:])
+        return mixed((sums[end] - sums[begin]) * self._down[begin])
+
+    def _strides(self, text: bytes):
+        """The text cut at white space, so that a long one needs little memory; a word is never cut."""
+        at = 0
+        while at < len(text):
+            end = min(len(text), at + STRIDE)
+            while end < len(text) and self._solid[text[end]]:
+                end += 1
+            yield text[at:end]
+            at = end
+
+
 def grams(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words from each position on; empty when there are fewer than k words."""
     n = len(words) - k + 1

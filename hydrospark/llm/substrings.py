@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrospark.llm.blocks import has_bits, packed, power_above, set_bits, summed, unpacked
-from hydrospark.llm.shared import WordHashes, as_bytes, grams, mixed, runs, staged, window_minima
+from hydrospark.llm.shared import Words, as_bytes, grams, mixed, runs, staged, window_minima
 
 SYNC = 6
 PREFIXES = (4, 8)
@@ -51,7 +51,7 @@ def _census(window: int, ranges_log2: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known, part = WordHashes(), TaskContext.get().partitionId()
+        known, part = Words(), TaskContext.get().partitionId()
         held, n_held, last = [], 0, None
         counts = {k: np.zeros(1 << CENSUS_LOG2, dtype=np.int64) for k in PREFIXES}
 
@@ -72,7 +72,7 @@ def _census(window: int, ranges_log2: int):
             for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 if not text or doc is None:
                     continue
-                words = known.of(text.split())
+                words = known.of(text)
                 if len(words) < window:
                     continue
                 for k in PREFIXES:
@@ -168,7 +168,7 @@ def _suffixes(window: int, groups: int, bitmap, census, limit: int):
     width = window - SYNC + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, points = WordHashes(), bitmap.value
+        known, points = Words(), bitmap.value
         heavy = {k: c > limit for k, c in census.value.items()}
         shift = np.uint64(64 - (len(points).bit_length() + 2))
         top = np.uint64(64 - CENSUS_LOG2)
@@ -191,7 +191,7 @@ def _suffixes(window: int, groups: int, bitmap, census, limit: int):
                                             batch.column(2).to_pylist(), strict=True):
                 if not text or doc is None:
                     continue
-                words = known.of(text.split())
+                words = known.of(text)
                 n = len(words) - window + 1
                 if n <= 0:
                     continue

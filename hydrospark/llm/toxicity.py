@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from hydrospark.llm.blocks import packed, unpacked
 from hydrospark.llm.decontaminate import LETTERS
-from hydrospark.llm.shared import WordHashes, as_bytes, grams, mixed, staged
+from hydrospark.llm.shared import Words, as_bytes, grams, mixed, staged
 
 WEIGHTS_LOG2 = 18
 
@@ -38,9 +38,9 @@ class Spec:
     threshold: float = 0.7
 
 
-def features(known: WordHashes, text: bytes | None) -> np.ndarray:
+def features(known: Words, text: bytes | None) -> np.ndarray:
     """Weight indices of a text, with repeats."""
-    words = known.of(text.translate(LETTERS).split()) if text else np.empty(0, np.uint64)
+    words = known.of(text)
     apart = mixed(words[:-2] * np.uint64(3) + words[2:] * np.uint64(0x9E3779B97F4A7C15)) if len(words) > 2 else words[:0]
     every = np.concatenate([mixed(words), grams(words, 2), apart])
     return (every >> np.uint64(64 - WEIGHTS_LOG2)).astype(np.int64)
@@ -65,7 +65,7 @@ def _train(state, spec: Spec):
     def run(table: pa.Table) -> pa.Table:
         z, n = (unpacked(b, np.float64) for b in state.value) if state.value else (
             np.zeros((1 << WEIGHTS_LOG2) + 1), np.zeros((1 << WEIGHTS_LOG2) + 1))
-        known, rows = WordHashes(), []
+        known, rows = Words(LETTERS), []
         for text, label in zip(as_bytes(table.column("text").combine_chunks()), table.column("label").to_pylist(),
                                strict=True):
             rows.append((np.append(np.unique(features(known, text)), 1 << WEIGHTS_LOG2), label))
@@ -117,7 +117,7 @@ def _score(model, threshold: float):
         places, values, bias = model.value
         w = np.zeros(1 << WEIGHTS_LOG2)
         w[places] = values
-        known = WordHashes()
+        known = Words(LETTERS)
         for batch in batches:
             scores = []
             for text in as_bytes(batch.column(1)):
@@ -146,7 +146,7 @@ def _keep(model, threshold: float, text_at: int):
         places, values, bias = model.value
         w = np.zeros(1 << WEIGHTS_LOG2)
         w[places] = values
-        known, limit = WordHashes(), np.log(threshold / (1 - threshold))
+        known, limit = Words(LETTERS), np.log(threshold / (1 - threshold))
         for batch in batches:
             keep = []
             for text in as_bytes(batch.column(text_at)):
