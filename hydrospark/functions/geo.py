@@ -65,11 +65,3 @@ def ring_distance_mi(lat: ColumnLike, lon: ColumnLike, ring: Ring) -> Column:
 def ring_proximity(distance_mi: ColumnLike) -> Column:
     miles = col(distance_mi)
     return F.when(miles.isNotNull(), F.exp(-F.greatest(F.lit(0.0), miles) / 100.0))
-
-
-def miles_to_degrees(miles: float, max_abs_lat: float) -> tuple[float, float]:
-    """Smallest (lat, lon) cell sides in degrees that are at least `miles` wide everywhere up to
-    the given latitude."""
-    lat_deg = math.degrees(miles / EARTH_RADIUS_MI)
-    lon_deg = lat_deg / max(0.01, math.cos(math.radians(min(89.0, max_abs_lat + lat_deg))))
-    return lat_deg * 1.001, lon_deg * 1.01

@@ -11,7 +11,7 @@ from hydrospark import dims
 from hydrospark.functions import hazard
 from hydrospark.functions.base import half_even, once, settle
 from hydrospark.plans.pick import top_rows
-from hydrospark.plans.spatial import nearest_point, within_fixed_sites, with_fixed_sites
+from hydrospark.plans.spatial import nearest_of_sites, nearest_point, with_fixed_sites, within_sites
 
 FOREST_FIRE_MI, DISTRICT_FIRE_MI, SLIDE_MI = 50.0, 25.0, 25.0
 FIRES_SHOWN, SLIDES_SHOWN = 6, 25
@@ -30,10 +30,11 @@ def area_sites(fire_miles: bool = True) -> list[dict]:
 AREA = ["area_type", "area_id"]
 
 
-def fires_near(fires: DataFrame, sites: Sequence[dict] | None = None) -> DataFrame:
+def fires_near(fires: DataFrame, sites: Sequence[dict] | DataFrame | None = None) -> DataFrame:
     """(area, fire) pairs inside each area's radius, with the rounded distance."""
     located = fires.dropna(subset=["lat", "lon"])
-    pairs = within_fixed_sites(located, sites or area_sites())
+    pairs = within_sites(located, area_sites() if sites is None else sites,
+                         FOREST_FIRE_MI if isinstance(sites, DataFrame) else None)
     return pairs.withColumn("distance_mi", half_even("distance_mi", 1)).drop(
         "site_lat", "site_lon", "site_radius_mi")
 
@@ -48,10 +49,11 @@ def fire_totals(pairs: DataFrame, keys: Sequence[str] = tuple(AREA)) -> DataFram
         F.min(contained).alias("min_contained_pct"))
 
 
-def slide_inventory(events: DataFrame, sites: Sequence[dict] | None = None,
+def slide_inventory(events: DataFrame, sites: Sequence[dict] | DataFrame | None = None,
                     shown: int = SLIDES_SHOWN) -> tuple[DataFrame, DataFrame]:
     """(count and newest year per area, the newest events per area)."""
-    pairs = within_fixed_sites(events.dropna(subset=["lat", "lon"]), sites or area_sites(False))
+    pairs = within_sites(events.dropna(subset=["lat", "lon"]), area_sites(False) if sites is None else sites,
+                         SLIDE_MI if isinstance(sites, DataFrame) else None)
     summary = pairs.groupBy(*AREA).agg(
         F.count("*").alias("slides"), F.max("year").alias("most_recent_year"))
     newest = top_rows(pairs, AREA, shown, F.desc_nulls_last("year"), "distance_mi",
@@ -59,10 +61,13 @@ def slide_inventory(events: DataFrame, sites: Sequence[dict] | None = None,
     return summary, newest
 
 
-def nearest_storm(storms: DataFrame, sites: Sequence[dict] | None = None,
+def nearest_storm(storms: DataFrame, sites: Sequence[dict] | DataFrame | None = None,
                   carry: Sequence[str] = ("name",)) -> DataFrame:
+    """The closest storm to each area; `sites` may be a table of any length."""
     located = storms.dropna(subset=["lat", "lon"])
-    return nearest_point(with_fixed_sites(located, sites or area_sites()), AREA, list(carry))
+    if isinstance(sites, DataFrame):
+        return nearest_of_sites(located, sites, AREA, list(carry))
+    return nearest_point(with_fixed_sites(located, area_sites() if sites is None else sites), AREA, list(carry))
 
 
 def alert_flags(alerts: DataFrame, keys: Sequence[str] = tuple(AREA)) -> DataFrame:
@@ -91,10 +96,10 @@ def landslide(df: DataFrame) -> DataFrame:
 
 
 def rollup(weather: DataFrame, alerts: DataFrame, fires: DataFrame, slides: DataFrame,
-           storms: DataFrame, sites: Sequence[dict] | None = None) -> DataFrame:
+           storms: DataFrame, sites: Sequence[dict] | DataFrame | None = None) -> DataFrame:
     """One row per forest and district. `weather` holds one row per area with its weather and soil
     columns. Every feed is reduced to one row per area before the joins."""
-    sites = sites or area_sites()
+    sites = area_sites() if sites is None else sites
     spark = weather.sparkSession
     areas = spark.createDataFrame(
         [(s["area_type"], s["area_id"], s["region"]) for s in sites],

@@ -2,61 +2,114 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydrospark.functions.geo import haversine_mi, miles_to_degrees
+from hydrospark.functions.geo import EARTH_RADIUS_MI, haversine_mi
+from hydrospark.session import run_dir
 
 HOT_CELL_ROWS = 200_000
 
 
-def _cell(value: Column, side: float) -> Column:
-    return F.floor(value / F.lit(side)).cast("int")
+def _bands(radius_mi: float) -> tuple[float, float]:
+    """Height of a latitude band in degrees, a little over the radius, and the radius in radians."""
+    angle = radius_mi / EARTH_RADIUS_MI * (1 + 1e-9) + 1e-12
+    return max(math.degrees(angle) * 1.001, 1e-6), angle
+
+
+def _cells_around(band: Column, height: float) -> Column:
+    """How many cells a latitude band is cut into: at least one radius wide at its narrowest."""
+    top = F.greatest(F.abs(band * height), F.abs((band + 1) * height))
+    narrow = F.cos(F.radians(F.least(top, F.lit(90.0))))
+    return F.greatest(F.lit(1), F.floor(F.lit(360.0 / height) * narrow)).cast("int")
+
+
+def _place_in_band(lon: Column, cells: Column) -> Column:
+    return F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * cells)
 
 
 def radius_join(points: DataFrame, sites: DataFrame, radius_mi: float, *, site_prefix: str = "site_",
-                max_abs_lat: float = 60.0, hot_cell_rows: int = HOT_CELL_ROWS,
-                point_lat: str = "lat", point_lon: str = "lon") -> DataFrame:
+                hot_cell_rows: int = HOT_CELL_ROWS, point_lat: str = "lat", point_lon: str = "lon"
+                ) -> DataFrame:
     """All (point, site) pairs within `radius_mi`, with `distance_mi`.
 
-    Site columns carry `site_prefix`, with coordinates in `{prefix}lat` and `{prefix}lon`. Cells are
-    at least one radius wide, so a match lies in one of nine cells of the site: an equi-join replaces
-    the comparison of all pairs. Points of a crowded cell are spread over as many salts as the cell
-    holds multiples of `hot_cell_rows`, and only the sites next to such a cell are copied to match.
-    Valid for latitudes up to `max_abs_lat` and away from the date line; wider data needs a larger
-    bound, which only widens the cells.
+    Site columns carry `site_prefix`, with coordinates in `{prefix}lat` and `{prefix}lon`. Latitude
+    bands a radius high are cut into cells a radius wide, fewer towards the poles, numbered around
+    the globe. A site looks in its own band and the two beside it, in the cells that its circle can
+    reach there, which may run across the date line or, next to a pole, all around: an equi-join
+    replaces the comparison of all pairs. Points of a crowded cell are spread over as many salts as
+    the cell holds multiples of `hot_cell_rows`, equal points too, and only the sites next to such
+    a cell are copied to match. Rows without coordinates match nothing.
     """
-    lat_side, lon_side = miles_to_degrees(radius_mi, max_abs_lat)
+    height, angle = _bands(radius_mi)
     cell = ["_cy", "_cx"]
-    placed = (points.withColumn("_cy", _cell(F.col(point_lat), lat_side))
-              .withColumn("_cx", _cell(F.col(point_lon), lon_side)))
+    band = F.floor(F.col(point_lat) / height)
+    placed = points.withColumn("_cy", band).withColumn(
+        "_cx", _place_in_band(F.col(point_lon), _cells_around(F.col("_cy"), height)))
     crowded = (placed.groupBy(*cell).agg(F.count("*").alias("_n"))
                .filter(F.col("_n") > hot_cell_rows)
                .select(*cell, F.ceil(F.col("_n") / hot_cell_rows).cast("int").alias("_salts")))
-    # Spread by row content: rows that are equal in every column may share a salt, others differ.
-    spread = F.pmod(F.xxhash64(*points.columns), F.coalesce("_salts", F.lit(1))).cast("int")
-    salted = placed.join(crowded, cell, "left").withColumn("_salt", spread).drop("_salts")
-
-    near = F.sequence(F.lit(-1), F.lit(1))
+    row = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_salts", F.lit(1)))
+    salted = placed.join(crowded, cell, "left").withColumn("_salt", row.cast("int")).drop("_salts")
+
+    lat, lon = F.col(f"{site_prefix}lat"), F.col(f"{site_prefix}lon")
+    polar = F.radians(F.abs(lat)) + angle >= math.pi / 2 - 1e-9
+    # Widest difference in longitude between a circle's centre and its rim.
+    reach = F.when(~polar, F.degrees(F.asin(F.least(F.lit(1.0), math.sin(min(angle, math.pi / 2))
+                                                    / F.cos(F.radians(lat))))) + 1e-6)
+    first = F.floor((lon - F.col("_reach") + 180.0) / 360.0 * F.col("_cells"))
+    last = F.floor((lon + F.col("_reach") + 180.0) / 360.0 * F.col("_cells"))
+    whole = F.col("_reach").isNull() | (last - first + 1 >= F.col("_cells"))
+    looked_in = F.when(whole, F.sequence(F.lit(0).cast("bigint"), F.col("_cells").cast("bigint") - 1)).otherwise(
+        F.sequence(first, last))
     around = (
-        sites.withColumn("_dy", F.explode(near)).withColumn("_dx", F.explode(near))
-        .withColumn("_cy", _cell(F.col(f"{site_prefix}lat"), lat_side) + F.col("_dy"))
-        .withColumn("_cx", _cell(F.col(f"{site_prefix}lon"), lon_side) + F.col("_dx"))
-        .drop("_dy", "_dx")
+        sites.filter(lat.isNotNull() & lon.isNotNull())
+        .withColumn("_cy", F.explode(F.sequence(F.floor(lat / height) - 1, F.floor(lat / height) + 1)))
+        .withColumns({"_cells": _cells_around(F.col("_cy"), height), "_reach": reach})
+        .withColumn("_cx", F.explode(looked_in))
+        .withColumn("_cx", F.pmod("_cx", F.col("_cells")))
+        .drop("_cells", "_reach")
         .join(crowded, cell, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
         .drop("_salts")
     )
-    distance = haversine_mi(F.col(f"{site_prefix}lat"), F.col(f"{site_prefix}lon"),
-                            F.col(point_lat), F.col(point_lon))
+    distance = haversine_mi(lat, lon, F.col(point_lat), F.col(point_lon))
     return (salted.join(around, [*cell, "_salt"])
             .withColumn("distance_mi", distance)
             .filter(F.col("distance_mi") <= radius_mi)
             .drop(*cell, "_salt"))
 
 
+def nearest_of_sites(points: DataFrame, sites: DataFrame, site_keys: Sequence[str],
+                     carry: Sequence[str], start_mi: float = 25.0, **kw) -> DataFrame:
+    """The closest point of every site of a table, of any length, by widening circles.
+
+    Sites that found nothing within one radius look again within four times as far, until half the
+    globe is covered; so far circles are drawn only for the few sites that need them. Without points
+    there is no row.
+    """
+    kept = points.select(*carry, *[c for c in ("lat", "lon") if c not in carry])
+    left, found, radius = sites, [], start_mi
+    half_way = math.pi * EARTH_RADIUS_MI
+    while True:
+        best = nearest_point(radius_join(kept, left, radius, **kw), site_keys, carry)
+        if radius >= half_way:
+            found.append(best)
+            return reduce(DataFrame.unionByName, found)
+        path = run_dir(best.sparkSession, "nearest")
+        best.write.parquet(path)
+        best = best.sparkSession.read.schema(best.schema).parquet(path)
+        found.append(best)
+        left = left.join(best, list(site_keys), "left_anti")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        radius = min(4 * radius, half_way + 1.0)
+
+
 def with_fixed_sites(points: DataFrame, sites: Sequence[dict], *, point_lat: str = "lat",
                      point_lon: str = "lon") -> DataFrame:
     """Every point beside every site of a short fixed list, with `distance_mi`.
@@ -65,7 +118,7 @@ def with_fixed_sites(points: DataFrame, sites: Sequence[dict], *, point_lat: str
     literal exploded per row: work grows with points only and nothing is shuffled or broadcast.
     """
     if len(sites) > 256:
-        raise ValueError("a long site list belongs in a table: use radius_join")
+        raise ValueError("a long site list belongs in a table")
     rows = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in s.items()]) for s in sites])
     out = points.withColumn("_site", F.explode(rows))
     out = out.withColumn("distance_mi", haversine_mi(
@@ -74,9 +127,16 @@ def with_fixed_sites(points: DataFrame, sites: Sequence[dict], *, point_lat: str
                       "distance_mi")
 
 
-def within_fixed_sites(points: DataFrame, sites: Sequence[dict], radius_mi: float | None = None,
-                       **kw) -> DataFrame:
-    """Pairs inside `radius_mi`, or inside each site's own `site_radius_mi`."""
+def within_sites(points: DataFrame, sites: Sequence[dict] | DataFrame,
+                 radius_mi: float | None = None, **kw) -> DataFrame:
+    """Pairs inside `radius_mi`, or inside each site's own `site_radius_mi`.
+
+    `sites` is a short fixed list or a table of any length; a table needs `radius_mi`.
+    """
+    if isinstance(sites, DataFrame):
+        if radius_mi is None:
+            raise ValueError("a table of sites needs a radius")
+        return radius_join(points, sites, radius_mi, **kw)
     limit = F.lit(radius_mi) if radius_mi is not None else F.col("site_radius_mi")
     return with_fixed_sites(points, sites, **kw).filter(F.col("distance_mi") <= limit)
 

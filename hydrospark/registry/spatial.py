@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hydrospark import dims
 from hydrospark.operators import hazards
 from hydrospark.plans.pick import top_rows
-from hydrospark.plans.spatial import radius_join
+from hydrospark.plans.spatial import nearest_of_sites, radius_join
 from hydrospark.registry import query
 from hydrospark.registry.tables import (
     P_SQL, customers, miles_sql, rounded, suppliers, table, values_sql,
@@ -28,6 +28,40 @@ def haversine_radius(spark, sf_dir):
     return top_rows(near, ["s_suppkey"], 25, "distance_mi", "c_custkey", rank="nearness")
 
 
+_FAR = ("f AS (SELECT c_custkey, 60 + (c_custkey % 61) * 0.5::DOUBLE AS lat, (c_custkey * 7 % 720) * 0.5::DOUBLE - 180 AS lon FROM customer),"
+        " g AS (SELECT s_suppkey, 60.2::DOUBLE + (s_suppkey % 60) * 0.5::DOUBLE AS site_lat,"
+        " 179.9::DOUBLE - (s_suppkey * 11 % 720) * 0.5::DOUBLE AS site_lon FROM supplier)")
+
+
+@query("far_radius", f"""WITH {_FAR}
+SELECT s_suppkey, c_custkey, round({PAIR}, 6) AS distance_mi FROM g, f WHERE {PAIR} <= 60""")
+def far_radius(spark, sf_dir):
+    """Pairs from 60 degrees to the pole and across the date line."""
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    points = table(spark, sf_dir, "customer").select(
+        c, (F.lit(60) + (c % 61) * 0.5).alias("lat"), ((c * 7 % 720) * 0.5 - 180).alias("lon"))
+    sites = table(spark, sf_dir, "supplier").select(
+        s, (F.lit(60.2) + (s % 60) * 0.5).alias("site_lat"), (F.lit(179.9) - (s * 11 % 720) * 0.5).alias("site_lon"))
+    pairs = radius_join(points, sites, 60.0, hot_cell_rows=50)
+    return pairs.select("s_suppkey", "c_custkey", F.round("distance_mi", 6).alias("distance_mi"))
+
+
+@query("nearest_by_table", f"""WITH {P_SQL}, {_FAR},
+t AS (SELECT s_suppkey, 'near' AS place, site_lat, site_lon FROM s UNION ALL SELECT s_suppkey, 'far', site_lat, site_lon FROM g),
+p AS (SELECT s_suppkey, place, c_custkey, round({PAIR}, 6) AS d FROM t, c)
+SELECT s_suppkey, place, c_custkey, d AS distance_mi FROM p
+QUALIFY row_number() OVER (PARTITION BY s_suppkey, place ORDER BY d, c_custkey) = 1""")
+def nearest_by_table(spark, sf_dir):
+    """The customer closest to every supplier, and to every supplier moved to the far north."""
+    s = F.col("s_suppkey")
+    near = suppliers(spark, sf_dir).select("s_suppkey", F.lit("near").alias("place"), "site_lat", "site_lon")
+    far = table(spark, sf_dir, "supplier").select(
+        s, F.lit("far").alias("place"), (F.lit(60.2) + (s % 60) * 0.5).alias("site_lat"),
+        (F.lit(179.9) - (s * 11 % 720) * 0.5).alias("site_lon"))
+    return nearest_of_sites(customers(spark, sf_dir).select("c_custkey", "lat", "lon"), near.unionByName(far),
+                            ["s_suppkey", "place"], ["c_custkey"])
+
+
 @query("radius_rollup", f"""WITH {P_SQL}
 SELECT s_suppkey, count(*) AS fires, round(sum(c_acctbal), 2) AS total_acres, max(c_acctbal) AS max_acres,
        min(c_nationkey) AS min_contained_pct, round(min({PAIR}), 6) AS nearest_mi

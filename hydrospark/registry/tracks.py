@@ -177,10 +177,10 @@ PWAT = ", ".join(f"{v}.0" for v in (14, 15, 19, 24, 32, 41, 47, 48, 41, 28, 20,
 
 
 @query("terrain_score", f"""WITH {MOTION_SQL}, {RING}, {CELL_SQL},
-crest AS (SELECT sum(w * dh_dlat) AS dh_dlat, sum(w * dh_dlon) AS dh_dlon FROM (
+crest AS (SELECT grid_id, sum(w * dh_dlat) AS dh_dlat, sum(w * dh_dlon) AS dh_dlon FROM (
   SELECT (CASE WHEN i = 8 THEN 9 - (35.30::DOUBLE - 33.5) / 0.2::DOUBLE ELSE (35.30::DOUBLE - 33.5) / 0.2::DOUBLE - 8 END)
        * (CASE WHEN j = 10 THEN 11 - (84.5::DOUBLE - 82.40) / 0.2::DOUBLE ELSE (84.5::DOUBLE - 82.40) / 0.2::DOUBLE - 10 END) AS w, *
-  FROM gr WHERE grid_id = 'A' AND i IN (8, 9) AND j IN (10, 11))),
+  FROM gr WHERE i IN (8, 9) AND j IN (10, 11)) GROUP BY grid_id),
 near AS (SELECT DISTINCT storm_id FROM mo WHERE d <= 20),
 mids AS (SELECT storm_id, (lat + nla) / 2 AS mla, (lon + nlo) / 2 AS mlo FROM o WHERE nla IS NOT NULL),
 frac AS (SELECT storm_id, avg(CASE WHEN {inside_sql('mla', 'mlo')} THEN 1.0 ELSE 0.0 END) AS f FROM mids GROUP BY 1),
@@ -195,19 +195,21 @@ e AS (SELECT *, CASE WHEN coalesce(peak, 0) <= 26 THEN coalesce(peak, 0)
   0.3 + 1.2 * least(65, ([{PWAT}])[mon] + 18 * (1 - exp(-greatest(0, {HOME[0]} - lat) / 3))
     * least(1, greatest(0, (coalesce(peak, 25) - 25) / 75))) / 65 AS moist,
   exp(-(CASE WHEN {inside_sql('lat', 'lon')} THEN 0 ELSE least({VERTICES}) END) / 100) AS prox FROM a),
-u AS (SELECT e.*, CASE WHEN dec > 5 THEN dec * 0.5144 * (
+u AS (SELECT e.*, site_id, CASE WHEN dec > 5 AND crest.dh_dlat IS NOT NULL THEN dec * 0.5144 * (
     sin(radians(coalesce(motion + 180, 160) + 180)) * crest.dh_dlon / (111320 * cos(radians(35.30)))
-  + cos(radians(coalesce(motion + 180, 160) + 180)) * crest.dh_dlat / 111320) ELSE 0 END AS up FROM e, crest)
-SELECT storm_id, mon AS month, round(d, 6) AS min_dist_mi, peak AS peak_wind_kt, round(dec, 6) AS decayed_wind_kt,
+  + cos(radians(coalesce(motion + 180, 160) + 180)) * crest.dh_dlat / 111320) ELSE 0 END AS up FROM e, (VALUES ('A'), ('N'), ('R'), ('rejected')) AS si(site_id) LEFT JOIN crest ON grid_id = site_id)
+SELECT site_id, storm_id, mon AS month, round(d, 6) AS min_dist_mi, peak AS peak_wind_kt, round(dec, 6) AS decayed_wind_kt,
   round(oro, 6) AS orographic_factor, round(moist, 6) AS moisture_factor, round(prox, 6) AS watershed_proximity,
   round(frac, 6) AS watershed_track_frac, round(up, 6) AS upslope_w_ms,
   round(coalesce(nullif(peak, 0), 25) * exp(-d / 75) * oro * moist * (1 + 5 * greatest(0, up))
     * (0.5 + 0.5 * prox + 0.5 * frac) / 2, 4) AS rainfall_risk_score
 FROM u""")
 def terrain_score(spark, sf_dir):
-    slopes = grid.gradient(cells(spark, sf_dir)).filter(F.col("grid_id") == "A")
-    out = ops.terrain_score(tracks(spark, sf_dir), slopes, radius_mi=20.0)
+    """The home site on every grid, and on one that was rejected and so has no cells."""
+    slopes = grid.gradient(cells(spark, sf_dir))
+    sites = [ops.HOME[0] | {"site_id": g, "site_grid_id": g} for g in ("A", "N", "R", "rejected")]
+    out = ops.terrain_score(tracks(spark, sf_dir), slopes, radius_mi=20.0, sites=sites)
     return rounded(out.withColumn("rainfall_risk_score", F.round("rainfall_risk_score", 4)).select(
-        "storm_id", "month", "min_dist_mi", "peak_wind_kt", "decayed_wind_kt", "orographic_factor",
+        "site_id", "storm_id", "month", "min_dist_mi", "peak_wind_kt", "decayed_wind_kt", "orographic_factor",
         "moisture_factor", "watershed_proximity", "watershed_track_frac", "upslope_w_ms",
         "rainfall_risk_score"))

@@ -190,7 +190,8 @@ def tides(df: DataFrame) -> DataFrame:
         F.col("r").isNotNull())
 
     def of(product: str, value: Column) -> Column:
-        return F.max(F.when(F.col("product") == product, value))
+        """From the newest of a station's documents of the product, whole."""
+        return F.max_by(value, F.when(F.col("product") == product, F.coalesce("r.t", F.lit(""))))
 
     def timed(product: str) -> Column:
         return of(product, F.when(number("r.v").isNotNull(), F.col("r.t")))

@@ -106,3 +106,29 @@ def test_recent_rate_needs_two_readings(series):
         series([1.0 + 0.5 * i for i in range(40)]).unionByName(series([3.0], entity="one"))
     ).collect()}
     assert rows["g"] == pytest.approx(0.5) and rows["one"] is None
+
+
+def test_chunks_never_change_a_frame_on_a_series_with_holes(spark):
+    """Same rows for chunks of 7, 50 and a million rows, in every function that cuts."""
+    import datetime as dt
+
+    from hydrospark.operators import timeseries as ts
+
+    start = dt.datetime(2024, 1, 1)
+    hours = [h for h in range(400) if not (40 <= h < 280 or h % 11 in (3, 4))]
+    df = spark.createDataFrame([("gauge", "g", "stage_ft", start + dt.timedelta(hours=h), float(h * 7 % 31)) for h in hours],
+                               "entity_type string, entity_id string, metric string, ts timestamp, value double").cache()
+
+    def everything(chunk):
+        out = ts.lags(df, [1, 6, 24], chunk_rows=chunk)
+        out = ts.deltas(out, [3], chunk_rows=chunk)
+        out = ts.rolling(out, [6, 24], chunk_rows=chunk)
+        out = ts.antecedent(out, 0.85, 14, chunk_rows=chunk)
+        out = ts.targets(out, [6, 24], [20.0], chunk_rows=chunk)
+        total = ts.largest_total(df, 12, keys=["entity_id"], chunk_rows=chunk)
+        rounded = [[round(v, 9) if isinstance(v, float) else v for v in r] for r in out.orderBy("ts").collect()]
+        return rounded, [tuple(r) for r in total.collect()]
+
+    whole = everything(10**6)
+    assert len(whole[0]) == len(hours)
+    assert everything(7) == whole and everything(50) == whole

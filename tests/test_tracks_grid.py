@@ -112,3 +112,39 @@ def test_radius_join_equals_all_pairs(spark, hot):
     every = points.crossJoin(sites).filter(
         haversine_mi("site_lat", "site_lon", "lat", "lon") <= 60.0)
     assert got == {(r["id"], r["site"]) for r in every.collect()} and got
+
+
+def test_radius_join_at_the_poles_and_the_date_line(spark):
+    from hydrospark.functions.geo import haversine_mi
+
+    points = spark.range(2000).select("id", (F.rand(5) * 180 - 90).alias("lat"), (F.rand(6) * 360 - 180).alias("lon")) \
+        .unionByName(spark.createDataFrame([(9000, 90.0, 10.0), (9001, 85.0, 179.99), (9002, -89.9, 0.0), (9003, None, 1.0)],
+                                           "id long, lat double, lon double")).cache()
+    sites = spark.range(150).select(F.col("id").alias("site"), (F.rand(7) * 180 - 90).alias("site_lat"),
+                                    (F.rand(8) * 360 - 180).alias("site_lon")) \
+        .unionByName(spark.createDataFrame([(900, 89.9, -170.0), (901, 85.0, -179.99), (902, -90.0, 0.0), (903, 0.0, 180.0)],
+                                           "site long, site_lat double, site_lon double")).cache()
+    for miles in (120.0, 900.0, 7000.0):
+        got = [(r["id"], r["site"]) for r in radius_join(points, sites, miles, hot_cell_rows=100).collect()]
+        every = points.crossJoin(sites).filter(haversine_mi("site_lat", "site_lon", "lat", "lon") <= miles)
+        assert sorted(got) == sorted((r["id"], r["site"]) for r in every.collect())
+
+
+def test_sites_as_a_table(spark, storms):
+    sites = spark.createDataFrame([("home", dims.HOME_LAT, dims.HOME_LON), ("sea", 20.0, -50.1)],
+                                  "site_id string, site_lat double, site_lon double")
+    assert {(r["site_id"], r["storm_id"]) for r in tracks.near(storms, 150.0, sites).collect()} == {
+        ("home", "a"), ("home", "b"), ("sea", "far")}
+    assert {r["site_id"]: r["n_storms"] for r in tracks.climatology(storms, 150.0, sites=sites).collect()} == {
+        "home": 2, "sea": 1}
+    listed = {r["storm_id"]: r.asDict() for r in tracks.terrain_score(storms).collect()}
+    tabled = {r["storm_id"]: r.asDict() for r in tracks.terrain_score(storms, sites=sites).collect() if r["site_id"] == "home"}
+    assert tabled == listed
+    assert tracks.closest_fix(storms, sites, radius_mi=150.0).count() == 3
+    assert {r["storm_id"] for r in tracks.whole_tracks_near(storms, 150.0, sites).collect()} == {"a", "b", "far"}
+
+
+def test_a_rejected_grid_keeps_every_storm(spark, storms):
+    none = spark.createDataFrame([], "grid_id string, i int, j int, dh_dlat double, dh_dlon double")
+    rows = tracks.terrain_score(storms, none).collect()
+    assert {r["storm_id"] for r in rows} == {"a", "b"} and {r["upslope_w_ms"] for r in rows} == {0.0}
