@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrospark.operators import timeseries as ts
@@ -185,4 +185,15 @@ def training_frame(series: DataFrame, targets: DataFrame, edges: DataFrame | Non
 
 
 def write_frame(frame: DataFrame, path: str) -> None:
-    frame.write.mode("overwrite").partitionBy("target_id").parquet(path)
+    """A folder for each target; rows are clustered by target first, so that each has few files."""
+    span = chunk_of("ts", 12 * ts.NEIGHBOUR_SPAN_S)
+    (frame.repartition(F.col("target_id"), span).write.mode("overwrite")
+     .partitionBy("target_id").parquet(path))
+
+
+def read_frame(spark: SparkSession, path: str, cfg: FrameConfig) -> DataFrame:
+    """A stored frame by its declared types: ids keep their leading zeros."""
+    fields = [("ts", "timestamp"), *[(c, "double") for c in feature_columns(cfg)],
+              *[(c, "int" if c.startswith("y_peak") else "double") for c in label_columns(cfg)],
+              ("target_id", "string")]
+    return spark.read.schema(", ".join(f"`{c}` {t}" for c, t in fields)).parquet(path)

@@ -17,7 +17,7 @@ from hydrospark.functions.stage import level_from_rise
 from hydrospark.operators import evaluation as ev
 from hydrospark.operators.features import STAGE
 from hydrospark.plans.pick import best_row
-from hydrospark.session import checkpoint_root
+from hydrospark.session import checkpoint_root, run_dir
 
 # Trees need a number everywhere; one far below any reading makes "missing" a branch of its own.
 MISSING = -1.0e6
@@ -105,27 +105,37 @@ def _fit(rows: DataFrame, spec: ModelSpec):
 def out_of_sample(frame: DataFrame, spec: ModelSpec) -> DataFrame:
     """Every tested row with its prediction: `target_id, ts, actual, pred, current, fold`.
 
-    One model per fold learns from all targets in the frame, each up to its own cut in time; a frame
-    of one target gives one model for that target. The driver only steps through the folds.
+    One model per fold learns from all targets in the frame: each up to its own cut, and none beyond
+    the first hour that the fold tests in any target, as targets share weather. A frame of one target
+    gives one model for that target. Where the training part has one class or too few rows, its mean
+    is predicted, so that every fold's rows stay. The driver only steps through the folds.
     """
     checkpoint_root(frame.sparkSession)
     rows = ev.fold_ids(_labelled(frame, spec), k=spec.folds)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    begins = dict(rows.filter(F.col("fold").isNotNull()).groupBy("fold").agg(F.min("ts")).collect())
     tested = None
-    for fold in range(spec.folds):
+    for fold in sorted(begins):
         cut = F.col("warm_up") + fold * F.col("fold_size")
-        trainable = (F.col("n") > F.col("warm_up") + spec.folds) & (F.col("position") < cut)
-        model = _fit(rows.filter(trainable), spec)
+        seen = rows.filter((F.col("n") > F.col("warm_up") + spec.folds) & (F.col("position") < cut)
+                           & (F.col("ts") < F.lit(begins[fold])))
+        model, own = _fit(seen, spec), rows.filter(F.col("fold") == fold)
         if model is None:
-            continue
-        part = _predict(model, rows.filter(F.col("fold") == fold), spec).select(
-            "target_id", "ts", F.col("label").alias("actual"), "pred", "current", "fold")
+            base = seen.agg(F.avg("label")).first()[0]
+            scored = own.withColumn("pred", F.lit(base).cast("double"))
+        else:
+            scored = _predict(model, own, spec)
+        part = scored.select("target_id", "ts", F.col("label").alias("actual"), "pred", "current", "fold")
         tested = part if tested is None else tested.unionByName(part)
     if tested is None:
+        rows.unpersist()
         return frame.sparkSession.createDataFrame(
             [], "target_id string, ts timestamp, actual double, pred double, current double, "
                 "fold int")
-    return tested
+    path = run_dir(frame.sparkSession, "tested")
+    tested.write.parquet(path)
+    rows.unpersist()
+    return frame.sparkSession.read.schema(tested.schema).parquet(path)
 
 
 def score_backtest(tested: DataFrame, spec: ModelSpec) -> DataFrame:
@@ -195,12 +205,13 @@ def latest_rows(frame: DataFrame) -> DataFrame:
     return best_row(usable, ["target_id"], "ts", last=True)
 
 
-def forecast(frame: DataFrame, models: Sequence[tuple], gates: DataFrame | None = None
-             ) -> DataFrame:
+def forecast(frame: DataFrame, models: Sequence[tuple], gates: DataFrame | None = None,
+             trusted: DataFrame | None = None) -> DataFrame:
     """Forecast of every model for every target's latest row.
 
     A rise is turned into a level on the present stage. With `gates` (rows of `score_backtest`), a
-    model that loses to its naive rule for a target is withheld there.
+    model that loses to its naive rule for a target is withheld there; with `trusted` (rows of
+    `evaluation.trust`), so is one that is not published for the target, kind and horizon.
     """
     columns = feature_names(frame)
     latest = assemble(latest_rows(frame).withColumn("current_ft", F.col(STAGE)), columns)
@@ -216,9 +227,14 @@ def forecast(frame: DataFrame, models: Sequence[tuple], gates: DataFrame | None
             (F.col("pred") if rise else F.lit(None).cast("double")).alias("predicted_rise_ft"),
             value.alias("prediction"))
         out = part if out is None else out.unionByName(part)
-    if gates is None or out is None:
+    if out is None:
+        return out
+    by = ["target_id", "kind", "horizon_h"]
+    if trusted is not None:
+        out = out.join(trusted.filter("published").select(by).distinct(), by, "left_semi")
+    if gates is None:
         return out
     lost = gates.filter(F.col("beats_baseline") == F.lit(False)).select(
-        "target_id", "kind", "horizon_h", F.coalesce("threshold", F.lit(-1.0)).alias("_thr"))
+        *by, F.coalesce("threshold", F.lit(-1.0)).alias("_thr"))
     return (out.withColumn("_thr", F.coalesce("threshold", F.lit(-1.0)))
-            .join(lost, ["target_id", "kind", "horizon_h", "_thr"], "left_anti").drop("_thr"))
+            .join(lost, [*by, "_thr"], "left_anti").drop("_thr"))

@@ -277,7 +277,7 @@ def _learning_frame(spark, sf_dir):
         soil_rolls=(24,), api_window=48, horizons=(6,), thresholds=(100.0,))
     path = run_dir(spark, "frame")
     features.write_frame(frame(spark, sf_dir, cfg), path)
-    return spark.read.parquet(path).withColumn("target_id", F.col("target_id").cast("string"))
+    return features.read_frame(spark, path, cfg)
 
 
 @query("gbt_backtest")
