@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from hydrospark.llm import langid, quality, toxicity
 
-ANY = F.lit(True)
+def anything():
+    return F.lit(True)
+
 
 
 def sentences(seed, vocabulary, count, size):
@@ -36,7 +38,7 @@ def test_toxicity(spark, table):
     assert sorted((r.doc_id for r in kept.collect() if r.doc_id is not None)) == sorted(
         r.doc_id for r in rows if r.doc_id is not None and not r.predicted)
     assert (model != 0).sum() < 200
-    nothing = toxicity.fit(docs, labels.limit(0), ANY)
+    nothing = toxicity.fit(docs, labels.limit(0), anything())
     assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.5}
     assert toxicity.score(docs.limit(0), model).count() == 0
 
@@ -53,7 +55,7 @@ def test_quality(spark, table):
     assert np.mean([r.predicted == int(r.doc_id < 120) for r in held]) > 0.95
     assert all(0 <= r.score <= 1 for r in rows) and len(rows) == 244
     assert len({r.score for r in rows if r.doc_id in (900, 901)}) == 1
-    assert {r.score for r in quality.score(stats, quality.fit(stats, labels.limit(0), ANY)).collect()} == {0.5}
+    assert {r.score for r in quality.score(stats, quality.fit(stats, labels.limit(0), anything())).collect()} == {0.5}
     assert quality.score(stats.limit(0), model).count() == 0
 
 
@@ -78,7 +80,7 @@ def test_language(spark):
     assert all(by[i].lang_pred == "en" and by[100 + i].lang_pred == "de" for i in range(1, 60, 3))
     assert {(by[i].lang_pred, by[i].score) for i in (900, 901, 902)} == {("und", 0.0)}
     assert by[903].lang_pred == "de" and by[None].lang_pred == "en" and by[904].lang_pred in ("en", "de")
-    assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs.limit(0), ANY)).collect()} == {"und"}
+    assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs.limit(0), anything())).collect()} == {"und"}
 
 
 @pytest.mark.parametrize("cells", [8_000_000, 2_000])

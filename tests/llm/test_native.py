@@ -43,7 +43,7 @@ def test_estimate_ignores_outliers_and_finds_them(spark):
 
 def test_verdicts(spark):
     text = "some plain words that make a text of ordinary length and shape for a group number {}"
-    rows = [(i, text.format(i) + " more" * (i % 7), "en", "a", 0) for i in range(150)]
+    rows = [(i, text.format(i) + " more" * (i % 5), "en", "a", 0) for i in range(150)]
     rows += [(500, "### $$$ %%% " * 9 + "one two three four five six seven", "en", "a", 0), (501, None, None, None, None),
              (502, "short", "en", "b", 1), (503, text.format("x"), None, None, None), (None, text.format("y"), "en", "a", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept int")
