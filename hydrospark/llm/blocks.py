@@ -90,3 +90,52 @@ def bitmap_of(keys: DataFrame, bits_log2: int) -> np.ndarray:
 def power_above(n: float, least: int, most: int) -> int:
     """The exponent of the first power of two from n on, within bounds."""
     return int(min(most, max(least, np.ceil(np.log2(max(n, 1))))))
+
+
+def census_layout(parts: int) -> tuple[int, int]:
+    """Ranges and bits (as powers of two) of a census over so many tasks: work for each range stays the same."""
+    ranges = power_above(2 * parts, 3, 14)
+    return ranges, max(power_above(parts * 2**21, 20, 28), ranges + 3)
+
+
+def census_rows(points: list[np.ndarray], ranges_log2: int, part: int) -> list[tuple]:
+    """(range, part, packed points, which of them several documents have) of the points, distinct in each document."""
+    shift = np.uint64(64 - ranges_log2 - 32)
+    every, times = np.unique(np.concatenate(points) >> shift, return_counts=True)
+    edges = np.searchsorted((every >> np.uint64(32)).astype(np.int64), np.arange((1 << ranges_log2) + 1))
+    rest, rows = every.astype(np.uint32), []
+    for r in range(1 << ranges_log2):
+        s = slice(edges[r], edges[r + 1])
+        if s.start < s.stop:
+            rows.append((r, part, packed(np.diff(rest[s], prepend=np.uint32(0))), np.packbits(times[s] > 1).tobytes()))
+    return rows
+
+
+def shared_points(census: DataFrame, ranges_log2: int, bits_log2: int) -> np.ndarray:
+    """Bitmap of the points that several documents have, from rows (name, counts, several) of `census_rows`.
+
+    A point that two flushes of a task hold may be one document's: the bitmap is a filter that may
+    say yes too often, never no for a shared point.
+    """
+    block = bits_log2 - ranges_log2
+
+    def of_range(table: pa.Table) -> pa.Table:
+        once, several = [], []
+        for blob, flags in zip(table.column("counts").to_pylist(), table.column("several").to_pylist(), strict=True):
+            points = np.cumsum(unpacked(blob, np.uint32), dtype=np.uint32)
+            once.append(points)
+            several.append(points[np.unpackbits(np.frombuffer(flags, np.uint8), count=len(points)) > 0])
+        every = np.sort(np.concatenate(once))
+        shared = np.concatenate([every[1:][every[1:] == every[:-1]], *several])
+        return pa.table({"range": table.column("name").slice(0, 1), "block": pa.array(
+            [set_bits(shared >> np.uint32(32 - block), 1 << block).tobytes()], pa.binary())})
+
+    bitmap, size = np.zeros(1 << (bits_log2 - 3), dtype=np.uint8), 1 << (block - 3)
+    for place, data in census.groupBy("name").applyInArrow(of_range, "range int, block binary").collect():
+        bitmap[place * size:(place + 1) * size] = np.frombuffer(bytes(data), dtype=np.uint8)
+    return bitmap
+
+
+def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which 64-bit values have their leading bits in the bitmap."""
+    return has_bits(bitmap, values >> np.uint64(64 - (len(bitmap).bit_length() + 2)))

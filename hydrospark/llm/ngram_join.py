@@ -1,6 +1,7 @@
 """Similarity join of documents on sets of word n-grams, by token-combination prefixes.
 
-A document's tokens (its distinct n-grams) are ordered from rare to frequent by corpus counts. Its
+A document's tokens (its distinct n-grams) are ordered from rare to frequent by corpus counts, those
+that a census finds in no other document first. Its
 prefix is as long as needed for the guarantee below, and signatures index the prefix: a rare token by
 itself, frequent tokens by pairs within token classes, so that what many documents hold does not
 fill one bucket. With at most d tokens of a document outside its partner, and a prefix of which the
@@ -20,12 +21,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrospark.llm.blocks import bitmap_of, has_bits, packed, power_above, summed
+from hydrospark.llm.blocks import (
+    bitmap_of, census_layout, census_rows, in_bitmap, packed, power_above, shared_points, summed,
+)
 from hydrospark.llm.components import components
-from hydrospark.llm.shared import Words, as_bytes, grams, mixed, staged
+from hydrospark.llm.shared import Words, as_bytes, distinct, grams, mixed, staged
 
 #: Counters of token frequencies; estimates are never too low.
 COUNTERS_LOG2 = 20
+#: Tokens that a task holds before it passes its census on.
+HELD = 2_000_000
 #: Bits of the parity sketch that bounds the difference of two sets.
 SKETCH_BITS = 1024
 #: Bits of a class key that hold how common the document's tokens are, and how many they are.
@@ -43,13 +48,6 @@ def token_set(words: np.ndarray, n: int) -> np.ndarray:
     return distinct(grams(words, n))
 
 
-def distinct(values: np.ndarray) -> np.ndarray:
-    values = np.sort(values)
-    first = np.ones(len(values), dtype=bool)
-    np.not_equal(values[1:], values[:-1], out=first[1:])
-    return values[first]
-
-
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int | None, np.ndarray]]:
     known = Words(bytes(range(256)).lower())
     for batch in batches:
@@ -57,28 +55,36 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int | Non
             yield doc, token_set(known.of(text), n)
 
 
-def _count(n: int):
-    """Per document its set's size and 128-bit identity; per task the token counters."""
+def _count(n: int, ranges_log2: int):
+    """Per document its set's size and 128-bit identity; per task the token counters and the census of tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         counts, part, rows, none = np.zeros(1 << COUNTERS_LOG2, dtype=np.int64), TaskContext.get().partitionId(), [], None
+        held, n_held = [], 0
         shift = np.uint64(64 - COUNTERS_LOG2)
         for doc, tokens in _sets(batches, n):
             if len(tokens):
                 np.add.at(counts, (tokens >> shift).astype(np.int64), 1)
                 key = xxhash.xxh3_128_intdigest(tokens.tobytes())
-                rows.append((doc, len(tokens), _long(key >> 64), _long(key & (2**64 - 1)), none, none, none))
+                rows.append((doc, len(tokens), _long(key >> 64), _long(key & (2**64 - 1)), none, none, none, none))
+                held.append(tokens)
+                n_held += len(tokens)
             else:
-                rows.append((doc, 0, none, none, none, none, none))
+                rows.append((doc, 0, none, none, none, none, none, none))
+            if n_held >= HELD:
+                yield _batch([(none,) * 4 + row for row in census_rows(held, ranges_log2, part)])
+                held, n_held = [], 0
             if len(rows) >= 4096:
                 yield _batch(rows)
                 rows = []
-        rows.append((none, none, none, none, 0, part, packed(counts)))
+        rows.append((none, none, none, none, -1, part, packed(counts), none))
+        if held:
+            rows += [(none,) * 4 + row for row in census_rows(held, ranges_log2, part)]
         yield _batch(rows)
 
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
-                        ("name", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
+                        ("name", pa.int32()), ("part", pa.int32()), ("counts", pa.binary()), ("several", pa.binary())])
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -97,7 +103,10 @@ def _scales(n: int, t: tuple[int, int]) -> set[int]:
 
 
 def signatures(tokens: np.ndarray, level: np.ndarray, frequent: int, t: tuple[int, int]) -> np.ndarray:
-    """Signature hashes of a set at similarity t[0] / t[1]."""
+    """Signature hashes of a set at similarity t[0] / t[1].
+
+    Tokens of level 0 are held by no other document: they lengthen no bucket and need no signature.
+    """
     n = len(tokens)
     if (n + 1) * t[0] > n * t[1]:  # only an equal set can be as similar
         return tokens[:0]
@@ -105,7 +114,7 @@ def signatures(tokens: np.ndarray, level: np.ndarray, frequent: int, t: tuple[in
     order = np.lexsort((tokens, level))
     tokens, level = tokens[order], level[order]
     n_rare = int(np.searchsorted(level, frequent))
-    out = [mixed(tokens[:min(n_rare, need)])]
+    out = [mixed(tokens[:min(n_rare, need)][level[:min(n_rare, need)] > 0])]
     if n_rare < need:
         rest, need = tokens[n_rare:], need - n_rare
         for scale in _scales(n, t):
@@ -148,7 +157,7 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return (np.log2(counts + 1) * 4).astype(np.uint8)
 
 
-def _index(n: int, levels, frequent: int, t: tuple[int, int]):
+def _index(n: int, levels, shared, frequent: int, t: tuple[int, int]):
     """Per distinct set of a task: a class row (key, sketch) and its signature rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen, shift = levels.value, set(), np.uint64(64 - COUNTERS_LOG2)
@@ -164,7 +173,8 @@ def _index(n: int, levels, frequent: int, t: tuple[int, int]):
                 seen.clear()
             seen.add(whole)
             rows.append((key, len(tokens), _long(whole >> 64), _long(whole & (2**64 - 1)), _parity(tokens)))
-            own = signatures(tokens, level, frequent, t)
+            own = signatures(tokens, np.where(in_bitmap(shared.value, tokens), level + np.uint8(1), np.uint8(0)),
+                             frequent + 1, t)
             sigs.append(own)
             keys.append(np.full(len(own), key, dtype=np.int64))
             if len(rows) >= 1024:
@@ -273,15 +283,19 @@ def groups(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), i
     """
     spark, t = docs.sparkSession, similarity
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sized = staged(read.mapInArrow(_count(n), "id long, n long, k1 long, k2 long, name int, part int, counts binary"),
-                   "sets")
-    counts = summed(sized.where("counts is not null").select("name", "part", "counts"), "tokens").get(
-        0, np.zeros(1 << COUNTERS_LOG2, dtype=np.int64))
+    ranges_log2, bits_log2 = census_layout(max(1, read.rdd.getNumPartitions()))
+    sized = staged(read.mapInArrow(
+        _count(n, ranges_log2),
+        "id long, n long, k1 long, k2 long, name int, part int, counts binary, several binary"), "sets")
+    counts = summed(sized.where("name = -1").select("name", "part", "counts"), "tokens").get(
+        -1, np.zeros(1 << COUNTERS_LOG2, dtype=np.int64))
     members = sized.where("counts is null").select("id", "n", "k1", "k2")
     total = members.count()
     frequent = int(_levels(np.array([max(255, 4 * counts.mean(), total / 1024)]))[0])
     levels = spark.sparkContext.broadcast(_levels(counts))
-    indexed = staged(read.mapInArrow(_index(n, levels, frequent, t),
+    shared = spark.sparkContext.broadcast(shared_points(
+        sized.where("name >= 0").select("name", "counts", "several"), ranges_log2, bits_log2))
+    indexed = staged(read.mapInArrow(_index(n, levels, shared, frequent, t),
                                      "sig long, key long, n long, k1 long, k2 long, sketch binary"), "signatures")
     least = members.where("id is not null and k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     classes = staged(indexed.where("sig is null").select("key", "n", "k1", "k2", "sketch")

@@ -95,6 +95,14 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     return mixed(total)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    values = np.sort(values)
+    first = np.ones(len(values), dtype=bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    return values[first]
+
+
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     """For each window of `width` values, the position of its smallest (the rightmost of equals)."""
     n = len(values) - width + 1

@@ -23,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrospark.llm.blocks import has_bits, packed, power_above, set_bits, summed, unpacked
-from hydrospark.llm.shared import Words, as_bytes, grams, mixed, runs, staged, window_minima
+from hydrospark.llm.blocks import (
+    census_layout, census_rows, in_bitmap, packed, shared_points, summed, unpacked,
+)
+from hydrospark.llm.shared import Words, as_bytes, distinct, grams, mixed, runs, staged, window_minima
 
 SYNC = 6
 PREFIXES = (4, 8)
@@ -46,28 +48,13 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _census(window: int, ranges_log2: int):
     """Sync points of the documents of a task as (range, sorted 32-bit rests), and prefix counts."""
-    shift = np.uint64(64 - ranges_log2 - 32)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         known, part = Words(), TaskContext.get().partitionId()
-        held, n_held, last = [], 0, None
+        held, n_held = [], 0
         counts = {k: np.zeros(1 << CENSUS_LOG2, dtype=np.int64) for k in PREFIXES}
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            points, times = np.unique(np.concatenate(held), return_counts=True)
-            where = (points >> np.uint64(32)).astype(np.int64)
-            edges = np.searchsorted(where, np.arange((1 << ranges_log2) + 1))
-            rest = points.astype(np.uint32)
-            rows = []
-            for r in range(1 << ranges_log2):
-                s = slice(edges[r], edges[r + 1])
-                if s.start < s.stop:
-                    several = times[s] > 1
-                    rows.append((r, part, packed(np.diff(rest[s], prepend=np.uint32(0))), np.packbits(several).tobytes()))
-            yield from _points(rows)
-
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 if not text or doc is None:
@@ -80,14 +67,14 @@ def _census(window: int, ranges_log2: int):
                     counts[k] += np.bincount((starts >> np.uint64(64 - CENSUS_LOG2)).astype(np.int64),
                                              minlength=1 << CENSUS_LOG2)
                 sync = grams(words, SYNC)
-                points = np.unique(sync[np.unique(window_minima(sync, window - SYNC + 1))] >> shift)
+                points = distinct(sync[distinct(window_minima(sync, window - SYNC + 1))])
                 held.append(points)
                 n_held += len(points)
                 if n_held >= HELD:
-                    yield from flush()
+                    yield from _points(census_rows(held, ranges_log2, part))
                     held, n_held = [], 0
         if held:
-            yield from flush()
+            yield from _points(census_rows(held, ranges_log2, part))
         yield from _points([(-k, part, packed(c), None) for k, c in counts.items()])
 
     def _points(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -100,26 +87,6 @@ def _census(window: int, ranges_log2: int):
     return run
 
 
-def _shared_points(ranges_log2: int, bits_log2: int):
-    """Bitmap block of the sync points of one range that several documents have.
-
-    A point that two flushes hold may be one document's; it then only lets more suffixes through.
-    """
-    def run(table: pa.Table) -> pa.Table:
-        once, several = [], []
-        for blob, flags in zip(table.column("counts").to_pylist(), table.column("several").to_pylist(), strict=True):
-            points = np.cumsum(unpacked(blob, np.uint32), dtype=np.uint32)
-            once.append(points)
-            several.append(points[np.unpackbits(np.frombuffer(flags, np.uint8), count=len(points)) > 0])
-        every = np.sort(np.concatenate(once))
-        shared = np.concatenate([every[1:][every[1:] == every[:-1]], *several])
-        block = bits_log2 - ranges_log2
-        return pa.table({"range": table.column("name").slice(0, 1), "block": pa.array(
-            [set_bits(shared >> np.uint32(32 - block), 1 << block).tobytes()], pa.binary())})
-
-    return run
-
-
 def _settle(path: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Which suffixes share a deep node with one of a smaller document: leaves in order, one pass."""
     order = np.lexsort((owner, path))
@@ -170,7 +137,6 @@ def _suffixes(window: int, groups: int, bitmap, census, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, points = Words(), bitmap.value
         heavy = {k: c > limit for k, c in census.value.items()}
-        shift = np.uint64(64 - (len(points).bit_length() + 2))
         top = np.uint64(64 - CENSUS_LOG2)
         held: list[tuple] = []
         n_held = 0
@@ -197,7 +163,7 @@ def _suffixes(window: int, groups: int, bitmap, census, limit: int):
                     continue
                 sync = grams(words, SYNC)
                 at = window_minima(sync, width)
-                starts = np.flatnonzero(has_bits(points, sync >> shift)[at])
+                starts = np.flatnonzero(in_bitmap(points, sync)[at])
                 if not len(starts):
                     continue
                 path = grams(words, window)[starts]
@@ -249,16 +215,10 @@ def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     read = _read(docs, id_col, text_col)
     parts = max(1, read.rdd.getNumPartitions())
-    ranges_log2 = power_above(2 * parts, 3, 14)
-    bits_log2 = max(power_above(parts * 2**21, 20, 28), ranges_log2 + 3)
+    ranges_log2, bits_log2 = census_layout(parts)
     census = staged(read.mapInArrow(_census(window, ranges_log2),
                                     "name int, part int, counts binary, several binary"), "census")
-    blocks = (census.where("name >= 0").groupBy("name")
-              .applyInArrow(_shared_points(ranges_log2, bits_log2), "range int, block binary").collect())
-    bitmap = np.zeros(1 << (bits_log2 - 3), dtype=np.uint8)
-    size = 1 << (bits_log2 - ranges_log2 - 3)
-    for place, data in blocks:
-        bitmap[place * size:(place + 1) * size] = np.frombuffer(bytes(data), dtype=np.uint8)
+    bitmap = shared_points(census.where("name >= 0"), ranges_log2, bits_log2)
     counts = {-k: c for k, c in summed(census.where("name < 0").drop("several"), "prefixes").items()}
     groups = 4 * parts
     limit = max(1000, int(counts[PREFIXES[0]].sum()) // (4 * groups)) if counts else 1000
