@@ -61,20 +61,10 @@ def wet_bulb_f(temp_f: ColumnLike, rh: ColumnLike) -> Column:
 def heat_index_f(temp_f: ColumnLike, rh: ColumnLike) -> Column:
     t, rh = col(temp_f).cast("double"), col(rh).cast("double")
     mild = 0.5 * (t + 61.0 + (t - 68.0) * 1.2 + rh * 0.094)
-    # Regression coefficients by power of (temperature, humidity).
-    coefficients = {
-        (0, 0): -42.379, (1, 0): 2.04901523, (0, 1): 10.14333127, (1, 1): -0.22475541,
-        (2, 0): -0.00683783, (0, 2): -0.05391553, (2, 1): 0.00122874, (1, 2): 0.00085282,
-        (2, 2): -0.00000199,
-    }
-    hot = F.lit(0.0)
-    for (i, j), c in coefficients.items():
-        term = F.lit(c)
-        for _ in range(i):
-            term = term * t
-        for _ in range(j):
-            term = term * rh
-        hot = hot + term
+    # The published regression.
+    hot = (-42.379 + 2.04901523 * t + 10.14333127 * rh - 0.22475541 * t * rh
+           - 0.00683783 * t * t - 0.05391553 * rh * rh + 0.00122874 * t * t * rh
+           + 0.00085282 * t * rh * rh - 0.00000199 * t * t * rh * rh)
     dry = (13.0 - rh) / 4.0 * F.sqrt(F.greatest(F.lit(0.0), 17.0 - F.abs(t - 95.0)) / 17.0)
     humid = (rh - 85.0) / 10.0 * (87.0 - t) / 5.0
     hot = (F.when((rh < 13.0) & t.between(80.0, 112.0), hot - dry)

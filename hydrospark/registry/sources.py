@@ -212,10 +212,35 @@ def threshold_parse(spark, sf_dir):
     return water.threshold_table(docs).select("site_id", "action", "minor", "record", "lid")
 
 
+@query("threshold_defaults", """
+SELECT CAST(p_partkey AS VARCHAR) AS site_id, CASE WHEN p_size > 5 THEN p_size::DOUBLE ELSE 6.5::DOUBLE END AS action, 20.0::DOUBLE AS minor,
+  13.0::DOUBLE AS moderate, 18.0::DOUBLE AS major, p_retailprice AS record FROM part""")
+def threshold_defaults(spark, sf_dir):
+    """Published levels laid over the home site's, so that every level is present."""
+    level = F.struct(
+        F.when(F.col("p_size") > 5, F.col("p_size").cast("double")).otherwise(-9999.0).alias("action"),
+        F.lit(20.0).alias("minor"), F.col("p_retailprice").alias("record"))
+    docs = table(spark, sf_dir, "part").select(
+        doc(F.create_map(text("p_partkey"), level).alias("sites")).alias("value"))
+    defaults = {"action": 6.5, "minor": 9.5, "moderate": 13.0, "major": 18.0, "record": 25.0}
+    return gauges.with_defaults(water.threshold_table(docs), defaults).select("site_id", *defaults)
+
+
+@query("threshold_rejects", """
+SELECT CAST(p_partkey AS VARCHAR) AS site_id, CASE WHEN p_partkey % 9 = 0 THEN 'other site' ELSE 'not ascending' END AS reason
+FROM part WHERE p_partkey % 9 = 0 OR p_size > 20""")
+def threshold_rejects(spark, sf_dir):
+    return gauges.extract_thresholds(water.published_levels(_published(spark, sf_dir)))[1]
+
+
 @query("published_levels_parse", """
 SELECT CAST(p_partkey AS VARCHAR) AS site_id, CASE WHEN p_size BETWEEN 6 AND 20 THEN p_size::DOUBLE END AS action, 20.0::DOUBLE AS minor,
   25.0::DOUBLE AS moderate, CAST(NULL AS DOUBLE) AS major, p_retailprice AS record FROM part WHERE p_partkey % 9 <> 0 AND NOT p_size > 20""")
 def published_levels_parse(spark, sf_dir):
+    return gauges.extract_thresholds(water.published_levels(_published(spark, sf_dir)))[0]
+
+
+def _published(spark, sf_dir):
     key, size = F.col("p_partkey"), F.col("p_size")
     levels = F.struct(
         F.struct(F.when(size > 5, size.cast("double")).otherwise(-9999.0).alias("stage")).alias("action"),
@@ -223,11 +248,10 @@ def published_levels_parse(spark, sf_dir):
         F.struct(F.lit(25.0).alias("stage")).alias("moderate"))
     crests = F.struct(F.array(F.struct(F.lit(-9999.0).alias("stage")),
                               F.struct(F.col("p_retailprice").alias("stage"))).alias("historic"))
-    docs = table(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part").select(
         text("p_partkey").alias("site_id"),
         doc(F.when(key % 9 == 0, "other").otherwise(text(key)).alias("usgsId"),
             F.struct(levels.alias("categories"), crests.alias("crests")).alias("flood")).alias("value"))
-    return gauges.extract_thresholds(water.published_levels(docs))[0]
 
 
 # ---- sea -------------------------------------------------------------------------------------

@@ -121,6 +121,15 @@ def slide_inventory(spark, sf_dir):
     return hazards.slide_inventory(_slides(spark, sf_dir))[0]
 
 
+@query("newest_slides", f"""WITH {P_SQL}, {AREAS},
+f AS (SELECT area_type, area_id, c_custkey, CASE WHEN c_nationkey > 2 THEN 2000 + c_nationkey END AS year, {PAIR} AS d FROM ar, c)
+SELECT area_type, area_id, c_custkey, year FROM f WHERE d <= 25
+QUALIFY row_number() OVER (PARTITION BY area_type, area_id ORDER BY year DESC NULLS LAST, round(d, 9), c_custkey) <= 25""")
+def newest_slides(spark, sf_dir):
+    """The 25 newest slides of each area, a report."""
+    return hazards.slide_inventory(_slides(spark, sf_dir))[1].select("area_type", "area_id", "c_custkey", "year")
+
+
 def _slides(spark, sf_dir):
     return customers(spark, sf_dir).select(
         "c_custkey", F.when(F.col("c_nationkey") > 2, F.lit(2000) + F.col("c_nationkey")).alias("year"),

@@ -76,7 +76,8 @@ def flatten(df: DataFrame, source: str = "snapshot", home: str = dims.HOME_POINT
     """Every usable number of every snapshot as a history row.
 
     All blocks become one array of cells and one explode: the documents are read once, not once per
-    block. Cells stay text inside the array and turn into numbers after it, in generated code.
+    block. Cells stay text inside the array and turn into numbers after it, in generated code. An
+    undated document takes the time in `arrived`, where there is that column, else the present.
     """
     here = F.lit(home)
     index = F.col("index")
@@ -101,8 +102,9 @@ def flatten(df: DataFrame, source: str = "snapshot", home: str = dims.HOME_POINT
     )
     given = F.filter(cells, lambda c: c["text"].isNotNull() & (F.length(c["entity_id"]) > 0))
     epoch = F.when(F.col("as_of_epoch") > 0, F.col("as_of_epoch"))
+    arrived = F.col("arrived") if "arrived" in df.columns else F.current_timestamp()
     return (
-        df.withColumn("ts", F.coalesce(F.timestamp_seconds(epoch), F.current_timestamp()))
+        df.withColumn("ts", F.coalesce(F.timestamp_seconds(epoch), arrived))
         .select("ts", F.lit(source).alias("source"), F.explode(given).alias("_cell"))
         .select("ts", "source", "_cell.*")
         .withColumn("value", number("text")).filter(F.col("value").isNotNull())

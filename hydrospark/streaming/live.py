@@ -33,7 +33,13 @@ def snapshot_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def ingest_snapshots(documents: DataFrame, store_path: str, checkpoint: str, once: bool = True
                      ) -> StreamingQuery:
-    """Flatten snapshots and merge them into the store; a repeated batch changes nothing."""
+    """Flatten snapshots and merge them into the store; a repeated batch changes nothing.
+
+    Undated documents take the time of their batch, which the stream records, so that it is the same
+    when the batch is repeated.
+    """
+    documents = documents.withColumn("arrived", F.current_timestamp())
+
     def merge(batch: DataFrame, batch_id: int) -> None:
         store.append(snapshots.flatten(batch), store_path)
 
