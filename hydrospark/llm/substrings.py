@@ -64,8 +64,7 @@ def _census(window: int, ranges_log2: int):
                     continue
                 for k in PREFIXES:
                     starts = grams(words, k)[:len(words) - window + 1]
-                    counts[k] += np.bincount((starts >> np.uint64(64 - CENSUS_LOG2)).astype(np.int64),
-                                             minlength=1 << CENSUS_LOG2)
+                    np.add.at(counts[k], (starts >> np.uint64(64 - CENSUS_LOG2)).astype(np.int64), 1)
                 sync = grams(words, SYNC)
                 points = distinct(sync[distinct(window_minima(sync, window - SYNC + 1))])
                 held.append(points)
