@@ -61,7 +61,7 @@ SELECT entity_id, first_value, last_value, first_ts, last_ts, n, round(rate, 6)
 def stream_rate_of_rise(spark, sf_dir):
     path = run_dir(spark, "stream")
     readings = stream(spark, sf_dir).select(F.col("event_type").alias("entity_id"), "ts", "value")
-    live.track_rates(readings, f"{path}/state", f"{path}/rates", f"{path}/checkpoint").awaitTermination()
+    live.track_rates(readings, f"{path}/rates", f"{path}/checkpoint").awaitTermination()
     return rounded(live.current_rates(spark, f"{path}/rates"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -11,11 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hydrospark.operators import flood_index, store
-from hydrospark.operators.timeseries import recent_rate
-from hydrospark.plans.pick import best_row, top_rows
+from hydrospark.plans.pick import best_row
 from hydrospark.schema import HISTORY_COLS, HISTORY_KEY, SNAPSHOT
 from hydrospark.sources import snapshots
-from hydrospark.streaming.state import StateTable
 
 WATERMARK = "2 hours"
 
@@ -80,29 +79,60 @@ def write_rows(rows: DataFrame, path: str, checkpoint: str, once: bool = True) -
 
 # ---- rate of rise ----------------------------------------------------------------------------
 
-READING = "entity_id string, ts timestamp, value double"
+RATES = ("entity_id string, first_value double, last_value double, first_ts timestamp, last_ts timestamp, "
+         "n bigint, rate_ft_per_hr double")
 
 
-def track_rates(readings: DataFrame, state_path: str, out_path: str, checkpoint: str,
-                last: int = 12, once: bool = True) -> StreamingQuery:
-    """Rate of rise per site over its last readings, carried from batch to batch.
+def _newest(last: int):
+    """The newest readings of every site in a task's batch: all that can matter to its rate."""
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.sort_values(["us", "value"], ascending=False).groupby("entity_id").head(last)
+
+    return keep
+
+
+def _rate(last: int):
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+             ) -> Iterator[pd.DataFrame]:
+        rows = [tuple(r) for r in json.loads(state.get[0])] if state.exists else []
+        for batch in batches:
+            rows += zip(batch["us"].tolist(), batch["value"].tolist())
+        rows = sorted(rows, reverse=True)[:last]
+        state.update((json.dumps(rows),))
+        (newest, high), (oldest, low) = rows[0], rows[-1]
+        hours = (newest - oldest) / 3.6e9
+        yield pd.DataFrame({
+            "entity_id": [key[0]], "first_value": [low], "last_value": [high],
+            "first_ts": [pd.Timestamp(oldest, unit="us", tz="UTC")],
+            "last_ts": [pd.Timestamp(newest, unit="us", tz="UTC")], "n": [len(rows)],
+            "rate_ft_per_hr": [(high - low) / hours if len(rows) > 1 and hours > 0 else None]})
+
+    return step
 
-    Each task keeps its `last` newest rows per site before anything is shuffled, and the state holds
-    `last` rows per site: one busy site costs no more than any other.
+
+def rates(readings: DataFrame, last: int = 12) -> DataFrame:
+    """Rate of rise per site over its last readings, a row whenever the site reports.
+
+    A stateful operator: Spark's state store carries `last` readings of each site from batch to
+    batch. Each task keeps its newest rows per site before anything is shuffled, so one busy site costs
+    no more than any other. Readings without a time or a value are left out.
     """
-    spark = readings.sparkSession
-    state = StateTable(spark, state_path, READING)
-
-    def update(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("entity_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-        seen = rows.select("entity_id").distinct()
-        both = state.read(before=batch_id).unionByName(rows)
-        state.write(top_rows(both, ["entity_id"], last, F.desc("ts"), F.desc("value")), batch_id)
-        changed = state.read().join(seen, "entity_id", "left_semi")
-        rates = recent_rate(changed, last, keys=["entity_id"])
-        rates.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-
-    return _start(readings.writeStream.foreachBatch(update), checkpoint, once)
+    rows = readings.select("entity_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+                           "value").where("entity_id is not null and us is not null and value is not null")
+    kept = rows.mapInPandas(_newest(last), "entity_id string, us bigint, value double")
+    return kept.groupBy("entity_id").applyInPandasWithState(
+        _rate(last), RATES, "readings string", "update", GroupStateTimeout.NoTimeout)
+
+
+def track_rates(readings: DataFrame, out_path: str, checkpoint: str, last: int = 12,
+                once: bool = True) -> StreamingQuery:
+    """The changed rates of every batch, in a folder of its own that a repeated batch replaces."""
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+
+    return _start(rates(readings, last).writeStream.outputMode("update").foreachBatch(keep),
+                  checkpoint, once)
 
 
 def current_rates(spark: SparkSession, out_path: str) -> DataFrame:

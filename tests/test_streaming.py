@@ -59,8 +59,7 @@ def test_rates_carry_over_batches(spark, tmp_path):
     points = [("a", start + dt.timedelta(minutes=15 * i), 1.0 + i * i / 100) for i in range(20)]
     land(spark, src, "one", points[:9], schema)
     land(spark, src, "two", points[9:] + [("b", start, 3.0)], schema)
-    live.track_rates(read(spark, src, schema), str(tmp_path / "state"), str(tmp_path / "rates"),
-                     str(tmp_path / "cp")).awaitTermination(120)
+    live.track_rates(read(spark, src, schema), str(tmp_path / "rates"), str(tmp_path / "cp")).awaitTermination(120)
     got = {r["entity_id"]: r for r in live.current_rates(spark, str(tmp_path / "rates")).collect()}
     hours = 11 * 0.25
     assert abs(got["a"]["rate_ft_per_hr"] - (points[19][2] - points[8][2]) / hours) < 1e-9
