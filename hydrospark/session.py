@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -52,8 +53,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+_RUNS: list[str] = []
+
+
 def run_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the checkpoint root for one run of one job."""
-    import uuid
+    """A new folder below the checkpoint root for one run of one job; `clear_runs` removes it."""
+    _RUNS.append(f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _RUNS[-1]
+
 
-    return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+def clear_runs(spark: SparkSession) -> None:
+    """Remove the folders of the jobs of this process, once their results have been written elsewhere."""
+    while _RUNS:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_RUNS.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
