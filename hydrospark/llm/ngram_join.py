@@ -158,7 +158,13 @@ def _levels(counts: np.ndarray) -> np.ndarray:
 
 
 def _index(n: int, levels, shared, frequent: int, t: tuple[int, int]):
-    """Per distinct set of a task: a class row (key, sketch) and its signature rows."""
+    """Per distinct set of a task: a class row (key, slack, sketch) and its signature rows.
+
+    Tokens that no other document holds count in full to the difference of a set to any other, and
+    at similarity t two sets differ in at most (1 - t) / (1 + t) of their summed sizes. Slack is what
+    is left of a set's share of that, negated and in whole numbers: two slacks above zero in sum
+    exclude a link.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen, shift = levels.value, set(), np.uint64(64 - COUNTERS_LOG2)
         sigs, keys, rows = [], [], []
@@ -172,9 +178,10 @@ def _index(n: int, levels, shared, frequent: int, t: tuple[int, int]):
             if len(seen) >= 200_000:
                 seen.clear()
             seen.add(whole)
-            rows.append((key, len(tokens), _long(whole >> 64), _long(whole & (2**64 - 1)), _parity(tokens)))
-            own = signatures(tokens, np.where(in_bitmap(shared.value, tokens), level + np.uint8(1), np.uint8(0)),
-                             frequent + 1, t)
+            held = in_bitmap(shared.value, tokens)
+            slack = (len(tokens) - int(held.sum())) * (t[1] + t[0]) - len(tokens) * (t[1] - t[0])
+            own = signatures(tokens, np.where(held, level + np.uint8(1), np.uint8(0)), frequent + 1, t)
+            rows.append((key, len(tokens), slack, _long(whole >> 64), _long(whole & (2**64 - 1)), _parity(tokens)))
             sigs.append(own)
             keys.append(np.full(len(own), key, dtype=np.int64))
             if len(rows) >= 1024:
@@ -184,16 +191,16 @@ def _index(n: int, levels, shared, frequent: int, t: tuple[int, int]):
             yield from _out(sigs, keys, rows)
 
     def _out(sigs, keys, rows) -> Iterator[pa.RecordBatch]:
-        names = ["sig", "key", "n", "k1", "k2", "sketch"]
+        names = ["sig", "key", "n", "slack", "k1", "k2", "sketch"]
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(len(rows), pa.int64()), *(pa.array(c, t_) for c, t_ in zip(
-                zip(*rows), (pa.int64(),) * 4 + (pa.binary(),), strict=True))], names=names)
+                zip(*rows), (pa.int64(),) * 5 + (pa.binary(),), strict=True))], names=names)
         sig, key = np.concatenate(sigs).view(np.int64), np.concatenate(keys)
         for a in range(0, len(sig), 50_000):
             part = sig[a:a + 50_000]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part), pa.array(key[a:a + 50_000]), *(pa.nulls(len(part), x) for x in
-                 (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=names)
+                 (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=names)
 
     return run
 
@@ -296,14 +303,14 @@ def groups(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), i
     shared = spark.sparkContext.broadcast(shared_points(
         sized.where("name >= 0").select("name", "counts", "several"), ranges_log2, bits_log2))
     indexed = staged(read.mapInArrow(_index(n, levels, shared, frequent, t),
-                                     "sig long, key long, n long, k1 long, k2 long, sketch binary"), "signatures")
+                                     "sig long, key long, n long, slack long, k1 long, k2 long, sketch binary"), "signatures")
     least = members.where("id is not null and k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    classes = staged(indexed.where("sig is null").select("key", "n", "k1", "k2", "sketch")
+    classes = staged(indexed.where("sig is null").select("key", "n", "slack", "k1", "k2", "sketch")
                      .dropDuplicates(["key", "k1", "k2"]).join(least, ["k1", "k2"]), "classes")
     rows = indexed.where("sig is not null").select("sig", "key")
     several = rows.groupBy("sig").agg(F.max("key").alias("hi"), F.min("key").alias("lo")).where("lo <> hi").select("sig")
     buckets = staged(rows.join(several, "sig").distinct().withColumn("size", _size_class("key"))
-                     .join(classes.select("key", "rep"), "key"), "buckets")
+                     .join(classes.select("key", "rep", "slack"), "key"), "buckets")
     heads = buckets.groupBy("sig", "size").agg(F.max("key").alias("head"))
     # sets whose size classes are further apart cannot link
     apart = math.floor(math.log(t[1] / t[0]) / math.log(SIZE_STEP)) + 1
@@ -325,17 +332,18 @@ def groups(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), i
         a, b = (sets.withColumnsRenamed({"rep": k, "tokens": f"t{k}"}) for k in "ab")
         return staged(pairs.join(a, "a").join(b, "b").mapInArrow(_verify(t), "a long, b long"), "verified")
 
-    stars = (buckets.join(heads, ["sig", "size"]).where("key <> head").select(F.col("rep").alias("a"), "head").distinct()
-             .join(classes.select(F.col("key").alias("head"), F.col("rep").alias("b")), "head").select("a", "b"))
+    stars = (buckets.join(heads, ["sig", "size"]).where("key <> head").select(F.col("rep").alias("a"), "head", "slack").distinct()
+             .join(classes.select(F.col("key").alias("head"), F.col("rep").alias("b"), F.col("slack").alias("slack_b")), "head")
+             .where("slack + slack_b <= 0").select("a", "b"))
     links = verified(staged(near(stars), "stars"))
     named = components(links)
     at = (buckets.join(named, buckets["rep"] == named["node"], "left")
-          .select("sig", "rep", "size", F.coalesce("component", "rep").alias("of")))
+          .select("sig", "rep", "size", "slack", F.coalesce("component", "rep").alias("of")))
     split = at.groupBy("sig").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("sig")
     open_ = staged(at.join(split, "sig"), "open")
-    x, y = (open_.select("sig", F.col("rep").alias(k), F.col("of").alias(f"of_{k}"), F.col("size").alias(f"size_{k}"))
-            for k in "ab")
-    pairs = (x.join(y, "sig").where("a < b and of_a <> of_b")
+    x, y = (open_.select("sig", F.col("rep").alias(k), F.col("of").alias(f"of_{k}"), F.col("size").alias(f"size_{k}"),
+                        F.col("slack").alias(f"slack_{k}")) for k in "ab")
+    pairs = (x.join(y, "sig").where("a < b and of_a <> of_b and slack_a + slack_b <= 0")
              .where(F.abs(F.col("size_a") - F.col("size_b")) <= apart).select("a", "b"))
     more = verified(staged(near(pairs), "pairs"))
     of = components(links.unionByName(more))
