@@ -113,8 +113,9 @@ class Ledger:
         text = F.coalesce(F.col(text_col), F.lit(""))
         versions = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("blob"),
                                text.alias("text"))
-        unseen = (versions.select("blob", "text").join(self.entries().select("blob"), "blob", "left_anti")
-                  .dropDuplicates(["blob"]))
+        # Copies are dropped within tasks before the shuffle, so that a text many documents carry is no hot key.
+        unseen = (versions.select("blob", "text").dropDuplicates(["blob"])
+                  .join(self.entries().select("blob"), "blob", "left_anti"))
         (unseen.select("blob", findings(F.col("text"), self.rules).alias("found"), F.lit(self.version).alias("rules"))
          .write.mode("append").partitionBy("rules").parquet(self.path))
         known = self.entries().withColumnRenamed("blob", "known")
