@@ -17,14 +17,21 @@ from pyspark.sql import functions as F
 #: Marks put around matches, and what stands for them where a text itself holds them.
 _OPEN, _CLOSE, _OTHER = "\ue000", "\ue001", "\ufffd"
 
-FINDING = "array<struct<start:int,place:int,end:int,kind:string,base:boolean>>"
+FINDING = "array<struct<start:int,place:int,end:int,kind:string,base:boolean,mark:int>>"
+
+#: What follows the first line of a private key: all up to the next run of five dashes if that is its END line, or
+#: else header fields and the base64 block, with a shorter last line. No part of it can hold another first line.
+_KEY_BODY = (r"(?:(?>[\s\S]*?-----)-*+END [A-Z ]*PRIVATE KEY-----"
+             r"|(?:[\s\\>\"']*+(?:Proc-Type|DEK-Info):[^\n]*+)*+(?:[\s\\>\"']*+[A-Za-z0-9+/]{16,}+={0,2}+)++"
+             r"(?:[\s\\>\"']++(?:[A-Za-z0-9+/]*+=++|[A-Za-z0-9+/]++(?=[\"']?[^\S\n]*+(?:\n|\\|\z))))?+)?+")
 
 
 @dataclass(frozen=True)
 class Rule:
     """A pattern whose matches are leftmost and do not overlap; `group` must have `least` characters.
 
-    A text is searched only if it holds one of `needles`, where there are any.
+    A text is searched only if it holds one of `needles`, where there are any. `body` is what belongs to a secret
+    behind its match: the span's `end` lies behind it, its `mark` at the end of the match of `pattern`.
     """
 
     kind: str
@@ -33,6 +40,7 @@ class Rule:
     least: int = 1
     base: bool = False
     needles: tuple[str, ...] = ()
+    body: str = ""
 
 
 RULES = (
@@ -40,7 +48,7 @@ RULES = (
          group=2, least=6, base=True),
     Rule("access", r"AKIA[A-Z0-9]+", least=20, base=True, needles=("AKIA",)),
     Rule("hex", r"[0-9a-f]{24,}", least=24, base=True),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", needles=("PRIVATE KEY-----",)),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", needles=("PRIVATE KEY-----",), body=_KEY_BODY),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", needles=("eyJ",)),
     Rule("url_login", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s/@]+@", needles=("://",)),
     Rule("prefixed", r"(?:gh[pousr]_|xox[abprs]-|sk_live_)[A-Za-z0-9_-]{16,}",
@@ -55,7 +63,7 @@ def rules_version(rules: tuple[Rule, ...]) -> str:
 
 def _spans(text: Column, rule: Rule, place: int) -> Column:
     """Matches of one rule, by code points: text between marks alternates with matches."""
-    marked = F.regexp_replace(text, rule.pattern, f"{_OPEN}$0{_CLOSE}")
+    marked = F.regexp_replace(text, rule.pattern + rule.body, f"{_OPEN}$0{_CLOSE}")
     pieces = F.split(marked, f"[{_OPEN}{_CLOSE}]", -1)
     empty = F.array().cast(FINDING)
     long_enough = (lambda m: F.length(m) >= rule.least) if rule.group == 0 else (
@@ -63,8 +71,9 @@ def _spans(text: Column, rule: Rule, place: int) -> Column:
 
     def step(done: Column, piece: Column) -> Column:
         end = done["at"] + F.length(piece)
+        mark = done["at"] + F.length(F.regexp_extract(piece, rule.pattern, 0)) if rule.body else end
         span = F.array(F.struct(done["at"].alias("start"), F.lit(place).alias("place"), end.alias("end"),
-                                F.lit(rule.kind).alias("kind"), F.lit(rule.base).alias("base")))
+                                F.lit(rule.kind).alias("kind"), F.lit(rule.base).alias("base"), mark.alias("mark")))
         return F.struct(end.alias("at"), (~done["match"]).alias("match"),
                         F.when(done["match"] & long_enough(piece), F.concat(done["out"], span))
                         .otherwise(done["out"]).alias("out"))
@@ -124,8 +133,8 @@ class Ledger:
 
 
 def listed(found: Column) -> Column:
-    """Spans as kind:start:end, comma-joined."""
-    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    """Spans as kind:start:mark, comma-joined: of a private key the first line, by which the SQL knows it."""
+    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["mark"])), ",")
 
 
 def without_secrets(docs: DataFrame, ledger: Ledger, mask: str = "x", id_col: str = "doc_id",

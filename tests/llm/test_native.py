@@ -92,6 +92,31 @@ def test_secrets(spark, table, tmp_path):
     assert ledger.scan(docs.limit(0)).count() == 0
 
 
+def test_private_keys_go_whole(spark, table, tmp_path):
+    lines = ["MIIEpAIBAAKCAQEA7" + "aB3+/" * 9, "Qz9" * 21, "short4Ag=="]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,3F17F5316E2BAC89\n\n"
+    block = "\n".join([head, *lines, end])
+    secrets = [block, block.replace("\n", "\r\n"), block.replace("\n", "\\n"), block.replace("\n", "\n> "), block.replace("\n", " "),
+               "\n".join([head, fields + lines[0], lines[1], end]), "\n".join([head, *lines]), "\n".join([head, *lines[:2], "cutOff"]),
+               "\n".join([head, fields + lines[0]]), "\n".join([head, "Qz9A" * 16] + ["Qz9A" * 16] * 3000 + [end]), head]
+    docs = table(*((i, f"before it {s}\nafter it all") for i, s in enumerate(secrets)), (100, f"{block}\nmiddle words\n{block} last"),
+                 (101, f"{head} is a first line - no key here"), (102, f"{head}\n{lines[0]}\n{block}"))
+    ledger = secret_scan.Ledger(spark, str(tmp_path / "keys"))
+    masked = {r.doc_id: r.text for r in secret_scan.without_secrets(docs, ledger).collect()}
+    for i, s in enumerate(secrets):
+        assert masked[i] == f"before it {'x' * len(s)}\nafter it all", s[:200]
+    assert masked[100] == "x" * len(block) + "\nmiddle words\n" + "x" * len(block) + " last"
+    assert masked[101] == "x" * len(head) + " is a first line - no key here"
+    assert masked[102] == "x" * len(f"{head}\n{lines[0]}") + "\n" + "x" * len(block)
+    # listed as in the SQL: every first line, whatever follows
+    rows = {r.doc_id: r.s for r in ledger.scan(docs).select("doc_id", secret_scan.listed(secret_scan.F.col("found")).alias("s")).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for i, text in texts.items():
+        assert [x for x in rows[i].split(",") if x.startswith("private_key")] == [
+            f"private_key:{m.start()}:{m.end()}" for m in re.finditer("-----BEGIN [A-Z ]*PRIVATE KEY-----", text)], i
+
+
 def luhn(digits):
     total = 0
     for k, d in enumerate(reversed([int(c) for c in digits if c.isdigit()])):
