@@ -32,37 +32,85 @@ GIVEN = {
 SYLLABLES = {"latin": ("ba", "de", "fi", "go", "hu", "ka", "le", "mi", "no", "pu", "ra", "se", "ti", "vo", "wu", "za"),
              "cyrillic": ("ба", "де", "фи", "го", "ху", "ка", "ле", "ми", "но", "пу", "ра", "се", "ти", "во", "ву", "за")}
 
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+_TITLE = rf"(?:{'|'.join(MALE + FEMALE)})\.?"
+_NAME = r"\p{Lu}(?:\p{L}|-(?=\p{L})|['’](?=\p{L})(?!s(?!\p{L})))++"
+_BETWEEN = r"(?: \p{Lu}\.?(?= ))*(?: (?:von|van|vom|zu|zum|zur|der|den|ter|de|del|della|di|da|dos|du|la|le|los|las|al|bin|ibn|y)(?= ))*"
+_IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
+_CARD = r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])"
+_SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+_THREES = r"(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}|[2-9][0-9]{2} [0-9]{3} [0-9]{4})(?![0-9]|[.-][0-9])"
+_FRONT = r"(?<![0-9A-Za-z+]|[0-9A-Za-z][.-])"
+# Where a further group of a phone may not begin, as another number does: an address, a card that is not itself in
+# the middle of a row of fours, a number with a decimal point, a social security number, another phone.
+_OTHER_NUMBER = (rf"{_IP}|{_CARD}(?![ -][0-9]{{4}}(?![0-9]))|(?<=\x20)[0-9]+\.[0-9]+(?![0-9]|[. -][0-9])"
+                 rf"|(?<=\x20)(?:{_SSN}|{_THREES})")
+_GROUP = rf"(?:[ .-]?(?!{_OTHER_NUMBER})[0-9]{{2,4}})"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+",
-    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
+    "ip": _IP,
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])"
-             r"|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
-    "person": rf"(?<!\p{{L}})(?:{'|'.join(MALE + FEMALE)})\.? {_NAME}(?: {_NAME})?",
+    "card": _CARD,
+    "ssn": _SSN,
+    # formats with a length of their own first, then with a country code or brackets, then with a leading 0
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+             r"|(?<![0-9A-Za-z])\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+             rf"|(?:\+[0-9]{{1,3}}[ .-]?)?\([0-9]{{2,4}}\)[ .-]?(?!{_IP}|{_CARD})[0-9]{{2,4}}{_GROUP}{{1,3}}(?![0-9])"
+             rf"|(?<![0-9A-Za-z])\+[0-9]{{1,3}}(?:[ .-]?[0-9]{{2,4}}){{2}}{_GROUP}{{0,3}}(?![0-9])"
+             rf"|{_FRONT}(?:1[ .-])?{_THREES}"
+             rf"|{_FRONT}0[1-9](?:(?: [0-9]{{2}}){{4}}|(?:\.[0-9]{{2}}){{4}}|(?:-[0-9]{{2}}){{4}})(?![0-9]|[.-][0-9])"
+             rf"|{_FRONT}0[1-9][0-9]{{0,3}}[ /-](?:[0-9]{{5,8}}|[0-9]{{3,4}}(?:[ -](?!{_OTHER_NUMBER})[0-9]{{2,4}}){{1,3}})(?![0-9]|[.-][0-9])",
+    "person": rf"(?<!\p{{L}}){_TITLE}(?:{_BETWEEN} {_NAME})++",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_HINT = rf"[0-9@]|(?:{'|'.join(MALE + FEMALE)})\.? "
+_HINT = rf"[0-9@]|{_TITLE} "
 
 
 def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _titled(entity: Column) -> Column:
+    return entity.rlike(f"^{_TITLE} ")
+
+
+def _is_name(word: Column) -> Column:
+    """A word of a person's name that is no initial and no particle."""
+    return word.rlike(rf"^{_NAME}$")
+
+
 def _parts(text: Column) -> Column:
-    """The text as an array in which every second entry is an entity; one entry where there is none."""
+    """The text as an array in which every second entry is an entity; one entry where there is none.
+
+    Where persons are named by form of address, their surnames are entities wherever else they stand, with
+    given names of those persons in front.
+    """
     plain = F.translate(text, _OPEN + _CLOSE, _OTHER * 2)
-    marked = F.split(F.regexp_replace(plain, _ANY, f"{_OPEN}$0{_CLOSE}"), f"[{_OPEN}{_CLOSE}]", -1)
-    return F.when(text.rlike(_HINT), marked).otherwise(F.array(text))
+
+    def cut(pattern: Column) -> Column:
+        return F.split(F.regexp_replace(plain, pattern, F.lit(f"{_OPEN}$0{_CLOSE}")), f"[{_OPEN}{_CLOSE}]", -1)
+
+    def spelled(names: Column) -> Column:
+        return F.array_join(F.array_distinct(F.concat(names, F.transform(names, F.upper))), "|")
+
+    def with_mentions(people: Column) -> Column:
+        last = F.transform(people, lambda p: F.substring_index(p, " ", -1))
+        rest = F.flatten(F.transform(people, lambda p: F.filter(
+            F.split(p, " ", -1), lambda w, i: (i > 0) & (i < F.size(F.split(p, " ", -1)) - 1) & _is_name(w))))
+        front = F.when(F.size(rest) > 0, F.concat(F.lit("(?:(?:"), spelled(rest), F.lit(") )*"))).otherwise(F.lit(""))
+        return cut(F.concat(F.lit(_ANY + r"|(?<!\p{L})"), front, F.lit("(?:"), spelled(last), F.lit(r")(?!\p{L}|-\p{L})")))
+
+    def again(parts: Column) -> Column:
+        people = F.filter(_entities(parts), _titled)
+        return F.when(F.size(people) > 0, _let(people, with_mentions)).otherwise(parts)
+
+    return F.when(text.rlike(_HINT), _let(cut(F.lit(_ANY)), again)).otherwise(F.array(text))
 
 
 def kind_of(entity: Column) -> Column:
     out = F.when(entity.rlike(f"^(?:{PATTERNS['email']})$"), F.lit("email"))
-    for kind in ("ip", "iban", "card", "ssn", "phone"):
+    for kind in ("ip", "iban", "card", "ssn"):
         out = out.when(entity.rlike(f"^(?:{PATTERNS[kind]})$"), F.lit(kind))
-    return out.otherwise(F.lit("person"))
+    return out.when(entity.rlike("^[+(0-9]"), F.lit("phone")).otherwise(F.lit("person"))
 
 
 def _digits(text: Column) -> Column:
@@ -76,19 +124,29 @@ def _script(name: Column) -> Column:
 def keys_of(entity: Column) -> Column:
     """What of an entity is replaced, as (kind, key) pairs: spellings of one thing have one key.
 
-    A person's surname and given name are keys of their own, so that later mentions by surname agree.
+    A person's surname and given names are keys of their own, so that later mentions by surname agree; a mention
+    without form of address has no key but the surname.
     """
     kind = kind_of(entity)
     plain = (F.when(kind == "email", F.lower(entity)).when(kind == "ip", entity)
              .when(kind == "iban", F.translate(entity, " ", "")).otherwise(_digits(entity)))
     words = F.split(entity, " ", -1)
-    last, first = F.get(words, F.size(words) - 1), F.get(words, F.lit(1))
     gender = F.when(F.regexp_replace(F.get(words, F.lit(0)), r"\.$", "").isin(*MALE), F.lit("m")).otherwise(F.lit("f"))
-    surname = F.struct(F.concat(F.lit("surname_"), _script(last)).alias("kind"), F.lower(last).alias("key"))
-    given = F.struct(F.concat(F.lit("given_"), _script(first), F.lit("_"), gender).alias("kind"),
-                     F.lower(first).alias("key"))
-    return F.when(kind != "person", F.array(F.struct(kind.alias("kind"), plain.alias("key")))).when(
-        F.size(words) > 2, F.array(given, surname)).otherwise(F.array(surname))
+    rest = F.filter(words, lambda w, i: (i > 0) & (i < F.size(words) - 1) & _is_name(w))
+    return F.when(kind != "person", F.array(F.struct(kind.alias("kind"), plain.alias("key")))).otherwise(F.concat(
+        F.when(_titled(entity), F.transform(rest, lambda w: _given(w, gender))).otherwise(F.array().cast(_PAIRS)),
+        F.array(_surname(F.get(words, F.size(words) - 1)))))
+
+
+_PAIRS = "array<struct<kind:string,key:string>>"
+
+
+def _surname(name: Column) -> Column:
+    return F.struct(F.concat(F.lit("surname_"), _script(name)).alias("kind"), F.lower(name).alias("key"))
+
+
+def _given(name: Column, gender: Column) -> Column:
+    return F.struct(F.concat(F.lit("given_"), _script(name), F.lit("_"), gender).alias("kind"), F.lower(name).alias("key"))
 
 
 def _hash(secret: str) -> Column:
@@ -129,7 +187,8 @@ def _surrogate(secret: str) -> Column:
     octets = F.concat_ws(".", *[(F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("int") % 254 + 1).cast("string")
                                 for i in range(4)])
     front = F.concat(F.substring(key, 1, 1), F.substring(digits, 1, 14))
-    keep = F.when(F.length(key) > 10, F.length(key) - 10).otherwise(F.lit(0))
+    zero = ((kind == "phone") & key.startswith("0")).cast("int")  # of a national number
+    keep = F.when(F.length(key) > 10, F.length(key) - 10).otherwise(zero)
     numbers = F.concat(F.substring(key, F.lit(1), keep), F.substring(digits, F.lit(1), F.length(key) - keep))
     iban = F.concat(F.substring(key, 1, 2), _filled(F.expr("substring(key, 3)"), F.upper(letters), digits))
     out = (F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "card", _luhn(front))
@@ -179,15 +238,21 @@ def _cased(like: Column, name: Column) -> Column:
 def _replaced(entity: Column, table: Column) -> Column:
     """The entity written with its surrogates: separators, case and form of address stay."""
     def of(pair: Column) -> Column:
-        return F.element_at(table, F.concat_ws("|", pair["kind"], pair["key"]))
+        return F.try_element_at(table, F.concat_ws("|", pair["kind"], pair["key"]))
 
     def written(keys: Column) -> Column:
-        first = F.get(keys, F.lit(0))
-        new, kind, words = of(first), first["kind"], F.split(entity, " ", -1)
-        names = F.concat_ws(" ", F.transform(keys, lambda k, i: _cased(F.get(words, i + 1), of(k))))
+        first, words = F.get(keys, F.lit(0)), F.split(entity, " ", -1)
+        new, kind, titled = of(first), first["kind"], _titled(entity)
+        man = F.regexp_replace(F.get(words, F.lit(0)), r"\.$", "").isin(*MALE)
+
+        def given(w: Column) -> Column:
+            m, f = of(_given(w, F.lit("m"))), of(_given(w, F.lit("f")))
+            return F.when(titled, F.when(man, m).otherwise(f)).otherwise(F.coalesce(m, f))
+
+        name = F.array_join(F.transform(words, lambda w, i: F.when((titled & (i == 0)) | ~_is_name(w), w).otherwise(
+            _cased(w, F.when(i == F.size(words) - 1, of(_surname(w))).otherwise(given(w))))), " ")
         return (F.when(kind == "email", _cased(entity, new)).when(kind == "ip", new)
-                .when(kind.isin("card", "phone", "ssn", "iban"), _spread(entity, new))
-                .otherwise(F.concat_ws(" ", F.get(words, F.lit(0)), names)))
+                .when(kind.isin("card", "phone", "ssn", "iban"), _spread(entity, new)).otherwise(name))
 
     return _let(keys_of(entity), written)
 

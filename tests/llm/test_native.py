@@ -151,6 +151,38 @@ def test_surrogates(spark, table):
     assert pii.pseudonymise(docs.limit(0), "key").count() == 0
 
 
+def test_adjacent_numbers_and_phone_formats(spark, table):
+    phone, ip, card = "+1 (826) 555-4081", "190.137.223.204", "4316 5226 7852 5456"
+    want = {f"{phone} {ip} x": [phone, ip], f"{phone} {card}.": [phone, card], f"{ip} {phone}": [ip, phone],
+            f"+44 20 7946 0958 {card}": ["+44 20 7946 0958", card], f"+44 20 7946 0958 {ip}": ["+44 20 7946 0958", ip],
+            f"{phone} 12.5 kg": [phone], "+44 20 7946 0958 12.5": ["+44 20 7946 0958"], f"{phone} 123-45-6789": [phone, "123-45-6789"],
+            f"(2021) {ip}": [ip], "+4917112345678 4316522678525456": ["+4917112345678", "4316522678525456"],
+            "at 555-123-4567, or": ["555-123-4567"], "555.123.4567": ["555.123.4567"], "0171 1234567": ["0171 1234567"],
+            f"0171 123 45 67 {ip}": ["0171 123 45 67", ip], "01 23 45 67 89": ["01 23 45 67 89"], "030/12345678!": ["030/12345678"],
+            f"555-123-4567 {card}": ["555-123-4567", card], "1-800-555-1234": ["1-800-555-1234"], f"{phone}.": [phone],
+            "on 2024-01-15, 09-2024 and 01-02-2024 at 10:30": [], "v1.555.123.4567.8": [], "10 000 000 and 1234567": []}
+    texts = spark.createDataFrame(list(enumerate(want)), "i int, t string")
+    for r in texts.select("t", pii._entities(pii._parts(pii.F.col("t"))).alias("e")).collect():
+        assert r.e == want[r.t], r.t
+    rows = {r.doc_id: r.text for r in pii.pseudonymise(table((1, f"{phone} {ip} x"), (2, f"call {phone}"), (3, f"at {ip}"),
+                                                             (4, "0171 1234567")), "key").collect()}
+    assert rows[1] == f"{rows[2][5:]} {rows[3][3:]} x" and phone not in rows[2] and re.fullmatch(r"0\d{3} \d{7}", rows[4])
+
+
+def test_whole_names_and_mentions(spark, table):
+    docs = table((1, "Mr John Paul Smith came. Smith's hat; John Smith, SMITH, Smithson and Smith-Jones stay. Mr Smith's car"),
+                 (2, "Herr Ludwig van Beethoven und Mrs J. K. O'Brien. Beethoven, O'Brien"), (3, "Smith alone"))
+    by = {r.doc_id: r for r in pii.pseudonymise(docs, "key").collect()}
+    got = re.fullmatch(r"Mr (\w+) (\w+) (\w+) came\. (\w+)'s hat; (\w+) (\w+), (\w+), Smithson and Smith-Jones stay\. Mr (\w+)'s car",
+                       by[1].text)
+    john, paul, smith = got[1], got[2], got[3]
+    assert not {john, paul, smith} & {"John", "Paul", "Smith"} and john != paul
+    assert got.groups()[3:] == (smith, john, smith, smith.upper(), smith) and by[1].n_person == 5
+    got = re.fullmatch(r"Herr (\w+) van (\w+) und Mrs J\. K\. (\w+)\. (\w+), (\w+)", by[2].text)
+    assert got[2] == got[4] != "Beethoven" and got[3] == got[5] and got[1] != "Ludwig"
+    assert by[3].text == "Smith alone"
+
+
 def test_surrogates_are_distinct_and_new(spark):
     """Short lists force collisions; keys that are surrogates of others must not be drawn."""
     names = [("given_latin_m", f"name{i}") for i in range(150)] + [("given_latin_m", n.lower()) for n in pii.GIVEN["latin", "m"]]
