@@ -99,7 +99,7 @@ def _long(value: int) -> int:
 
 def _scales(n: int, t: tuple[int, int]) -> set[int]:
     """Size classes of all partners that a set of n tokens can have."""
-    return {(-(-n * t[0] // t[1])).bit_length(), (n * t[1] // t[0]).bit_length()}
+    return set(range((-(-n * t[0] // t[1])).bit_length(), (n * t[1] // t[0]).bit_length() + 1))
 
 
 def signatures(tokens: np.ndarray, level: np.ndarray, frequent: int, t: tuple[int, int]) -> np.ndarray:

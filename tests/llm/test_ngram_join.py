@@ -71,6 +71,22 @@ def test_similar_sets_share_a_signature(t, frequent):
         assert signed[0] & signed[1]
 
 
+@pytest.mark.parametrize("t", [(1, 2), (3, 10), (7, 10), (8, 10), (90, 100)])
+def test_sets_of_partner_size_share_a_scale(t):
+    for n in range(1, 700):
+        for m in range(n, n * t[1] // t[0] + 1):
+            assert ngram_join._scales(n, t) & ngram_join._scales(m, t), (n, m)
+
+
+def test_half_similar_sets_of_frequent_tokens_share_a_signature():
+    pick = np.random.default_rng(6)
+    for n, m in [(140, 260), (130, 258), (200, 390), (100, 140)]:
+        b = np.unique(pick.integers(0, 2**63, m).astype(np.uint64))
+        a = np.sort(pick.permutation(b)[:n])
+        x, y = (set(ngram_join.signatures(s, (s % np.uint64(7) + np.uint64(1)).astype(np.uint8), 0, (1, 2)).tolist()) for s in (a, b))
+        assert x & y, (n, m)
+
+
 def test_parity_bound_never_rejects_a_link():
     known = Words()
     a = ngram_join.token_set(known.of(b" ".join(b"w%d" % i for i in range(3000))), 3)
