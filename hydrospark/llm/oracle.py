@@ -68,4 +68,25 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN s USING (rid)"""
 
-ORACLE_SQL = {"op3_ngram_join": OP3, "op5_decontaminate": OP5, "op8_substring_dedup": OP8, "op9_secrets": OP9}
+_TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS.format(_LOWERED)} AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n_all, CAST(sum(len(w)) AS BIGINT) AS l_all FROM d),
+i AS (SELECT DISTINCT item_id, text FROM benchmark),
+q AS (SELECT item_id, text, term, count(*) AS times FROM (SELECT item_id, text, unnest({_TERMS.format(_LOWERED)}) AS term FROM i) GROUP BY ALL),
+p AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * n_all + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), s),
+x AS (SELECT rid, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_all) // l_all))) AS gain FROM p JOIN f USING (term), s),
+g AS (SELECT item_id, text, rid, doc_id, CAST(sum(times * gain) AS BIGINT) AS score FROM q JOIN x USING (term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS place FROM g WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM r WHERE place <= 10"""
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d"""
+
+ORACLE_SQL = {"op3_ngram_join": OP3, "op5_decontaminate": OP5, "op8_substring_dedup": OP8, "op9_secrets": OP9,
+              "op12_ranked_search": OP12, "op13_exact_dedup": OP13}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrospark.llm import bpe, decontaminate, langid, ngram_join, outliers, pii, quality, secret_scan, substrings, toxicity
+from hydrospark.llm import (
+    bpe, decontaminate, exact_dedup, langid, ngram_join, outliers, pii, quality, ranked, secret_scan, substrings, toxicity, whitening)
 from hydrospark.llm.oracle import ORACLE_SQL  # noqa: F401 - read by the entry module
 from hydrospark.llm.shared import importable, staged
 from hydrospark.session import configure, run_dir
@@ -85,6 +86,18 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(_table(spark, sf_dir, "documents"), secret="registered query")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_quality, op3_ngram_join, op4_outliers, op5_decontaminate, op6_language, op7_toxicity,
-    op8_substring_dedup, op9_secrets, op10_surrogates)}
+    op8_substring_dedup, op9_secrets, op10_surrogates, op11_whitening, op12_ranked_search, op13_exact_dedup)}
