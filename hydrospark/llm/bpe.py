@@ -18,13 +18,16 @@ import struct
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces and chunks that a worker remembers before it starts afresh.
-HELD = 120_000
+HELD = 200_000
+#: Pairs of tokens whose standing together a worker remembers.
+PAIRS = 400_000
 
 
 def _lines(path: str) -> dict[bytes, int]:
@@ -110,7 +113,7 @@ class Ranks:
                     pair = last[j - 1] << 32 | right
                     good = fits.get(pair)
                     if good is None:
-                        if len(fits) >= HELD:
+                        if len(fits) >= PAIRS:
                             fits.clear()
                         good = fits[pair] = self._stand(last[j - 1], right)
                     if good:
@@ -189,29 +192,40 @@ class Encoded:
         return [i for _, last in self.pieces for i in self.ranks.walk_back(last)]
 
 
-class _Chunks(dict):
-    """Packed ids of a chunk: a run without spaces and the space before it, or white space."""
+class _Recent(dict):
+    """What was asked for lately: two generations of at most `held` entries, so that frequent keys outlive rare ones."""
 
-    def __init__(self, ranks: Ranks, pattern: str):
-        self._ranks, self._pattern, self._pieces = ranks, regex.compile(pattern), {}
+    def __init__(self, held: int, make):
+        self._held, self._make, self._older = held, make, {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        packed, pieces = b"", self._pieces
-        for piece in self._pattern.findall(chunk):
-            known = pieces.get(piece)
-            if known is None:
-                ids = self._ranks.encode_piece(piece.encode())
-                known = struct.pack(f"<{len(ids)}I", *ids)
-                if len(pieces) >= HELD:
-                    pieces.clear()
-                if len(piece) <= 64:
-                    pieces[piece] = known
-            packed += known
-        if len(self) >= 2 * HELD:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = packed
-        return packed
+    def __missing__(self, key: str) -> bytes:
+        value = self._older.get(key)
+        if value is None:
+            value = self._make(key)
+        if len(key) <= 64:
+            if len(self) >= self._held:
+                self._older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+def _packer(ranks: Ranks, pattern: str, whole: bool):
+    """Packed ids of a text. `whole`: a run of letters with at most a space before it is one piece by the pattern."""
+    split = regex.compile(pattern).findall
+
+    def of_piece(piece: str) -> bytes:
+        ids = ranks.encode_piece(piece.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    pieces = _Recent(HELD // 4, of_piece)
+
+    def of(text: str) -> bytes:
+        if whole and (text[1:] if text[0] == " " else text).isalpha():
+            return of_piece(text)
+        return b"".join(map(pieces.__getitem__, split(text)))
+
+    return of
 
 
 #: The pattern of the tables never lets a space stand inside a piece or at its end before other
@@ -221,28 +235,64 @@ _CUT = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
 _ODD = re.compile("[\x1c-\x1f]")
 
 
-def _encode(path: str, pattern: str):
+def _encode(path: str, pattern: str, cut: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _Chunks(ranks_at(path), pattern)
-        for batch in batches:
+        pack = _packer(ranks_at(path), pattern, cut)
+        chunk = _Recent(HELD, pack).__getitem__
+        for batch in _sliced(batches):
             ids = []
             for text in batch.column(1).to_pylist():
                 if not text:
                     ids.append(b"")
-                elif _ODD.search(text):
-                    ids.append(chunks[text])
+                elif not cut or _ODD.search(text):
+                    ids.append(pack(text))
                 else:
-                    ids.append(b"".join(map(chunks.__getitem__, _CUT.findall(text))))
+                    ids.append(b"".join(map(chunk, _CUT.findall(text))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return run
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+@cache
+def _bytes_at(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens behind each other by id, where each starts, and their lengths."""
+    tokens = tokens_at(path)
+    table = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+    sizes = np.fromiter(map(len, table), np.int64, len(table))
+    return np.frombuffer(b"".join(table), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+#: Ids that are decoded at a time, so that a long row needs little memory.
+_IDS = 1 << 20
+
+
+def _decoded(path: str, ids: np.ndarray) -> bytes:
+    """The bytes of the ids: every id's bytes gathered from the table at once."""
+    table, starts, sizes = _bytes_at(path)
+    out = []
+    for at in range(0, len(ids), _IDS):
+        part = ids[at:at + _IDS]
+        n = sizes[part]
+        end = np.cumsum(n)
+        out.append(table[np.repeat(starts[part] - end + n, n) + np.arange(end[-1])].tobytes())
+    return b"".join(out)
+
+
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = tokens_at(path).__getitem__
-        for batch in batches:
-            out = [b"".join(map(token, memoryview(ids).cast("I"))) if ids else b"" for ids in batch.column(1).to_pylist()]
+        sizes = _bytes_at(path)[2]
+        for batch in _sliced(batches):
+            rows = batch.column(1).to_pylist()
+            ids = np.frombuffer(b"".join(rows), "<u4")
+            every = _decoded(path, ids)
+            ends = np.concatenate(([0], np.cumsum(sizes[ids])))[np.cumsum([0, *(len(r) // 4 for r in rows)])].tolist()
+            out = [every[a:b] for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
@@ -260,10 +310,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """(doc_id, ids): ids of every whole text as little-endian unsigned 32-bit integers.
 
     Null and empty texts have no ids. No special tokens. Each row is encoded by itself, so repeated
-    rows and null ids pass through; further columns are not read.
+    rows and null ids pass through; further columns are not read. Texts are cut into remembered chunks for the
+    pattern of the installed tables alone; by any other pattern each text is split as a whole.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _encode(path, pattern), "doc_id long, ids binary")
+        _encode(path, pattern, pattern == default_table()[1]), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
