@@ -262,38 +262,130 @@ def forecast_card(spark, sf_dir):
         hazard.direction(level - F.col("l_quantity")).alias("direction"))
 
 
-# ---- boosted trees: all gauges and hours, no SQL twin ----------------------------------------
+# ---- boosted trees: a model for each gauge, horizon and kind, at the full configuration -----------
 
 def _specs():
     from hydrospark.operators.forecast import ModelSpec
 
-    small = {"folds": 3, "rounds": 4, "depth": 3, "bins": 32}
-    return (ModelSpec(6, **small), ModelSpec(6, "classification", 100.0, **small))
+    return [*[ModelSpec(h) for h in CFG.horizons], *[ModelSpec(h, "classification", t) for t in CFG.thresholds for h in CFG.horizons]]
 
 
 def _learning_frame(spark, sf_dir):
-    cfg = features.FrameConfig(
-        upstream=["a", "b"], lags=(1, 3), rolls=(3, 24), upstream_rolls=(6,), precip_rolls=(6, 24),
-        soil_rolls=(24,), api_window=48, horizons=(6,), thresholds=(100.0,))
     path = run_dir(spark, "frame")
-    features.write_frame(frame(spark, sf_dir, cfg), path)
-    return features.read_frame(spark, path, cfg)
+    features.write_frame(frame(spark, sf_dir), path)
+    return features.read_frame(spark, path, CFG)
+
+
+_LABELS = " UNION ALL ".join(
+    [f"SELECT target_id, ts, self__stage_ft AS current, 'regression' AS kind, CAST({h} AS INTEGER) AS horizon_h, CAST(NULL AS DOUBLE) AS threshold, "
+     f"y_future_rise_{h}h AS actual FROM fr" for h in CFG.horizons]
+    + [f"SELECT target_id, ts, self__stage_ft, 'classification', CAST({h} AS INTEGER), CAST({t} AS DOUBLE), "
+       f'CAST("y_peak_above_{t}_{h}h" AS DOUBLE) FROM fr' for t in CFG.thresholds for h in CFG.horizons])
+PLAN_SQL = f"""{G_SQL}, {_frame_sql()}, lb AS ({_LABELS}),
+nn AS (SELECT *, row_number() OVER w - 1 AS position, count(*) OVER (PARTITION BY target_id, kind, horizon_h, threshold) AS n FROM lb
+       WHERE actual IS NOT NULL WINDOW w AS (PARTITION BY target_id, kind, horizon_h, threshold ORDER BY ts)),
+ws AS (SELECT *, greatest(10, n // 5) AS warm_up, greatest(1, (n - greatest(10, n // 5)) // 5) AS fold_size FROM nn),
+fo AS (SELECT *, CASE WHEN n > warm_up + 5 AND position >= warm_up THEN CAST(least((position - warm_up) // fold_size, 4) AS INTEGER) END AS fold FROM ws),
+t AS (SELECT *, CASE WHEN current IS NOT NULL THEN CASE kind WHEN 'regression' THEN greatest(0, 100 - current) ELSE least(1, current / 500) END END AS pred
+      FROM fo WHERE fold IS NOT NULL)"""
+
+
+def _planned(spark, sf_dir):
+    """Labelled rows of every model with their folds."""
+    from hydrospark.operators import forecast
+
+    specs = _specs()
+    return forecast.described(forecast.planned(_learning_frame(spark, sf_dir), specs), specs).withColumnRenamed("label", "actual")
+
+
+def _ruled(spark, sf_dir):
+    """Tested rows with the predictions of a rule in place of a model's: a river below 100 rises to 100, and its level over
+    500 is the chance."""
+    rule = F.when(F.col("kind") == "regression", F.greatest(F.lit(0.0), 100 - F.col("current"))).otherwise(F.least(F.lit(1.0), F.col("current") / 500))
+    return _planned(spark, sf_dir).filter(F.col("fold").isNotNull()).withColumn("pred", F.when(F.col("current").isNotNull(), rule))
+
+
+@query("gbt_folds", f"WITH {PLAN_SQL} SELECT target_id, kind, horizon_h, threshold, ts, actual, current, position, n, fold, warm_up + fold * fold_size AS train_end FROM fo")
+def gbt_folds(spark, sf_dir):
+    """What each model learns from and is tested on."""
+    return rounded(_planned(spark, sf_dir).select(
+        "target_id", "kind", "horizon_h", "threshold", "ts", "actual", "current", "position", "n", "fold", "train_end"), nudge=1e-9)
+
+
+_POOLED = "target_id, kind, horizon_h, threshold"
+
+
+@query("backtest_summary", f"""WITH {PLAN_SQL}, k AS (SELECT * FROM t WHERE pred IS NOT NULL),
+b AS (SELECT {_POOLED}, pred, sum(actual) AS pos, count(*) AS c FROM k WHERE kind = 'classification' GROUP BY ALL),
+c AS (SELECT *, sum(c) OVER u - sum(pos) OVER u - (c - pos) AS neg_below, sum(pos) OVER v AS top_pos, sum(c) OVER v AS top_n,
+        sum(pos) OVER w AS p, sum(c) OVER w AS tot FROM b
+      WINDOW w AS (PARTITION BY target_id, horizon_h, threshold), u AS (PARTITION BY target_id, horizon_h, threshold ORDER BY pred),
+             v AS (PARTITION BY target_id, horizon_h, threshold ORDER BY pred DESC))
+SELECT {_POOLED}, count(*) AS n, round(avg(abs(actual - pred)), 6) AS mae, round(sqrt(avg(pow(actual - pred, 2))), 6) AS rmse,
+  round(1 - sum(pow(actual - pred, 2)) / (var_pop(actual) * count(*)), 6) AS r2, CAST(NULL AS DOUBLE) AS auc, CAST(NULL AS DOUBLE) AS ap,
+  CAST(NULL AS DOUBLE) AS positive_rate FROM k WHERE kind = 'regression' GROUP BY ALL
+UNION ALL SELECT {_POOLED}, CAST(max(tot) AS BIGINT), NULL, NULL, NULL,
+  CASE WHEN max(p) > 0 AND max(p) < max(tot) THEN round(sum(pos * (neg_below + (c - pos) / 2)) / (max(p) * (max(tot) - max(p))), 6) END,
+  CASE WHEN max(p) > 0 AND max(p) < max(tot) THEN round(sum(pos * top_pos / top_n) / max(p), 6) END, round(max(p) / max(tot), 6) FROM c GROUP BY ALL""")
+def backtest_summary(spark, sf_dir):
+    from hydrospark.operators import forecast
+
+    return rounded(forecast.backtest_summary(_ruled(spark, sf_dir)))
+
+
+@query("model_records", f"""WITH {PLAN_SQL},
+rf AS (SELECT target_id, horizon_h, fold, avg(abs(actual - pred)) AS mae, avg(abs(actual)) AS naive FROM t WHERE kind = 'regression' GROUP BY ALL),
+rm AS (SELECT target_id, horizon_h, avg(mae) AS mae, avg(naive) AS baseline_mae, count(*) AS n_folds FROM rf GROUP BY ALL),
+re AS (SELECT target_id, horizon_h, count(*) AS n_total, count(*) FILTER (actual >= 0.5) AS n_rising, avg(abs(actual - pred)) FILTER (actual >= 0.5) AS em,
+         avg(abs(actual)) FILTER (actual >= 0.5) AS eb FROM t WHERE kind = 'regression' GROUP BY ALL),
+rg AS (SELECT target_id, 'regression' AS kind, horizon_h, CAST(NULL AS DOUBLE) AS threshold, n_folds, mae, baseline_mae,
+         CASE WHEN n_total >= 100 AND n_rising >= 10 THEN em END AS event_mae, CASE WHEN n_total >= 100 AND n_rising >= 10 THEN eb END AS event_baseline_mae,
+         CAST(NULL AS DOUBLE) AS auc, CAST(NULL AS DOUBLE) AS baseline_auc, CAST(NULL AS BIGINT) AS positive_events, CAST(NULL AS INTEGER) AS folds_with_events
+       FROM rm JOIN re USING (target_id, horizon_h)),
+cr AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY target_id, horizon_h, threshold, fold, pred) - 1) / 2 AS place FROM t
+       WHERE kind = 'classification' AND pred IS NOT NULL WINDOW w AS (PARTITION BY target_id, horizon_h, threshold, fold ORDER BY pred)),
+cf AS (SELECT target_id, horizon_h, threshold, fold, sum(actual) AS p, count(*) - sum(actual) AS q, sum(place) FILTER (actual = 1) AS places FROM cr GROUP BY ALL),
+cm AS (SELECT target_id, horizon_h, threshold, count(*) AS n_folds, avg(CASE WHEN p > 0 AND q > 0 THEN (places - p * (p + 1) / 2) / (p * q) END) AS auc,
+         CAST(sum(p) AS BIGINT) AS positive_events, CAST(count(*) FILTER (p > 0) AS INTEGER) AS folds_with_events FROM cf GROUP BY ALL),
+cn AS (SELECT target_id, horizon_h, threshold, fold, count(*) FILTER (actual = 1) AS p, count(*) FILTER (actual = 0) AS q,
+         count(*) FILTER (actual = 1 AND coalesce(current >= threshold, false)) AS hit, count(*) FILTER (actual = 0 AND NOT coalesce(current >= threshold, false)) AS calm
+       FROM t WHERE kind = 'classification' GROUP BY ALL),
+cb AS (SELECT target_id, horizon_h, threshold, avg(CASE WHEN p > 0 AND q > 0 THEN (hit / p + calm / q) / 2 END) AS baseline_auc FROM cn GROUP BY ALL),
+m AS (SELECT *, coalesce(event_mae < event_baseline_mae, mae < baseline_mae) AS beats FROM rg
+      UNION ALL SELECT target_id, 'classification', horizon_h, threshold, n_folds, NULL, NULL, NULL, NULL, auc, baseline_auc, positive_events, folds_with_events,
+        auc > baseline_auc FROM cm JOIN cb USING (target_id, horizon_h, threshold)),
+k AS (SELECT {_POOLED}, max(n) AS n_train_rows FROM fo GROUP BY ALL),
+u AS (SELECT m.*, n_train_rows, CASE m.kind WHEN 'regression' THEN coalesce(beats, mae IS NOT NULL)
+        ELSE coalesce(abs(auc - 0.5) > 1e-9, false) AND folds_with_events >= 2 AND coalesce(beats, true) END AS trustworthy
+      FROM m JOIN k ON k.target_id = m.target_id AND k.kind = m.kind AND k.horizon_h = m.horizon_h AND k.threshold IS NOT DISTINCT FROM m.threshold)
+SELECT {_POOLED}, n_train_rows, n_folds, round(mae, 6) AS mae, round(baseline_mae, 6) AS baseline_mae, round(event_mae, 6) AS event_mae,
+  round(event_baseline_mae, 6) AS event_baseline_mae, CASE WHEN abs(auc - 0.5) > 1e-9 THEN round(auc, 6) END AS auc, round(baseline_auc, 6) AS baseline_auc, beats AS beats_baseline,
+  positive_events, folds_with_events, trustworthy, trustworthy AND coalesce(beats, true) AS published FROM u""")
+def model_records(spark, sf_dir):
+    """Metadata of every model, written as files, found there again and judged."""
+    from hydrospark.operators import forecast
+
+    tested, path = _ruled(spark, sf_dir), run_dir(spark, "metadata")
+    forecast.write_metadata(tested, tested.select("target_id", "kind", "horizon_h", "threshold", "target_col", F.col("n").alias("n_train_rows")).distinct(),
+                            ["self__stage_ft"], path)
+    return rounded(ev.trust(ev.read_sidecars(spark, path)).select(
+        "target_id", "kind", "horizon_h", "threshold", "n_train_rows", F.col("n_folds").cast("long").alias("n_folds"), "mae", "baseline_mae", "event_mae",
+        "event_baseline_mae", "auc", "baseline_auc", "beats_baseline", "positive_events", "folds_with_events", "trustworthy", "published"))
 
 
 @query("gbt_backtest")
 def gbt_backtest(spark, sf_dir):
+    """Scores of every model, at all horizons and both kinds."""
     from hydrospark.operators import forecast
 
-    learn = _learning_frame(spark, sf_dir)
-    regression, _ = _specs()
-    _, scored = forecast.backtest(learn, regression)
-    return rounded(scored)
+    return rounded(forecast.backtest(_learning_frame(spark, sf_dir), _specs())[1])
 
 
 @query("gbt_forecast")
 def gbt_forecast(spark, sf_dir):
+    """Forecasts of the models that their own metadata say may be shown."""
     from hydrospark.operators import forecast
 
-    learn = _learning_frame(spark, sf_dir)
-    models = [(spec, forecast.train(learn, spec)) for spec in _specs()]
-    return rounded(forecast.forecast(learn, models))
+    learning, path = _learning_frame(spark, sf_dir), run_dir(spark, "models")
+    forecast.learn(learning, _specs(), path)
+    return rounded(forecast.forecast(learning, path))

@@ -2,10 +2,11 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hydrospark.operators import evaluation as ev, features, forecast
+from hydrospark.operators import boosting, evaluation as ev, features, forecast
 
 
 def test_walk_forward_folds(spark):
@@ -129,22 +130,88 @@ def test_frame_values(frame):
 
 def test_backtest_forecast_and_gate(spark, frame, tmp_path):
     spec = forecast.ModelSpec(6, folds=3, rounds=4, depth=3)
+    above = forecast.ModelSpec(6, "classification", 3.5, folds=3, rounds=4, depth=3)
     assert spec.target_col == "y_future_rise_6h"
-    tested, scored = forecast.backtest(frame, spec)
-    assert {r["fold"] for r in tested.select("fold").distinct().collect()} == {0, 1, 2}
-    row = scored.first()
-    assert row["n_folds"] == 3 and row["baseline_kind"] == "no-change" and row["overall_mae"] > 0
-    forecast.train(frame, spec, str(tmp_path))
-    models = forecast.saved(spark, str(tmp_path), [spec, forecast.ModelSpec(99)])
-    assert [s.horizon_h for s, _ in models] == [6]
-    out = forecast.forecast(frame, models).first()
+    tested = forecast.learn(frame, [spec, above], str(tmp_path))
+    scored = {r["kind"]: r for r in forecast.score_backtest(tested).collect()}
+    assert {(r["kind"], r["fold"]) for r in tested.select("kind", "fold").distinct().collect()} == {
+        (k, f) for k in ("regression", "classification") for f in range(3)}
+    row = scored["regression"]
+    assert row["n_folds"] == 3 and row["baseline_kind"] == "no-change" and 0 < row["overall_mae"] < row["baseline_mae"]
+    assert scored["classification"]["overall_auc"] > 0.5
+    sidecars, trees = forecast.saved(spark, str(tmp_path))
+    assert trees.count() == 2 and {(r["kind"], r["n_train_rows"]) for r in sidecars.collect()} == {
+        ("regression", 475), ("classification", 475)}
+    assert sidecars.first()["metrics"]["per_fold"][0]["n"] > 0 and sidecars.first()["feature_cols"] == forecast.feature_names(frame)
+    shown = {r["kind"]: r for r in forecast.forecast(frame, str(tmp_path), published_only=False).collect()}
+    out = shown["regression"]
     assert out["prediction"] >= out["current_ft"] and out["ts"] == dt.datetime(2025, 8, 20, 23)
-    lost = scored.withColumn("beats_baseline", F.lit(False))
-    assert forecast.forecast(frame, models, lost).count() == 0
+    assert out["prediction"] == max(out["current_ft"], out["current_ft"] + out["predicted_rise_ft"])
+    assert 0 <= shown["classification"]["prediction"] <= 1
+    # a file that cannot be read takes its model with it
+    broken = next(p for p in (tmp_path / "meta").rglob("*.json") if "model=regression" in str(p))
+    broken.with_name(f".{broken.name}.crc").unlink()
+    broken.write_text('{"kind": ')
+    assert {r["kind"] for r in forecast.forecast(frame, str(tmp_path), published_only=False).collect()} == {"classification"}
     with pytest.raises(ValueError):
         forecast.ModelSpec(6, "classification")
     with pytest.raises(KeyError):
-        forecast.out_of_sample(frame, forecast.ModelSpec(999))
+        forecast.learn(frame, [forecast.ModelSpec(999)])
+    with pytest.raises(ValueError):
+        forecast.learn(frame, [spec, forecast.ModelSpec(6)])
+
+
+def rows_of(target, start, n, shift=0.0):
+    return [(target, start + dt.timedelta(hours=i), float(i % 7), None if i % 5 else 1.0, float(i % 7) * 2 + shift) for i in range(n)]
+
+
+FRAME = "target_id string, ts timestamp, self__stage_ft double, gap double, y_future_rise_6h double"
+
+
+def test_each_target_learns_from_its_own_rows(spark):
+    early, late = dt.datetime(2010, 1, 1), dt.datetime(2020, 1, 1)
+    both = spark.createDataFrame(rows_of("a", early, 400) + rows_of("b", late, 300, shift=50.0) + rows_of("few", late, 8), FRAME)
+    spec = forecast.ModelSpec(6, folds=3, rounds=30, depth=3)
+    tested = forecast.learn(both, [spec])
+    worst = {(r["target_id"], r["fold"]): r["e"] for r in tested.groupBy("target_id", "fold").agg(
+        F.max(F.abs(F.col("actual") - F.col("pred"))).alias("e")).collect()}
+    assert set(worst) == {(t, f) for t in "ab" for f in range(3)} and max(worst.values()) < 1.5
+    alone = forecast.learn(both.filter("target_id = 'b'"), [spec])
+    key = ["ts", "fold", "pred"]
+    assert sorted(map(tuple, tested.filter("target_id = 'b'").select(key).collect())) == sorted(map(tuple, alone.select(key).collect()))
+    assert forecast.learn(both.limit(0), [spec]).count() == 0
+    assert forecast.score_backtest(forecast.learn(both.filter("target_id = 'few'"), [spec])).count() == 0
+
+
+def test_split_blocks_grow_the_same_trees(spark, monkeypatch):
+    one = spark.createDataFrame(rows_of("a", dt.datetime(2010, 1, 1), 400), FRAME)
+    spec = forecast.ModelSpec(6, folds=2, rounds=5, depth=3)
+    whole = {(r["ts"], r["fold"]): r["pred"] for r in forecast.learn(one, [spec]).collect()}
+    monkeypatch.setattr(boosting, "BLOCK_H", 48)
+    cut = {(r["ts"], r["fold"]): r["pred"] for r in forecast.learn(one, [spec]).collect()}
+    assert whole == pytest.approx(cut)
+
+
+def test_best_split_equals_brute_force():
+    pick = np.random.default_rng(6)
+    x, y = pick.integers(0, 6, (80, 3)).astype(np.uint8), pick.standard_normal(80)
+    model = boosting.Model("t", 0, boosting.FINAL, "regression", 0, 0.0, True, *[np.full((1, 3), v, t) for v, t in (
+        (-1, np.int16), (0, np.uint8), (0.0, float))])
+    sums = boosting._sums(model, x, y, np.arange(80), 6, 0)
+    growth = boosting.Growth(depth=1, bins=6, least=5.0)
+    feature, split, left, right = (v[0] for v in boosting.best_splits(sums, growth, growth.least))
+
+    def gain(f, b):
+        low = x[:, f] <= b
+        if min(low.sum(), (~low).sum()) < 5:
+            return -np.inf
+        return sum(y[s].sum() ** 2 / (s.sum() + growth.ridge) for s in (low, ~low))
+
+    assert (feature, split) == max(((f, b) for f in range(3) for b in range(6)), key=lambda k: gain(*k))
+    low = x[:, feature] <= split
+    assert left == pytest.approx(growth.step * y[low].sum() / (low.sum() + 1)) and right == pytest.approx(growth.step * y[~low].sum() / ((~low).sum() + 1))
+    edges = [np.array([1.0, 2.0])]
+    assert boosting.binned(np.array([[np.nan], [0.5], [1.0], [1.5], [2.0], [9.0]]), edges).ravel().tolist() == [0, 1, 1, 2, 2, 3]
 
 
 def test_trust_needs_events_in_two_folds(spark):
