@@ -7,7 +7,7 @@ import dataclasses
 from pyspark.sql import functions as F
 
 from hydrospark.functions import hazard, stage as stage_rules
-from hydrospark.operators import evaluation as ev, features
+from hydrospark.operators import card, evaluation as ev, features
 from hydrospark.registry import query
 from hydrospark.session import run_dir
 from hydrospark.registry.tables import (
@@ -262,6 +262,74 @@ def forecast_card(spark, sf_dir):
         hazard.direction(level - F.col("l_quantity")).alias("direction"))
 
 
+# ---- the forecast card: forecasts, gauges, stages and model figures of every supplier ----------
+
+CARD_SQL = """f AS (SELECT CAST(l_suppkey AS VARCHAR) AS target_id, l_linenumber AS ln, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS sq, count(*) AS c FROM lineitem GROUP BY 1, 2),
+k AS (SELECT *, CASE WHEN ln <= 3 THEN 'regression' ELSE 'classification' END AS kind, CAST([6, 24, 72, 6, 24, 72, 6][ln] AS INTEGER) AS horizon_h,
+  CASE WHEN ln IN (4, 5) THEN 6.5 WHEN ln = 7 THEN 9.5 END::DOUBLE AS threshold FROM f),
+fc AS (SELECT target_id, kind, horizon_h, threshold, CASE WHEN ln <= 3 THEN sq % 300 / 10 ELSE sq % 120 / 100 END::DOUBLE AS prediction FROM k WHERE sq % 13 > 0),
+ga AS (SELECT CAST(s_suppkey AS VARCHAR) AS target_id, CASE WHEN s_suppkey % 7 > 0 THEN s_suppkey % 200 / 10 END::DOUBLE AS current_ft FROM supplier WHERE s_suppkey % 9 > 0),
+st AS (SELECT CAST(s_suppkey AS VARCHAR) AS target_id, CAST(4 + s_suppkey % 3 AS DOUBLE) AS action, 6.5 + s_suppkey % 4::DOUBLE AS minor, 9.5 + s_suppkey % 4::DOUBLE AS moderate,
+  CASE WHEN s_suppkey % 11 > 0 THEN 13 + s_suppkey % 4 END::DOUBLE AS major FROM supplier WHERE s_suppkey % 5 > 0),
+re AS (SELECT target_id, kind, horizon_h, threshold, sq % 50 / 100 AS mae, sq % 70 / 100 AS event_mae, sq % 90 / 100 AS event_baseline_mae,
+  CASE c % 3 WHEN 1 THEN true WHEN 2 THEN false END AS beats, sq % 3 = 0 AS beats_overall, sq % 101 / 101 AS auc, sq % 40 AS positive_events,
+  CAST(sq % 6 AS INTEGER) AS folds_with_events, sq % 2 = 0 AS trustworthy FROM k WHERE c % 7 > 0),
+j AS (SELECT fc.*, current_ft, action, minor, moderate, coalesce(major, 20) * 1.25 AS axis_max, major, re.* EXCLUDE (target_id, kind, horizon_h, threshold)
+      FROM fc LEFT JOIN ga USING (target_id) LEFT JOIN st USING (target_id) LEFT JOIN re ON re.target_id = fc.target_id AND re.kind = fc.kind
+        AND re.horizon_h = fc.horizon_h AND re.threshold IS NOT DISTINCT FROM fc.threshold),
+p AS (SELECT *, kind = 'regression' AS r, prediction - current_ft AS d, CAST(floor(greatest(0, least(1, prediction)) * 100) AS INTEGER) AS whole FROM j),
+cd AS (SELECT target_id, kind, CAST(row_number() OVER (PARTITION BY target_id, kind ORDER BY horizon_h, coalesce(threshold, 0)) AS INTEGER) AS place, horizon_h, threshold, current_ft,
+  CASE WHEN r THEN prediction END AS predicted_ft, axis_max, CASE WHEN r THEN round(d, 6) END AS delta,
+  CASE WHEN r THEN CASE WHEN d > 0.05 THEN 'up' WHEN d < -0.05 THEN 'down' ELSE 'flat' END END AS direction,
+  CASE WHEN current_ft IS NOT NULL THEN round(greatest(0, least(100, current_ft / axis_max * 100)), 6) END AS now_pct,
+  CASE WHEN r THEN round(greatest(0, least(100, prediction / axis_max * 100)), 6) END AS pred_pct, CASE WHEN r THEN coalesce(prediction >= minor, false) END AS above_minor,
+  CASE WHEN r THEN mae END AS mae, CASE WHEN r THEN event_mae END AS event_mae, CASE WHEN r THEN event_baseline_mae END AS event_baseline_mae,
+  CASE WHEN r THEN beats_overall END AS beats_overall, CASE WHEN NOT r THEN whole END AS pct,
+  CASE WHEN NOT r THEN CASE WHEN whole >= 50 THEN 'high' WHEN whole >= 25 THEN 'med' ELSE 'low' END END AS severity,
+  CASE WHEN NOT r THEN CASE WHEN abs(action - threshold) < 0.01 THEN 'action' WHEN abs(minor - threshold) < 0.01 THEN 'minor' WHEN abs(moderate - threshold) < 0.01 THEN 'moderate'
+    WHEN abs(major - threshold) < 0.01 THEN 'major' ELSE '' END END AS threshold_label, CASE WHEN NOT r THEN round(auc, 6) END AS auc,
+  CASE WHEN NOT r THEN positive_events END AS positive_events, CASE WHEN NOT r THEN folds_with_events END AS folds_with_events,
+  CASE WHEN NOT r AND mae IS NOT NULL THEN 5 END AS n_folds, CASE WHEN NOT r THEN coalesce(trustworthy, false) END AS trustworthy FROM p)"""
+
+
+def _card_tables(spark, sf_dir):
+    quantity, ln = F.col("l_quantity").cast("long"), F.col("ln")
+    k = (table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("target_id"), F.col("l_linenumber").alias("ln"))
+         .agg(F.sum(quantity).alias("sq"), F.count("*").alias("c"))
+         .withColumns({"kind": F.when(ln <= 3, "regression").otherwise("classification"),
+                       "horizon_h": F.element_at(F.array(*[F.lit(h) for h in (6, 24, 72, 6, 24, 72, 6)]), ln.cast("int")),
+                       "threshold": F.when(ln.isin(4, 5), 6.5).when(ln == 7, 9.5)}))
+    sq, by = F.col("sq"), ["target_id", "kind", "horizon_h", "threshold"]
+    forecasts = k.filter(sq % 13 > 0).select(*by, F.when(ln <= 3, sq % 300 / 10).otherwise(sq % 120 / 100).alias("prediction"))
+    supplier, s = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    gauges = supplier.filter(s % 9 > 0).select(s.cast("string").alias("site_id"), F.when(s % 7 > 0, s % 200 / 10).alias("stage_ft"))
+    stages = supplier.filter(s % 5 > 0).select(
+        s.cast("string").alias("site_id"), (4 + s % 3).cast("double").alias("action"), (6.5 + s % 4).alias("minor"), (9.5 + s % 4).alias("moderate"),
+        F.when(s % 11 > 0, 13 + s % 4).cast("double").alias("major"))
+    c = F.col("c") % 3
+    records = k.filter(F.col("c") % 7 > 0).select(
+        *by, (sq % 50 / 100).alias("mae"), (sq % 70 / 100).alias("event_mae"), (sq % 90 / 100).alias("event_baseline_mae"),
+        F.when(c > 0, c == 1).alias("beats_baseline"), (sq % 3 == 0).alias("beats_baseline_overall"), (sq % 101 / 101).alias("auc"),
+        (sq % 40).alias("positive_events"), (sq % 6).cast("int").alias("folds_with_events"), F.lit(5).alias("n_folds"), (sq % 2 == 0).alias("trustworthy"))
+    return forecasts, gauges, stages, records
+
+
+@query("forecast_card_rows", f"WITH {CARD_SQL} SELECT * FROM cd")
+def forecast_card_rows(spark, sf_dir):
+    """Every forecast beside its gauge, stages and model figures; parts of each are missing."""
+    return rounded(card.card(*_card_tables(spark, sf_dir)))
+
+
+@query("forecast_card_sites", f"""WITH {CARD_SQL}
+SELECT target_id, count(*) FILTER (kind = 'regression') AS n_levels, count(*) FILTER (kind = 'classification') AS n_chances,
+  coalesce(bool_or(NOT trustworthy), false) AS any_untrustworthy,
+  coalesce((SELECT list_sort(list(DISTINCT horizon_h)) FROM re WHERE re.target_id = cd.target_id AND kind = 'regression' AND beats = false), []) AS withheld
+FROM cd GROUP BY target_id""")
+def forecast_card_sites(spark, sf_dir):
+    forecasts, gauges, stages, records = _card_tables(spark, sf_dir)
+    return card.summary(card.card(forecasts, gauges, stages, records), records)
+
+
 # ---- boosted trees: a model for each gauge, horizon and kind, at the full configuration -----------
 
 def _specs():

@@ -171,7 +171,7 @@ FRAME = "target_id string, ts timestamp, self__stage_ft double, gap double, y_fu
 def test_each_target_learns_from_its_own_rows(spark):
     early, late = dt.datetime(2010, 1, 1), dt.datetime(2020, 1, 1)
     both = spark.createDataFrame(rows_of("a", early, 400) + rows_of("b", late, 300, shift=50.0) + rows_of("few", late, 8), FRAME)
-    spec = forecast.ModelSpec(6, folds=3, rounds=30, depth=3)
+    spec = forecast.ModelSpec(6, folds=3, rounds=8, depth=3, step=0.5)
     tested = forecast.learn(both, [spec])
     worst = {(r["target_id"], r["fold"]): r["e"] for r in tested.groupBy("target_id", "fold").agg(
         F.max(F.abs(F.col("actual") - F.col("pred"))).alias("e")).collect()}

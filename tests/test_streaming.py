@@ -66,6 +66,58 @@ def test_rates_carry_over_batches(spark, tmp_path):
     assert got["a"]["n"] == 12 and got["b"]["rate_ft_per_hr"] is None
 
 
+def test_silences_on_event_time(spark, tmp_path):
+    src, schema, day = str(tmp_path / "in"), "feed string, ts timestamp", dt.datetime(2024, 1, 1)
+    at = lambda feed, *minutes: [(feed, day + dt.timedelta(minutes=m)) for m in minutes]
+    land(spark, src, "one", at("x", 0, 30, 60) + at("y", 0, 60, 120, 180), schema)
+    land(spark, src, "two", at("x", 130) + at("y", 240, 300, 350), schema)  # x 130 is late, within the watermark
+    land(spark, src, "three", at("x", 400) + at("y", 410, 470, 530, 600) + at("z", 610, 900), schema)
+    live.write_rows(live.silences(read(spark, src, schema)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    got = sorted(((r["feed"], *((r[c] - day).seconds // 60 for c in ("first_ts", "last_ts", "silent_at")), r["n"])
+                  for r in spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == [("x", 0, 130, 205, 4), ("x", 400, 400, 475, 1), ("y", 0, 600, 675, 11), ("z", 610, 610, 685, 1)]
+
+
+def test_live_index_over_feeds_and_batches(spark, tmp_path):
+    src, out, day = str(tmp_path / "in"), str(tmp_path / "out"), dt.datetime(2024, 1, 1)
+
+    def report(feed, hour, *rows):
+        fields = live.FEEDS[feed].split(", ")
+        schema = "site_id string, entity string, ts timestamp, " + ", ".join(fields)
+        return live.reports(spark.createDataFrame([(s, e, day + dt.timedelta(hours=hour), *v) for s, e, *v in rows], schema), feed)
+
+    def batch(name, *parts):
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        rows.coalesce(1).write.parquet(f"{src}/{name}")
+
+    def run():
+        live.score_live(read(spark, src, live.REPORTS), out, str(tmp_path / "cp")).awaitTermination(120)
+        return {r["site_id"]: r for r in live.current_scores(spark, out).collect()}
+
+    batch("one", report("gauge", 2, ("a", "g", 18.0, 0.5), ("b", "g", 0.0, 0.0)), report("storm", 2, ("a", "s1", 400.0), ("a", "s2", 200.0)))
+    got = run()
+    assert (got["a"]["index_stage"], got["a"]["index_storm"], got["a"]["index_rise"], got["b"]["score"]) == (35.0, 20.0, 5.0, 0)
+    batch("two", report("weather", 3, ("a", "w", 5.0)), report("gauge", 1, ("b", "g", 18.0, 9.0)), report("alert", 3, ("a", "1", "Flood Warning")))
+    got = run()  # an older report changes nothing, other feeds are remembered
+    assert (got["a"]["index_stage"], got["a"]["index_qpf"], got["a"]["alert"], got["b"]["index_stage"]) == (35.0, 20.0, True, 0.0)
+    batch("three", report("storm", 4, ("a", "s1", 1500.0)), report("alert", 4, ("a", None, None)), report("soil", 4, ("c", "p", 0.3, None, False, 1.0)))
+    got = run()  # a newer list replaces the whole list; a site without a gauge has no index
+    assert (got["a"]["index_storm"], got["a"]["index_alert"], got["a"]["index_qpf"]) == (0.0, 0.0, 20.0) and set(got) == {"a", "b"}
+
+
+def test_a_repeated_or_failed_batch_loses_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v int")
+    for number, batch in enumerate([rows(("a", 1), ("b", 1)), rows(("b", 2)), rows(("b", 2)), rows(("c", 3))]):
+        live.upsert(batch, min(number, 2) if number < 3 else 3, path, ["k"])
+    live.upsert(rows(("c", 3)), 3, path, ["k"])
+    (tmp_path / "t" / "generation=9").mkdir()  # a batch that did not come to its end
+    assert sorted(map(tuple, live.latest(spark, path).collect())) == [("a", 1), ("b", 2), ("c", 3)]
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["generation=2", "generation=3", "generation=9"]
+
+
 def test_silent_feed_raises_an_alarm(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "feed string, ts timestamp"
