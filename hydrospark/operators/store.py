@@ -1,19 +1,29 @@
-"""The long-form history store: month-partitioned Parquet, idempotent appends, targeted deletes."""
+"""The long-form history store: month-partitioned Parquet, idempotent appends, targeted deletes.
+
+A month's folder holds one folder for each append, `append_no=N`. Appends get even numbers and add files alone; a full
+rewrite of a month (a re-pull, a delete, a compaction) gets an odd one and supersedes all numbers below it.
+Everything is written beside the store first and then moved in by renaming one folder a month, so that readers see a
+month before or after a change and never between, and a job that fails loses nothing. Reading keeps the last append's row of
+a key; months of a single append need no such step. One job may write to a store at a time.
+"""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.storagelevel import StorageLevel
 
 from hydrospark.plans.pick import best_row
 from hydrospark.schema import HISTORY, HISTORY_COLS, HISTORY_KEY
 
 MONTH = "year_month"
+APPEND = "append_no"
 STORED = StructType([*HISTORY.fields, StructField(MONTH, StringType())])
+_FILES = StructType([*STORED.fields, StructField(APPEND, LongType())])
 SEQ = "_seq"
 
 
@@ -36,28 +46,59 @@ def keep_last(df: DataFrame, seq: str = SEQ) -> DataFrame:
     return kept.drop(seq)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(hadoop_path)
+def _place(spark: SparkSession, path: str):
+    """The file system of a folder, and the folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _folders(spark: SparkSession, path: str, column: str) -> dict[str, str]:
+    """Value and path of the folders `column=value` below a folder, none where it does not exist."""
+    files, place = _place(spark, path)
+    if not files.exists(place):
+        return {}
+    names = [f.getPath().getName() for f in files.listStatus(place) if f.isDirectory()]
+    return {n.split("=", 1)[1]: f"{path}/{n}" for n in sorted(names) if n.startswith(f"{column}=")}
+
+
+def _appends(spark: SparkSession, path: str) -> dict[str, list[int]]:
+    """The numbers of each month that are in force, from the folders' names alone."""
+    out = {}
+    for month, folder in _folders(spark, path, MONTH).items():
+        numbers = sorted(int(n) for n in _folders(spark, folder, APPEND))
+        whole = max((n for n in numbers if n % 2), default=-1)
+        if numbers:
+            out[month] = [n for n in numbers if n >= whole]
+    return out
 
 
 def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], STORED)
 
 
+def _read(spark: SparkSession, path: str, appends: dict[str, list[int]]) -> list[DataFrame]:
+    def of(months: list[str]) -> DataFrame:
+        folders = [f"{path}/{MONTH}={m}/{APPEND}={n}" for m in months for n in appends[m]]
+        return spark.read.schema(_FILES).option("basePath", path).parquet(*folders)
+
+    single, several = ([m for m in appends if (len(appends[m]) > 1) == more] for more in (False, True))
+    parts = [of(single).drop(APPEND)] if single else []
+    if several:
+        last = best_row(of(several), [*HISTORY_KEY, MONTH], APPEND, "value", last=True)
+        parts.append(last.select(*HISTORY_COLS, MONTH))
+    return parts
+
+
 def read(spark: SparkSession, *paths: str) -> DataFrame:
     """One logical table over any number of store folders; missing folders count as empty."""
-    found = [p for p in paths if _exists(spark, p)]
-    if not found:
-        return empty(spark)
-    parts = [spark.read.schema(STORED).parquet(p) for p in found]
-    return reduce(DataFrame.unionByName, parts)
+    parts = [part for p in paths for part in _read(spark, p, _appends(spark, p))]
+    return reduce(DataFrame.unionByName, parts) if parts else empty(spark)
 
 
 def partitions(spark: SparkSession, *paths: str) -> DataFrame:
-    """Months present, from partition folders alone."""
-    return read(spark, *paths).select(MONTH).distinct()
+    """Months present, from the folders' names; no data file is opened."""
+    months = sorted({m for p in paths for m in _appends(spark, p)})
+    return spark.createDataFrame([(m,) for m in months], f"{MONTH} string")
 
 
 def in_range(df: DataFrame, start: str | None = None, end: str | None = None, **equal: str
@@ -88,59 +129,61 @@ def load(spark: SparkSession, *paths: str, start: str | None = None, end: str |
     return in_range(read(spark, *paths), start, end, **equal).select(*HISTORY_COLS)
 
 
-def _touched(df: DataFrame) -> list[str]:
-    """Month names, a list bounded by the calendar."""
-    return sorted(r[0] for r in df.select(MONTH).distinct().collect())
-
-
-def _overwrite_months(df: DataFrame, path: str) -> None:
-    """Replace exactly the months present in `df`.
+def _commit(df: DataFrame, path: str, whole: bool = False) -> list[str]:
+    """Write rows beside the store, then move each month in; `whole` supersedes what the month held.
 
     Range partitioning by month, series and time splits a hot month or series over many files of
     even size and leaves each file with a narrow series range for footer pruning.
     """
+    spark, staged = df.sparkSession, f"{path}/_staged-{uuid.uuid4().hex}"
     order = [MONTH, "entity_type", "entity_id", "metric", "ts"]
     (df.select(*HISTORY_COLS, MONTH).repartitionByRange(*order).sortWithinPartitions(*order)
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .option("compression", "zstd").partitionBy(MONTH).parquet(path))
+     .write.option("compression", "zstd").partitionBy(MONTH).parquet(staged))
+    held = _appends(spark, path)
+    number = 2 * (max((n for numbers in held.values() for n in numbers), default=0) // 2 + 1) + whole
+    months = _folders(spark, staged, MONTH)
+    for month, folder in months.items():
+        files, target = _place(spark, f"{path}/{MONTH}={month}/{APPEND}={number}")
+        files.mkdirs(target.getParent())
+        if not files.rename(_place(spark, folder)[1], target):
+            raise OSError(f"could not move {folder}")
+        for old in held.get(month, []) if whole else []:
+            files.delete(_place(spark, f"{path}/{MONTH}={month}/{APPEND}={old}")[1], True)
+    files, target = _place(spark, staged)
+    files.delete(target, True)
+    return list(months)
+
+
+def _batch(df: DataFrame, seq: str | None) -> DataFrame:
+    """Usable rows of a batch, one for each key: the last by `seq`."""
+    order = F.col(seq).cast("bigint") if seq else F.lit(0).cast("bigint")
+    return keep_last(normalise(df.withColumn(SEQ, order))).withColumn(MONTH, month_of())
 
 
-def append(df: DataFrame, path: str, seq: str | None = None) -> list[str]:
-    """Merge long rows into the store: new rows win over stored ones with the same key, and later
-    `seq` wins inside the batch. Only months present in the batch are rewritten."""
-    spark = df.sparkSession
-    order = F.col(seq).cast("bigint") if seq else F.lit(0).cast("bigint")
-    # The batch is read three times (months, range bounds, rows); keep it rather than parse it anew.
-    batch = normalise(df.withColumn(SEQ, order)).select(*HISTORY_COLS, SEQ).withColumn(
-        MONTH, month_of()).persist(StorageLevel.MEMORY_AND_DISK)
+def _write(df: DataFrame, path: str, whole: bool) -> list[str]:
+    # The rows are read twice (range bounds, rows); keep them rather than parse them anew.
+    rows = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _merge(spark, batch, path)
+        return _commit(rows, path, whole)
     finally:
-        batch.unpersist()
+        rows.unpersist()
 
 
-def _merge(spark: SparkSession, batch: DataFrame, path: str) -> list[str]:
-    months = _touched(batch)
-    if not months:
-        return []
-    incoming = batch.select(*HISTORY_COLS, F.struct(F.lit(1).alias("age"), F.col(SEQ).alias("n"))
-                            .alias(SEQ))
-    stored = read(spark, path).filter(F.col(MONTH).isin(months)).select(
-        *HISTORY_COLS, F.struct(F.lit(0).alias("age"), F.lit(0).cast("bigint").alias("n"))
-        .alias(SEQ))
-    merged = keep_last(stored.unionByName(incoming)).withColumn(MONTH, month_of())
-    _overwrite_months(merged, path)
-    return months
+def append(df: DataFrame, path: str, seq: str | None = None) -> list[str]:
+    """Add long rows to the store: new rows win over stored ones with the same key, and later
+    `seq` wins inside the batch. Only files are added, nothing stored is read or written again."""
+    return _write(_batch(df, seq), path, False)
 
 
 def rewrite(df: DataFrame, path: str, seq: str | None = None) -> list[str]:
     """Replace the months present in `df` outright, as an explicit re-pull of a backfill does."""
-    order = F.col(seq).cast("bigint") if seq else F.lit(0).cast("bigint")
-    batch = keep_last(normalise(df.withColumn(SEQ, order))).withColumn(MONTH, month_of())
-    months = _touched(batch)
-    if months:
-        _overwrite_months(batch, path)
-    return months
+    return _write(_batch(df, seq), path, True)
+
+
+def compact(spark: SparkSession, path: str, least: int = 2) -> list[str]:
+    """Merge the appends of each month that has at least so many; the rows that are read stay the same."""
+    many = {m: numbers for m, numbers in _appends(spark, path).items() if len(numbers) >= max(least, 2)}
+    return _commit(reduce(DataFrame.unionByName, _read(spark, path, many)), path, True) if many else []
 
 
 def without(df: DataFrame, keys: DataFrame) -> DataFrame:
@@ -167,11 +210,11 @@ def delete(spark: SparkSession, path: str, keys: DataFrame, dry_run: bool = Fals
         return report
     hit = stored.filter(F.col(MONTH).isin(months))
     emptied = [m for m, scanned, removed in found if removed and removed == scanned]
-    _overwrite_months(without(hit, keys), path)
-    # A month left with no rows is not part of the overwrite, so its folder is dropped by name.
+    _commit(without(hit, keys), path, True)
+    # A month left with no rows has nothing to move in, so its folder is dropped by name.
     for m in emptied:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MONTH}={m}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        files, folder = _place(spark, f"{path}/{MONTH}={m}")
+        files.delete(folder, True)
     return report
 
 

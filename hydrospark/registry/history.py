@@ -57,6 +57,28 @@ def history_store_append(spark, sf_dir):
     return plain_times(store.load(spark, path))
 
 
+@query("history_store_compact", f"WITH {KEEP_SQL} SELECT {COLS} FROM kept")
+def history_store_compact(spark, sf_dir):
+    """The same appends, merged month by month: the rows stay the same."""
+    hour, again = _twice(spark, sf_dir)
+    path = run_dir(spark, "store")
+    store.append(hour, path, "seq")
+    store.append(again, path, "seq")
+    store.compact(spark, path)
+    return plain_times(store.load(spark, path))
+
+
+@query("history_months", """
+SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS year_month FROM lineitem""")
+def history_months(spark, sf_dir):
+    """Months of a store, from its folders' names."""
+    path, line = run_dir(spark, "store"), table(spark, sf_dir, "lineitem")
+    store.append(line.select(F.col("l_shipdate").cast("timestamp").alias("ts"), F.lit("snapshot").alias("source"), F.lit("gauge").alias("entity_type"),
+                             F.col("l_suppkey").cast("string").alias("entity_id"), F.lit("stage_ft").alias("metric"),
+                             F.col("l_quantity").cast("double").alias("value"), F.col("l_orderkey").alias("seq")), path, "seq")
+    return store.partitions(spark, path)
+
+
 @query("history_audit", f"""WITH {H_SQL}
 SELECT coalesce(entity_type, 'all') AS entity_type, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts,
   count(DISTINCT entity_id) AS entities, count(DISTINCT metric) AS metrics, count(DISTINCT source) AS sources,

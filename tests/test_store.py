@@ -29,6 +29,52 @@ def test_append_is_idempotent_and_last_wins(spark, rows, tmp_path):
     assert got == {("2024-09-27 00:00:00", 5.0), ("2024-10-01 00:00:00", 2.0)}
 
 
+def files_of(path):
+    return {str(p): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_appends_only_add_files(spark, rows, tmp_path):
+    path = tmp_path / "s"
+    store.append(rows(("2024-09-27T00:00:00", "snapshot", "a", 1.0), ("2024-09-28T00:00:00", "snapshot", "a", 2.0)), str(path))
+    before = files_of(path)
+    store.append(rows(("2024-09-27T00:00:00", "snapshot", "a", 5.0), ("2024-10-01T00:00:00", "snapshot", "b", 7.0)), str(path))
+    after = files_of(path)
+    assert before.items() <= after.items() and len(after) == len(before) + 2
+    want = [("a", 2.0), ("a", 5.0), ("b", 7.0)]
+    read = lambda: sorted((r["entity_id"], r["value"]) for r in store.load(spark, str(path)).collect())
+    assert read() == want
+    assert store.compact(spark, str(path)) == ["2024-09"] and read() == want
+    assert len(files_of(path)) == 2 and store.compact(spark, str(path)) == []
+    store.append(rows(("2024-09-27T00:00:00", "snapshot", "a", 6.0)), str(path))
+    assert read() == [("a", 2.0), ("a", 6.0), ("b", 7.0)]
+    store.rewrite(rows(("2024-09-01T00:00:00", "snapshot", "c", 9.0)), str(path))
+    assert read() == [("b", 7.0), ("c", 9.0)]
+
+
+def test_a_failed_append_loses_nothing(spark, rows, tmp_path):
+    path = str(tmp_path / "s")
+    store.append(rows(("2024-09-27T00:00:00", "snapshot", "a", 1.0)), path)
+    breaks = rows(("2024-09-27T00:00:00", "snapshot", "a", 2.0), ("2024-09-28T00:00:00", "snapshot", "a", 3.0)).withColumn(
+        "value", F.when(F.col("value") > 2, F.raise_error(F.lit("broken")).cast("double")).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="broken"):
+        store.append(breaks, path)
+    # a rewrite that stopped after it moved its month in, before the older folders were gone
+    store.append(rows(("2024-09-27T05:00:00", "snapshot", "b", 4.0)), path)
+    assert sorted(r["value"] for r in store.load(spark, path).collect()) == [1.0, 4.0]
+    kept = store.read(spark, path).filter("entity_id = 'b'")
+    kept.drop(store.MONTH).write.parquet(f"{path}/year_month=2024-09/append_no=5")
+    assert [r["value"] for r in store.load(spark, path).collect()] == [4.0]
+
+
+def test_months_open_no_data_file(spark, rows, tmp_path):
+    path = str(tmp_path / "s")
+    store.append(rows(("2024-09-27T00:00:00", "snapshot", "a", 1.0), ("2024-11-27T00:00:00", "snapshot", "a", 1.0)), path)
+    months = store.partitions(spark, path)
+    assert [r[0] for r in months.collect()] == ["2024-09", "2024-11"]
+    assert "FileScan" not in months._jdf.queryExecution().executedPlan().toString()
+    assert store.partitions(spark, str(tmp_path / "nothing")).count() == 0
+
+
 def test_filters_are_inclusive_and_prune_months(spark, rows, tmp_path):
     path = str(tmp_path / "s")
     store.append(rows(*[(f"2024-{m:02d}-15T00:00:00", "snapshot", "a", float(m)) for m in range(1, 7)]), path)
