@@ -65,16 +65,9 @@ BUOY_FIELDS = ["wind_kt", "wind_gust_kt", "wind_dir_deg", "wave_ht_ft", "dominan
 COASTAL_FIELDS = ["water_level_ft", "wind_kt", "wind_gust_kt", "wind_dir_deg", "air_pressure_mb"]
 
 
-def _block(fields: list[str], lead: list[str] = (), tail: list[StructField] = ()) -> StructType:
-    # Leaves stay text so that numbers, quoted numbers and junk all reach the same coercion.
-    return StructType([StructField(f, StringType()) for f in [*lead, *fields]] + list(tail))
-
-
-_WEATHER = _block(WEATHER_FIELDS, tail=[StructField("error", StringType())])
-_SOIL = _block(SOIL_FIELDS + ["saturated"], tail=[StructField("error", StringType())])
-_HAZARD = _block(HAZARD_FIELDS, tail=[StructField("error", StringType())])
-_PLACE = [StructField("weather", _WEATHER), StructField("soil", _SOIL)] + [
-    StructField(k, _HAZARD) for k in HAZARD_BLOCKS]
+# A block of a snapshot: leaves stay text, so that numbers, quoted numbers and junk all reach the same coercion.
+_BLOCK = MapType(StringType(), StringType())
+_PLACE = [StructField(k, _BLOCK) for k in ("weather", "soil", *HAZARD_BLOCKS)]
 
 SNAPSHOT = StructType([
     StructField("as_of_epoch", LongType()),
@@ -84,11 +77,11 @@ SNAPSHOT = StructType([
         StructField("components", MapType(StringType(), StringType())),
         StructField("triggers", MapType(StringType(), BooleanType())),
     ])),
-    StructField("weather", _WEATHER),
-    StructField("soil", _SOIL),
-    StructField("gauges", ArrayType(_block(GAUGE_FIELDS, ["site_id"]))),
-    StructField("coastal", ArrayType(_block(COASTAL_FIELDS, ["station_id"]))),
-    StructField("buoys", ArrayType(_block(BUOY_FIELDS, ["station_id"]))),
+    StructField("weather", _BLOCK),
+    StructField("soil", _BLOCK),
+    StructField("gauges", ArrayType(_BLOCK)),
+    StructField("coastal", ArrayType(_BLOCK)),
+    StructField("buoys", ArrayType(_BLOCK)),
     StructField("forests", ArrayType(StructType(
         [StructField("short", StringType())] + _PLACE
         + [StructField("districts_data", ArrayType(StructType(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,87 +24,66 @@ def parse(df: DataFrame, column: str = "value") -> DataFrame:
         *[c for c in df.columns if c != column], "_doc.*")
 
 
-def _cells(entity_type: str, entity_id: Column, block: Column, fields: Sequence[str],
-           prefix: str = "") -> list[Column]:
-    return [
-        F.struct(F.lit(entity_type).alias("entity_type"), entity_id.alias("entity_id"),
-                 F.lit(prefix + f).alias("metric"), block[f].alias("text"))
-        for f in fields
-    ]
-
-
-def _intact(block: Column, cells: list[Column]) -> Column:
-    """The cells of a block that carries no error."""
-    failed = F.coalesce(F.length(block["error"]) > 0, F.lit(False))
-    return F.when(~failed, F.array(*cells)).otherwise(F.array().cast(_CELLS))
+#: What is kept of a block of each kind; of the index parts, all.
+KEPT = {"gauge": GAUGE_FIELDS, "coastal": COASTAL_FIELDS, "buoy": BUOY_FIELDS, "weather": WEATHER_FIELDS, "soil": SOIL_FIELDS,
+        "hazard": HAZARD_FIELDS}
+_BLOCKS = "array<struct<entity_type:string,entity_id:string,kind:string,prefix:string,block:map<string,string>>>"
 
 
-_CELLS = ("array<struct<entity_type:string,entity_id:string,metric:string,text:string>>")
+def _block(entity_type: str, entity_id: Column, kind: str, prefix: str, block: Column) -> Column:
+    return F.struct(F.lit(entity_type).alias("entity_type"), entity_id.alias("entity_id"), F.lit(kind).alias("kind"),
+                    F.lit(prefix).alias("prefix"), block.alias("block"))
 
 
-def _place(entity_type: str, entity_id: Column, place: Column) -> Column:
-    parts = [
-        _intact(place["weather"], _cells(entity_type, entity_id, place["weather"],
-                                         WEATHER_FIELDS, "wx_")),
-        _intact(place["soil"], _cells(entity_type, entity_id, place["soil"], SOIL_FIELDS, "soil_")),
-    ]
-    parts += [_intact(place[b], _cells(entity_type, entity_id, place[b], HAZARD_FIELDS, f"{p}_"))
-              for b, p in HAZARD_BLOCKS.items()]
-    return F.concat(*parts)
+def _place(entity_type: str, entity_id: Column, of) -> Column:
+    """The blocks of a place; `of` gives a block by its name."""
+    return F.array(
+        _block(entity_type, entity_id, "weather", "wx_", of("weather")), _block(entity_type, entity_id, "soil", "soil_", of("soil")),
+        *[_block(entity_type, entity_id, "hazard", f"{prefix}_", of(name)) for name, prefix in HAZARD_BLOCKS.items()])
 
 
-def _each(items: Column, fn) -> Column:
-    """All cells of all list items, empty for a missing list."""
-    return F.coalesce(F.flatten(F.transform(items, fn)), F.array().cast(_CELLS))
+def _stations(items: str, kind: str, key: str) -> Column:
+    """Blocks of all stations of a list, none for a missing list."""
+    return F.coalesce(F.transform(F.col(items), lambda s: _block(kind, s[key], kind, "", s)).cast(_BLOCKS), F.array().cast(_BLOCKS))
 
 
-def _stations(items: str, entity_type: str, key: str, fields: Sequence[str]) -> Column:
-    return _each(F.col(items), lambda s: F.array(*_cells(entity_type, s[key], s, fields)))
+def _lists(items: Column, fn) -> Column:
+    return F.coalesce(F.flatten(F.transform(items, fn)).cast(_BLOCKS), F.array().cast(_BLOCKS))
 
 
-def _forest_cells(forest: Column) -> Column:
+def _forest(forest: Column) -> Column:
     short = forest["short"]
-    districts = _each(forest["districts_data"], lambda d: _place(
-        "district", F.concat_ws("/", short, F.nullif(d["name"], F.lit(""))), F.when(
-            F.length(d["name"]) > 0, d)))
-    return F.concat(_place("forest", short, forest), districts)
+    districts = F.filter(forest["districts_data"], lambda d: F.length(d["name"]) > 0)
+    return F.concat(
+        _place("forest", short, lambda b: forest[b]),
+        _lists(districts, lambda d: _place("district", F.concat_ws("/", short, d["name"]), lambda b: d[b])))
 
 
 def flatten(df: DataFrame, source: str = "snapshot", home: str = dims.HOME_POINT) -> DataFrame:
     """Every usable number of every snapshot as a history row.
 
-    All blocks become one array of cells and one explode: the documents are read once, not once per
-    block. Cells stay text inside the array and turn into numbers after it, in generated code. An
-    undated document takes the time in `arrived`, where there is that column, else the present.
+    The documents are read once: their few blocks become rows first, and only then the fields that a block really has, so
+    that absent fields cost nothing. Fields are picked and turned into numbers in generated code. A block of a place that
+    carries an error is left out. An undated document takes the time in `arrived`, where there is that column, else the
+    present.
     """
     here = F.lit(home)
     index = F.col("index")
-    scored = F.array(
-        F.struct(F.lit("point").alias("entity_type"), here.alias("entity_id"),
-                 F.lit("flood_index_score").alias("metric"), index["score"].alias("text")))
-    parts = F.coalesce(
-        F.transform(F.map_entries(index["components"]), lambda e: F.struct(
-            F.lit("point").alias("entity_type"), here.alias("entity_id"),
-            F.concat(F.lit("flood_index_"), e["key"]).alias("metric"),
-            e["value"].alias("text"))),
-        F.array().cast(_CELLS))
-    weather = _intact(F.col("weather"), _cells("point", here, F.col("weather"), WEATHER_FIELDS,
-                                               "wx_"))
-    soil = _intact(F.col("soil"), _cells("point", here, F.col("soil"), SOIL_FIELDS, "soil_"))
-    cells = F.concat(
-        scored.cast(_CELLS), parts.cast(_CELLS), weather.cast(_CELLS), soil.cast(_CELLS),
-        _stations("gauges", "gauge", "site_id", GAUGE_FIELDS).cast(_CELLS),
-        _stations("coastal", "coastal", "station_id", COASTAL_FIELDS).cast(_CELLS),
-        _stations("buoys", "buoy", "station_id", BUOY_FIELDS).cast(_CELLS),
-        _each(F.col("forests"), _forest_cells).cast(_CELLS),
-    )
-    given = F.filter(cells, lambda c: c["text"].isNotNull() & (F.length(c["entity_id"]) > 0))
+    blocks = F.concat(
+        F.array(_block("point", here, "index", "flood_index_", F.create_map(F.lit("score"), index["score"])),
+                _block("point", here, "index", "flood_index_", index["components"]),
+                _block("point", here, "weather", "wx_", F.col("weather")), _block("point", here, "soil", "soil_", F.col("soil"))).cast(_BLOCKS),
+        _stations("gauges", "gauge", "site_id"), _stations("coastal", "coastal", "station_id"), _stations("buoys", "buoy", "station_id"),
+        _lists(F.col("forests"), _forest))
     epoch = F.when(F.col("as_of_epoch") > 0, F.col("as_of_epoch"))
     arrived = F.col("arrived") if "arrived" in df.columns else F.current_timestamp()
-    return (
-        df.withColumn("ts", F.coalesce(F.timestamp_seconds(epoch), arrived))
-        .select("ts", F.lit(source).alias("source"), F.explode(given).alias("_cell"))
-        .select("ts", "source", "_cell.*")
-        .withColumn("value", number("text")).filter(F.col("value").isNotNull())
-        .select(*HISTORY_COLS)
-    )
+    rows = (df.select(F.coalesce(F.timestamp_seconds(epoch), arrived).alias("ts"), F.explode(blocks).alias("b")).select("ts", "b.*")
+            .filter(F.col("block").isNotNull() & (F.length("entity_id") > 0)))
+    failed = F.col("kind").isin("weather", "soil", "hazard") & F.coalesce(F.length(F.col("block")["error"]) > 0, F.lit(False))
+    fields = rows.filter(~failed).select("ts", "entity_type", "entity_id", "kind", "prefix", F.explode("block").alias("field", "text"))
+    kept = F.col("kind") == "index"
+    for kind, names in KEPT.items():
+        kept = kept | ((F.col("kind") == kind) & F.col("field").isin(names))
+    return (fields.filter(kept & F.col("text").isNotNull())
+            .withColumns({"source": F.lit(source), "metric": F.concat("prefix", "field"), "value": number("text")})
+            .filter(F.col("value").isNotNull()).select(*HISTORY_COLS))
