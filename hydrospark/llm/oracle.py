@@ -43,22 +43,31 @@ FROM d LEFT JOIN k USING (rid)"""
 
 _ASSIGN = (r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
            r"|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)")
+# A private key: all up to an END line that is the next run of five dashes; or header fields, the base64 block and a shorter
+# last line that ends in = or before a quote, a line's end or a backslash (group 4, outside of the span); or the first line.
+_HEAD, _SPACE = "-----BEGIN [A-Z ]*PRIVATE KEY-----", r"[\s\x0B\x5C>\x22\x27]"
+_BLOCK = rf"{_HEAD}(?:{_SPACE}*(?:Proc-Type|DEK-Info):[^\n]*)*(?:{_SPACE}*[A-Za-z0-9+/]{{16,}}={{0,2}})+"
+_KEY = (rf"({_HEAD}(?:[^-]|-{{1,4}}[^-])*-{{5,}}END [A-Z ]*PRIVATE KEY-----)|({_BLOCK}{_SPACE}+[A-Za-z0-9+/]*=+)"
+        rf"|({_BLOCK}{_SPACE}+[A-Za-z0-9+/]+)([\x22\x27]?[\t\x0B\f\r ]*(?:\n|\x5C|\z))|({_BLOCK})|({_HEAD})")
+_MARK = chr(0xE000)
 _KINDS = (("assign", _ASSIGN, f"length(regexp_extract(m, '{_ASSIGN}', 2)) >= 6"),
           ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"), ("hex", "[0-9a-f]+", "length(m) >= 24"),
-          ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "true"),
+          ("private_key", _KEY, "true"),
           ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true"),
           ("url_login", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s/@]+@", "true"),
           ("prefixed", "(?:gh[pousr]_|xox[abprs]-|sk_live_)[A-Za-z0-9_-]{16,}", "true"))
+_PUT = {"private_key": rf"{_MARK}\1\2\3\5\6{_MARK}\4"}
+_WHOLE, _NEEDLE = r"\0", {"private_key": "PRIVATE KEY-----"}
 _FOUND = " UNION ALL ".join(
     f"""SELECT rid, '{kind}' AS kind, {place} AS place, pos AS start, pos + length(m) AS stop FROM (
   SELECT rid, unnest(list_transform(range(1, len(q) // 2 + 1), lambda k: length(array_to_string(q[1:2 * k - 1], '')))) AS pos,
          unnest(list_transform(range(1, len(q) // 2 + 1), lambda k: q[2 * k])) AS m
-  FROM (SELECT rid, regexp_split_to_array(regexp_replace(t, '{pattern}', '{chr(0xE000)}\\0{chr(0xE000)}', 'g'), '{chr(0xE000)}') AS q FROM d))
+  FROM (SELECT rid, regexp_split_to_array(regexp_replace(t, '{pattern}', '{_PUT.get(kind, _MARK + _WHOLE + _MARK)}', 'g'), '{_MARK}') AS q FROM d WHERE contains(t, '{_NEEDLE.get(kind, '')}')))
 WHERE {test}""" for place, (kind, pattern, test) in enumerate(_KINDS))
 
 OP9 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
-             translate(coalesce(text, ''), '{chr(0xE000)}', '{chr(0xFFFD)}') AS t FROM documents),
+             translate(coalesce(text, ''), '{_MARK}{chr(0xE001)}', '{chr(0xFFFD) * 2}') AS t FROM documents),
 f AS ({_FOUND}),
 s AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
         count(*) FILTER (kind = 'hex') AS n_hex,

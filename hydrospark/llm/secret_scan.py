@@ -14,10 +14,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hydrospark.functions.base import once
+
 #: Marks put around matches, and what stands for them where a text itself holds them.
 _OPEN, _CLOSE, _OTHER = "\ue000", "\ue001", "\ufffd"
 
-FINDING = "array<struct<start:int,place:int,end:int,kind:string,base:boolean,mark:int>>"
+FINDING = "array<struct<start:int,place:int,end:int,kind:string,base:boolean>>"
+#: Pieces of a text (matches and what lies between them) that are walked over at a time, an even number. A walk copies what
+#: it has gathered at every step, so that short walks keep the work in proportion to the matches.
+WALK = 64
 
 #: What follows the first line of a private key: all up to the next run of five dashes if that is its END line, or
 #: else header fields and the base64 block, with a shorter last line. No part of it can hold another first line.
@@ -31,7 +36,7 @@ class Rule:
     """A pattern whose matches are leftmost and do not overlap; `group` must have `least` characters.
 
     A text is searched only if it holds one of `needles`, where there are any. `body` is what belongs to a secret
-    behind its match: the span's `end` lies behind it, its `mark` at the end of the match of `pattern`.
+    behind its match and to its span.
     """
 
     kind: str
@@ -71,15 +76,29 @@ def _spans(text: Column, rule: Rule, place: int) -> Column:
 
     def step(done: Column, piece: Column) -> Column:
         end = done["at"] + F.length(piece)
-        mark = done["at"] + F.length(F.regexp_extract(piece, rule.pattern, 0)) if rule.body else end
         span = F.array(F.struct(done["at"].alias("start"), F.lit(place).alias("place"), end.alias("end"),
-                                F.lit(rule.kind).alias("kind"), F.lit(rule.base).alias("base"), mark.alias("mark")))
+                                F.lit(rule.kind).alias("kind"), F.lit(rule.base).alias("base")))
         return F.struct(end.alias("at"), (~done["match"]).alias("match"),
                         F.when(done["match"] & long_enough(piece), F.concat(done["out"], span))
                         .otherwise(done["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), empty.alias("out"))
-    found = F.aggregate(pieces, start, step, lambda done: done["out"]).cast(FINDING)
+    def length(walk: Column) -> Column:
+        return F.aggregate(walk, F.lit(0), lambda total, piece: total + F.length(piece))
+
+    def starts(walks: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(walks, first, lambda done, walk: F.struct(
+            (done["at"] + length(walk)).alias("at"), F.concat(done["out"], F.array(done["at"])).alias("out")), lambda done: done["out"])
+
+    def walked(walk: Column, at: Column) -> Column:
+        return F.aggregate(walk, F.struct(at.alias("at"), F.lit(False).alias("match"), empty.alias("out")), step, lambda done: done["out"])
+
+    def gathered(split: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.floor((F.size(split) - 1) / WALK).cast("int")), lambda i: F.slice(split, i * WALK + 1, WALK))
+        whole = once(many, lambda walks: F.flatten(F.zip_with(walks, starts(walks), walked)))
+        return F.when(F.size(split) <= WALK, walked(split, F.lit(0))).otherwise(whole)
+
+    found = once(pieces, gathered).cast(FINDING)
     wanted = None
     for needle in rule.needles:
         wanted = text.contains(needle) if wanted is None else wanted | text.contains(needle)
@@ -133,8 +152,8 @@ class Ledger:
 
 
 def listed(found: Column) -> Column:
-    """Spans as kind:start:mark, comma-joined: of a private key the first line, by which the SQL knows it."""
-    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["mark"])), ",")
+    """Spans as kind:start:end, comma-joined."""
+    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
 def without_secrets(docs: DataFrame, ledger: Ledger, mask: str = "x", id_col: str = "doc_id",

@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 from hydrospark.llm import outliers, pii, secret_scan
+from hydrospark.llm.oracle import OP9
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -109,12 +110,22 @@ def test_private_keys_go_whole(spark, table, tmp_path):
     assert masked[100] == "x" * len(block) + "\nmiddle words\n" + "x" * len(block) + " last"
     assert masked[101] == "x" * len(head) + " is a first line - no key here"
     assert masked[102] == "x" * len(f"{head}\n{lines[0]}") + "\n" + "x" * len(block)
-    # listed as in the SQL: every first line, whatever follows
+    # listed to their ends, as by the SQL
     rows = {r.doc_id: r.s for r in ledger.scan(docs).select("doc_id", secret_scan.listed(secret_scan.F.col("found")).alias("s")).collect()}
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    for i, text in texts.items():
-        assert [x for x in rows[i].split(",") if x.startswith("private_key")] == [
-            f"private_key:{m.start()}:{m.end()}" for m in re.finditer("-----BEGIN [A-Z ]*PRIVATE KEY-----", text)], i
+    for i, s in enumerate(secrets):
+        assert [x for x in rows[i].split(",") if x.startswith("private_key")] == [f"private_key:10:{10 + len(s)}"], i
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").where("length(text) < 10000").toPandas())
+    listed = {r[0]: r[-1] for r in con.execute(f"SELECT doc_id, spans FROM ({OP9})").fetchall()}
+    assert listed == {i: s for i, s in rows.items() if i != 9}
+
+
+def test_many_matches_in_one_text(table, spark, tmp_path):
+    text = "token=abcdef " * 40_000
+    found = secret_scan.Ledger(spark, str(tmp_path / "many")).scan(table((1, text))).first().found
+    assert [(s.start, s.end) for s in found] == [(13 * i, 13 * i + 12) for i in range(40_000)]
 
 
 def luhn(digits):
