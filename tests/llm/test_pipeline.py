@@ -13,7 +13,7 @@ def test_registered():
 
     names = entry.queries()
     assert [k for k in names if k.startswith("op")] == list(QUERIES) and "pipeline" in names
-    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontaminate", "secrets", "encode"]
 
