@@ -308,10 +308,14 @@ def groups(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), i
     classes = staged(indexed.where("sig is null").select("key", "n", "slack", "k1", "k2", "sketch")
                      .dropDuplicates(["key", "k1", "k2"]).join(least, ["k1", "k2"]), "classes")
     rows = indexed.where("sig is not null").select("sig", "key")
-    several = rows.groupBy("sig").agg(F.max("key").alias("hi"), F.min("key").alias("lo")).where("lo <> hi").select("sig")
-    buckets = staged(rows.join(several, "sig").distinct().withColumn("size", _size_class("key"))
+    # near copies share most of their signatures, whose buckets hold about the same sets: those that agree in
+    # two minima over hashed members are one bucket, so that a pair meets a few times and not once a signature
+    several = (rows.groupBy("sig").agg(F.max("key").alias("hi"), F.min("key").alias("lo"),
+                                       *(F.min(F.xxhash64("key", F.lit(i))).alias(f"least_{i}") for i in range(2)))
+               .where("lo <> hi").select("sig", F.xxhash64("least_0", "least_1").alias("bucket")))
+    buckets = staged(rows.join(several, "sig").select("bucket", "key").distinct().withColumn("size", _size_class("key"))
                      .join(classes.select("key", "rep", "slack"), "key"), "buckets")
-    heads = buckets.groupBy("sig", "size").agg(F.max("key").alias("head"))
+    heads = buckets.groupBy("bucket", "size").agg(F.max("key").alias("head"))
     # sets whose size classes are further apart cannot link
     apart = math.floor(math.log(t[1] / t[0]) / math.log(SIZE_STEP)) + 1
 
@@ -332,18 +336,18 @@ def groups(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), i
         a, b = (sets.withColumnsRenamed({"rep": k, "tokens": f"t{k}"}) for k in "ab")
         return staged(pairs.join(a, "a").join(b, "b").mapInArrow(_verify(t), "a long, b long"), "verified")
 
-    stars = (buckets.join(heads, ["sig", "size"]).where("key <> head").select(F.col("rep").alias("a"), "head", "slack").distinct()
+    stars = (buckets.join(heads, ["bucket", "size"]).where("key <> head").select(F.col("rep").alias("a"), "head", "slack").distinct()
              .join(classes.select(F.col("key").alias("head"), F.col("rep").alias("b"), F.col("slack").alias("slack_b")), "head")
              .where("slack + slack_b <= 0").select("a", "b"))
     links = verified(staged(near(stars), "stars"))
     named = components(links)
     at = (buckets.join(named, buckets["rep"] == named["node"], "left")
-          .select("sig", "rep", "size", "slack", F.coalesce("component", "rep").alias("of")))
-    split = at.groupBy("sig").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("sig")
-    open_ = staged(at.join(split, "sig"), "open")
-    x, y = (open_.select("sig", F.col("rep").alias(k), F.col("of").alias(f"of_{k}"), F.col("size").alias(f"size_{k}"),
+          .select("bucket", "rep", "size", "slack", F.coalesce("component", "rep").alias("of")))
+    split = at.groupBy("bucket").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("bucket")
+    open_ = staged(at.join(split, "bucket"), "open")
+    x, y = (open_.select("bucket", F.col("rep").alias(k), F.col("of").alias(f"of_{k}"), F.col("size").alias(f"size_{k}"),
                         F.col("slack").alias(f"slack_{k}")) for k in "ab")
-    pairs = (x.join(y, "sig").where("a < b and of_a <> of_b and slack_a + slack_b <= 0")
+    pairs = (x.join(y, "bucket").where("a < b and of_a <> of_b and slack_a + slack_b <= 0")
              .where(F.abs(F.col("size_a") - F.col("size_b")) <= apart).select("a", "b"))
     more = verified(staged(near(pairs), "pairs"))
     of = components(links.unionByName(more))

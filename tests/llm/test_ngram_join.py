@@ -44,6 +44,21 @@ def test_groups(table, words, n, t):
     assert got(ngram_join.groups(table(*docs), n, t)) == brute(docs, n, t)
 
 
+@pytest.mark.parametrize("t", [(1, 2), (8, 10), (9, 10)])
+def test_families_of_copies_around_the_threshold(table, t):
+    pick, docs = np.random.default_rng(8), []
+    for family in range(3):
+        base = [f"v{x}" for x in pick.integers(0, 400, 150)]
+        for k in range(40):
+            text = list(base)
+            for at in pick.choice(150, int(pick.integers(0, 16)), replace=False):
+                text[at] = f"v{pick.integers(0, 400)}"
+            docs.append((100 * family + k, " ".join(text)))
+    want = brute(docs, 3, t)
+    assert len({c for _, c in want.values()}) > 1
+    assert got(ngram_join.groups(table(*docs), 3, t)) == want
+
+
 def test_odd_rows(table, words):
     docs = table((None, words(0, 30)), (3, words(0, 30)), (3, words(0, 30)), (1, words(0, 30)), (None, None))
     rows = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.groups(docs, 5).collect())
