@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrospark.llm.blocks import bitmap_of, has_bits, power_above
-from hydrospark.llm.shared import Words, as_bytes, grams, mixed, staged, window_minima
+from hydrospark.llm.shared import Words, as_bytes, grams, mixed, spare, staged, window_minima
 
 GRAM = 5
 
@@ -164,6 +164,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "do
           text_col: str = "text") -> DataFrame:
     """The documents without a shared span, with all their columns; rows with equal id and text go together."""
     _, spans = overlaps(docs, items, window, id_col, text_col)
-    bad = spans.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("__id"))
-                     & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left_anti")
+    bad_id, bad_hash = spare(docs, "bad_id"), spare(docs, "bad_hash")
+    bad = spans.select(F.col("id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct()
+    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col(bad_id))
+                     & (F.xxhash64(docs[text_col]) == F.col(bad_hash)), "left_anti")

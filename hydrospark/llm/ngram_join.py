@@ -25,7 +25,7 @@ from hydrospark.llm.blocks import (
     bitmap_of, census_layout, census_rows, in_bitmap, packed, power_above, shared_points, summed,
 )
 from hydrospark.llm.components import components
-from hydrospark.llm.shared import Words, as_bytes, distinct, grams, mixed, staged
+from hydrospark.llm.shared import Words, as_bytes, distinct, grams, mixed, spare, staged
 
 #: Counters of token frequencies; estimates are never too low.
 COUNTERS_LOG2 = 20
@@ -361,7 +361,17 @@ def groups(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), i
 
 def keep_first(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
-    """One document of each group: the one with the smallest id; rows without an id stay."""
-    grouped = groups(docs, n, similarity, id_col, text_col)
-    gone = grouped.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    """One document of each group: the one with the smallest id, with all its columns; rows without an id stay.
+
+    Ids must be whole numbers. Of rows repeated with one id, one whose text has the smallest hash stays.
+    """
+    gone, again, least = (spare(docs, c) for c in ("gone", "again", "least"))
+    rest = (groups(docs, n, similarity, id_col, text_col).where("component_id <> doc_id")
+            .select(F.col("doc_id").alias(gone)).distinct())
+    ids, text_hash = docs[id_col].cast("long"), F.xxhash64(docs[text_col])
+    repeated = (docs.where(ids.isNotNull()).groupBy(ids.alias(again)).agg(F.count("*").alias("rows"), F.min(text_hash).alias(least))
+                .where("rows > 1").select(again, least))
+    once = docs.join(repeated, ids == F.col(again), "left_anti")
+    one = docs.join(repeated, (ids == F.col(again)) & (text_hash == F.col(least)), "left_semi").dropDuplicates([id_col])
+    kept = once.unionByName(one)
+    return kept.join(rest, kept[id_col].cast("long") == F.col(gone), "left_anti")

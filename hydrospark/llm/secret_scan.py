@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrospark.functions.base import once
+from hydrospark.llm.shared import spare
 
 #: Marks put around matches, and what stands for them where a text itself holds them.
 _OPEN, _CLOSE, _OTHER = "\ue000", "\ue001", "\ufffd"
@@ -162,8 +163,9 @@ def without_secrets(docs: DataFrame, ledger: Ledger, mask: str = "x", id_col: st
 
     Lengths stay. Spans may overlap; a null text stays null.
     """
+    blob_of, spans_of = spare(docs, "blob_of"), spare(docs, "spans_of")
     found = (ledger.scan(docs, id_col, text_col).select("blob", "found").where(F.size("found") > 0)
-             .dropDuplicates(["blob"]).withColumnsRenamed({"blob": "__blob", "found": "__found"}))
+             .dropDuplicates(["blob"]).withColumnsRenamed({"blob": blob_of, "found": spans_of}))
     text = docs[text_col]
     blob = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
@@ -173,8 +175,8 @@ def without_secrets(docs: DataFrame, ledger: Ledger, mask: str = "x", id_col: st
             F.concat(done["out"], F.substring(text, done["at"] + 1, begin - done["at"]),
                      F.repeat(F.lit(mask), s["end"] - begin)).alias("out"), s["end"].alias("at")))
 
-    masked = F.aggregate("__found", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step,
+    masked = F.aggregate(spans_of, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step,
                          lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
-    out = docs.join(found, blob == F.col("__blob"), "left")
-    new = F.when(F.col("__found").isNotNull(), masked).otherwise(text)
+    out = docs.join(found, blob == F.col(blob_of), "left")
+    new = F.when(F.col(spans_of).isNotNull(), masked).otherwise(text)
     return out.select(*[new.alias(c) if c == text_col else docs[c] for c in docs.columns])

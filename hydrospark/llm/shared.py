@@ -147,6 +147,14 @@ def _batch(schema: pa.Schema, held: list[tuple]) -> pa.RecordBatch:
         [pa.array(list(c), type=f.type) for c, f in zip(zip(*held), schema, strict=True)], schema=schema)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like `name` that the table doesn't have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package where it is neither installed nor on their path.
 

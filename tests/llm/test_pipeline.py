@@ -56,3 +56,24 @@ def test_stages_take_effect(spark, folder):
     assert row.n_tokens == len(bytes(row.ids)) // 4
     assert bpe.tokens_at(bpe.default_table()[0])
     assert ids["encode"].count(None) == 1
+
+
+def test_stages_on_odd_rows(spark, table, tmp_path):
+    """Null and repeated ids, null, empty and long texts, columns named like helpers, and an empty table."""
+    passage = " ".join(f"bench{i}" for i in range(12))
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = table((1, "one two three four five six"), (1, "one two three four five six"), (2, "ONE two three four five six"),
+                 (3, None), (3, ""), (4, long), (5, long), (6, "a " + passage + " b"), (7, "token=secret99 after"),
+                 (None, "one two three four five six"), (None, None))
+    names = ["gone", "again", "least", "Bad_ID", "bad_hash", "blob_of", "spans_of", "__gone", "__id", "__found"]
+    docs = docs.selectExpr("*", *[f"'x' as {c}" for c in names])
+    spark.createDataFrame([(9, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {"near_duplicates": [None, None, 1, 3, 4, 6, 7], "decontaminate": [None, None, 1, 3, 4, 7],
+            "secrets": [None, None, 1, 3, 4, 7]}
+    rows, none = docs, docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        rows, none = (corpus_pipeline.staged(stage(spark, d, str(tmp_path)), name) for d in (rows, none))
+        assert rows.columns == docs.columns and none.count() == 0
+        assert sorted((r.doc_id for r in rows.select("doc_id").collect()), key=lambda i: i or 0) == left[name]
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    assert "secret99" not in texts[7] and texts[4] == long
