@@ -49,12 +49,12 @@ def mark(shape, pairs):
             + f"\n</coordinates></{shape}></Placemark>")
 
 
-LINE = [(-85.5, 37.5), (-87.0, 37.9), (-87.2, 37.7), (-87.3, 37.5), (-87.0, 37.3)]
+LINE = [(-61.0, 14.0), (-62.5, 15.25), (-64.0, 16.0), (-66.25, 17.5), (-68.0, 19.75)]
 
 
 def test_graphics(spark, docs, tmp_path):
     track = "<kml>" + mark("LineString", LINE[:3]) + mark("LineString", LINE) + mark("Point", LINE[:1]) + "</kml>"
-    bad = mark("LineString", [(-999, 999), (-85.0, 35.0), (-86.0, 36.0)])
+    bad = mark("LineString", [(-70.5, 21.0), (500, -400), (-71.5, 22.0)])
     for name, text in (("AL09_TRACK", track), ("AL10_TRACK", bad)):
         with zipfile.ZipFile(tmp_path / f"{name}_latest.kmz", "w") as z:
             z.writestr("storm.kml", text)
@@ -65,7 +65,7 @@ def test_graphics(spark, docs, tmp_path):
     (tmp_path / "AL09_CONE_latest.kmz").write_bytes(cone.getvalue())
     shapes = tracks.graphics(tracks.read_graphics(spark, str(tmp_path))).cache()
     got = {(r["storm_id"], r["product"]): r["points"] for r in shapes.collect()}
-    assert len(got[("AL09", "TRACK")]) == 5 and tuple(got[("AL09", "TRACK")][0]) == (37.5, -85.5)
+    assert len(got[("AL09", "TRACK")]) == 5 and tuple(got[("AL09", "TRACK")][0]) == (14.0, -61.0)
     assert len(got[("AL10", "TRACK")]) == 2 and got[("AL11", "TRACK")] == []
     thinned = got[("AL09", "CONE")]
     assert len(thinned) == 160 and thinned[0]["lat"] == 30.0 and thinned[-1]["lat"] == pytest.approx(34.99)
@@ -117,12 +117,12 @@ def test_forecast_trace_keeps_zero_and_peaks_over_all(docs):
 
 def test_buoys(docs):
     head = "#YY  MM DD hh mm WDIR WSPD GST  WVHT   DPD   APD MWD   PRES  ATMP  WTMP\n#yr  mo dy hr mn degT m/s m/s m sec sec degT hPa degC degC\n"
-    gone = "2026 05 27 12 50   MM   MM   MM    MM    MM    MM  MM     MM    MM    MM\n"
-    good = "2026 05 27 12 40  120  8.5 10.5   3.2  10.0   6.2 110  1013.5  22.0  24.5\n"
-    r = water.buoys(docs(head + gone + good, station_id="41025")).first()
+    gone = "2031 11 03 07 20   MM   MM   MM    MM    MM    MM  MM     MM    MM    MM\n"
+    good = "2031 11 03 07 10  205  6.0  7.5   3.0   8.0   5.1 190  1009.2  17.5  19.0\n"
+    r = water.buoys(docs(head + gone + good, station_id="b7")).first()
     assert (r["wind_dir_deg"], r["wind_kt"], r["wave_ht_ft"], r["pressure_mb"], r["water_temp_f"]) == (
-        120.0, 16.5, 10.5, 1013.5, 76.1)
-    assert r["obs_time"] == "2026 05 27 12 40" and r["seas"] == "ROUGH"
+        205.0, 11.7, 9.8, 1009.2, 66.2)
+    assert r["obs_time"] == "2031 11 03 07 10" and r["seas"] == "ROUGH"
     assert water.buoys(docs(head + gone, station_id="x")).count() == 0
 
 
