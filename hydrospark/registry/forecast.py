@@ -95,13 +95,12 @@ def training_frame(spark, sf_dir):
 
 
 @query("gapped_training_frame", f"""WITH {R_SQL},
-q AS (SELECT entity_id, date_trunc('hour', ts) AS ts, max(value) AS value FROM r
-      WHERE value >= 20 GROUP BY 1, 2), {_frame_sql("q")} SELECT * FROM fr""")
+q AS (SELECT entity_id, date_trunc('hour', ts) AS ts, max(value) AS value FROM r GROUP BY 1, 2), {_frame_sql("q")} SELECT * FROM fr""")
 def gapped_training_frame(spark, sf_dir):
-    """Hours without a reading of 20 or more are missing, so that every series has holes."""
+    """Hours without a reading are missing and not filled, so that series have holes."""
     from hydrospark.operators import timeseries as ts
 
-    hourly = ts.bucket_max(readings(spark, sf_dir).where("value >= 20"), keys=GAUGE_KEY)
+    hourly = ts.bucket_max(readings(spark, sf_dir), keys=GAUGE_KEY)
     cfg = dataclasses.replace(CFG, dense=False)
     return rounded(features.training_frame(*frame_inputs(spark, sf_dir, hourly), cfg), nudge=1e-9)
 

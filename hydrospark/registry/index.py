@@ -117,17 +117,14 @@ def replay_inputs(spark, sf_dir):
             F.struct(F.lit(replay.PRECIP).alias("metric"), (F.col("value") / 700).alias("value")),
             F.struct(F.lit(replay.SOIL).alias("metric"), (F.col("value") / 1000).alias("value")))
         ).alias("c")).select("ts", "source", "entity_type", "entity_id", "c.*")
-    # A hole in the record: one site has no readings from the 10th to the 12th.
-    hole = (F.col("entity_id") == "view") & F.dayofmonth("ts").between(10, 12)
     sites = spark.createDataFrame(
         [(t, NEXT[t], SITE_LAT[t], dims.HOME_LON) for t in TYPES],
         "site_id string, weather_entity string, lat double, lon double")
-    return history.withColumn("value", F.when(~hole, F.col("value"))).dropna(), sites
+    return history.dropna(), sites
 
 
 REPLAY_SQL = f"""{T_SQL},
-hist AS (SELECT event_type AS id, CAST(ts AS DATE) AS day, max(value) AS v FROM events
-         WHERE NOT (event_type = 'view' AND day(ts) BETWEEN 10 AND 12) GROUP BY 1, 2),
+hist AS (SELECT event_type AS id, CAST(ts AS DATE) AS day, max(value) AS v FROM events GROUP BY 1, 2),
 sites(site_id, wx, slat) AS (VALUES {", ".join(f"('{t}', '{NEXT[t]}', {SITE_LAT[t]}::DOUBLE)" for t in TYPES)}),
 sp AS (SELECT site_id, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day
        FROM sites JOIN hist ON id = site_id GROUP BY 1

@@ -148,7 +148,7 @@ def grid_gradient(spark, sf_dir):
 
 
 @query("grid_sample", f"""WITH {CELL_SQL}, {P_SQL},
-p AS (SELECT 'A' AS grid_id, c_custkey, lat + 0.03::DOUBLE AS lat, lon + 0.07::DOUBLE AS lon, (c_custkey % 360)::DOUBLE AS wind_from,
+p AS (SELECT ['A', 'N', 'R'][1 + c_custkey % 3] AS grid_id, c_custkey, lat + 0.03::DOUBLE AS lat, lon + 0.07::DOUBLE AS lon, (c_custkey % 360)::DOUBLE AS wind_from,
              (20 + c_custkey % 60)::DOUBLE AS wind_kt FROM c),
 f AS (SELECT *, (lat - 33.5) / 0.2::DOUBLE AS fi, (lon + 84.5) / 0.2::DOUBLE AS fj FROM p),
 x AS (SELECT *, CAST(least(19, floor(fi)) AS INTEGER) AS i0, CAST(least(21, floor(fj)) AS INTEGER) AS j0 FROM f
@@ -164,7 +164,8 @@ SELECT p.c_custkey, round(dh_dlat, 3) AS dh_dlat, round(dh_dlon, 3) AS dh_dlon,
 FROM p LEFT JOIN b USING (c_custkey)""")
 def grid_sample(spark, sf_dir):
     points = customers(spark, sf_dir).select(
-        F.lit("A").alias("grid_id"), "c_custkey", (F.col("lat") + 0.03).alias("lat"),
+        F.element_at(F.array(*map(F.lit, "ANR")), (1 + F.col("c_custkey") % 3).cast("int")).alias("grid_id"),
+        "c_custkey", (F.col("lat") + 0.03).alias("lat"),
         (F.col("lon") + 0.07).alias("lon"), (F.col("c_custkey") % 360).cast("double").alias("wind_from"),
         (F.lit(20) + F.col("c_custkey") % 60).cast("double").alias("wind_kt"))
     out = grid.upslope(points, grid.gradient(cells(spark, sf_dir)))
