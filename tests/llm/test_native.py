@@ -55,6 +55,27 @@ def test_verdicts(spark):
     assert outliers.verdicts(docs.limit(0)).count() == 0
 
 
+def test_one_odd_statistic_alone_is_rejected(spark):
+    """At the registered Spec: length, mean word length both ways, symbols, repeated lines, repeated words."""
+    pick = np.random.default_rng(3)
+    vocabulary = ["".join(pick.choice(list("aeionrst"), int(pick.integers(3, 7)))) + f"{i:03d}" for i in range(900)]
+
+    def some(n):
+        return list(pick.choice(vocabulary, n))
+
+    plain = [" ".join(some(int(pick.integers(80, 160)))) for _ in range(200)]
+    odd = [" ".join(some(30_000)), " ".join(w + "xyzxyzxy" for w in some(110)), " ".join(w[-3:] for w in some(110)),
+           " ".join([w + "#" for w in some(20)] + some(90)), "\nmenu\n".join(" ".join(some(14)) for _ in range(8))]
+    once = list(pick.permutation(vocabulary)[:90])
+    odd.append(" ".join(once + once[:10]))
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(plain + odd)],
+                                 "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in outliers.verdicts(docs).collect()}
+    assert all(got[i].kept for i in range(200))
+    for i in range(200, 206):
+        assert not got[i].base_failed and not got[i].kept, (i, got[i])
+
+
 BASE = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                               re.I | re.A), lambda m: len(m[2]) >= 6),
         ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
