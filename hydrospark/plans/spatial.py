@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrospark.functions.geo import EARTH_RADIUS_MI, haversine_mi
@@ -33,8 +32,8 @@ def _place_in_band(lon: Column, cells: Column) -> Column:
 
 
 def radius_join(points: DataFrame, sites: DataFrame, radius_mi: float, *, site_prefix: str = "site_",
-                hot_cell_rows: int = HOT_CELL_ROWS, point_lat: str = "lat", point_lon: str = "lon"
-                ) -> DataFrame:
+                hot_cell_rows: int = HOT_CELL_ROWS, point_lat: str = "lat", point_lon: str = "lon",
+                nearest: int | None = None, tie: Sequence[str] = ()) -> DataFrame:
     """All (point, site) pairs within `radius_mi`, with `distance_mi`.
 
     Site columns carry `site_prefix`, with coordinates in `{prefix}lat` and `{prefix}lon`. Latitude
@@ -44,7 +43,12 @@ def radius_join(points: DataFrame, sites: DataFrame, radius_mi: float, *, site_p
     replaces the comparison of all pairs. Points of a crowded cell are spread over as many salts as
     the cell holds multiples of `hot_cell_rows`, equal points too, and only the sites next to such
     a cell are copied to match. Rows without coordinates match nothing.
+
+    With `nearest`, just the so many closest points of each site, by distance to six decimals and then by the columns of
+    `tie`: see `_closest`, which doesn't make the other pairs.
     """
+    if nearest is not None:
+        return _closest(points, sites, nearest, radius_mi, tie, (point_lat, point_lon), (f"{site_prefix}lat", f"{site_prefix}lon"))
     height, angle = _bands(radius_mi)
     cell = ["_cy", "_cx"]
     band = F.floor(F.col(point_lat) / height)
@@ -78,36 +82,104 @@ def radius_join(points: DataFrame, sites: DataFrame, radius_mi: float, *, site_p
         .drop("_salts")
     )
     distance = haversine_mi(lat, lon, F.col(point_lat), F.col(point_lon))
-    return (salted.join(around, [*cell, "_salt"])
+    # Spark takes the size of the files behind `around` for its own and would broadcast the copies.
+    return (salted.join(around.hint("merge"), [*cell, "_salt"])
             .withColumn("distance_mi", distance)
             .filter(F.col("distance_mi") <= radius_mi)
             .drop(*cell, "_salt"))
 
 
-def nearest_of_sites(points: DataFrame, sites: DataFrame, site_keys: Sequence[str],
-                     carry: Sequence[str], start_mi: float = 25.0, **kw) -> DataFrame:
-    """The closest point of every site of a table, of any length, by widening circles.
-
-    Sites that found nothing within one radius look again within four times as far, until half the
-    globe is covered; so far circles are drawn only for the few sites that need them. Without points
-    there is no row.
+#: Edges of the cells of level n are 180 / 4**n degrees long; about a metre at the finest.
+FINEST = 12
+LEAF_ROWS = 32
+FEW_CELLS = 20_000
+#: More than the rounding of distances, which is coarsest next to a site's opposite point.
+SLACK_MI = 1e-3
+
+
+def _balls(points: DataFrame, level: int, lat: str, lon: str) -> DataFrame:
+    """The cells of a level that hold points: how many, and a ball around them all."""
+    low_lat, high_lat, low_lon, high_lon = (F.col(c) for c in ("_low_lat", "_high_lat", "_low_lon", "_high_lon"))
+    boxes = points.groupBy(*[F.shiftright(c, 2 * (FINEST - level)).alias(c) for c in ("_cy", "_cx")]).agg(
+        F.count("*").alias("_n"), F.min(lat).alias("_low_lat"), F.max(lat).alias("_high_lat"),
+        F.min(lon).alias("_low_lon"), F.max(lon).alias("_high_lon"))
+    mid = F.col("_mid_lat")
+    outermost = F.greatest(F.abs(low_lat), F.abs(high_lat))
+    widest = F.when((outermost > 90.0) | F.isnan(outermost) | (low_lat * high_lat <= 0.0), 1.0).otherwise(
+        F.cos(F.radians(F.least(F.abs(low_lat), F.abs(high_lat)))))
+    # No point of the box is farther from its middle than this one would be at the widest latitude of the box.
+    chord = (F.pow(F.sin(F.radians((high_lat - low_lat) / 2) / 2), F.lit(2.0))
+             + F.abs(F.cos(F.radians(mid))) * widest
+             * F.pow(F.sin(F.radians(F.least((high_lon - low_lon) / 2, F.lit(180.0))) / 2), F.lit(2.0)))
+    return (boxes.withColumns({"_mid_lat": (low_lat + high_lat) / 2, "_mid_lon": (low_lon + high_lon) / 2})
+            .withColumn("_ball", F.lit(2 * EARTH_RADIUS_MI) * F.asin(F.sqrt(F.least(F.lit(1.0), chord))))
+            .select("_cy", "_cx", "_n", "_mid_lat", "_mid_lon", "_ball"))
+
+
+def _closest(points: DataFrame, sites: DataFrame, k: int, radius_mi: float, tie: Sequence[str],
+             point: tuple[str, str], site: tuple[str, str]) -> DataFrame:
+    """The `k` points closest to each site within `radius_mi`.
+
+    Points lie in cells within cells, sixteen in each. From the largest cells down, a site keeps those that may hold one of
+    its k closest points: their ball begins before enough other balls have ended to hold k points. So a site, however
+    far, meets a number of cells that hardly grows with the points, and points only in the last ones, which are as
+    fine as it takes for few points in each. Of points at one position, the k first by `tie` can be wanted; sites at one
+    position are answered together.
     """
+    spark, (lat, lon) = points.sparkSession, point
+    path = run_dir(spark, "nearest")
+    first = F.row_number().over(Window.partitionBy(lat, lon).orderBy(*tie) if tie
+                                else Window.partitionBy(lat, lon).orderBy(F.lit(0)))
+    scale = 4.0 ** FINEST / 180.0
+    placed = (points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("_first", first)
+              .filter(F.col("_first") <= k).drop("_first")
+              .withColumns({"_cy": F.floor((F.col(lat) + 90.0) * scale), "_cx": F.floor((F.col(lon) + 180.0) * scale)}))
+    placed.write.parquet(f"{path}/points")
+    placed = spark.read.schema(placed.schema).parquet(f"{path}/points")
+
+    levels = []
+    for level in range(1, FINEST + 1):
+        cells = _balls(placed, level, lat, lon)
+        cells.write.parquet(f"{path}/level_{level}")
+        cells = spark.read.schema(cells.schema).parquet(f"{path}/level_{level}")
+        count, most = cells.agg(F.count("*"), F.max("_n")).first()
+        levels.append(cells if count <= FEW_CELLS else cells.hint("merge"))
+        if (most or 0) <= max(LEAF_ROWS, 2 * k):
+            break
+
+    spots = sites.select(*site).dropna(subset=list(site), how="any").distinct()
+    found = None
+    for cells in levels:
+        if found is None:
+            found = spots.crossJoin(cells)
+        else:
+            parent = found.select(*site, F.col("_cy").alias("_py"), F.col("_cx").alias("_px"))
+            within = cells.withColumns({"_py": F.shiftright("_cy", 2), "_px": F.shiftright("_cx", 2)})
+            found = parent.join(within, ["_py", "_px"]).drop("_py", "_px")
+        middle = haversine_mi(*site, "_mid_lat", "_mid_lon")
+        found = found.withColumns({"_begins": middle - F.col("_ball") - SLACK_MI, "_ends": middle + F.col("_ball") + SLACK_MI})
+        of_site = Window.partitionBy(*site)
+        found = (found.filter(F.col("_begins") <= radius_mi)
+                 .withColumn("_held", F.sum("_n").over(of_site.orderBy("_ends")))
+                 .withColumn("_enough", F.min(F.when(F.col("_held") >= k, F.col("_ends"))).over(of_site))
+                 .filter(F.col("_enough").isNull() | (F.col("_begins") <= F.col("_enough")))
+                 .select(*site, "_cy", "_cx"))
+    leaf = [F.shiftright(c, 2 * (FINEST - len(levels))).alias(c) for c in ("_cy", "_cx")]
+    near = (found.join(placed.select(*points.columns, *leaf).hint("merge"), ["_cy", "_cx"])
+            .withColumn("distance_mi", haversine_mi(*site, lat, lon)).filter(F.col("distance_mi") <= radius_mi))
+    rank = F.row_number().over(Window.partitionBy(*site).orderBy(F.round("distance_mi", 6), *tie))
+    best = (near.withColumn("_rank", rank).filter(F.col("_rank") <= k)
+            .select(*[F.col(c).alias(f"_{c}") for c in site], *points.columns, "distance_mi"))
+    same = (F.col(site[0]) == F.col(f"_{site[0]}")) & (F.col(site[1]) == F.col(f"_{site[1]}"))
+    return sites.join(best.hint("merge"), same).select(*points.columns, *sites.columns, "distance_mi")
+
+
+def nearest_of_sites(points: DataFrame, sites: DataFrame, site_keys: Sequence[str],
+                     carry: Sequence[str]) -> DataFrame:
+    """The closest point of every site of a table, of any length and however far. Without points there is no row."""
     kept = points.select(*carry, *[c for c in ("lat", "lon") if c not in carry])
-    left, found, radius = sites, [], start_mi
-    half_way = math.pi * EARTH_RADIUS_MI
-    while True:
-        best = nearest_point(radius_join(kept, left, radius, **kw), site_keys, carry)
-        if radius >= half_way:
-            found.append(best)
-            return reduce(DataFrame.unionByName, found)
-        path = run_dir(best.sparkSession, "nearest")
-        best.write.parquet(path)
-        best = best.sparkSession.read.schema(best.schema).parquet(path)
-        found.append(best)
-        left = left.join(best, list(site_keys), "left_anti")
-        if left.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        radius = min(4 * radius, half_way + 1.0)
+    pairs = radius_join(kept, sites, math.pi * EARTH_RADIUS_MI + 1.0, nearest=1, tie=carry)
+    return nearest_point(pairs, site_keys, carry)
 
 
 def with_fixed_sites(points: DataFrame, sites: Sequence[dict], *, point_lat: str = "lat",

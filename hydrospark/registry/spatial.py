@@ -23,7 +23,7 @@ FROM p WHERE d <= 25 QUALIFY nearness <= 25""")
 def haversine_radius(spark, sf_dir):
     """Customers within 25 miles of each supplier, the 25 closest of each (a top-k report)."""
     pairs = radius_join(customers(spark, sf_dir).select("c_custkey", "lat", "lon"),
-                        suppliers(spark, sf_dir), 25.0, hot_cell_rows=200)
+                        suppliers(spark, sf_dir), 25.0, nearest=25, tie=["c_custkey"])
     near = pairs.select("s_suppkey", "c_custkey", F.round("distance_mi", 6).alias("distance_mi"))
     return top_rows(near, ["s_suppkey"], 25, "distance_mi", "c_custkey", rank="nearness")
 

@@ -148,3 +148,50 @@ def test_a_rejected_grid_keeps_every_storm(spark, storms):
     none = spark.createDataFrame([], "grid_id string, i int, j int, dh_dlat double, dh_dlon double")
     rows = tracks.terrain_score(storms, none).collect()
     assert {r["storm_id"] for r in rows} == {"a", "b"} and {r["upslope_w_ms"] for r in rows} == {0.0}
+
+
+def test_the_nearest_of_a_radius_join_equal_the_first_of_all_pairs(spark):
+    from hydrospark.functions.geo import haversine_mi
+    from hydrospark.plans.pick import top_rows
+
+    # Scattered points, one town, copies at one place, a pole, the date line and a row without a place.
+    points = spark.range(1500).select("id", (F.rand(5) * 180 - 90).alias("lat"), (F.rand(6) * 360 - 180).alias("lon")) \
+        .unionByName(spark.range(2000, 2600).select("id", (35 + F.rand(7) / 100).alias("lat"), (-82 + F.rand(8) / 100).alias("lon"))) \
+        .unionByName(spark.range(3000, 3100).select("id", F.lit(35.0).alias("lat"), F.lit(-82.0).alias("lon"))) \
+        .unionByName(spark.createDataFrame([(9000, 90.0, 10.0), (9001, 85.0, 179.99), (9002, -89.9, 0.0), (9003, None, 1.0)],
+                                           "id long, lat double, lon double")).cache()
+    sites = spark.range(60).select(F.col("id").alias("site"), (F.rand(9) * 180 - 90).alias("site_lat"),
+                                   (F.rand(10) * 360 - 180).alias("site_lon")) \
+        .unionByName(spark.createDataFrame(
+            [(900, 89.9, -170.0), (901, 85.0, -179.99), (902, -90.0, 0.0), (903, 35.0, -82.0), (904, 35.0, -82.0),
+             (905, -35.0, 98.0), (906, 35.02, -82.01), (907, None, 1.0)], "site long, site_lat double, site_lon double")).cache()
+    for k, miles in ((1, 13000.0), (7, 13000.0), (7, 400.0)):
+        got = radius_join(points, sites, miles, nearest=k, tie=["id"])
+        every = points.crossJoin(sites).withColumn("distance_mi", haversine_mi("site_lat", "site_lon", "lat", "lon")).filter(
+            F.col("distance_mi") <= miles)
+        want = top_rows(every, ["site"], k, F.round("distance_mi", 6), "id")
+        assert sorted((r["site"], r["id"]) for r in got.collect()) == sorted((r["site"], r["id"]) for r in want.collect())
+
+
+def test_far_sites_do_not_meet_every_point(spark):
+    from hydrospark.plans import spatial
+
+    points = spark.range(4000).select("id", (30 + F.rand(1) * 5).alias("lat"), (-90 + F.rand(2) * 5).alias("lon")).cache()
+    sites = spark.range(30).select(F.col("id").alias("site"), (70 + F.rand(3)).alias("site_lat"), (10 + F.rand(4)).alias("site_lon")).cache()
+    met, distance = spark.sparkContext.accumulator(0), spatial.haversine_mi
+
+    def counted(lat1, lon1, lat2, lon2):
+        if lat2 != "lat":
+            return distance(lat1, lon1, lat2, lon2)
+
+        def seen(x):
+            met.add(1)
+            return x
+        return distance(lat1, lon1, F.udf(seen, "double")(F.col(lat2)), lon2)
+
+    spatial.haversine_mi = counted
+    try:
+        assert spatial.nearest_of_sites(points, sites, ["site"], ["id"]).count() == 30
+    finally:
+        spatial.haversine_mi = distance
+    assert 0 < met.value < 30 * 4000 / 4
