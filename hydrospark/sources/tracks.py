@@ -158,22 +158,24 @@ def graphics(df: DataFrame, track_points: int = TRACK_POINTS, cone_points: int =
     """Point list per document: the longest line of a track, the longest polygon of a cone (or any
     coordinates where the polygon has no placemark)."""
     kml = F.coalesce("value", F.lit(""))
-    found = df.withColumns({
-        "_line": _longest(_placemarks(kml, "LineString")),
-        "_area": _longest(_placemarks(kml, "Polygon")), "_any": _longest(_coordinates(kml))})
-    cone = F.when(F.size("_area") > 0, F.col("_area")).otherwise(F.col("_any"))
-    picked = found.withColumn("_points", F.when(F.col("product") == "TRACK", F.col("_line"))
-                              .otherwise(cone)).drop("_line", "_area", "_any", "value")
-    limited = F.when(F.col("product") == "TRACK", thin(F.col("_points"), track_points)).otherwise(
+    track = F.col("product") == "TRACK"
+    found = df.withColumn("_shape", F.when(track, _longest(_placemarks(kml, "LineString")))
+                          .otherwise(_longest(_placemarks(kml, "Polygon"))))
+    picked = found.withColumn("_points", F.when(track | (F.size("_shape") > 0), F.col("_shape"))
+                              .otherwise(_longest(_coordinates(kml)))).drop("_shape", "value")
+    limited = F.when(track, thin(F.col("_points"), track_points)).otherwise(
         thin(F.col("_points"), cone_points))
     return picked.withColumn("points", limited).drop("_points")
 
 
 def attach_forecasts(storms: DataFrame, shapes: DataFrame, key: str = "id") -> DataFrame:
-    """Storms with their forecast track and cone; a missing product is an empty list."""
+    """Storms with their forecast track and cone; a missing product is an empty list.
+
+    The lists are far larger than the files they come from, by whose size Spark would broadcast them: a merge join.
+    """
     wide = shapes.groupBy(F.col("storm_id").alias("_storm")).agg(
         F.max_by("points", F.when(F.col("product") == "TRACK", F.size("points"))).alias("forecast_track"),
         F.max_by("points", F.when(F.col("product") == "CONE", F.size("points"))).alias("cone"))
     none = F.array().cast(POINTS)
-    return (storms.join(wide, F.upper(F.col(key)) == F.col("_storm"), "left").drop("_storm")
+    return (storms.join(wide.hint("merge"), F.upper(F.col(key)) == F.col("_storm"), "left").drop("_storm")
             .withColumns({c: F.coalesce(c, none) for c in ("forecast_track", "cone")}))

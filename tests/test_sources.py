@@ -234,3 +234,20 @@ def test_stage_history(spark):
     r = gauges.stage_history(rows, current, dims.thresholds(spark), "2024-09-27").first()
     assert (r["event_ft"], str(r["event_day"]), r["n_observations"]) == (18.47, "2024-09-27", n)
     assert r["daily_mean_series"] and r["axis_max"] >= 24.82 and 0 < r["percentile"] <= 100
+
+
+def test_forecast_shapes_are_not_broadcast(spark, tmp_path):
+    """Spark takes the size of a small file for that of the long lists parsed from it."""
+    kml = ("<kml><Placemark><LineString><coordinates>-80,30,0 -81,31,0</coordinates></LineString></Placemark>"
+           "<Placemark><Point><coordinates>-80,30,0</coordinates></Point></Placemark></kml>")
+    area = "<kml><Placemark><Point><coordinates>-70,20,0</coordinates></Point></Placemark></kml>"
+    rows = [("AL1", "TRACK", kml), ("AL1", "CONE", area), ("AL2", None, kml.replace("LineString", "Polygon")), ("AL3", "CONE", None)]
+    spark.createDataFrame(rows, "storm_id string, product string, value string").write.parquet(str(tmp_path / "docs"))
+    storms = spark.createDataFrame([("al1",), ("AL4",)], "id string")
+    shapes = tracks.graphics(spark.read.parquet(str(tmp_path / "docs")))
+    got = {(r["storm_id"], r["product"]): [tuple(p) for p in r["points"]] for r in shapes.collect()}
+    assert got == {("AL1", "TRACK"): [(30.0, -80.0), (31.0, -81.0)], ("AL1", "CONE"): [(20.0, -70.0)],
+                   ("AL2", None): [(30.0, -80.0), (31.0, -81.0)], ("AL3", "CONE"): []}
+    out = tracks.attach_forecasts(storms, shapes)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: (len(r["forecast_track"]), len(r["cone"])) for r in out.collect()} == {"al1": (2, 1), "AL4": (0, 0)}
