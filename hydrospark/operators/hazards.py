@@ -11,7 +11,7 @@ from hydrospark import dims
 from hydrospark.functions import hazard
 from hydrospark.functions.base import half_even, once, settle
 from hydrospark.plans.pick import top_rows
-from hydrospark.plans.spatial import nearest_of_sites, nearest_point, with_fixed_sites, within_sites
+from hydrospark.plans.spatial import nearest_of_sites, nearest_to_fixed_sites, within_sites
 
 FOREST_FIRE_MI, DISTRICT_FIRE_MI, SLIDE_MI = 50.0, 25.0, 25.0
 FIRES_SHOWN, SLIDES_SHOWN = 6, 25
@@ -67,7 +67,7 @@ def nearest_storm(storms: DataFrame, sites: Sequence[dict] | DataFrame | None =
     located = storms.dropna(subset=["lat", "lon"])
     if isinstance(sites, DataFrame):
         return nearest_of_sites(located, sites, AREA, list(carry))
-    return nearest_point(with_fixed_sites(located, area_sites() if sites is None else sites), AREA, list(carry))
+    return nearest_to_fixed_sites(located, area_sites() if sites is None else sites, AREA, list(carry))
 
 
 def alert_flags(alerts: DataFrame, keys: Sequence[str] = tuple(AREA)) -> DataFrame:

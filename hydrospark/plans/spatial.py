@@ -199,6 +199,27 @@ def with_fixed_sites(points: DataFrame, sites: Sequence[dict], *, point_lat: str
                       "distance_mi")
 
 
+def nearest_to_fixed_sites(points: DataFrame, sites: Sequence[dict], site_keys: Sequence[str],
+                           carry: Sequence[str]) -> DataFrame:
+    """The closest point of every site of a short fixed list; ties go to the smallest carried values.
+
+    One running minimum for each site, without groups: Spark sorts its input to group by key for minima of more than a
+    number, which would hold every point beside every site in a task's memory.
+    """
+    places: dict[tuple, list[Column]] = {}
+    for site in sites:
+        miles = haversine_mi(F.lit(site["site_lat"]), F.lit(site["site_lon"]), "lat", "lon")
+        places.setdefault(tuple(site[c] for c in site_keys), []).append(
+            F.struct(F.round(miles, 6).alias("distance_mi"), *[F.col(c) for c in carry]))
+    best = points.agg(*[F.min(F.least(*rows) if len(rows) > 1 else rows[0]).alias(f"_{i}")
+                        for i, rows in enumerate(places.values())])
+    rows = best.select(F.explode(F.array(*[
+        F.struct(*[F.lit(v).alias(c) for c, v in zip(site_keys, key)], F.col(f"_{i}").alias("_best"))
+        for i, key in enumerate(places)])).alias("_site")).select("_site.*").filter(F.col("_best").isNotNull())
+    return rows.select(*site_keys, *[F.col(f"_best.{c}").alias(c) for c in carry],
+                       F.col("_best.distance_mi").alias("distance_mi"))
+
+
 def within_sites(points: DataFrame, sites: Sequence[dict] | DataFrame,
                  radius_mi: float | None = None, **kw) -> DataFrame:
     """Pairs inside `radius_mi`, or inside each site's own `site_radius_mi`.

@@ -195,3 +195,16 @@ def test_far_sites_do_not_meet_every_point(spark):
     finally:
         spatial.haversine_mi = distance
     assert 0 < met.value < 30 * 4000 / 4
+
+
+def test_nearest_to_fixed_sites_sorts_nothing(spark):
+    from hydrospark.operators import hazards
+
+    storms = spark.createDataFrame([("b", 35.0, -82.0), ("a", 35.0, -82.0), ("c", 36.0, -80.0), ("d", None, 1.0)],
+                                   "name string, lat double, lon double")
+    sites = [{"area_type": "x", "area_id": i, "site_lat": lat, "site_lon": -82.0} for i, lat in (("1", 35.1), ("2", 36.0), ("1", 35.0))]
+    found = hazards.nearest_storm(storms, sites)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [" not in plan and "hashpartitioning" not in plan
+    assert {(r["area_id"], r["name"], r["distance_mi"]) for r in found.collect()} == {("1", "a", 0.0), ("2", "a", 69.093359)}
+    assert hazards.nearest_storm(storms.limit(0), sites).count() == 0
