@@ -6,12 +6,16 @@ from pyspark.sql import functions as F
 
 from hydrospark.operators import gauges
 from hydrospark.registry import query
-from hydrospark.registry.tables import half_even_sql as he, miles_sql, plain_times, rounded, table
+from hydrospark.registry.tables import half_even_sql as he, miles_sql, plain_times, rounded, spread, table
 from hydrospark.sources import tracks, water, weather
 
 
 def events(spark, sf_dir):
-    return table(spark, sf_dir, "events")
+    return spread(table(spark, sf_dir, "events"), "event_id", "ts", "user_id")
+
+
+def parts(spark, sf_dir):
+    return spread(table(spark, sf_dir, "part"), "p_partkey", "p_size", "p_retailprice")
 
 
 def text(c):
@@ -207,7 +211,7 @@ def threshold_parse(spark, sf_dir):
     level = F.struct(
         F.when(F.col("p_size") > 5, F.col("p_size").cast("double")).otherwise(-9999.0).alias("action"),
         F.lit(20.0).alias("minor"), F.col("p_retailprice").alias("record"), F.col("p_name").alias("lid"))
-    docs = table(spark, sf_dir, "part").select(
+    docs = parts(spark, sf_dir).select(
         doc(F.create_map(text("p_partkey"), level).alias("sites")).alias("value"))
     return water.threshold_table(docs).select("site_id", "action", "minor", "record", "lid")
 
@@ -220,7 +224,7 @@ def threshold_defaults(spark, sf_dir):
     level = F.struct(
         F.when(F.col("p_size") > 5, F.col("p_size").cast("double")).otherwise(-9999.0).alias("action"),
         F.lit(20.0).alias("minor"), F.col("p_retailprice").alias("record"))
-    docs = table(spark, sf_dir, "part").select(
+    docs = parts(spark, sf_dir).select(
         doc(F.create_map(text("p_partkey"), level).alias("sites")).alias("value"))
     defaults = {"action": 6.5, "minor": 9.5, "moderate": 13.0, "major": 18.0, "record": 25.0}
     return gauges.with_defaults(water.threshold_table(docs), defaults).select("site_id", *defaults)
@@ -248,7 +252,7 @@ def _published(spark, sf_dir):
         F.struct(F.lit(25.0).alias("stage")).alias("moderate"))
     crests = F.struct(F.array(F.struct(F.lit(-9999.0).alias("stage")),
                               F.struct(F.col("p_retailprice").alias("stage"))).alias("historic"))
-    return table(spark, sf_dir, "part").select(
+    return parts(spark, sf_dir).select(
         text("p_partkey").alias("site_id"),
         doc(F.when(key % 9 == 0, "other").otherwise(text(key)).alias("usgsId"),
             F.struct(levels.alias("categories"), crests.alias("crests")).alias("flood")).alias("value"))

@@ -18,6 +18,17 @@ def _cast_times(df: DataFrame, old: str, new: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast(new) for c in found}) if found else df
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt over all tasks by a hash of narrow columns. A table of one small file is otherwise read by one or two
+    tasks, which then do all the costly work on its rows.
+
+    The rows pass a generator, since Spark moves filters, and all the parsing that they need, ahead of the exchange, but
+    not ahead of what makes their columns.
+    """
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+    return dealt.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def plain_times(df: DataFrame) -> DataFrame:
     """Time stamps without a zone, as the parquet tables hold them."""
     return _cast_times(df, "timestamp", "timestamp_ntz")

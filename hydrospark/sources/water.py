@@ -151,10 +151,10 @@ def buoys(df: DataFrame) -> DataFrame:
     counts if wave height, wind speed or pressure is known.
     """
     lines = F.filter(F.split("value", r"\r?\n"), lambda s: F.length(F.trim(s)) > 0)
-    d = df.withColumn("_lines", lines).filter(F.size("_lines") >= 3)
+    d = df.withColumn("_lines", lines)
     d = d.withColumn("_head", F.split(F.trim(F.regexp_replace(F.get("_lines", F.lit(0)), "^#+", "")),
                                       r"\s+"))
-    rows = F.transform(F.slice("_lines", 3, F.size("_lines") - 2),
+    rows = F.transform(F.slice("_lines", 3, F.greatest(F.size("_lines") - 2, F.lit(0))),
                        lambda s: F.split(F.trim(s), r"\s+"))
 
     def at(parts: Column, name: str) -> Column:
@@ -163,8 +163,9 @@ def buoys(df: DataFrame) -> DataFrame:
     usable = F.filter("_rows", lambda p: (F.size(p) >= F.size("_head")) & F.coalesce(
         at(p, "WVHT"), at(p, "WSPD"), at(p, "PRES")).isNotNull())
     keys = [c for c in df.columns if c != "value"]
-    first = (d.withColumn("_rows", rows).withColumn("_p", F.get(usable, F.lit(0)))
-             .filter(F.col("_p").isNotNull()))
+    # A filter on `_p` itself would be moved ahead of the columns it needs, and parse them anew for each of its uses.
+    first = (d.withColumn("_rows", rows).withColumn("_usable", F.slice(usable, 1, 1))
+             .withColumn("_p", F.explode_outer("_usable")).filter(F.col("_p").isNotNull()))
     raw = first.select(
         *keys, F.array_join(F.slice("_p", 1, 5), " ").alias("obs_time"),
         *[at(F.col("_p"), name).alias(column) for name, column in (

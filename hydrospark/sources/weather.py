@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrospark.functions import hazard
-from hydrospark.functions.base import half_even, number, once, settle
+from hydrospark.functions.base import half_even, number, settle
 from hydrospark.operators.hazards import first_sum, hourly_slices
 from hydrospark.schema import HISTORY_COLS
 from hydrospark.sources.documents import parsed
@@ -67,14 +71,25 @@ CURRENT = ["temperature_2m", "relative_humidity_2m", "precipitation", "wind_spee
 HOURLY = ["precipitation", "temperature_2m", "apparent_temperature", "relative_humidity_2m"]
 
 
-def _largest_total(values: Column, width: int) -> Column:
-    """Largest sum of `width` neighbouring elements, or the sum of a shorter list."""
-    def total(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0.0), lambda a, v: a + v)
+def _largest_totals(values: Column, widths: Sequence[int]) -> Column:
+    """For each width the largest sum of so many neighbouring elements, or the sum of a shorter list; lists of one
+    length are added up together, each sum from its first element on."""
+    @F.pandas_udf("array<double>")
+    def totals(lists: pd.Series) -> pd.Series:
+        sizes = lists.map(len).to_numpy()
+        out = np.empty((len(lists), len(widths)))
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            table = np.array([lists.iloc[i] for i in rows], dtype=float).reshape(len(rows), size)
+            for at, width in enumerate(widths):
+                wide = min(width, int(size))
+                sums = np.zeros((len(rows), int(size) - wide + 1))
+                for i in range(wide):
+                    sums = sums + table[:, i:i + sums.shape[1]]
+                out[rows, at] = sums.max(axis=1)
+        return pd.Series(list(out), dtype=object)
 
-    starts = F.sequence(F.lit(1), F.size(values) - width + 1)
-    moving = F.array_max(F.transform(starts, lambda i: total(F.slice(values, i, width))))
-    return F.when(F.size(values) <= width, total(values)).otherwise(moving)
+    return totals(values)
 
 
 def current_weather(df: DataFrame) -> DataFrame:
@@ -84,7 +99,9 @@ def current_weather(df: DataFrame) -> DataFrame:
     keys = [c for c in df.columns if c != "value"]
 
     def numbers(name: str) -> Column:
-        return F.coalesce(F.transform(F.col(f"doc.hourly.{name}"), number),
+        # Texts become numbers once each, since `number` names its value several times.
+        read = F.transform(F.col(f"doc.hourly.{name}"), lambda v: v.try_cast("double"))
+        return F.coalesce(F.transform(read, number),
                           F.array().cast("array<double>"))
 
     rain = F.transform(F.slice(numbers("precipitation"), 1, 72), lambda v: F.coalesce(v, F.lit(0.0)))
@@ -98,14 +115,14 @@ def current_weather(df: DataFrame) -> DataFrame:
         rain.alias("hourly_precip_in"))
     rain = F.col("hourly_precip_in")
     peak = F.array_max(rain)
-    out = out.withColumns({
+    out = out.withColumn("_totals", _largest_totals(rain, (6, 24))).withColumns({
         "next_72h_precip_in": first_sum(rain, 72),
         **{f"max_{h}h_precip_in": F.coalesce(
-            once(_largest_total(rain, h), lambda v: half_even(v, 2)), F.lit(0.0)) for h in (6, 24)},
+            half_even(F.get("_totals", F.lit(i)), 2), F.lit(0.0)) for i, h in enumerate((6, 24))},
         "peak_hour_precip_in": F.coalesce(half_even(peak, 2), F.lit(0.0)),
         "peak_hour_index": F.when(peak > 0, F.array_position(rain, peak).cast("int") - 1),
         **hourly_slices(F.col("_times"), F.col("_temp"), F.col("_rh")),
-    }).drop("_times", "_temp", "_rh")
+    }).drop("_times", "_temp", "_rh", "_totals")
     out = settle(out, 1, {"heat_index_f": hazard.heat_index_f("temp_f", "humidity_pct"),
                           "wet_bulb_f": hazard.wet_bulb_f("temp_f", "humidity_pct")})
     return out.withColumn("heat_category", hazard.heat_category("heat_index_f"))

@@ -251,3 +251,22 @@ def test_forecast_shapes_are_not_broadcast(spark, tmp_path):
     out = tracks.attach_forecasts(storms, shapes)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r["id"]: (len(r["forecast_track"]), len(r["cone"])) for r in out.collect()} == {"al1": (2, 1), "AL4": (0, 0)}
+
+
+def test_rows_of_one_small_file_are_rendered_and_parsed_by_all_tasks(spark, tmp_path):
+    from pyspark.sql.functions import spark_partition_id
+
+    from hydrospark.registry import load_all
+
+    events = [(i, dt.datetime(2024, 1, 1), i % 7, "view", 1.0, "{}") for i in range(400)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string") \
+        .coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    parts = [(i, "n", 10, 1.0) for i in range(1, 401)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int, p_retailprice double") \
+        .coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("weather_parse", "buoy_parse", "forecast_trace_parse", "published_levels_parse"):
+        out = load_all()[name].run(spark, str(tmp_path))
+        before = out._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")[-1]
+        assert not [x for x in ("json", "split", "lambda") if x in before], name
+        tasks = out.select(spark_partition_id().alias("p")).groupBy("p").count().collect()
+        assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1, name
