@@ -156,8 +156,13 @@ def _commit(df: DataFrame, path: str, whole: bool = False) -> list[str]:
 
 def _batch(df: DataFrame, seq: str | None) -> DataFrame:
     """Usable rows of a batch, one for each key: the last by `seq`."""
-    order = F.col(seq).cast("bigint") if seq else F.lit(0).cast("bigint")
-    return keep_last(normalise(df.withColumn(SEQ, order))).withColumn(MONTH, month_of())
+    rows = normalise(df)
+    if not seq:
+        # The largest value of a key. A maximum of numbers is hashed, where one of whole rows would sort them all.
+        last = rows.groupBy(*HISTORY_KEY).agg(F.max("value").alias("value")).select(*HISTORY_COLS)
+    else:
+        last = keep_last(rows.withColumn(SEQ, F.col(seq).cast("bigint")))
+    return last.withColumn(MONTH, month_of())
 
 
 def _write(df: DataFrame, path: str, whole: bool) -> list[str]:

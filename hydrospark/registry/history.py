@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hydrospark.operators import store, timeseries
 from hydrospark.registry import query
-from hydrospark.registry.tables import H_SQL, history, plain_times, rounded, table
+from hydrospark.registry.tables import H_SQL, history, plain_times, rounded, spread, table
 from hydrospark.schema import HISTORY_COLS
 from hydrospark.session import run_dir
 from hydrospark.sources import snapshots
@@ -183,7 +183,7 @@ def documents_of(li):
 SELECT make_timestamp(sec * 1000000) AS ts, 'snapshot' AS source, entity_type, entity_id, metric, round(value, 6) AS value
 FROM cells""")
 def snapshot_flatten(spark, sf_dir):
-    return rounded(snapshots.flatten(snapshots.parse(documents_of(table(spark, sf_dir, "lineitem")))))
+    return rounded(snapshots.flatten(snapshots.parse(documents_of(spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")))))
 
 
 @query("json_props", """

@@ -13,7 +13,7 @@ from hydrospark.registry.history import SNAP_SQL, documents_of
 from hydrospark.registry.index import (
     LABEL, PARTS, TOTAL, parts_sql,
 )
-from hydrospark.registry.tables import H_SQL, plain_times, rounded, table
+from hydrospark.registry.tables import H_SQL, plain_times, rounded, spread, table
 from hydrospark.schema import HISTORY_COLS
 from hydrospark.session import configure, run_dir
 from hydrospark.sources import snapshots
@@ -74,7 +74,7 @@ def stream_snapshots(spark, sf_dir):
     """Snapshot documents flattened into the store as they arrive; of documents with the same time
     and key the store keeps the largest value, the last by its tie rule."""
     path = run_dir(spark, "stream")
-    docs = snapshots.parse(documents_of(stream(spark, sf_dir, "lineitem")))
+    docs = snapshots.parse(documents_of(spread(stream(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")))
     live.ingest_snapshots(docs, f"{path}/store", f"{path}/checkpoint").awaitTermination()
     return rounded(store.load(spark, f"{path}/store"))
 

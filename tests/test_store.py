@@ -138,3 +138,12 @@ def test_flatten_snapshot(docs):
         ("district", "Pisgah/Grandfather", "soil_soil_moisture_top"): 0.3}
     assert {str(r["ts"]) for r in out.select(F.col("ts").cast("string").alias("ts")).collect()} == {
         "2024-09-27 00:00:00"}
+
+
+def test_a_batch_without_an_order_is_hashed_and_not_sorted(spark, rows, tmp_path):
+    batch = rows(("2024-09-27T00:00:00", "snapshot", "a", 1.0), ("2024-09-27T00:00:00", "snapshot", "a", 7.0),
+                 ("2024-09-27T00:00:00", "snapshot", "a", float("nan")), ("2024-09-27T00:00:00", "snapshot", "b", -3.0))
+    plan = store._batch(batch, None)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    store.append(batch, str(tmp_path / "s"))
+    assert {(r["entity_id"], r["value"]) for r in store.load(spark, str(tmp_path / "s")).collect()} == {("a", 7.0), ("b", -3.0)}
