@@ -82,8 +82,11 @@ def radius_join(points: DataFrame, sites: DataFrame, radius_mi: float, *, site_p
         .drop("_salts")
     )
     distance = haversine_mi(lat, lon, F.col(point_lat), F.col(point_lon))
-    # Spark takes the size of the files behind `around` for its own and would broadcast the copies.
-    return (salted.join(around.hint("merge"), [*cell, "_salt"])
+    # Spark takes the size of the files behind `around` for its own and would broadcast the copies; and it would merge
+    # partitions of few bytes, of which many pairs come. A count stated keeps them apart.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (salted.repartition(tasks, *cell, "_salt").join(
+                around.repartition(tasks, *cell, "_salt").hint("merge"), [*cell, "_salt"])
             .withColumn("distance_mi", distance)
             .filter(F.col("distance_mi") <= radius_mi)
             .drop(*cell, "_salt"))

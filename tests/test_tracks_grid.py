@@ -208,3 +208,13 @@ def test_nearest_to_fixed_sites_sorts_nothing(spark):
     assert "Sort [" not in plan and "hashpartitioning" not in plan
     assert {(r["area_id"], r["name"], r["distance_mi"]) for r in found.collect()} == {("1", "a", 0.0), ("2", "a", 69.093359)}
     assert hazards.nearest_storm(storms.limit(0), sites).count() == 0
+
+
+def test_radius_join_neither_broadcasts_copies_nor_merges_its_tasks(spark, tmp_path):
+    spark.range(2000).select("id", (F.rand(1) * 5 + 30).alias("lat"), (F.rand(2) * 5 - 90).alias("lon")).write.parquet(str(tmp_path / "p"))
+    spark.range(50).select(F.col("id").alias("site"), (F.rand(3) * 5 + 30).alias("site_lat"), (F.rand(4) * 5 - 90).alias("site_lon")) \
+        .write.parquet(str(tmp_path / "s"))
+    pairs = radius_join(spark.read.parquet(str(tmp_path / "p")), spark.read.parquet(str(tmp_path / "s")), 60.0, hot_cell_rows=20)
+    assert "SortMergeJoin [_cy" in pairs._jdf.queryExecution().executedPlan().toString()
+    tasks = pairs.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
