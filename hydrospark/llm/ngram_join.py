@@ -37,6 +37,11 @@ SKETCH_BITS = 1024
 COMMON_BITS, SIZE_BITS = 10, 9
 #: Ratio of the sizes that one size class spans.
 SIZE_STEP = 1.05
+#: Sets of a bucket that are joined row by row; larger buckets are compared block against block. Sets of a block, at
+#: least and at most, and blocks of a bucket in between.
+FEW, BLOCK_LEAST, BLOCK_MOST, BLOCKS = 32, 128, 4096, 16
+#: Pairs of sets that are compared at once.
+AT_ONCE = 1 << 16
 
 
 def token_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -158,12 +163,9 @@ def _levels(counts: np.ndarray) -> np.ndarray:
 
 
 def _index(n: int, levels, shared, frequent: int, t: tuple[int, int]):
-    """Per distinct set of a task: a class row (key, slack, sketch) and its signature rows.
+    """Per distinct set of a task: a class row (key, size, common, sketch) and its signature rows.
 
-    Tokens that no other document holds count in full to the difference of a set to any other, and
-    at similarity t two sets differ in at most (1 - t) / (1 + t) of their summed sizes. Slack is what
-    is left of a set's share of that, negated and in whole numbers: two slacks above zero in sum
-    exclude a link.
+    Common is the number of tokens that another document may hold: no intersection is larger.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen, shift = levels.value, set(), np.uint64(64 - COUNTERS_LOG2)
@@ -179,9 +181,8 @@ def _index(n: int, levels, shared, frequent: int, t: tuple[int, int]):
                 seen.clear()
             seen.add(whole)
             held = in_bitmap(shared.value, tokens)
-            slack = (len(tokens) - int(held.sum())) * (t[1] + t[0]) - len(tokens) * (t[1] - t[0])
             own = signatures(tokens, np.where(held, level + np.uint8(1), np.uint8(0)), frequent + 1, t)
-            rows.append((key, len(tokens), slack, _long(whole >> 64), _long(whole & (2**64 - 1)), _parity(tokens)))
+            rows.append((key, len(tokens), int(held.sum()), _long(whole >> 64), _long(whole & (2**64 - 1)), _parity(tokens)))
             sigs.append(own)
             keys.append(np.full(len(own), key, dtype=np.int64))
             if len(rows) >= 1024:
@@ -191,7 +192,7 @@ def _index(n: int, levels, shared, frequent: int, t: tuple[int, int]):
             yield from _out(sigs, keys, rows)
 
     def _out(sigs, keys, rows) -> Iterator[pa.RecordBatch]:
-        names = ["sig", "key", "n", "slack", "k1", "k2", "sketch"]
+        names = ["sig", "key", "n", "common", "k1", "k2", "sketch"]
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(len(rows), pa.int64()), *(pa.array(c, t_) for c, t_ in zip(
                 zip(*rows), (pa.int64(),) * 5 + (pa.binary(),), strict=True))], names=names)
@@ -205,25 +206,75 @@ def _index(n: int, levels, shared, frequent: int, t: tuple[int, int]):
     return run
 
 
-def _near(t: tuple[int, int]):
-    """Pairs of sets whose sizes and parity sketches allow a link; never drops a link.
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SKETCH_BITS // 64)
+
+
+def _allowed(na, nb, sa, sb, t: tuple[int, int]) -> np.ndarray:
+    """Whether sizes and parity sketches allow a link; never denies one.
 
     Places that differ between two sketches number at most the tokens in one set only.
     """
+    apart = np.bitwise_count(sa ^ sb).sum(axis=1).astype(np.int64)
+    both = (na + nb - apart) // 2
+    return (t[1] * both >= t[0] * (na + nb - both)) & (t[1] * np.minimum(na, nb) >= t[0] * np.maximum(na, nb))
+
+
+def _near(t: tuple[int, int]):
+    """Pairs of sets whose sizes and parity sketches allow a link; never drops a link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), SKETCH_BITS // 64)
-                    for c in ("sa", "sb"))
-            apart = np.bitwise_count(a ^ b).sum(axis=1).astype(np.int64)
-            both = (na + nb - apart) // 2
-            keep = (t[1] * both >= t[0] * (na + nb - both)) & (t[1] * np.minimum(na, nb) >= t[0] * np.maximum(na, nb))
+            keep = _allowed(batch.column("na").to_numpy(), batch.column("nb").to_numpy(),
+                            _sketches(batch.column("sa")), _sketches(batch.column("sb")), t)
             yield pa.RecordBatch.from_arrays(
                 [c.filter(pa.array(keep)) for c in (batch.column("a"), batch.column("b"))], names=["a", "b"])
 
     return run
 
 
+def _may_link(common_a, common_b, n_a, n_b, t: tuple[int, int]):
+    """Whether an intersection of all tokens that both may share would be enough."""
+    return (t[0] + t[1]) * F.least(common_a, common_b) >= t[0] * (n_a + n_b)
+
+
+def _near_in_blocks(t: tuple[int, int]):
+    """Pairs between two blocks of one bucket (or within one) that the bounds allow to link; never drops a link."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rep, of, n, common, block = (table.column(c).to_numpy() for c in ("rep", "of", "n", "common", "block"))
+        sketch = _sketches(table.column("sketch"))
+        first, last = table.column("first")[0].as_py(), table.column("last")[0].as_py()
+        left, right = np.flatnonzero(block == first), np.flatnonzero(block == last)
+        found, step = [], max(1, AT_ONCE // max(1, len(right)))
+        for at in range(0, len(left), step):
+            i, j = (x.ravel() for x in np.meshgrid(left[at:at + step], right, indexing="ij"))
+            may = (of[i] != of[j]) & ((t[0] + t[1]) * np.minimum(common[i], common[j]) >= t[0] * (n[i] + n[j]))
+            if first == last:
+                may &= rep[i] < rep[j]
+            i, j = i[may], j[may]
+            keep = _allowed(n[i], n[j], sketch[i], sketch[j], t)
+            found.append((np.minimum(rep[i[keep]], rep[j[keep]]), np.maximum(rep[i[keep]], rep[j[keep]])))
+        a, b = (np.concatenate([f[k] for f in found] or [rep[:0]]) for k in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _crowded_pairs(crowd: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of different components that may link, from rows (bucket, rep, of, n, common, sketch, members).
+
+    A bucket's sets are dealt over blocks by their hashes, and every block meets every other one and
+    itself in a group of its own: memory is bounded by two blocks, and the tasks share one bucket.
+    """
+    blocks = F.ceil(F.col("members") / F.least(F.lit(BLOCK_MOST), F.greatest(F.lit(BLOCK_LEAST), F.col("members") / BLOCKS)))
+    own = F.pmod(F.xxhash64("rep", "bucket"), blocks).cast("int")
+    dealt = (crowd.withColumn("block", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+             .withColumn("first", F.least("block", "other")).withColumn("last", F.greatest("block", "other")))
+    return (dealt.select("bucket", "first", "last", "block", "rep", "of", "n", "common", "sketch")
+            .groupBy("bucket", "first", "last").applyInArrow(_near_in_blocks(t), "a long, b long").distinct())
+
+
 def _wanted(n: int, levels, bitmap):
     """The sets whose class key may be wanted, one for each task and key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,9 +354,9 @@ def groups(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), i
     shared = spark.sparkContext.broadcast(shared_points(
         sized.where("name >= 0").select("name", "counts", "several"), ranges_log2, bits_log2))
     indexed = staged(read.mapInArrow(_index(n, levels, shared, frequent, t),
-                                     "sig long, key long, n long, slack long, k1 long, k2 long, sketch binary"), "signatures")
+                                     "sig long, key long, n long, common long, k1 long, k2 long, sketch binary"), "signatures")
     least = members.where("id is not null and k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    classes = staged(indexed.where("sig is null").select("key", "n", "slack", "k1", "k2", "sketch")
+    classes = staged(indexed.where("sig is null").select("key", "n", "common", "k1", "k2", "sketch")
                      .dropDuplicates(["key", "k1", "k2"]).join(least, ["k1", "k2"]), "classes")
     rows = indexed.where("sig is not null").select("sig", "key")
     # near copies share most of their signatures, whose buckets hold about the same sets: those that agree in
@@ -314,10 +365,8 @@ def groups(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), i
                                        *(F.min(F.xxhash64("key", F.lit(i))).alias(f"least_{i}") for i in range(2)))
                .where("lo <> hi").select("sig", F.xxhash64("least_0", "least_1").alias("bucket")))
     buckets = staged(rows.join(several, "sig").select("bucket", "key").distinct().withColumn("size", _size_class("key"))
-                     .join(classes.select("key", "rep", "slack"), "key"), "buckets")
+                     .join(classes.select("key", "rep", "n", "common"), "key"), "buckets")
     heads = buckets.groupBy("bucket", "size").agg(F.max("key").alias("head"))
-    # sets whose size classes are further apart cannot link
-    apart = math.floor(math.log(t[1] / t[0]) / math.log(SIZE_STEP)) + 1
 
     def near(pairs: DataFrame) -> DataFrame:
         a, b = (classes.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
@@ -329,27 +378,32 @@ def groups(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10), i
             return pairs
         reps = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         wanted = staged(classes.join(reps, "rep", "left_semi").select("key", "k1", "k2", "rep"), "asked")
-        size = power_above(16 * wanted.count(), 12, 27)
+        size = power_above(256 * wanted.count(), 16, 27)  # a set that is not wanted is seldom shuffled
         asked = spark.sparkContext.broadcast(bitmap_of(wanted.select("key").mapInArrow(_mixed_keys, "key long"), size))
         sets = staged(read.mapInArrow(_wanted(n, levels, asked), "key long, k1 long, k2 long, tokens binary")
-                      .join(wanted.drop("key"), ["k1", "k2"]).select("rep", "tokens").dropDuplicates(["rep"]), "wanted")
+                      .dropDuplicates(["k1", "k2"]).join(wanted.drop("key"), ["k1", "k2"]).select("rep", "tokens"), "wanted")
         a, b = (sets.withColumnsRenamed({"rep": k, "tokens": f"t{k}"}) for k in "ab")
         return staged(pairs.join(a, "a").join(b, "b").mapInArrow(_verify(t), "a long, b long"), "verified")
 
-    stars = (buckets.join(heads, ["bucket", "size"]).where("key <> head").select(F.col("rep").alias("a"), "head", "slack").distinct()
-             .join(classes.select(F.col("key").alias("head"), F.col("rep").alias("b"), F.col("slack").alias("slack_b")), "head")
-             .where("slack + slack_b <= 0").select("a", "b"))
+    stars = (buckets.join(heads, ["bucket", "size"]).where("key <> head")
+             .select(F.col("rep").alias("a"), "head", "n", "common").distinct()
+             .join(classes.select(F.col("key").alias("head"), F.col("rep").alias("b"), F.col("n").alias("n_b"),
+                                  F.col("common").alias("common_b")), "head")
+             .where(_may_link(F.col("common"), F.col("common_b"), F.col("n"), F.col("n_b"), t)).select("a", "b"))
     links = verified(staged(near(stars), "stars"))
     named = components(links)
     at = (buckets.join(named, buckets["rep"] == named["node"], "left")
-          .select("bucket", "rep", "size", "slack", F.coalesce("component", "rep").alias("of")))
-    split = at.groupBy("bucket").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("bucket")
+          .select("bucket", "rep", "n", "common", F.coalesce("component", "rep").alias("of")))
+    split = (at.groupBy("bucket").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.count("*").alias("members"))
+             .where("lo <> hi").select("bucket", "members"))
     open_ = staged(at.join(split, "bucket"), "open")
-    x, y = (open_.select("bucket", F.col("rep").alias(k), F.col("of").alias(f"of_{k}"), F.col("size").alias(f"size_{k}"),
-                        F.col("slack").alias(f"slack_{k}")) for k in "ab")
-    pairs = (x.join(y, "bucket").where("a < b and of_a <> of_b and slack_a + slack_b <= 0")
-             .where(F.abs(F.col("size_a") - F.col("size_b")) <= apart).select("a", "b"))
-    more = verified(staged(near(pairs), "pairs"))
+    few = open_.where(F.col("members") <= FEW)
+    x, y = (few.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "of", "n", "common"))) for k in "ab")
+    met = (x.join(y, "bucket").where("rep_a < rep_b and of_a <> of_b")
+           .where(_may_link(F.col("common_a"), F.col("common_b"), F.col("n_a"), F.col("n_b"), t))
+           .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+    crowd = open_.where(F.col("members") > FEW).join(classes.select("rep", "sketch"), "rep")
+    more = verified(staged(near(met).unionByName(_crowded_pairs(crowd, t)).distinct(), "pairs"))
     of = components(links.unionByName(more))
     known = classes.join(of, classes["rep"] == of["node"], "left")
     sets = known.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"),

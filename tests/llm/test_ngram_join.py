@@ -59,6 +59,37 @@ def test_families_of_copies_around_the_threshold(table, t):
     assert got(ngram_join.groups(table(*docs), 3, t)) == want
 
 
+@pytest.mark.parametrize("t", [(8, 10), (9, 10)])
+def test_crowded_buckets_in_blocks(table, monkeypatch, t):
+    monkeypatch.setattr(ngram_join, "FEW", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK_LEAST", 7)
+    pick, base, docs = np.random.default_rng(9), [f"b{i}" for i in range(100)], []
+    for k in range(90):  # one family: some words changed to own ones or to ones of a few others
+        text = list(base)
+        for at in pick.choice(100, int(pick.integers(1, 7)), replace=False):
+            text[at] = f"own{k}-{at}" if pick.random() < 0.6 else f"c{pick.integers(0, 2)}"
+        docs.append((k, " ".join(text)))
+    want = brute(docs, 3, t)
+    assert 1 < len({c for _, c in want.values()}) < 90
+    assert got(ngram_join.groups(table(*docs), 3, t)) == want
+
+
+def test_pairs_of_a_crowded_bucket_are_those_the_bounds_allow(spark):
+    pick, sets = np.random.default_rng(10), {}
+    for k in range(300):
+        own = pick.integers(2**20, 2**62, int(pick.integers(0, 12)))
+        sets[k] = np.unique(np.concatenate([np.arange(100 - len(own)), own]).astype(np.uint64))
+    few = {k: int((s < 2**20).sum()) for k, s in sets.items()}
+    rows = [(7, k, k // 2, len(s), few[k], ngram_join._parity(s), 300) for k, s in sets.items()]
+    crowd = spark.createDataFrame(rows, "bucket long, rep long, of long, n long, common long, sketch binary, members long")
+    made = ngram_join._crowded_pairs(crowd, (90, 100))
+    found = [(r.a, r.b) for r in made.collect()]
+    linked = {(a, b) for a in sets for b in range(a + 1, 300) if a // 2 != b // 2
+              and 19 * len(np.intersect1d(sets[a], sets[b])) >= 9 * (len(sets[a]) + len(sets[b]))}
+    assert len(found) == len(set(found)) and linked <= set(found) and len(linked) > 100
+    assert all(a < b and a // 2 != b // 2 and 19 * min(few[a], few[b]) >= 9 * (len(sets[a]) + len(sets[b])) for a, b in found)
+
+
 def test_odd_rows(table, words):
     docs = table((None, words(0, 30)), (3, words(0, 30)), (3, words(0, 30)), (1, words(0, 30)), (None, None))
     rows = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.groups(docs, 5).collect())
