@@ -30,10 +30,10 @@ def unpacked(blob: bytes, dtype) -> np.ndarray:
 def summed(parts: DataFrame, label: str, dtype=np.int64) -> dict[int, np.ndarray]:
     """Sums of equally long arrays by `name` from rows (name int, part int, counts binary).
 
-    Arrays are added FAN_IN at a time in tasks until at most FAN_IN are left for each name; only
-    those, of a size fixed by the operator, reach the driver.
+    Arrays are added FAN_IN at a time in tasks until one is left for each name, or at most FAN_IN where
+    they are not of whole numbers; only those, of a size fixed by the operator, reach the driver.
     """
-    rows = staged(parts, label)
+    rows, left = staged(parts, label), 1 if np.issubdtype(dtype, np.integer) else FAN_IN
     schema = "name int, part int, counts binary"
 
     def add(table: pa.Table) -> pa.Table:
@@ -41,7 +41,7 @@ def summed(parts: DataFrame, label: str, dtype=np.int64) -> dict[int, np.ndarray
         return pa.table({"name": table.column("name").slice(0, 1), "part": table.column("part").slice(0, 1),
                          "counts": pa.array([packed(total)], pa.binary())})
 
-    while (most := rows.groupBy("name").count().agg(F.max("count")).first()[0] or 0) > FAN_IN:
+    while (most := rows.groupBy("name").count().agg(F.max("count")).first()[0] or 0) > left:
         groups = -(-most // FAN_IN)
         rows = staged(rows.withColumn("part", F.pmod("part", F.lit(groups)).cast("int"))
                       .groupBy("name", "part").applyInArrow(add, schema), label)

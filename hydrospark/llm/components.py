@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from hydrospark.llm.shared import staged
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether distinct edges (u, v), v smaller, are stars: every u has one v, and no v is a u.
+
+    A round moves the edges of all other graphs to smaller nodes, and none of stars.
+    """
+    ends = (edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+            .unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    return not (ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+                .where("up > 1 or up = 1 and down = 1").limit(1).count())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b); component is the smallest reachable node.
 
@@ -20,20 +31,15 @@ def components(links: DataFrame) -> DataFrame:
     edges = staged(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         "links")
-    while not edges.isEmpty():
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (both.where("v > u").join(least, "u").where("v <> m")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        after = staged(
+        edges = staged(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
-        moved = (edges.join(after, ["u", "v"], "left_anti").limit(1).count()
-                 or after.join(edges, ["u", "v"], "left_anti").limit(1).count())
-        edges = after
-        if not moved:
-            break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

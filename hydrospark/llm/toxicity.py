@@ -61,9 +61,10 @@ def _chosen(z, n, at, spec: Spec) -> np.ndarray:
     return weights(z[at], n[at], spec)
 
 
-def _train(state, spec: Spec):
-    def run(table: pa.Table) -> pa.Table:
-        z, n = (unpacked(b, np.float64) for b in state.value) if state.value else (
+def _train(spec: Spec, started: bool):
+    """A shard's state (shard, z, n) after a round, from its rows and the state that it starts from, zero if none."""
+    def run(table: pa.Table, start: pa.Table | None = None) -> pa.Table:
+        z, n = (unpacked(start.column(c)[0].as_py(), np.float64) for c in "zn") if start else (
             np.zeros((1 << WEIGHTS_LOG2) + 1), np.zeros((1 << WEIGHTS_LOG2) + 1))
         known, rows = Words(LETTERS), []
         for text, label in zip(as_bytes(table.column("text").combine_chunks()), table.column("label").to_pylist(),
@@ -79,7 +80,26 @@ def _train(state, spec: Spec):
                 root = np.sqrt(n[at])
                 n[at] += g * g
                 z[at] += g - (np.sqrt(n[at]) - root) / spec.alpha * w
-        return pa.table({"z": pa.array([packed(z)], pa.binary()), "n": pa.array([packed(n)], pa.binary())})
+        return pa.table({"shard": table.column("shard").slice(0, 1), "z": pa.array([packed(z)], pa.binary()),
+                         "n": pa.array([packed(n)], pa.binary())})
+
+    return run if started else lambda table: run(table)
+
+
+def _mean(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    table = table.sort_by("shard")
+    return tuple(np.mean([unpacked(b, np.float64) for b in table.column(c).to_pylist()], axis=0) for c in "zn")
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """The mean state, for every shard that has one."""
+    z, n = (pa.array([packed(x)] * len(table), pa.binary()) for x in _mean(table))
+    return pa.table({"shard": table.column("shard"), "z": z, "n": n})
+
+
+def _fitted(spec: Spec):
+    def run(table: pa.Table) -> pa.Table:
+        return pa.table({"weights": pa.array([packed(weights(*_mean(table), spec))], pa.binary())})
 
     return run
 
@@ -89,9 +109,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     """Weights, the bias last. `learn` says on an id which labelled rows may be learnt from.
 
     At most spec.sample labelled ids are used, those with the smallest hash of the id; their texts
-    are whole. Null labels and ids are left out, and of an id's rows one is used.
+    are whole. Null labels and ids are left out, and of an id's rows one is used. The states of the
+    shards go from task to task; only the weights reach the driver.
     """
-    spark = docs.sparkSession
     chosen = (labels.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("label"))
               .where(F.col("id").isNotNull() & F.col("label").isNotNull()).where(learn)
               .groupBy("id").agg(F.max("label").alias("label"))
@@ -100,16 +120,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
              .join(F.broadcast(chosen), "id").dropDuplicates(["id"]))
     shards = max(1, -(-chosen.count() // spec.shard))
     rows = staged(texts.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).drop("id"), "labelled")
-    state: tuple[bytes, bytes] | None = None
-    for _ in range(spec.rounds):
-        shared = spark.sparkContext.broadcast(state)
-        done = rows.groupBy("shard").applyInArrow(_train(shared, spec), "z binary, n binary").collect()
-        if not done:
-            break
-        state = tuple(packed(np.mean([unpacked(bytes(r[c]), np.float64) for r in done], axis=0)) for c in (0, 1))
-    if state is None:
-        return np.zeros((1 << WEIGHTS_LOG2) + 1)
-    return weights(*(unpacked(b, np.float64) for b in state), spec)
+    schema = "shard long, z binary, n binary"
+    states = rows.groupBy("shard").applyInArrow(_train(spec, False), schema)
+    for _ in range(spec.rounds - 1):
+        start = states.withColumn("model", F.lit(0)).groupBy("model").applyInArrow(_shared, schema)
+        states = rows.groupBy("shard").cogroup(start.groupBy("shard")).applyInArrow(_train(spec, True), schema)
+    model = states.withColumn("model", F.lit(0)).groupBy("model").applyInArrow(_fitted(spec), "weights binary").collect()
+    return unpacked(bytes(model[0].weights), np.float64) if model else np.zeros((1 << WEIGHTS_LOG2) + 1)
 
 
 def _score(model, threshold: float):

@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from hydrospark.llm import langid, quality, toxicity
+from hydrospark.llm.blocks import packed, summed, unpacked
 
 def anything():
     return F.lit(True)
@@ -43,6 +45,40 @@ def test_toxicity(spark, table):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_keeps_the_driver_small(spark, table, monkeypatch):
+    """Four shards trained side by side: as by plain arrays, and no state of a shard comes to the driver."""
+    four = spark.range(1000).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(4))).groupBy("shard").agg(F.min("id").alias("id"))
+    ids = {r.shard: r.id for r in four.collect()}
+    texts = {s: " ".join(f"s{s}w{k}" for k in range(40)) + " common words" + " bad" * (s % 2) for s in ids}
+    docs = table(*[(i, texts[s]) for s, i in ids.items()])
+    labels = spark.createDataFrame([(i, s % 2) for s, i in ids.items()], "doc_id long, toxic int")
+    spec = toxicity.Spec(l1=0.1, sample=4, shard=1)
+    frame, got, collect = type(docs), [], type(docs).collect
+    monkeypatch.setattr(frame, "collect", lambda self: got.append(collect(self)) or got[-1])
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: pytest.fail("a state is sent by the driver"))
+    model = toxicity.fit(docs, labels, anything(), spec=spec)
+    assert sum(len(v) for rows in got for r in rows for v in r if isinstance(v, bytes | bytearray)) == len(packed(model))
+
+    zero = np.zeros((1 << toxicity.WEIGHTS_LOG2) + 1)
+    mean = (zero, zero)
+    for _ in range(spec.rounds):
+        start = pa.table({"z": [packed(mean[0])], "n": [packed(mean[1])]})
+        done = [toxicity._train(spec, True)(pa.table({"shard": [s], "text": [texts[s]], "label": [float(s % 2)]}), start) for s in sorted(ids)]
+        mean = tuple(np.mean([unpacked(t.column(c)[0].as_py(), np.float64) for t in done], axis=0) for c in "zn")
+    assert np.array_equal(model, toxicity.weights(*mean, spec)) and (model != 0).sum() > 10
+
+
+def test_sums_of_counters(spark, monkeypatch):
+    """Whole numbers are added up in tasks: one array for each name reaches the driver."""
+    parts = [(k % 2, k, packed(np.full(1000, k, dtype=np.int64))) for k in range(150)]
+    rows = spark.createDataFrame(parts, "name int, part int, counts binary")
+    got, collect = [], type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda self: got.append(collect(self)) or got[-1])
+    total = summed(rows, "counters")
+    assert {k: (set(v.tolist()), len(v)) for k, v in total.items()} == {0: ({sum(range(0, 150, 2))}, 1000), 1: ({sum(range(1, 150, 2))}, 1000)}
+    assert [len(r) for r in got if r and "counts" in r[0]] == [2]
+
+
 def test_quality(spark, table):
     good = sentences(2, EN, 120, 40)
     bad = ["### $$$ %%% &&& " * 10 + t.upper() for t in sentences(3, EN, 120, 20)]

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -149,6 +151,27 @@ def test_components(spark):
     assert {found[k] for k in range(200, 230)} == {200}
 
 
+def test_components_of_stars_need_no_round(spark, monkeypatch):
+    """Near copies that hang on one centre are written once; a chain takes rounds and ends with its smallest node."""
+    from hydrospark.llm import components as module
+
+    written, keep = [], module.staged
+    monkeypatch.setattr(module, "staged", lambda df, label: written.append(label) or keep(df, label))
+    stars = [(k, 3) for k in range(10, 60)] + [(2, 70), (2, 71), (2, 71), (5, 5)]
+    found = {r.node: r.component for r in components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert found == {3: 3, **{k: 3 for k in range(10, 60)}, 2: 2, 70: 2, 71: 2} and len(written) == 1
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0 and len(written) == 2
+    pick = random.Random(3)
+    links = [(pick.randrange(-150, 150), pick.randrange(-150, 150)) for _ in range(130)]
+    low = {n: n for pair in links if pair[0] != pair[1] for n in pair}
+    for _ in low:
+        for a, b in links:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    found = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(found) == len(low) and {r.node: r.component for r in found} == low
+
+
 def test_word_hashes():
     plain, text = Words(), " a b\ta  é\n\x0b" + "long" * 400_000 + " a " + "b c " * 400_000
     h = plain.of(text.encode())
