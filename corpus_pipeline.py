@@ -21,33 +21,42 @@ from hydrospark.llm.shared import importable, staged
 from hydrospark.session import configure, run_dir
 
 
+#: Rows of an Arrow batch. A task holds the texts of one outside its heap, and its Python worker holds them twice.
+BATCH_ROWS = 2048
+
+
+def _ready(spark: SparkSession) -> None:
+    importable(configure(spark))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    importable(configure(spark))
+    _ready(spark)
     learn = F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1
     return toxicity.keep_clean(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels"), learn))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    importable(configure(spark))
+    _ready(spark)
     return ngram_join.keep_first(docs, n=5, similarity=(8, 10))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    importable(configure(spark))
+    _ready(spark)
     return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"), window=10)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    importable(configure(spark))
+    _ready(spark)
     return secret_scan.without_secrets(docs, secret_scan.Ledger(spark, run_dir(spark, "ledger")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    importable(configure(spark))
+    _ready(spark)
     path, pattern = bpe.default_table()
     done = bpe.decode(bpe.encode(docs, path, pattern), path)
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -58,6 +59,17 @@ def test_stages_take_effect(spark, folder):
     assert ids["encode"].count(None) == 1
 
 
+def test_stages_bound_their_batches(spark, table):
+    """No stage hands a Python worker more than some thousand texts at once."""
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("secrets", "encode"):
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            stage(spark, table((1, "one two")), "")
+            sizes = spark.range(0, 9000, 1, 1).mapInArrow(
+                lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+            assert sum(r.n for r in sizes) == 9000 and max(r.n for r in sizes) <= 2048
+
+
 def test_stages_on_odd_rows(spark, table, tmp_path):
     """Null and repeated ids, null, empty and long texts, columns named like helpers, and an empty table."""
     passage = " ".join(f"bench{i}" for i in range(12))
