@@ -10,6 +10,8 @@ a key; months of a single append need no such step. One job may write to a store
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,16 +131,44 @@ def load(spark: SparkSession, *paths: str, start: str | None = None, end: str |
     return in_range(read(spark, *paths), start, end, **equal).select(*HISTORY_COLS)
 
 
-def _commit(df: DataFrame, path: str, whole: bool = False) -> list[str]:
-    """Write rows beside the store, then move each month in; `whole` supersedes what the month held.
+#: A task keeps so many months open and needs no sort by month; beyond them Spark sorts.
+WRITERS = 100
+
+
+@contextmanager
+def _open_months(spark: SparkSession) -> Iterator[None]:
+    """Let tasks write several months side by side, so that the order of their rows is left as it is."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(WRITERS))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
 
-    Range partitioning by month, series and time splits a hot month or series over many files of
-    even size and leaves each file with a narrow series range for footer pruning.
+def _adaptive(df: DataFrame) -> bool:
+    return df.sparkSession.conf.get("spark.sql.adaptive.enabled", "true").lower() == "true"
+
+
+def _laid_out(df: DataFrame) -> DataFrame:
+    """Rows dealt by month and sorted by series and time.
+
+    Adaptive execution cuts a hot month into pieces of even size and puts small months together by the sizes it has
+    measured, so the rows are made once. Without it they are dealt by ranges, for which Spark reads them twice.
+    The id comes first: a sort compares the first bytes of its first column and opens two rows only where those are equal.
     """
+    order = ["entity_id", "entity_type", "metric", "ts"]
+    rows = df.select(*HISTORY_COLS, MONTH)
+    dealt = rows.hint("rebalance", MONTH) if _adaptive(df) else rows.repartitionByRange(MONTH, *order)
+    return dealt.sortWithinPartitions(*order)
+
+
+def _commit(df: DataFrame, path: str, whole: bool = False) -> list[str]:
+    """Write rows beside the store, then move each month in; `whole` supersedes what the month held."""
     spark, staged = df.sparkSession, f"{path}/_staged-{uuid.uuid4().hex}"
-    order = [MONTH, "entity_type", "entity_id", "metric", "ts"]
-    (df.select(*HISTORY_COLS, MONTH).repartitionByRange(*order).sortWithinPartitions(*order)
-     .write.option("compression", "zstd").partitionBy(MONTH).parquet(staged))
+    with _open_months(spark):
+        _laid_out(df).write.option("compression", "zstd").partitionBy(MONTH).parquet(staged)
     held = _appends(spark, path)
     number = 2 * (max((n for numbers in held.values() for n in numbers), default=0) // 2 + 1) + whole
     months = _folders(spark, staged, MONTH)
@@ -166,6 +196,8 @@ def _batch(df: DataFrame, seq: str | None) -> DataFrame:
 
 
 def _write(df: DataFrame, path: str, whole: bool) -> list[str]:
+    if _adaptive(df):
+        return _commit(df, path, whole)
     # The rows are read twice (range bounds, rows); keep them rather than parse them anew.
     rows = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:

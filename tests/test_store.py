@@ -147,3 +147,60 @@ def test_a_batch_without_an_order_is_hashed_and_not_sorted(spark, rows, tmp_path
     assert "HashAggregate" in plan and "SortAggregate" not in plan
     store.append(batch, str(tmp_path / "s"))
     assert {(r["entity_id"], r["value"]) for r in store.load(spark, str(tmp_path / "s")).collect()} == {("a", 7.0), ("b", -3.0)}
+
+
+def test_flatten_is_compiled_and_reads_each_text_once(docs):
+    plan = store._batch(snapshots.flatten(snapshots.parse(docs(SNAP))), None)._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and plan.count("try_cast(text") == 1
+
+
+def test_flatten_of_missing_parts(docs):
+    doc = {"as_of_epoch": 1727395200, "index": None, "weather": None, "soil": {"error": "", "soil_moisture_top": 0.4},
+           "gauges": [None, {"site_id": "", "stage_ft": 1.0}, {"site_id": 7, "stage_ft": "n/a", "discharge_cfs": "2"}], "buoys": [],
+           "forests": [None, {"districts_data": [None, {"name": "Alone", "landslide": {"score": "5"}}, {"name": "", "landslide": {"score": 6}}],
+                              "fire_weather": {"score": 1.0}}, {"short": "Uwharrie", "fire_weather": {"error": "down", "score": 2.0}, "air_quality": {"pm10": 3}}]}
+    out = snapshots.flatten(snapshots.parse(docs(doc, "{", "null"))).collect()
+    assert sorted((r["entity_type"], r["entity_id"], r["metric"], r["value"]) for r in out) == [
+        ("district", "Alone", "landslide_score", 5.0), ("forest", "Uwharrie", "aqi_pm10", 3.0), ("gauge", "7", "discharge_cfs", 2.0),
+        ("point", "asheville", "soil_soil_moisture_top", 0.4)]
+
+
+def test_a_hot_month_is_cut_and_its_rows_are_made_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    made = spark.range(40_000).select(
+        F.timestamp_seconds(F.lit(1727395200) + F.col("id") % 1000).alias("ts"), F.lit("snapshot").alias("source"), F.lit("gauge").alias("entity_type"),
+        (F.col("id") * 7919 % 40_009).cast("string").alias("entity_id"), F.lit("stage_ft").alias("metric"), F.col("id").cast("double").alias("value"))
+    path, name = tmp_path / "s", "spark.sql.maxConcurrentOutputFileWriters"
+    sizes = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "50k"}
+    for conf, size in sizes.items():
+        spark.conf.set(conf, size)
+    try:
+        store.append(made.mapInPandas(look, COLS), str(path))
+    finally:
+        for conf in sizes:
+            spark.conf.unset(conf)
+    assert seen.value == 40_000 and not spark.conf.get(name, None) and not spark._jsc.getPersistentRDDs()
+    files = [spark.read.parquet(str(p)).coalesce(1).collect() for p in path.rglob("*.parquet")]
+    assert len(files) > 2 and all([r["entity_id"] for r in f] == sorted(r["entity_id"] for r in f) for f in files)
+    assert max(map(len, files)) < 30_000 and store.load(spark, str(path)).distinct().count() == 40_000
+    assert "REBALANCE" in store._laid_out(store._batch(made, None))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_more_months_than_open_writers_and_no_adaptive_execution(spark, rows, tmp_path):
+    many = rows(*[(f"{1990 + i // 12}-{i % 12 + 1:02d}-15T00:00:00", "snapshot", e, float(i)) for i in range(store.WRITERS + 5) for e in "ba"])
+    assert len(store.append(many.coalesce(1), str(tmp_path / "s"))) == store.WRITERS + 5
+    assert store.load(spark, str(tmp_path / "s")).count() == 2 * store.WRITERS + 10
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = store._laid_out(store._batch(many, None))._jdf.queryExecution().executedPlan().toString()
+        assert store.append(many.where("ts < '1990-03-01'"), str(tmp_path / "t")) == ["1990-01", "1990-02"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "rangepartitioning" in plan and "REBALANCE" not in plan
+    assert store.load(spark, str(tmp_path / "t")).count() == 4
